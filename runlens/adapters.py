@@ -174,8 +174,8 @@ FROM clusters c JOIN (SELECT 'p1' AS run_id, 0 AS salt UNION ALL SELECT 'p2' AS
 JOIN (SELECT 'corrupt_where_near' AS arm UNION ALL SELECT 'corrupt_where_far' UNION ALL SELECT 'corrupt_why'
       UNION ALL SELECT 'corrupt_how' UNION ALL SELECT 'shuffled' UNION ALL SELECT 'coherent_wrong') a ON 1 = 1""",
     "probe_records": """
-SELECT 'b' || CAST(doc_id % 4 AS STRING) AS source, 'p' || CAST(1 + doc_id % 2 AS STRING) AS run_id,
-       'c' || CAST(FLOOR(doc_id / 8.0) AS STRING) AS cluster_id,
+SELECT 'b' || CAST(CAST(FLOOR(doc_id / 3.0) AS BIGINT) % 4 AS STRING) AS source, 'p' || CAST(1 + CAST(FLOOR(doc_id / 3.0) AS BIGINT) % 2 AS STRING) AS run_id,
+       'c' || CAST(CAST(FLOOR(doc_id / 3.0) AS BIGINT) AS STRING) AS cluster_id,
        CASE doc_id % 3 WHEN 0 THEN 'reference' WHEN 1 THEN 'system' ELSE 'shuffled' END AS arm,
        CAST(doc_id % 5 AS STRING) AS assigned_task, CAST(doc_id % 4 AS STRING) AS origin_task,
        CAST(n_chars % 5 AS STRING) AS guess1, CAST(n_chars % 7 AS STRING) AS guess2, CAST(n_chars % 3 AS STRING) AS guess3,

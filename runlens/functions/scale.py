@@ -152,29 +152,91 @@ def member_digest(
     item: str,
     exact: Callable[[Column], Column],
     bound: int = DIGEST_MEMBER_BOUND,
+    text: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """One order-independent digest per group: columns ``keys``, ``members``, ``digest``.
 
     Groups of at most ``bound`` members are hashed as ``exact(sorted members)``. SHA-256 over a
     list is sequential, so a larger group gets a two-level digest instead: its members are
     spread over hash buckets, every bucket is hashed, and the digest covers the sorted list of
-    (bucket, bucket digest). Every member counts in both forms.
+    (bucket, bucket digest). Every member counts in both forms. ``text`` turns a sorted member
+    into the text that is hashed.
     """
+    def texts(items: Column) -> Column:
+        return F.transform(items, text) if text is not None else items
+
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"))
     rows = df.select(*keys, item).join(sizes, list(keys))
     small = (
         rows.where(F.col("members") <= bound)
         .groupBy(*keys, "members")
         .agg(F.array_sort(F.collect_list(item)).alias("_items"))
-        .select(*keys, "members", exact(F.col("_items")).alias("digest"))
+        .select(*keys, "members", exact(texts(F.col("_items"))).alias("digest"))
     )
     large = (
         rows.where(F.col("members") > bound)
         .withColumn("_b", F.substring(F.sha2(F.col(item).cast("string"), 256), 1, 4))
         .groupBy(*keys, "members", "_b")
-        .agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(item))), 256).alias("_d"))
+        .agg(F.array_sort(F.collect_list(item)).alias("_items"))
+        .withColumn("_d", F.sha2(F.concat_ws("\n", texts(F.col("_items"))), 256))
         .groupBy(*keys, "members")
         .agg(F.array_sort(F.collect_list(F.concat("_b", "_d"))).alias("_ds"))
         .select(*keys, "members", exact(F.col("_ds")).alias("digest"))
     )
     return small.unionByName(large)
+
+
+def prior_value(
+    probes: DataFrame,
+    events: DataFrame,
+    keys: Sequence[str],
+    step: str,
+    order: str,
+    value: str,
+    block: int = 256,
+) -> DataFrame:
+    """As-of lookup: the ``value`` of the last event with a smaller ``step`` than the probe.
+
+    Events of one step count in ``order``. Steps are cut into blocks: inside a block the value
+    comes from a window, from earlier blocks it is carried by a window over one row per block.
+    """
+    blocks = F.floor(F.col(step) / block).alias("_block")
+    last = events.groupBy(*keys, step).agg(F.max_by(value, order).alias("_val"))
+    per_block = last.groupBy(*keys, blocks).agg(F.max_by("_val", step).alias("_last"))
+    filled = probes.select(*keys, blocks).distinct().join(per_block, [*keys, "_block"], "full")
+    carry = filled.withColumn(
+        "_carry",
+        F.last("_last", ignorenulls=True).over(
+            Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        ),
+    ).select(*keys, "_block", "_carry")
+    marks = last.select(*keys, step, "_val", F.lit(None).alias("_probe")).unionByName(
+        probes.select(*keys, step, F.lit(None).alias("_val"), F.struct(*probes.columns).alias("_probe"))
+    ).withColumn("_block", F.floor(F.col(step) / block))
+    within = Window.partitionBy(*keys, "_block").orderBy(step).rangeBetween(Window.unboundedPreceding, -1)
+    found = (
+        marks.withColumn("_in", F.last("_val", ignorenulls=True).over(within))
+        .where(F.col("_probe").isNotNull())
+        .join(carry, [*keys, "_block"], "left")
+    )
+    return found.select("_probe.*", F.coalesce("_in", "_carry").alias(f"prior_{value}"))
+
+
+def bucketed_running_sum(
+    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], value: str, name: str
+) -> DataFrame:
+    """Sum of ``value`` over the strictly earlier rows of the group, without sorting whole groups."""
+    rows = df.withColumn("_bucket", bucket)
+    w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        rows.groupBy(*keys, "_bucket")
+        .agg(F.sum(value).alias("_sum"))
+        .withColumn("_carry", F.coalesce(F.sum("_sum").over(w), F.lit(0)))
+        .drop("_sum")
+    )
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        rows.join(carry, [*keys, "_bucket"])
+        .withColumn(name, F.col("_carry") + F.coalesce(F.sum(value).over(inner), F.lit(0)))
+        .drop("_bucket", "_carry")
+    )

@@ -107,9 +107,3 @@ def json_object_text(text: Column) -> Column:
 
 def round6(value: Column) -> Column:
     return F.round(value.cast("double"), 6)
-
-
-def fixed_digits(value: Column, digits: int = 4) -> Column:
-    """Fixed-digit text of a number, empty for NULL."""
-    shown = F.format_string(f"%.{digits}f", value.cast("double"))
-    return F.when(value.isNull(), F.lit("")).otherwise(shown)
