@@ -74,11 +74,11 @@ def _escape_units(text: Column) -> Column:
     short = {34: '\\"', 92: "\\\\", 8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
 
     def unit(q: Column) -> Column:
-        code = F.conv(q, 16, 10).cast("int")
-        out = F.when(code == 34, F.lit(short[34]))
+        out = F.when(q == F.lit("0022"), F.lit(short[34]))
         for number, escape in short.items():
-            out = out.when(code == number, F.lit(escape))
-        return out.when(code.between(32, 126), F.char(code)).otherwise(F.concat(F.lit("\\u"), q))
+            out = out.when(q == F.lit(f"{number:04x}"), F.lit(escape))
+        plain = q.between("0020", "007e")
+        return out.when(plain, F.char(F.conv(q, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), q))
 
     return F.concat_ws("", F.transform(quads, unit))
 
