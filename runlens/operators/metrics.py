@@ -109,17 +109,29 @@ def counts_by(tasks: DataFrame, column: str) -> DataFrame:
     return tasks.groupBy(column).agg(F.count(F.lit(1)).alias("tasks"))
 
 
-def dist_stats(df: DataFrame, keys: Sequence[str], value: str, prefix: str) -> DataFrame:
-    """Mean, exact median and maximum; groups without values keep NULLs."""
-    basic = df.groupBy(*keys).agg(
-        F.try_divide(F.sum(value).cast("double"), F.count(value)).alias(f"{prefix}_mean"),
-        F.max(value).cast("double").alias(f"{prefix}_max"),
-        F.sum(value).cast("double").alias(f"{prefix}_total"),
-    )
-    mid = scale.exact_quantiles(df, keys, value, scale.median_picks("_m"))
-    return basic.join(mid, list(keys), "left").withColumn(
-        f"{prefix}_median", (c("_m_lo") + c("_m_hi")) / 2
-    ).drop("_m_lo", "_m_hi")
+def dist_stats(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """Mean, exact median, maximum and total of each value; groups without values keep NULLs.
+
+    ``values`` maps a column prefix to a value column. All medians come from one pass over the
+    stacked values.
+    """
+    basic = df.groupBy(*keys).agg(*[
+        agg
+        for prefix, value in values.items()
+        for agg in (
+            F.try_divide(F.sum(value).cast("double"), F.count(value)).alias(f"{prefix}_mean"),
+            F.max(value).cast("double").alias(f"{prefix}_max"),
+            F.sum(value).cast("double").alias(f"{prefix}_total"),
+        )
+    ])
+    stacked = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(prefix).alias("_name"), c(value).cast("double").alias("_value")) for prefix, value in values.items()
+    ])).alias("_s")).select(*keys, "_s.*")
+    mid = scale.exact_quantiles(stacked, [*keys, "_name"], "_value", scale.median_picks("_m"))
+    wide = mid.groupBy(*keys).agg(*[
+        F.max(F.when(c("_name") == prefix, (c("_m_lo") + c("_m_hi")) / 2)).alias(f"{prefix}_median") for prefix in values
+    ])
+    return basic.join(wide, list(keys), "left")
 
 
 def kind_histogram(df: DataFrame, keys: Sequence[str], kind: str, name: str) -> DataFrame:
@@ -178,8 +190,7 @@ def run_aggregate(rollouts: DataFrame, ledger: DataFrame, failures: DataFrame, t
     )
     out = base
     for part in (
-        dist_stats(rollouts, RUN, "usd", "policy_usd"),
-        dist_stats(rollouts, RUN, "duration_seconds", "wall_s"),
+        dist_stats(rollouts, RUN, {"policy_usd": "usd", "wall_s": "duration_seconds"}),
         hats, spend, fails, kinds,
     ):
         out = out.join(part, RUN, "left")

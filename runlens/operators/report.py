@@ -32,7 +32,7 @@ def stage_times(log: DataFrame, spans: dict[str, tuple[str, str]]) -> DataFrame:
     """
     names = sorted({e for pair in spans.values() for e in pair})
     rows = log.where(c("event").isin(names)).groupBy("run_id").agg(
-        *[F.max_by("ts", F.when(c("event") == e, c("ord"))).alias(f"_{e}") for e in names]
+        *[F.max_by(c("ts").cast("timestamp"), F.when(c("event") == e, c("ord"))).alias(f"_{e}") for e in names]
     )
     # max_by over an all-NULL ordering gives NULL, which is the missing event
     def seconds(start: str, end: str) -> Column:

@@ -16,7 +16,6 @@ from runlens.functions.numbers import exact_round, fixed_digits
 c = F.col
 PAIR = ["source", "run_a", "run_b"]
 DRAW_BOUND = 10_000
-DRAWS_PER_HASH = 8
 
 
 def pair_passes(task_passes: DataFrame) -> DataFrame:
@@ -55,6 +54,15 @@ def _tasks() -> Column:
     return c("n11") + c("n10") + c("n01") + c("n00")
 
 
+def mixed(number: Column) -> Column:
+    """32-bit counter hash of a non-negative number: xor-shift and multiply rounds in 64-bit integers."""
+    mask = F.lit(0xFFFFFFFF)
+    h = number.bitwiseAND(mask)
+    for shift, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
+        h = (h.bitwiseXOR(F.shiftright(h, shift)) * factor).bitwiseAND(mask)
+    return h.bitwiseXOR(F.shiftright(h, 15))
+
+
 def bootstrap_delta(
     cells: DataFrame, n: int = fixed.BOOTSTRAP_RESAMPLES, seed: int = 0, draw_bound: int = DRAW_BOUND
 ) -> DataFrame:
@@ -68,16 +76,13 @@ def bootstrap_delta(
     small, large = sized.where(c("_m") <= draw_bound), sized.where(c("_m") > draw_bound)
     low, high = int(0.025 * n), min(n - 1, int(0.975 * n))
 
-    tag = F.concat_ws(":", F.lit(str(seed)), *PAIR, c("_rep").cast("string"), c("_block").cast("string"))
-    draws = small.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(*PAIR, "_rep")
-    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((c("_m") - 1) / DRAWS_PER_HASH))
-    draws = draws.withColumn("_block", F.explode(blocks)).withColumn("_h", F.sha2(tag, 256))
-    total = F.lit(0)
-    for j in range(DRAWS_PER_HASH):
-        pick = F.conv(F.substring("_h", 1 + 8 * j, 8), 16, 10).cast("bigint") % c("_m")
-        move = F.when(pick < c("n10"), 1).when(pick < c("n10") + c("n01"), -1).otherwise(0)
-        total = total + F.when(c("_block") * DRAWS_PER_HASH + j < c("_m"), move).otherwise(0)
-    deltas = draws.groupBy(*PAIR, "_m", "_rep").agg(F.abs(F.sum(total)).alias("_d"))
+    tag = F.concat_ws(":", F.lit(str(seed)), *PAIR, c("_rep").cast("string"))
+    resamples = small.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(*PAIR, "_rep")
+    resamples = resamples.withColumn("_base", F.conv(F.substring(F.sha2(tag, 256), 1, 8), 16, 10).cast("bigint"))
+    slots = F.explode(F.sequence(F.lit(0).cast("bigint"), c("_m") - 1))
+    draws = resamples.withColumn("_slot", slots).withColumn("_pick", mixed(c("_base") + c("_slot") * 2654435761) % c("_m"))
+    move = F.when(c("_pick") < c("n10"), 1).when(c("_pick") < c("n10") + c("n01"), -1).otherwise(0)
+    deltas = draws.groupBy(*PAIR, "_m", "_rep").agg(F.abs(F.sum(move)).alias("_d"))
     w = Window.partitionBy(*PAIR).orderBy("_d", "_rep")
     point = c("_d") / c("_m") * 100
     drawn = (

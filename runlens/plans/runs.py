@@ -163,7 +163,7 @@ def _(t):
 SELECT source, ROUND(CAST(SUM(usd) AS DOUBLE) / COUNT(usd), 6) AS usd_mean, ROUND(MEDIAN(CAST(usd AS DOUBLE)), 6) AS usd_median,
  CAST(MAX(usd) AS DOUBLE) AS usd_max, ROUND(CAST(SUM(usd) AS DOUBLE), 6) AS usd_total FROM rollouts GROUP BY source""")
 def _(t):
-    return rounded(met.dist_stats(t.view("rollouts"), ["source"], "usd", "usd"), "usd_mean", "usd_median", "usd_total")
+    return rounded(met.dist_stats(t.view("rollouts"), ["source"], {"usd": "usd"}), "usd_mean", "usd_median", "usd_total")
 
 
 RUN_LEDGER = """SELECT 'Brand#' || CAST(1 + user_id % 25 AS STRING) AS source, 'p' || CAST(1 + event_id % 2 AS STRING) AS run_id,

@@ -24,13 +24,13 @@ def cells_sql(view):
 
 
 def bootstrap_sql(cells, n=2000):
-    draws = " UNION ALL ".join(
-        f"SELECT source, run_a, run_b, m, n10, n01, rep, block * 8 + {j} AS slot, ('0x' || SUBSTR(h, {1 + 8 * j}, 8))::BIGINT % m AS pick FROM hashed" for j in range(8))
     return f"""WITH cells AS ({cells}), sized AS (SELECT *, n11 + n10 + n01 + n00 AS m FROM cells),
-hashed AS (SELECT s.*, r.rep, b.block, sha256('0:' || source || ':' || run_a || ':' || run_b || ':' || r.rep || ':' || b.block) AS h FROM sized s JOIN (SELECT UNNEST(RANGE({n})) AS rep) r ON TRUE
- JOIN (SELECT UNNEST(RANGE(2000)) AS block) b ON b.block * 8 < s.m),
-draws AS ({draws}),
-deltas AS (SELECT source, run_a, run_b, m, rep, ABS(SUM(CASE WHEN pick < n10 THEN 1 WHEN pick < n10 + n01 THEN -1 ELSE 0 END)) AS d FROM draws WHERE slot < m GROUP BY source, run_a, run_b, m, rep),
+seeds AS (SELECT s.*, r.rep, ('0x' || SUBSTR(sha256('0:' || source || ':' || run_a || ':' || run_b || ':' || r.rep), 1, 8))::BIGINT AS base FROM sized s JOIN (SELECT UNNEST(RANGE({n})) AS rep) r ON TRUE),
+slots AS (SELECT *, UNNEST(RANGE(m)) AS slot FROM seeds),
+h0 AS (SELECT source, run_a, run_b, m, n10, n01, rep, (base + slot * 2654435761) & 4294967295 AS h FROM slots),
+h1 AS (SELECT * REPLACE ((XOR(h, h >> 15) * 739982445) & 4294967295 AS h) FROM h0), h2 AS (SELECT * REPLACE ((XOR(h, h >> 12) * 695872825) & 4294967295 AS h) FROM h1),
+draws AS (SELECT *, XOR(h, h >> 15) % m AS pick FROM h2),
+deltas AS (SELECT source, run_a, run_b, m, rep, ABS(SUM(CASE WHEN pick < n10 THEN 1 WHEN pick < n10 + n01 THEN -1 ELSE 0 END)) AS d FROM draws GROUP BY source, run_a, run_b, m, rep),
 ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source, run_a, run_b ORDER BY d, rep) - 1 AS rn FROM deltas),
 boot AS (SELECT source, run_a, run_b, MAX(d / m * 100) FILTER (WHERE rn = {int(0.025 * n)}) AS ci_low, MAX(d / m * 100) FILTER (WHERE rn = {min(n - 1, int(0.975 * n))}) AS ci_high FROM ranked GROUP BY source, run_a, run_b)"""
 
@@ -78,7 +78,7 @@ def _(t):
 
 
 def p_sql(pos, neg):
-    return f"""CASE WHEN {pos} + {neg} > 0 THEN LEAST(1.0, 2 * LIST_SUM(LIST_TRANSFORM(RANGE(LEAST({pos}, {neg}) + 1), i -> EXP(LGAMMA({pos} + {neg} + 1) - LGAMMA(i + 1) - LGAMMA({pos} + {neg} - i + 1) - ({pos} + {neg}) * LN(2.0))))) END"""
+    return f"""CASE WHEN {pos} + {neg} > 0 THEN LEAST(1.0, 2 * LIST_SUM([EXP(LGAMMA({pos} + {neg} + 1) - LGAMMA(i + 1) - LGAMMA({pos} + {neg} - i + 1) - ({pos} + {neg}) * LN(2.0)) FOR i IN RANGE(LEAST({pos}, {neg}) + 1)])) END"""
 
 
 SIGNS = """SELECT source, COUNT(*) FILTER (WHERE d > 0) AS positive, COUNT(*) FILTER (WHERE d < 0) AS negative FROM (SELECT source, reference_score - coherent_score AS d FROM score_pairs) GROUP BY source"""

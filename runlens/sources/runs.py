@@ -81,6 +81,6 @@ def write_report_csv(df: DataFrame, path: str, keys: Sequence[str], single_file:
     ordered = df.orderBy(*keys)
     if single_file:
         ordered = ordered.coalesce(1)
-    ordered.write.mode("overwrite").option("header", "true").option("lineSep", "\n").option("nullValue", "").option(
+    ordered.write.mode("overwrite").option("header", "true").option("lineSep", "\n").option("escape", '"').option("nullValue", "").option(
         "emptyValue", ""
     ).csv(path)

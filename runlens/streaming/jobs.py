@@ -90,5 +90,13 @@ def stream_trace_gaps(trace: DataFrame, key: str = "file", version: int = fixed.
 
 
 def read_table_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet folder or file as a stream, with the schema of what is there now."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A parquet folder or a single file as a stream, with the schema of what is there now.
+
+    The file source watches folders, so a single file is read through its folder by name.
+    """
+    table = spark.read.parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    reader = spark.readStream.schema(table.schema)
+    if [f.rpartition("/")[2] for f in table.inputFiles()] == [name]:
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
