@@ -1,7 +1,8 @@
 """Views that give the star-schema test tables the shapes the operators expect.
 
 The SQL uses only syntax Spark SQL and DuckDB share, so the same text feeds an operator here and
-the check there. Views may use other views of this module.
+the check there; ``EACH(a, b, ...)`` stands for one row per literal, which the two spell
+differently. Views may use other views of this module.
 """
 
 from __future__ import annotations
@@ -168,11 +169,11 @@ FROM (SELECT l.*, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber
       FROM lineitem l) x WHERE rn = 1""",
     # feasibility of the corruption arms of a cluster in a run
     "arm_assignments": """
-SELECT c.cluster_id, r.run_id, a.arm,
-       CASE WHEN (c.members + LENGTH(a.arm) + LENGTH(c.component) + r.salt) % 9 = 0 THEN 'no donor' END AS impossible
-FROM clusters c JOIN (SELECT 'p1' AS run_id, 0 AS salt UNION ALL SELECT 'p2' AS run_id, 4 AS salt) r ON 1 = 1
-JOIN (SELECT 'corrupt_where_near' AS arm UNION ALL SELECT 'corrupt_where_far' UNION ALL SELECT 'corrupt_why'
-      UNION ALL SELECT 'corrupt_how' UNION ALL SELECT 'shuffled' UNION ALL SELECT 'coherent_wrong') a ON 1 = 1""",
+SELECT cluster_id, run_id, arm,
+       CASE WHEN (members + LENGTH(arm) + LENGTH(component) + CASE run_id WHEN 'p1' THEN 0 ELSE 4 END) % 9 = 0 THEN 'no donor' END AS impossible
+FROM (SELECT cluster_id, members, component, run_id,
+             EACH('corrupt_where_near', 'corrupt_where_far', 'corrupt_why', 'corrupt_how', 'shuffled', 'coherent_wrong') AS arm
+      FROM (SELECT cluster_id, members, component, EACH('p1', 'p2') AS run_id FROM clusters) x) y""",
     "probe_records": """
 SELECT 'b' || CAST(CAST(FLOOR(doc_id / 3.0) AS BIGINT) % 4 AS STRING) AS source, 'p' || CAST(1 + CAST(FLOOR(doc_id / 3.0) AS BIGINT) % 2 AS STRING) AS run_id,
        'c' || CAST(CAST(FLOOR(doc_id / 3.0) AS BIGINT) AS STRING) AS cluster_id,
@@ -203,13 +204,11 @@ def views_used(sql: str) -> list[str]:
     return found
 
 
-def with_views(sql: str) -> str:
+def with_views(sql: str, spark: bool = False) -> str:
     """The query with the views it uses as leading common table expressions."""
     names = views_used(sql)
     body = sql.strip()
-    if not names:
-        return body
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)
-    if body.upper().startswith("WITH "):
-        return f"WITH {ctes},\n{body[5:]}"
-    return f"WITH {ctes}\n{body}"
+    if names:
+        ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in names)
+        body = f"WITH {ctes},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes}\n{body}"
+    return re.sub(r"\bEACH\(([^()]*)\)", r"EXPLODE(ARRAY(\1))" if spark else r"UNNEST([\1])", body)

@@ -7,6 +7,8 @@ pairing all clusters with each other.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,31 +106,69 @@ def decoy_distance(assignments: DataFrame, components: DataFrame, true: str = "t
     return out.drop(*[x for x in out.columns if x.startswith(f"_{true}_") or x.startswith(f"_{decoy}_")])
 
 
-def corrupt_where(
+def where_picks(
     clusters: DataFrame, components: DataFrame, candidates: DataFrame, activity: DataFrame, verdicts: DataFrame,
-    tier: str, seed: int, candidate_set: bool = True,
+    seed: int, variants: dict[str, tuple[str, bool]],
 ) -> DataFrame:
-    """A decoy component and step per cluster: requested tier first, the other one as a flagged fallback.
+    """One struct column per variant (name -> tier, use the candidate set): decoy, step, fallback, reason.
 
-    The step must be one where the decoy acts and which is no validated-positive step.
-    ``activity``: cluster_id, component, step; ``verdicts``: cluster_id, step, verdict.
+    All variants share one scan of the active decoys and differ only in the aggregates.
     """
-    arm = f"corrupt_where_{tier}"
-    banned = exclusion_sets(clusters, candidates, candidate_set)
+    in_set = candidates.select("cluster_id", "component").distinct().withColumn("_set", F.lit(True))
+    own = exclusion_sets(clusters, candidates, candidate_set=False)
     sufficient = verdicts.where(c("verdict") == "positive").select("cluster_id", "step").distinct()
-    viable = _active_decoys(clusters, components, banned, activity).join(sufficient, ["cluster_id", "step"], "left_anti")
-    first = c("same_layer") if tier == "near" else ~c("same_layer")
-    picked = _pick(viable.withColumn("_rank", F.when(first, 0).otherwise(1)), arm, seed, ["same_layer"])
     rows = (
-        clusters.select("cluster_id", c("component").alias("true_component"))
-        .join(_pool_sizes(clusters, components, banned), "cluster_id")
-        .join(picked, "cluster_id", "left")
-    )
-    return rows.select(
-        "cluster_id", F.lit(arm).alias("arm"), "true_component", c("component").alias("decoy_component"),
-        c("step").alias("decoy_step"), "same_layer", (c("_rank") > 0).alias("distance_fallback"),
-        F.when(c("pool") <= 0, NO_DECOY).when(c("component").isNull(), NOT_ACTIVE).alias("impossible"),
+        _active_decoys(clusters, components, own, activity)
+        .join(sufficient, ["cluster_id", "step"], "left_anti")
+        .join(in_set, ["cluster_id", "component"], "left")
     )
+    tiers = sorted({tier for tier, _ in variants.values()})
+    def best_step(tier: str) -> Column:
+        h = scale.seeded_hash(c("cluster_id"), f"corrupt_where_{tier}", seed, c("component"), c("step"))
+        return F.min(F.struct(h.alias("h"), c("step").alias("step")))["step"].alias(f"_step_{tier}")
+
+    per_component = rows.groupBy("cluster_id", "component", "same_layer", "_set").agg(*[best_step(x) for x in tiers])
+
+    def pick(name: str, tier: str, candidate_set: bool) -> Column:
+        h = scale.seeded_hash(c("cluster_id"), f"corrupt_where_{tier}", seed, c("component"))
+        first = c("same_layer") if tier == "near" else ~c("same_layer")
+        order = F.struct(
+            F.when(first, 0).otherwise(1).alias("rank"), h.alias("h"), c("component").alias("component"),
+            c(f"_step_{tier}").alias("step"), "same_layer",
+        )
+        allowed = c("_set").isNull() if candidate_set else F.lit(True)
+        return F.min(F.when(allowed, order)).alias(f"_{name}")
+
+    picked = per_component.groupBy("cluster_id").agg(*[pick(n, x, s) for n, (x, s) in variants.items()])
+    out = clusters.select("cluster_id", c("component").alias("true_component")).join(picked, "cluster_id", "left")
+    for wanted in sorted({s for _, s in variants.values()}):
+        banned = exclusion_sets(clusters, candidates, wanted)
+        out = out.join(_pool_sizes(clusters, components, banned).withColumnRenamed("pool", f"_pool_{wanted}"), "cluster_id")
+
+    def result(name: str, tier: str, candidate_set: bool) -> Column:
+        p = c(f"_{name}")
+        return F.struct(
+            F.lit(f"corrupt_where_{tier}").alias("arm"), p["component"].alias("decoy_component"), p["step"].alias("decoy_step"),
+            p["same_layer"].alias("same_layer"), (p["rank"] > 0).alias("distance_fallback"),
+            F.when(c(f"_pool_{candidate_set}") <= 0, NO_DECOY).when(p.isNull(), NOT_ACTIVE).alias("impossible"),
+        ).alias(name)
+
+    return out.select("cluster_id", "true_component", *[result(n, x, s) for n, (x, s) in variants.items()])
+
+
+def corrupt_where(
+    clusters: DataFrame, components: DataFrame, candidates: DataFrame, activity: DataFrame, verdicts: DataFrame,
+    tiers: Sequence[str] = ("near", "far"), seed: int = 0, candidate_set: bool = True,
+) -> DataFrame:
+    """A decoy component and step per cluster and tier: requested tier first, the other as a flagged fallback.
+
+    The step must be one where the decoy acts and which is no validated-positive step.
+    ``activity``: cluster_id, component, step; ``verdicts``: cluster_id, step, verdict.
+    """
+    variants = {tier: (tier, candidate_set) for tier in tiers}
+    rows = where_picks(clusters, components, candidates, activity, verdicts, seed, variants)
+    return rows.select("cluster_id", "true_component", F.explode(F.array(*tiers)).alias("_r")).select(
+        "cluster_id", "true_component", "_r.*")
 
 
 def corrupt_coherent(
@@ -238,19 +278,18 @@ def decoy_exclusion_audit(
 ) -> DataFrame:
     """Per cluster and tier: the decoy of the old rule (not the true component) and of the new
     rule (not in the candidate set), and whether the new rule loses feasibility."""
+    variants = {f"{age}_{tier}": (tier, age == "new") for tier in ("near", "far") for age in ("old", "new")}
+    rows = where_picks(clusters, components, candidates, activity, verdicts, seed, variants)
+    both = F.explode(F.array(*[
+        F.struct(F.lit(x).alias("tier"), c(f"old_{x}").alias("old"), c(f"new_{x}").alias("new")) for x in ("near", "far")
+    ]))
+    rows = rows.select("cluster_id", both.alias("_r")).select("cluster_id", "_r.*")
     in_set = candidates.select("cluster_id", c("component").alias("old_decoy")).distinct().withColumn("_in", F.lit(True))
-    out = None
-    for tier in ("near", "far"):
-        old = corrupt_where(clusters, components, candidates, activity, verdicts, tier, seed, candidate_set=False)
-        new = corrupt_where(clusters, components, candidates, activity, verdicts, tier, seed, candidate_set=True)
-        rows = old.select("cluster_id", c("decoy_component").alias("old_decoy"), c("impossible").alias("_old")).join(
-            new.select("cluster_id", c("decoy_component").alias("new_decoy"), c("impossible").alias("_new")), "cluster_id"
-        )
-        rows = rows.join(in_set, ["cluster_id", "old_decoy"], "left").select(
-            "cluster_id", F.lit(tier).alias("tier"), "old_decoy", c("_in").isNotNull().alias("old_decoy_in_candidate_set"),
-            "new_decoy",
-            F.when(c("_new").isNull(), "feasible").otherwise(F.concat(F.lit("impossible: "), c("_new"))).alias("new_feasibility"),
-            (c("_old").isNull() & c("_new").isNotNull()).alias("lost"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = rows.withColumn("old_decoy", c("old.decoy_component")).join(in_set, ["cluster_id", "old_decoy"], "left")
+    reason = c("new.impossible")
+    return rows.select(
+        "cluster_id", "tier", "old_decoy", c("_in").isNotNull().alias("old_decoy_in_candidate_set"),
+        c("new.decoy_component").alias("new_decoy"),
+        F.when(reason.isNull(), "feasible").otherwise(F.concat(F.lit("impossible: "), reason)).alias("new_feasibility"),
+        (c("old.impossible").isNull() & reason.isNotNull()).alias("lost"),
+    )

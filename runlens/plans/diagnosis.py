@@ -135,8 +135,7 @@ def where_args(t):
 
 @query("corrupt_where", f"WITH {POOL}, {where_sql('near', 'near_arm')}, {where_sql('far', 'far_arm')} SELECT * FROM near_arm UNION ALL SELECT * FROM far_arm")
 def _(t):
-    args = where_args(t)
-    return cor.corrupt_where(*args, "near", SEED).unionByName(cor.corrupt_where(*args, "far", SEED))
+    return cor.corrupt_where(*where_args(t), ("near", "far"), SEED)
 
 
 COHERENT = f"""WITH {POOL}, act AS (SELECT p.cluster_id, p.component, a.step, p.same_layer, CASE WHEN v.verdict = 'negative' THEN 0 WHEN v.verdict IS NULL OR v.verdict <> 'positive' THEN 1 END AS rnk
@@ -191,7 +190,7 @@ FROM a JOIN clusters c ON a.cluster_id = c.cluster_id LEFT JOIN clusters d ON a.
 def _(t):
     clusters = t.view("clusters").withColumn("step", c("members"))
     none = lambda n, k: F.lit(None).cast(k).alias(n)
-    near = cor.corrupt_where(*where_args(t), "near", SEED).select(
+    near = cor.corrupt_where(*where_args(t), ("near",), SEED).select(
         "cluster_id", "arm", "decoy_component", "decoy_step", none("origin_cluster", "string"), "impossible")
     donors = cor.corrupt_how(clusters, SEED).unionByName(cor.shuffle_all(clusters, SEED)).select(
         "cluster_id", "arm", none("decoy_component", "string"), none("decoy_step", "bigint"), "origin_cluster", "impossible")

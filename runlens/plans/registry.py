@@ -25,7 +25,7 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
-        full = adapters.with_views(text)
+        full = adapters.with_views(text, spark=True)
         for name in adapters.BASE_TABLES:
             if name not in self._registered and name in full:
                 self.base(name).createOrReplaceTempView(name)

@@ -404,8 +404,9 @@ def _(t):
     return rounded(rep.seed_runs_cost(ledger, ledger), "pass_usd", "call_usd")
 
 
-MDE_ROWS = """SELECT p_brand AS source, n, k, passes, CASE WHEN COUNT(*) % 7 = 0 THEN NULL ELSE CAST(SUM(p_size) % 90 AS DOUBLE) / 10 / k + n % 3 END AS mde FROM part
- JOIN (SELECT 7 AS n UNION ALL SELECT 8 UNION ALL SELECT 10 UNION ALL SELECT 14) a ON p_partkey % 2 = n % 2 JOIN (SELECT 3 AS k UNION ALL SELECT 5) b ON 1 = 1 JOIN (SELECT 1 AS passes UNION ALL SELECT 2) d ON 1 = 1 GROUP BY p_brand, n, k, passes"""
+MDE_ROWS = """SELECT source, n, k, passes, CASE WHEN parts % 7 = 0 THEN NULL ELSE CAST(size % 90 AS DOUBLE) / 10 / k + n % 3 END AS mde FROM
+ (SELECT source, parts, size, n, k, EACH(1, 2) AS passes FROM (SELECT source, parts, size, n, EACH(3, 5) AS k FROM (SELECT source, parts, size, EACH(7, 8, 10, 14) AS n FROM
+  (SELECT p_brand AS source, COUNT(*) AS parts, CAST(SUM(p_size) AS BIGINT) AS size FROM part GROUP BY p_brand) a) b) d) e"""
 DESIGNS = f"""SELECT c.source, g.n, g.k, g.passes, m.mde, 11 * g.n * g.k * (COALESCE(c.call_usd, 0) + g.passes * c.pass_usd) AS cost_usd, COALESCE(m.mde <= 3.0, FALSE) AS meets_threshold FROM ({COSTS}) c
 CROSS JOIN (SELECT n, k, passes FROM (SELECT UNNEST([7,8,10,14]) AS n) CROSS JOIN (SELECT UNNEST([3,5]) AS k) CROSS JOIN (SELECT UNNEST([1,2]) AS passes)) g LEFT JOIN ({MDE_ROWS}) m ON m.source = c.source AND m.n = g.n AND m.k = g.k AND m.passes = g.passes"""
 

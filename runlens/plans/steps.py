@@ -322,7 +322,22 @@ NAMED = """SELECT doc_id, 'The tool_router in agent/loop.py sent ' || source ||
 TOKENS = {"tool_router": "component", "agent/loop.py": "path", "finish": "tool", "loop": "component", "src1": "routine", "src12": "setting"}
 
 
-@query("strip_identifiers")
+def strip_sql():
+    """Boundaries as captured neighbours, replaced twice because RE2 has no lookaround."""
+    out = "mechanism"
+    for token, klass in sorted(TOKENS.items(), key=lambda kv: -len(kv[0])):
+        edge = r"[^\p{L}\p{M}\p{Nd}\p{Pc}/]" if "/" in token else r"[^\p{L}\p{M}\p{Nd}\p{Pc}]"
+        for _ in range(2):
+            out = f"REGEXP_REPLACE({out}, '(^|{edge}){token.replace('.', chr(92) + '.')}({edge}|$)', '\\1[{klass}]\\2', 'g')"
+    return f"REGEXP_REPLACE({out}, '`\\[(\\w+)\\]`', '[\\1]', 'g')"
+
+
+def count_sql(klass):
+    return f"CAST((LENGTH(out) - LENGTH(REPLACE(out, '[{klass}]', ''))) / {len(klass) + 2} AS INT) AS mechanism_{klass}"
+
+
+@query("strip_identifiers", f"""
+SELECT doc_id, out AS mechanism, fix_hint, {', '.join(count_sql(k) for k in sorted(set(TOKENS.values())))} FROM (SELECT doc_id, fix_hint, {strip_sql()} AS out FROM ({NAMED}))""")
 def _(t):
     return ren.strip_identifiers(t.sql(NAMED), "mechanism", TOKENS)
 
