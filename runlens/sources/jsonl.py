@@ -47,10 +47,10 @@ def scan_jsonl_strict(spark: SparkSession, path: str, ddl: str, required: Sequen
 
 def _read_texts(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
     """(file, value): whole small files with their paths."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if name:
         reader = reader.option("pathGlobFilter", name)
-    return reader.text(path).select(c("_metadata.file_path").alias("file"), "value")
+    return reader.text(path, wholetext=True).select(c("_metadata.file_path").alias("file"), "value")
 
 
 def parent(file: Column) -> Column:
