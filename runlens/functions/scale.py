@@ -95,35 +95,37 @@ def exact_quantiles(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    wanted = F.array(
-        *[
-            F.struct(F.lit(n).alias("pick"), f(F.col("_size")).cast("long").alias("pos"))
-            for n, f in picks.items()
-        ]
-    )
-    groups = (
-        counted.groupBy(*keys)
-        .agg(F.sum("_c").alias("_size"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .withColumn("_p", F.explode(wanted))
-        .select(*keys, "_lo", "_hi", F.col("_p.pick").alias("_pick"), F.col("_p.pos").alias("_pos"))
-    )
-    rows = counted.join(groups, list(keys))
-    width = F.col("_hi") - F.col("_lo")
-    for _ in range(levels):
-        cell = F.when(
-            width > 0,
-            F.least(F.lit(buckets - 1), F.floor((F.col("_v") - F.col("_lo")) / width * buckets)),
-        ).otherwise(F.lit(0))
-        rows = rows.withColumn("_b", cell)
-        w = Window.partitionBy(*keys, "_pick").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        hit = (
-            rows.groupBy(*keys, "_pick", "_b", "_pos")
-            .agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-            .withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-            .where((F.col("_before") <= F.col("_pos")) & (F.col("_pos") < F.col("_before") + F.col("_n")))
-            .select(*keys, "_pick", "_b", (F.col("_pos") - F.col("_before")).alias("_pos"), "_lo", "_hi")
+
+    def with_cell(frame: DataFrame) -> DataFrame:
+        width = F.col("_hi") - F.col("_lo")
+        position = F.floor((F.col("_v") - F.col("_lo")) / width * buckets)
+        return frame.withColumn("_b", F.when(width > 0, F.least(F.lit(buckets - 1), position)).otherwise(F.lit(0)))
+
+    def histogram(frame: DataFrame, by: Sequence[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        cells = frame.groupBy(*by, "_b").agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        return cells.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+
+    def hits(cells: DataFrame) -> DataFrame:
+        inside = (F.col("_before") <= F.col("_pos")) & (F.col("_pos") < F.col("_before") + F.col("_n"))
+        return cells.where(inside).select(
+            *keys, "_pick", "_b", (F.col("_pos") - F.col("_before")).alias("_pos"), "_lo", "_hi"
         )
-        rows = rows.select(*keys, "_pick", "_b", "_v", "_c").join(hit, [*keys, "_pick", "_b"]).drop("_b")
+
+    groups = counted.groupBy(*keys).agg(F.sum("_c").alias("_size"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    wanted = F.explode(F.array(*[
+        F.struct(F.lit(n).alias("pick"), f(F.col("_size")).cast("long").alias("pos")) for n, f in picks.items()
+    ]))
+    positions = groups.select(*keys, wanted.alias("_p")).select(
+        *keys, F.col("_p.pick").alias("_pick"), F.col("_p.pos").alias("_pos"))
+    rows = with_cell(counted.join(groups.drop("_size"), list(keys))).drop("_lo", "_hi")
+    state = hits(histogram(rows, keys).join(positions, list(keys)))
+    rows = rows.join(state, [*keys, "_b"]).drop("_b")
+    for _ in range(levels - 1):
+        rows = with_cell(rows)
+        by = [*keys, "_pick", "_pos"]
+        state = hits(histogram(rows, by))
+        rows = rows.select(*keys, "_pick", "_b", "_v", "_c").join(state, [*keys, "_pick", "_b"]).drop("_b")
     w = Window.partitionBy(*keys, "_pick").orderBy("_v")
     picked = rows.withColumn("_cum", F.sum("_c").over(w)).where(
         (F.col("_cum") > F.col("_pos")) & (F.col("_cum") - F.col("_c") <= F.col("_pos"))

@@ -178,20 +178,19 @@ def failure_subset(failures: DataFrame, n: int, seed: int) -> DataFrame:
 
     All failures when there are at most ``n``. ``failures``: source, run_id, failure_key.
     """
-    sizes = failures.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
-    sources = sizes.agg(F.greatest(F.lit(1), F.count(F.lit(1)))).scalar()
-    quota = F.when(total <= n, total).otherwise(F.floor(F.lit(n) / sources))
-    rows = failures.withColumn("_h", scale.seeded_hash(seed, c("source"), c("run_id"), c("failure_key")))
-    rows = rows.withColumn("_quota", quota.cast("bigint"))
-    first = scale.hash_rank(rows, ["source"], "_h", ["run_id", "failure_key"], "_rn", "_quota")
     cols = ["source", "run_id", "failure_key"]
-    first = first.select(*cols)
-    taken = first.agg(F.count(F.lit(1))).scalar()
-    rest = failures.select(*cols).join(first, cols, "left_anti").orderBy("run_id", "failure_key", "source").limit(n)
+    sizes = failures.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
+    totals = sizes.agg(F.struct(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("all"), F.greatest(F.lit(1), F.count(F.lit(1))).alias("sources")
+    )).scalar()
+    quota = F.when(totals["all"] <= n, totals["all"]).otherwise(F.floor(F.lit(n) / totals["sources"])).cast("bigint")
+    taken = sizes.agg(F.coalesce(F.sum(F.least(c("_n"), quota)), F.lit(0))).scalar()
+    rows = failures.select(*cols).withColumn("_h", scale.seeded_hash(seed, *[c(x) for x in cols])).withColumn("_quota", quota)
+    first = scale.hash_rank(rows, ["source"], "_h", ["run_id", "failure_key"], "_rn", "_quota").select(*cols)
+    order = ["run_id", "failure_key", "source"]
+    rest = failures.select(*cols).join(first, cols, "left_anti").orderBy(*order).limit(n)
     fill = (
-        rest.withColumn("_rn", F.row_number().over(
-            Window.partitionBy(F.lit(0)).orderBy("run_id", "failure_key", "source")))
+        rest.withColumn("_rn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
         .where(c("_rn") <= F.lit(n) - taken)
         .select(*cols)
     )

@@ -284,7 +284,7 @@ def _(t):
     return rounded(pri.price_usage(t.sql(MODEL_USAGE), pri.model_rates(t.spark)), "usd").select("event_id", "tier", "usd")
 
 
-SEARCHES = "SELECT event_id, 'serper' AS provider, prompt_tokens % 7 AS queries FROM ledger WHERE event = 'search'"
+SEARCHES = "SELECT event_id, CASE WHEN event_id >= 0 THEN 'serper' ELSE run_id END AS provider, prompt_tokens % 7 AS queries FROM ledger WHERE event = 'search'"
 
 
 @query("price_searches", f"SELECT event_id, queries, ROUND(queries * CAST(0.001 AS DOUBLE), 6) AS usd, '2026-09-05.1' AS pricing_version FROM ({SEARCHES})")
