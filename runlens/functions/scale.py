@@ -168,7 +168,10 @@ def member_digest(
         return F.transform(items, text) if text is not None else items
 
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"))
-    rows = df.select(*keys, item).join(sizes, list(keys))
+    if keys:
+        rows = df.select(*keys, item).join(sizes, list(keys))
+    else:
+        rows = df.select(item).withColumn("members", sizes.scalar())
     small = (
         rows.where(F.col("members") <= bound)
         .groupBy(*keys, "members")

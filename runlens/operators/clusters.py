@@ -73,17 +73,20 @@ def cluster_ids(diagnoses: DataFrame, keys: Sequence[str] = (), bound: int = sca
 def membership_hash(diagnoses: DataFrame, keys: Sequence[str] = (), bound: int = scale.DIGEST_MEMBER_BOUND) -> DataFrame:
     """One hash over all clusters: canonical JSON list of {id, members}, by (cause, component).
 
-    The list has one entry per cluster. A cluster beyond the member bound enters with the digest
-    of its members in place of the list.
+    Up to ``bound`` failures in all, the hashed text is that list. Beyond it every entry goes in
+    as its own SHA-256, and clusters beyond the bound as the digest of their members, so no row
+    ever holds all failures.
     """
     ids = cluster_ids(diagnoses, keys, bound).drop("members")
     listed = scale.member_digest(diagnoses, [*keys, *KEY], "failure_key", tx.json_list, bound)
     entry = F.concat(F.lit('{"id":'), tx.json_string(c("cluster_id")), F.lit(',"members":'), c("digest"), F.lit("}"))
-    rows = listed.join(ids, [*keys, *KEY]).select(*keys, *KEY, entry.alias("_entry"))
-    ordered = F.array_sort(F.collect_list(F.struct(*KEY, "_entry")))["_entry"]
-    return rows.groupBy(*keys).agg(
-        F.sha2(F.concat(F.lit("["), F.concat_ws(",", ordered), F.lit("]")), 256).alias("membership_sha256"),
-        F.count(F.lit(1)).alias("clusters"),
+    rows = listed.join(ids, [*keys, *KEY]).select(*keys, *KEY, "members", entry.alias("_entry"))
+    total = diagnoses.agg(F.count(F.lit(1))).scalar()
+    rows = rows.withColumn("_entry", F.when(total <= bound, c("_entry")).otherwise(F.sha2("_entry", 256)))
+    items = rows.select(*keys, F.struct(*KEY, c("_entry").alias("text")).alias("_item"))
+    whole = lambda texts: F.sha2(F.concat(F.lit("["), F.concat_ws(",", texts), F.lit("]")), 256)
+    return scale.member_digest(items, keys, "_item", whole, bound, lambda x: x["text"]).select(
+        *keys, c("digest").alias("membership_sha256"), c("members").alias("clusters")
     )
 
 

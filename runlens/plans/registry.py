@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from runlens import adapters
-from runlens.session import pin_utc
+from runlens.session import prepare
 
 _QUERIES: dict[str, Callable[["Tables"], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -53,7 +53,7 @@ def query(name: str, oracle: str | None = None):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            pin_utc(spark)
+            prepare(spark)
             return fn(Tables(spark, folder))
 
         return run

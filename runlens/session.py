@@ -13,6 +13,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
@@ -33,9 +35,16 @@ def local_session(app: str = "runlens", cores: str = "*", shuffle_partitions: in
     return spark
 
 
-def pin_utc(spark: SparkSession) -> None:
-    """Tier windows and hour buckets are defined in UTC, so the zone is never left implicit."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> None:
+    """Settings the operators rely on, set on the session they are given.
+
+    Tier windows and hour buckets are defined in UTC. Joins on a key that may hold a large share
+    of the rows are left to adaptive execution, which splits such partitions at run time even
+    where a later step then needs one more shuffle.
+    """
+    for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
+                "spark.sql.adaptive.forceOptimizeSkewedJoin", "spark.sql.unionOutputPartitioning"):
+        spark.conf.set(key, SESSION_CONF[key])
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
