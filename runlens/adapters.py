@@ -21,8 +21,8 @@ VIEWS: dict[str, str] = {
     "rollouts": """
 SELECT p_brand AS source, CASE WHEN l_linestatus = 'F' THEN 'p1' ELSE 'p2' END AS run_id,
        l_partkey AS task_id, l_linenumber AS replicate,
-       ROW_NUMBER() OVER (PARTITION BY l_partkey, l_linestatus, l_linenumber
-         ORDER BY l_shipdate, l_orderkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag) AS attempt,
+       CAST(ROW_NUMBER() OVER (PARTITION BY l_partkey, l_linestatus, l_linenumber
+         ORDER BY l_shipdate, l_orderkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag) AS BIGINT) AS attempt,
        CASE WHEN l_tax < 0.005 THEN 'infra' WHEN l_tax > 0.075 THEN 'budget' ELSE 'none' END AS error_family,
        CASE WHEN l_tax < 0.005 THEN CASE WHEN l_quantity < 25.5 THEN 'policy_worker_error' ELSE 'usage_mismatch' END
             WHEN l_tax > 0.075 THEN 'budget_exhausted' END AS error_kind,

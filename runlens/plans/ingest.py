@@ -123,7 +123,7 @@ def _(t):
 WITH l AS ({LINES}), e AS (SELECT conv_id, MAX(turn) AS t FROM l WHERE n % 8 = 6 GROUP BY conv_id), k AS (SELECT conv_id, MAX(turn) AS t FROM l WHERE n % 8 = 5 GROUP BY conv_id),
 m AS (SELECT l.conv_id, MAX(l.turn) AS step FROM l LEFT JOIN e ON l.conv_id = e.conv_id WHERE l.n % 8 = 0 AND l.turn > COALESCE(e.t, -1) GROUP BY l.conv_id)
 SELECT f.conv_id AS file, CASE WHEN e.t IS NULL AND k.t IS NULL THEN CASE WHEN f.quiet THEN 'assistant_no_tool_call' END WHEN COALESCE(e.t, -1) > COALESCE(k.t, -1) THEN 'finished' ELSE 'model_call_error' END AS exit_reason,
- GREATEST(COALESCE(e.t, 0), COALESCE(m.step, 0)) AS steps, CASE WHEN e.t IS NOT NULL THEN CAST(9.5 AS DOUBLE) END AS duration_seconds, CASE WHEN e.t IS NOT NULL THEN 77 END AS total_tokens
+ GREATEST(COALESCE(e.t, 0), COALESCE(m.step, 0)) AS steps, CASE WHEN e.t IS NOT NULL THEN CAST(9.5 AS DOUBLE) END AS duration_seconds, CASE WHEN e.t IS NOT NULL THEN CAST(77 AS BIGINT) END AS total_tokens
 FROM (SELECT conv_id, BOOL_OR(n % 8 = 4) AS quiet FROM l GROUP BY conv_id) f LEFT JOIN e ON f.conv_id = e.conv_id LEFT JOIN k ON f.conv_id = k.conv_id LEFT JOIN m ON f.conv_id = m.conv_id""")
 def _(t):
     return logs.rollout_log_final(log_lines(t))

@@ -121,7 +121,7 @@ def _(t):
     return trj.web_hosts(t.sql(COMMANDS), ["source"])
 
 
-@query("top_hosts", f"""SELECT source, host, commands, rank FROM (SELECT source, host, commands, ROW_NUMBER() OVER (PARTITION BY source ORDER BY commands DESC, host) AS rank FROM ({HOSTS})) WHERE rank <= 8""")
+@query("top_hosts", f"""SELECT source, host, commands, CAST(rank AS INT) AS rank FROM (SELECT source, host, commands, ROW_NUMBER() OVER (PARTITION BY source ORDER BY commands DESC, host) AS rank FROM ({HOSTS})) WHERE rank <= 8""")
 def _(t):
     return trj.top_hosts(trj.web_hosts(t.sql(COMMANDS), ["source"]), ["source"])
 
@@ -183,7 +183,7 @@ cand AS (SELECT pair_id, step, divergence, exit_reason, fk, ROW_NUMBER() OVER (P
 
 
 @query("align_steps", ALIGN + """
-SELECT pair_id, step, CASE WHEN fk IS NULL THEN 0 ELSE 1 END AS f_actions, CASE WHEN rk IS NULL THEN 0 ELSE 1 END AS r_actions,
+SELECT pair_id, step, CAST(CASE WHEN fk IS NULL THEN 0 ELSE 1 END AS BIGINT) AS f_actions, CAST(CASE WHEN rk IS NULL THEN 0 ELSE 1 END AS BIGINT) AS r_actions,
  COALESCE(fi, '') AS f_key, COALESCE(ri, '') AS r_key, COALESCE(fm, FALSE) AS f_mutates, COALESCE(rm, FALSE) AS r_mutates FROM s""")
 def _(t):
     return aln.align_steps(t.view("step_actions")).select(
@@ -345,7 +345,7 @@ def _(t):
 CAPPED = r"""SELECT doc_id, source, TRIM(REGEXP_REPLACE(text, '\s+', ' ', 'g')) AS flat FROM documents"""
 
 
-@query("field_caps", f"SELECT source, GREATEST(20, MAX(LENGTH(flat))) AS text_cap FROM ({CAPPED}) GROUP BY source")
+@query("field_caps", f"SELECT source, CAST(GREATEST(20, MAX(LENGTH(flat))) AS INT) AS text_cap FROM ({CAPPED}) GROUP BY source")
 def _(t):
     return ren.field_caps(t.base("documents"), ["source"], ["text"])
 
@@ -369,7 +369,7 @@ ARM_TEXTS = """SELECT source AS cluster_id, CAST(doc_id AS STRING) AS arm, SUBST
 
 @query("rendered_lengths", f"""
 WITH s AS (SELECT cluster_id, arm, TRIM(REGEXP_REPLACE(mechanism, '\\s+', ' ', 'g')) AS m, REPLACE(TRIM(REGEXP_REPLACE(fix_hint, '\\s+', ' ', 'g')), 'zzthing', '[routine]') AS h FROM ({ARM_TEXTS}))
-SELECT cluster_id, arm, LENGTH(m) AS mechanism_length, LENGTH(h) AS fix_hint_length, FALSE AS mechanism_cut, FALSE AS fix_hint_cut FROM s""")
+SELECT cluster_id, arm, CAST(LENGTH(m) AS INT) AS mechanism_length, CAST(LENGTH(h) AS INT) AS fix_hint_length, FALSE AS mechanism_cut, FALSE AS fix_hint_cut FROM s""")
 def _(t):
     return ren.rendered_lengths(t.sql(ARM_TEXTS), {"zzthing": "routine"})
 
