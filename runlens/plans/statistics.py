@@ -394,7 +394,7 @@ def _(t):
     return rep.measurability_funnel(t.view("rollouts"), t.sql(runs.FAILS), t.sql(GENUINE), t.sql(FUNNEL_REPLAYS), t.sql(FUNNEL_CLUSTERS), t.sql(FUNNEL_ARMS))
 
 
-COSTS = f"""SELECT a.source, a.pass_usd, b.call_usd FROM (SELECT source, AVG(CAST(u AS DOUBLE)) AS pass_usd FROM (SELECT source, run_id, SUM(usd) AS u FROM ({runs.RUN_LEDGER}) GROUP BY source, run_id) GROUP BY source) a
+COSTS = f"""SELECT a.source, a.pass_usd, b.call_usd FROM (SELECT source, CAST(SUM(u) AS DOUBLE) / COUNT(*) AS pass_usd FROM (SELECT source, run_id, SUM(usd) AS u FROM ({runs.RUN_LEDGER}) GROUP BY source, run_id) GROUP BY source) a
 FULL JOIN (SELECT source, CAST(SUM(usd) AS DOUBLE) / COUNT(*) AS call_usd FROM ({runs.RUN_LEDGER}) WHERE event = 'call' AND arm = 'diagnosis' GROUP BY source) b ON a.source = b.source"""
 
 
