@@ -112,8 +112,7 @@ def counts_by(tasks: DataFrame, column: str) -> DataFrame:
 def dist_stats(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
     """Mean, exact median, maximum and total of each value; groups without values keep NULLs.
 
-    ``values`` maps a column prefix to a value column. All medians come from one pass over the
-    stacked values.
+    ``values`` maps a column prefix to a value column.
     """
     basic = df.groupBy(*keys).agg(*[
         agg
@@ -124,14 +123,18 @@ def dist_stats(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> Da
             F.sum(value).cast("double").alias(f"{prefix}_total"),
         )
     ])
+    return basic.join(medians(df, keys, values), list(keys), "left")
+
+
+def medians(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """Exact medians ``<prefix>_median`` of several value columns in one pass over stacked values."""
     stacked = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(prefix).alias("_name"), c(value).cast("double").alias("_value")) for prefix, value in values.items()
     ])).alias("_s")).select(*keys, "_s.*")
     mid = scale.exact_quantiles(stacked, [*keys, "_name"], "_value", scale.median_picks("_m"))
-    wide = mid.groupBy(*keys).agg(*[
+    return mid.groupBy(*keys).agg(*[
         F.max(F.when(c("_name") == prefix, (c("_m_lo") + c("_m_hi")) / 2)).alias(f"{prefix}_median") for prefix in values
     ])
-    return basic.join(wide, list(keys), "left")
 
 
 def kind_histogram(df: DataFrame, keys: Sequence[str], kind: str, name: str) -> DataFrame:
@@ -153,6 +156,7 @@ def run_aggregate(rollouts: DataFrame, ledger: DataFrame, failures: DataFrame, t
     ``tasks`` holds (source, run_id, task_id, pass_hat_k). Costs and wall clocks come with
     mean, exact median, maximum and total.
     """
+    values = {"policy_usd": "usd", "wall_s": "duration_seconds"}
     per_task = rollouts.groupBy(*RUN, "task_id").agg(
         F.count(F.lit(1)).alias("rollouts"),
         F.count("passed").alias("scored"),
@@ -160,10 +164,16 @@ def run_aggregate(rollouts: DataFrame, ledger: DataFrame, failures: DataFrame, t
         F.sum("search_calls").alias("search_calls"),
         F.count_if(c("error_kind") == "usage_mismatch").alias("usage_mismatch"),
         F.count_if("partial").alias("partial"),
+        *[agg for prefix, value in values.items() for agg in (
+            F.sum(value).alias(f"_{prefix}_sum"), F.count(value).alias(f"_{prefix}_n"), F.max(value).alias(f"_{prefix}_max"))],
     )
     base = per_task.groupBy(*RUN).agg(
         F.count(F.lit(1)).alias("tasks"),
         *[F.sum(x).alias(x) for x in ("rollouts", "scored", "passed", "search_calls", "usage_mismatch", "partial")],
+        *[agg for prefix in values for agg in (
+            F.try_divide(F.sum(f"_{prefix}_sum").cast("double"), F.sum(f"_{prefix}_n")).alias(f"{prefix}_mean"),
+            F.max(f"_{prefix}_max").cast("double").alias(f"{prefix}_max"),
+            F.sum(f"_{prefix}_sum").cast("double").alias(f"{prefix}_total"))],
     )
     hats = tasks.groupBy(*RUN).agg(F.count_if("pass_hat_k").alias("pass_hat_k_tasks"))
     call, policy = c("event") == "call", c("event") == "policy"
@@ -190,7 +200,7 @@ def run_aggregate(rollouts: DataFrame, ledger: DataFrame, failures: DataFrame, t
     )
     out = base
     for part in (
-        dist_stats(rollouts, RUN, {"policy_usd": "usd", "wall_s": "duration_seconds"}),
+        medians(rollouts, RUN, values),
         hats, spend, fails, kinds,
     ):
         out = out.join(part, RUN, "left")
