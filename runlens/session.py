@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -50,10 +51,13 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh sub-folder of the cluster's checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is visible to every executor. Only where the
-    session names none (local tests) a temporary folder is used.
+    The folder named by ``spark.checkpoint.dir`` is visible to every executor. Where the session
+    names none, a temporary folder does only if driver and executors are one process; on a
+    cluster that is an error, as each machine would write to a disk of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="runlens-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
