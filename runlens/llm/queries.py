@@ -5,19 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runlens.llm import simhash
+from runlens.llm import simhash, token_files, tokens, topk
 from runlens.llm.arrow import table
 from runlens.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
+
+
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return token_files.round_trip(documents, tokens.public_path("word_bpe_49k.json"), end_id=2)
+
+
 def op9_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).drop("component_docs")
 
 
-_QUERIES: list[Query] = [op9_simhash_dedup]
+_QUERIES: list[Query] = [op1_exact_topk, op8_token_files, op9_simhash_dedup]
 
 
 def queries() -> dict[str, Query]:
@@ -31,5 +42,21 @@ def queries() -> dict[str, Query]:
     return {query.__name__: bind(query) for query in _QUERIES}
 
 
+_ORACLES = {
+    "op1_exact_topk": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
+
+
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
