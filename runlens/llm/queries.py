@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import simhash, token_files, tokens, topk
+from runlens.llm import packing, sharding, simhash, token_files, tokens, topk
 from runlens.llm.arrow import table
 from runlens.session import prepare
 
@@ -19,6 +19,16 @@ def op1_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
 
 
+def op3_nnls_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokens.public_path("byte_bpe_50k.json"), end_id=1)
+
+
+def op7_stratified_shards(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sharding.interleave(table(spark, folder, "documents"), shards=8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return token_files.round_trip(documents, tokens.public_path("word_bpe_49k.json"), end_id=2)
@@ -28,7 +38,7 @@ def op9_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).drop("component_docs")
 
 
-_QUERIES: list[Query] = [op1_exact_topk, op8_token_files, op9_simhash_dedup]
+_QUERIES: list[Query] = [op1_exact_topk, op3_nnls_packing, op7_stratified_shards, op8_token_files, op9_simhash_dedup]
 
 
 def queries() -> dict[str, Query]:
@@ -42,7 +52,29 @@ def queries() -> dict[str, Query]:
     return {query.__name__: bind(query) for query in _QUERIES}
 
 
+#: crc32 of a text's UTF-8 bytes; the table of 256 entries follows from the polynomial.
+_CRC = """
+        t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc_table),
+        b AS (SELECT doc_id, source, coalesce(text, '') AS body, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+            list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x:
+                (strpos('0123456789ABCDEF', x[1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2]) - 1) AS bytes
+            FROM documents),
+        d AS (SELECT doc_id, source, size, xor(list_reduce(bytes, lambda c, x:
+                xor(c >> 8, crc_table[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32
+            FROM b, t)"""
+
 _ORACLES = {
+    "op7_stratified_shards": f"""
+        WITH {_CRC},
+        r AS (SELECT *, coalesce('s' || source, 'n') AS stratum,
+                sha256(concat_ws(':', '20240', doc_id, text_crc32, size)) AS digest FROM d),
+        f AS (SELECT *, CAST(2 * row_number() OVER (PARTITION BY stratum ORDER BY digest, doc_id, text_crc32, size) - 1
+                AS DOUBLE) / (2 * count(*) OVER (PARTITION BY stratum)) AS frac, count(*) OVER () AS total FROM r),
+        p AS (SELECT *, row_number() OVER (ORDER BY frac, stratum) - 1 AS position FROM f),
+        s AS (SELECT *, CAST(position * 8 // total AS INTEGER) AS shard FROM p)
+        SELECT doc_id, size, text_crc32, 'rows' AS law, shard, position - (shard * total + 7) // 8 AS slot,
+            CAST(NULL AS INTEGER) AS grown_shard FROM s""",
     "op1_exact_topk": """
         WITH v AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
