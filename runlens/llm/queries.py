@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import packing, sharding, simhash, token_files, tokens, topk
+from runlens.llm import packing, quality_rules, sharding, simhash, token_files, tokens, topk
 from runlens.llm.arrow import table
 from runlens.session import prepare
 
@@ -19,6 +19,13 @@ def op1_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
 
 
+def op2_llr_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = table(spark, folder, "labels").where("quality = 1")
+    return quality_rules.score(table(spark, folder, "documents"), trusted).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "llr_micro", "n_grams")
+
+
 def op3_nnls_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokens.public_path("byte_bpe_50k.json"), end_id=1)
 
@@ -38,7 +45,7 @@ def op9_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).drop("component_docs")
 
 
-_QUERIES: list[Query] = [op1_exact_topk, op3_nnls_packing, op7_stratified_shards, op8_token_files, op9_simhash_dedup]
+_QUERIES: list[Query] = [op1_exact_topk, op2_llr_quality_rules, op3_nnls_packing, op7_stratified_shards, op8_token_files, op9_simhash_dedup]
 
 
 def queries() -> dict[str, Query]:
@@ -65,6 +72,36 @@ _CRC = """
             FROM b, t)"""
 
 _ORACLES = {
+    "op2_llr_quality_rules": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
+        b AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words,
+                list_filter(string_split(body, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+        w AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM b),
+        h AS (SELECT *, list_reduce(list_transform(string_split(word, ''), lambda c: CAST(unicode(c) AS BIGINT)),
+                lambda a, c: (a * 31 + c) & 4294967295, CAST(0 AS BIGINT)) AS h FROM w),
+        n AS (SELECT *, lead(word) OVER o AS word2, lead(word, 2) OVER o AS word3, lead(h) OVER o AS h2
+            FROM h WINDOW o AS (PARTITION BY rid ORDER BY i)),
+        g AS (SELECT rid, CAST(((CAST(x AS UBIGINT) * 2654435761) & 4294967295) >> 16 AS BIGINT) AS cell FROM (
+            SELECT rid, h AS x FROM n UNION ALL
+            SELECT rid, (CAST(h AS UBIGINT) * 2246822507 + CAST(h2 AS UBIGINT)) & 4294967295 FROM n WHERE h2 IS NOT NULL)),
+        t AS (SELECT rid FROM d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+        c AS (SELECT cell, count(*) AS raw, count(*) FILTER (rid IN (SELECT rid FROM t)) AS target FROM g GROUP BY cell),
+        z AS (SELECT sum(raw) AS raws, sum(target) AS targets FROM c),
+        k AS (SELECT cell, CAST(round(1000000 * (ln((target + 1.0::DOUBLE) / (targets + 65536.0::DOUBLE))
+            - ln((raw + 1.0::DOUBLE) / (raws + 65536.0::DOUBLE)))) AS BIGINT) AS weight FROM c, z),
+        l AS (SELECT rid, CAST(sum(weight) AS BIGINT) AS llr_micro, count(*) AS n_grams FROM g JOIN k USING (cell) GROUP BY rid),
+        r AS (SELECT rid, i FROM n WHERE word3 IS NOT NULL
+            QUALIFY count(*) OVER (PARTITION BY rid, word, word2, word3) > 1),
+        p AS (SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM r, (SELECT unnest([0, 1, 2]) AS j) GROUP BY rid),
+        f AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+                CAST(length(regexp_replace(body, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+                CAST(length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(llr_micro, 0) AS llr_micro,
+                coalesce(n_grams, 0) AS n_grams
+            FROM b LEFT JOIN p USING (rid) LEFT JOIN l USING (rid))
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND llr_micro >= -100000 * n_grams AS kept FROM f""",
     "op7_stratified_shards": f"""
         WITH {_CRC},
         r AS (SELECT *, coalesce('s' || source, 'n') AS stratum,
