@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import packing, quality_rules, sharding, simhash, token_files, tokens, topk
-from runlens.llm.arrow import table
+from runlens.llm import packing, quality_mil, quality_rules, sharding, simhash, token_files, tokens, topk
+from runlens.llm.arrow import bucket_of, table
 from runlens.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,18 @@ def op3_nnls_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokens.public_path("byte_bpe_50k.json"), end_id=1)
 
 
+def op4_attention_mil_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    learn = labels.where(bucket_of(F.col("doc_id"), 3) != 1)
+    scored = quality_mil.score(documents, quality_mil.train(documents, learn, "quality"))
+    return _judged(scored, bucket_of(F.col("doc_id"), 3) == 1)
+
+
+def _judged(scored: DataFrame, held_out: Column) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_stratified_shards(spark: SparkSession, folder: str) -> DataFrame:
     rows = sharding.interleave(table(spark, folder, "documents"), shards=8)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -45,7 +57,7 @@ def op9_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).drop("component_docs")
 
 
-_QUERIES: list[Query] = [op1_exact_topk, op2_llr_quality_rules, op3_nnls_packing, op7_stratified_shards, op8_token_files, op9_simhash_dedup]
+_QUERIES: list[Query] = [op1_exact_topk, op2_llr_quality_rules, op3_nnls_packing, op4_attention_mil_quality, op7_stratified_shards, op8_token_files, op9_simhash_dedup]
 
 
 def queries() -> dict[str, Query]:
