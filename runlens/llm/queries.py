@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import packing, quality_mil, quality_rules, sharding, simhash, token_files, tokens, topk
+from runlens.llm import packing, quality_mil, quality_rules, sharding, simhash, token_files, tokens, topk, toxicity
 from runlens.llm.arrow import bucket_of, table
 from runlens.session import prepare
 
@@ -42,6 +42,13 @@ def _judged(scored: DataFrame, held_out: Column) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_crf_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    learn = labels.where(bucket_of(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(documents, toxicity.train(documents, learn))
+    return _judged(scored, bucket_of(F.col("doc_id"), 5) == 0)
+
+
 def op7_stratified_shards(spark: SparkSession, folder: str) -> DataFrame:
     rows = sharding.interleave(table(spark, folder, "documents"), shards=8)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -57,7 +64,7 @@ def op9_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).drop("component_docs")
 
 
-_QUERIES: list[Query] = [op1_exact_topk, op2_llr_quality_rules, op3_nnls_packing, op4_attention_mil_quality, op7_stratified_shards, op8_token_files, op9_simhash_dedup]
+_QUERIES: list[Query] = [op1_exact_topk, op2_llr_quality_rules, op3_nnls_packing, op4_attention_mil_quality, op6_crf_toxicity, op7_stratified_shards, op8_token_files, op9_simhash_dedup]
 
 
 def queries() -> dict[str, Query]:
