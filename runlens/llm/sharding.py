@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.scale import bucketed_rank, hash_rank, seeded_hash
+from runlens.llm.arrow import stored
 
 SEED = 20240
 FRACTIONS = 16_384
@@ -31,7 +32,8 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = SEED, source: str =
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")).alias("stratum"),
         (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-    rows = rows.withColumn("digest", seeded_hash(seed, F.col("doc_id"), F.col("text_crc32"), F.col("size")))
+    # texts are read once; the rankings below run over the narrow rows
+    rows = stored(rows.withColumn("digest", seeded_hash(seed, F.col("doc_id"), F.col("text_crc32"), F.col("size"))), "shard-rows")
     ranked = hash_rank(rows, ["stratum"], "digest", ["doc_id", "text_crc32", "size"], "r")
     totals = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
     placed = ranked.join(totals, "stratum").withColumn("at", (2 * F.col("r") - 1).cast("double") / (2 * F.col("n")))
