@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import packing, quality_mil, quality_rules, sharding, simhash, token_files, tokens, topk, toxicity
+from runlens.llm import mixing, packing, pii, quality_mil, quality_rules, sharding, simhash, token_files, tokens, topk, toxicity
 from runlens.llm.arrow import bucket_of, table
 from runlens.session import prepare
 
@@ -42,6 +42,11 @@ def _judged(scored: DataFrame, held_out: Column) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymise(documents, report="found").withColumn("n_found", F.size("found"))
+
+
 def op6_crf_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     learn = labels.where(bucket_of(F.col("doc_id"), 5) != 0)
@@ -64,7 +69,27 @@ def op9_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).drop("component_docs")
 
 
-_QUERIES: list[Query] = [op1_exact_topk, op2_llr_quality_rules, op3_nnls_packing, op4_attention_mil_quality, op6_crf_toxicity, op7_stratified_shards, op8_token_files, op9_simhash_dedup]
+#: Shares of all tokens that the mixture aims at, by what the labels call a document.
+TARGETS = {"good": 0.9, "poor": 0.07, "toxic": 0.03}
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labelled rows."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op10_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    rated, _, _ = mixing.mix(documents, label_domains(labels), TARGETS)
+    shares = [(F.get("units", F.lit(k)) / float(mixing.GRID)).alias(f"p_{d}") for k, d in enumerate(TARGETS)]
+    return rated.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
+_QUERIES: list[Query] = [
+    op1_exact_topk, op2_llr_quality_rules, op3_nnls_packing, op4_attention_mil_quality, op5_feistel_pseudonyms,
+    op6_crf_toxicity, op7_stratified_shards, op8_token_files, op9_simhash_dedup, op10_soft_mixing,
+]
 
 
 def queries() -> dict[str, Query]:

@@ -172,6 +172,12 @@ class Field:
     def token_marginals(self, words: Words) -> np.ndarray:
         return marginals(self.energy(features(words)), self.trans, *segments(words))
 
+    def scores(self, words: Words, prob: np.ndarray | None = None) -> np.ndarray:
+        """Calibrated document scores of a block."""
+        prob = self.token_marginals(words) if prob is None else prob
+        logit = aggregate(prob, words) @ self.calibration[:2] + self.calibration[2]
+        return 0.5 * (1 + np.tanh(0.5 * logit))
+
 
 def fit_field(cells: np.ndarray, gold: np.ndarray, sizes: np.ndarray, bits: int = CELL_BITS, seed: int = 3,
               epochs: int = EPOCHS) -> Field:
@@ -361,8 +367,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
         for a, b in blocks(texts):
             words = Words(texts[a:b])
             prob = field.token_marginals(words)
-            logit = aggregate(prob, words) @ field.calibration[:2] + field.calibration[2]
-            scores.append(0.5 * (1 + np.tanh(0.5 * logit)))
+            scores.append(field.scores(words, prob))
             found = [[] for _ in range(b - a)]
             hot = np.flatnonzero(prob >= 0.5)
             if len(hot):
@@ -379,3 +384,19 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), run,
                        "doc_id long, score double, "
                        "spans array<struct<start:long,end:long,text:string,probability:double>>")
+
+
+def without_toxic(docs: DataFrame, field: Field, threshold: float = 0.5) -> DataFrame:
+    """The documents, all columns, whose score is below ``threshold``; texts are not shuffled.
+
+    The same defined cases as in ``score``; columns of any name are carried along.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, keep = texts_of(batch), []
+        for a, b in blocks(texts):
+            keep += (shared.value.scores(Words(texts[a:b])) < threshold).tolist()
+        return batch.filter(pa.array(keep, pa.bool_()))
+
+    return map_batches(docs, run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
