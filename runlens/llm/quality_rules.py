@@ -3,8 +3,7 @@
 Words and word pairs are hashed to ``buckets`` cells. Over all documents the cells are counted
 once for the whole corpus and once for the trusted documents; the two smoothed multinomials give
 a weight log(target / raw) per cell, held as whole millionths. A document's score is the mean
-weight of its n-grams. Counting and scoring are one pass over the texts each; only the cell counts,
-at most ``buckets`` rows, reach the driver.
+weight of its n-grams. Only the cell counts, at most ``buckets`` rows each, reach the driver.
 """
 
 from __future__ import annotations
@@ -54,32 +53,28 @@ def cells(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes >> np.uint32(32 - bits)).astype(np.int64), np.concatenate([words.doc, words.doc[pair]])
 
 
-def cell_counts(docs: DataFrame, trusted: str, bits: int = BUCKET_BITS) -> DataFrame:
-    """(cell, target, raw): n-grams of the trusted and of all documents; ``trusted`` names a boolean column."""
+def cell_counts(docs: DataFrame, name: str, bits: int = BUCKET_BITS) -> DataFrame:
+    """(cell, ``name``): how often the n-grams of all texts fall into each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(1 << bits, dtype=np.int64), np.zeros(1 << bits, dtype=np.int64)
+        count = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
-            texts, marks = texts_of(batch), np.array(batch.column(1).to_pylist(), dtype=bool)
+            texts = texts_of(batch)
             for a, b in blocks(texts):
-                words = Words(texts[a:b])
-                cell, doc = cells(words, bits)
-                raw += np.bincount(cell, minlength=1 << bits)
-                target += np.bincount(cell[marks[a:b][doc]], minlength=1 << bits)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(target[at]), pa.array(raw[at])],
-                                         ["cell", "target", "raw"])
+                count += np.bincount(cells(Words(texts[a:b]), bits)[0], minlength=1 << bits)
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["cell", "n"])
 
-    rows = docs.select(F.col("text"), F.coalesce(F.col(trusted), F.lit(False)).alias("t"))
-    return (rows.mapInArrow(run, "cell long, target long, raw long")
-            .groupBy("cell").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")))
+    return docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias(name))
 
 
-def cell_weights(counts: DataFrame, bits: int = BUCKET_BITS, smoothing: float = SMOOTHING) -> np.ndarray:
-    """log(target / raw) of every cell in whole millionths; collects one row per cell."""
+def cell_weights(target_counts: DataFrame, raw_counts: DataFrame, bits: int = BUCKET_BITS,
+                 smoothing: float = SMOOTHING) -> np.ndarray:
+    """log(target / raw) of every cell in whole millionths; collects one row per cell and kind."""
     target, raw = np.zeros(1 << bits), np.zeros(1 << bits)
-    for row in counts.collect():
-        target[row["cell"]], raw[row["cell"]] = row["target"], row["raw"]
+    for into, counts in ((target, target_counts), (raw, raw_counts)):
+        for cell, n in counts.collect():
+            into[cell] = n
     wide = smoothing * (1 << bits)
     ratio = np.log((target + smoothing) / (target.sum() + wide)) - np.log((raw + smoothing) / (raw.sum() + wide))
     return np.rint(ratio * MICRO).astype(np.int64)
@@ -122,7 +117,10 @@ def score(docs: DataFrame, trusted_ids: DataFrame, threshold_micro: int = THRESH
     columns are not read; an empty table gives no rows. Without any trusted document all weights
     measure the raw counts alone, so a target has to be given for the ratio to mean anything.
     """
-    marks = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        marks.withColumn("trusted", F.lit(True)), "doc_id", "left")
-    return judge(docs, cell_weights(cell_counts(rows, "trusted", bits), bits), threshold_micro, bits)
+    # Only trusted texts are joined. The same join at every size; over a large corpus Spark puts a
+    # bloom filter of the trusted ids before the shuffle, so few other texts are moved.
+    trusted = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
+    target = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        trusted.hint("merge"), "doc_id", "left_semi")
+    weights = cell_weights(cell_counts(target, "target", bits), cell_counts(docs, "raw", bits), bits)
+    return judge(docs, weights, threshold_micro, bits)
