@@ -24,7 +24,7 @@ from runlens.llm.arrow import map_batches, stored, texts_of
 from runlens.llm.words import blocks
 
 WINDOW = 2048
-GRAIN = 16
+GRAIN = 8
 DEPTH = 3
 RANK_BUCKETS = 1024
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -60,7 +60,8 @@ def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
         active[enter] = True
         while True:
             chosen = np.flatnonzero(active)
-            best = np.linalg.lstsq(a[:, chosen], b, rcond=None)[0]
+            part = a[:, chosen]
+            best = np.linalg.solve(part.T @ part + 1e-10 * np.eye(len(chosen)), part.T @ b)
             if len(best) == 0 or best.min() > tolerance * scale * 1e-3:
                 x[:] = 0
                 x[chosen] = best

@@ -263,7 +263,7 @@ def locate(keys: DataFrame, folder: str, parts: int) -> DataFrame:
 def shard_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """(shard, docs, tokens, base): footers of all shards; ``base`` is the tokens of earlier shards."""
     system, path = _open(folder)
-    names = [f.path for f in system.get_file_info(fs.FileSelector(path)) if f.base_name.startswith("tokens-")]
+    names = [f.path for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.base_name.startswith("tokens-")]
     rows = []
     for name in sorted(names):
         with system.open_input_file(name) as file:
