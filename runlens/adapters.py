@@ -20,9 +20,9 @@ VIEWS: dict[str, str] = {
     # run logs: pass = line status, task = part, source = brand
     "rollouts": """
 SELECT p_brand AS source, CASE WHEN l_linestatus = 'F' THEN 'p1' ELSE 'p2' END AS run_id,
-       l_partkey AS task_id, l_linenumber AS replicate,
-       CAST(ROW_NUMBER() OVER (PARTITION BY l_partkey, l_linestatus, l_linenumber
-         ORDER BY l_shipdate, l_orderkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag) AS BIGINT) AS attempt,
+       l_partkey AS task_id, 1 + (l_linenumber - 1) % 3 AS replicate,
+       CAST(ROW_NUMBER() OVER (PARTITION BY l_partkey, l_linestatus, 1 + (l_linenumber - 1) % 3
+         ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag) AS BIGINT) AS attempt,
        CASE WHEN l_tax < 0.005 THEN 'infra' WHEN l_tax > 0.075 THEN 'budget' ELSE 'none' END AS error_family,
        CASE WHEN l_tax < 0.005 THEN CASE WHEN l_quantity < 25.5 THEN 'policy_worker_error' ELSE 'usage_mismatch' END
             WHEN l_tax > 0.075 THEN 'budget_exhausted' END AS error_kind,
@@ -32,7 +32,7 @@ SELECT p_brand AS source, CASE WHEN l_linestatus = 'F' THEN 'p1' ELSE 'p2' END A
        CAST(l_quantity AS INT) AS steps, CAST(l_extendedprice AS DECIMAL(18,6)) AS usd,
        CAST(l_quantity * 2 AS DOUBLE) AS duration_seconds, l_discount < 0.015 AS partial,
        CAST(l_quantity AS INT) % 3 AS search_calls, l_shipdate AS started_at
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 3""",
+FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "tasks": """
 SELECT o_orderkey AS task_id, o_orderpriority AS source,
        CASE WHEN o_orderstatus = 'F' THEN 'validation' ELSE 'evaluation' END AS split,
@@ -113,8 +113,9 @@ FROM (SELECT cause_label, component, mechanism, fix_hint, severity, COUNT(*) OVE
 SELECT c.cluster_id, d.component FROM clusters c
 JOIN (SELECT DISTINCT lang AS cause_label, source AS component FROM documents WHERE n_chars % 3 = 0) d ON c.cause_label = d.cause_label""",
     "cluster_activity": """
-SELECT DISTINCT c.cluster_id, d.source AS component, 1 + d.n_chars % 6 AS step
-FROM clusters c JOIN documents d ON c.cause_label = d.lang AND (d.n_chars + c.members) % 4 = 0""",
+SELECT DISTINCT c.cluster_id, d.component, 1 + d.r % 6 AS step
+FROM clusters c JOIN (SELECT DISTINCT lang, source AS component, n_chars % 12 AS r FROM documents) d
+  ON c.cause_label = d.lang AND (d.r + c.members) % 4 = 0""",
     "cluster_verdicts": """
 SELECT DISTINCT c.cluster_id, 1 + d.doc_id % 6 AS step,
        CASE WHEN d.doc_id % 6 < 2 THEN 'positive' WHEN d.doc_id % 6 < 4 THEN 'negative' ELSE 'unresolved' END AS verdict

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_BUCKET_HEX = 3
-DIGEST_MEMBER_BOUND = 65_536
 
 
 def seeded_hash(*parts: Column | str | int) -> Column:
@@ -75,6 +74,18 @@ def hash_rank(
     )
 
 
+def value_cell(value: Column, parts: int) -> Column:
+    """Cell of a double, monotone in its value: every power of two is cut into ``parts`` equal cells.
+
+    The cells follow the magnitude, so outliers of any size leave the other values spread out.
+    """
+    size = F.abs(value)
+    power = F.greatest(F.lit(-1074.0), F.least(F.lit(1023.0), F.floor(F.log2(size)).cast("double")))
+    within = F.least(F.lit(float(parts)), F.floor((size / F.pow(F.lit(2.0), power) - 1) * parts).cast("double"))
+    cell = ((power + 1100) * parts + within).cast("long")
+    return F.when(value > 0, cell).when(value < 0, -cell).otherwise(F.lit(0).cast("long"))
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -86,9 +97,10 @@ def exact_quantiles(
     """Exact order statistics per group, one row per group with one column per pick.
 
     ``picks`` maps a column name to a function from the group size to a 0-based position.
-    Equal values are counted before anything else. Each level narrows the range of a pick to
-    one of ``buckets`` equal-width cells by a histogram; only the rows of the last cell are
-    sorted, so neither a hot group nor an outlier pulls a whole group into a task.
+    Equal values are counted before anything else. The first level counts cells that follow the
+    magnitude (``value_cell``), each further one cuts what is left of a pick into ``buckets``
+    equal-width cells; only the rows of the last cell are sorted. A hot group or outliers of
+    several scales therefore leave few rows to sort.
     """
     counted = (
         df.where(F.col(value).isNotNull())
@@ -112,13 +124,13 @@ def exact_quantiles(
             *keys, "_pick", "_b", (F.col("_pos") - F.col("_before")).alias("_pos"), "_lo", "_hi"
         )
 
-    groups = counted.groupBy(*keys).agg(F.sum("_c").alias("_size"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    groups = counted.groupBy(*keys).agg(F.sum("_c").alias("_size"))
     wanted = F.explode(F.array(*[
         F.struct(F.lit(n).alias("pick"), f(F.col("_size")).cast("long").alias("pos")) for n, f in picks.items()
     ]))
     positions = groups.select(*keys, wanted.alias("_p")).select(
         *keys, F.col("_p.pick").alias("_pick"), F.col("_p.pos").alias("_pos"))
-    rows = with_cell(counted.join(groups.drop("_size"), list(keys))).drop("_lo", "_hi")
+    rows = counted.withColumn("_b", value_cell(F.col("_v"), buckets))
     state = hits(histogram(rows, keys).join(positions, list(keys)))
     rows = rows.join(state, [*keys, "_b"]).drop("_b")
     for _ in range(levels - 1):
@@ -153,42 +165,26 @@ def member_digest(
     keys: Sequence[str],
     item: str,
     exact: Callable[[Column], Column],
-    bound: int = DIGEST_MEMBER_BOUND,
     text: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """One order-independent digest per group: columns ``keys``, ``members``, ``digest``.
 
-    Groups of at most ``bound`` members are hashed as ``exact(sorted members)``. SHA-256 over a
-    list is sequential, so a larger group gets a two-level digest instead: its members are
-    spread over hash buckets, every bucket is hashed, and the digest covers the sorted list of
-    (bucket, bucket digest). Every member counts in both forms. ``text`` turns a sorted member
-    into the text that is hashed.
+    SHA-256 over a list is sequential, so the digest has two levels at every size: members are
+    spread over 65,536 hash buckets, the sorted members of every bucket are hashed, and the digest
+    is ``exact`` of the sorted list of (bucket, bucket digest). Every member counts, no task sees
+    a whole group. ``text`` turns a member into the text that is hashed.
     """
-    def texts(items: Column) -> Column:
-        return F.transform(items, text) if text is not None else items
-
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"))
-    if keys:
-        rows = df.select(*keys, item).join(sizes, list(keys))
-    else:
-        rows = df.select(item).withColumn("members", sizes.scalar())
-    small = (
-        rows.where(F.col("members") <= bound)
-        .groupBy(*keys, "members")
-        .agg(F.array_sort(F.collect_list(item)).alias("_items"))
-        .select(*keys, "members", exact(texts(F.col("_items"))).alias("digest"))
-    )
-    large = (
-        rows.where(F.col("members") > bound)
-        .withColumn("_b", F.substring(F.sha2(F.col(item).cast("string"), 256), 1, 4))
-        .groupBy(*keys, "members", "_b")
-        .agg(F.array_sort(F.collect_list(item)).alias("_items"))
-        .withColumn("_d", F.sha2(F.concat_ws("\n", texts(F.col("_items"))), 256))
-        .groupBy(*keys, "members")
-        .agg(F.array_sort(F.collect_list(F.concat("_b", "_d"))).alias("_ds"))
+    as_text = text or (lambda x: x.cast("string"))
+    return (
+        df.select(*keys, F.col(item).alias("_item"))
+        .withColumn("_b", F.substring(F.sha2(as_text(F.col("_item")), 256), 1, 4))
+        .groupBy(*keys, "_b")
+        .agg(F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list("_item")).alias("_items"))
+        .withColumn("_d", F.sha2(F.concat_ws("\n", F.transform("_items", as_text)), 256))
+        .groupBy(*keys)
+        .agg(F.sum("_n").alias("members"), F.array_sort(F.collect_list(F.concat("_b", "_d"))).alias("_ds"))
         .select(*keys, "members", exact(F.col("_ds")).alias("digest"))
     )
-    return small.unionByName(large)
 
 
 def prior_value(

@@ -134,7 +134,7 @@ def attribute(
     )
     return (
         rows.withColumn("rule", rule)
-        .join(F.broadcast(rules), "rule")
+        .join(rules, "rule")
         .select("pair_id", "ordinal", "step", "divergence", "rule", "candidate_components", "rule_note")
     )
 
@@ -157,4 +157,4 @@ def attribute_system(runs: DataFrame, rules: DataFrame) -> DataFrame:
         ],
         "R1",
     )
-    return runs.withColumn("rule", rule).join(F.broadcast(rules), "rule")
+    return runs.withColumn("rule", rule).join(rules, "rule")

@@ -56,8 +56,9 @@ def failure_clusters(diagnoses: DataFrame, keys: Sequence[str] = ()) -> DataFram
     )
 
 
-def cluster_ids(diagnoses: DataFrame, keys: Sequence[str] = (), bound: int = scale.DIGEST_MEMBER_BOUND) -> DataFrame:
-    """Cluster id: 'c' + first 8 hex digits of SHA-256 over canonical JSON of cause, component, members."""
+def cluster_ids(diagnoses: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Cluster id: 'c' + first 8 hex digits of SHA-256 over canonical JSON of cause, component and
+    the two-level digest of the members (``scale.member_digest``)."""
     def exact(items: Column) -> Column:
         doc = F.concat(
             F.lit('{"cause":'), tx.json_string(c("cause_label")), F.lit(',"component":'), tx.json_string(c("component")),
@@ -65,51 +66,48 @@ def cluster_ids(diagnoses: DataFrame, keys: Sequence[str] = (), bound: int = sca
         )
         return F.concat(F.lit("c"), F.substring(F.sha2(doc, 256), 1, 8))
 
-    return scale.member_digest(diagnoses, [*keys, *KEY], "failure_key", exact, bound).select(
+    return scale.member_digest(diagnoses, [*keys, *KEY], "failure_key", exact).select(
         *keys, *KEY, "members", c("digest").alias("cluster_id")
     )
 
 
-def membership_hash(diagnoses: DataFrame, keys: Sequence[str] = (), bound: int = scale.DIGEST_MEMBER_BOUND) -> DataFrame:
-    """One hash over all clusters: canonical JSON list of {id, members}, by (cause, component).
+def membership_hash(diagnoses: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One hash over all clusters: two-level digest of their entries {id, members}, by (cause, component).
 
-    Up to ``bound`` failures in all, the hashed text is that list. Beyond it every entry goes in
-    as its own SHA-256, and clusters beyond the bound as the digest of their members, so no row
-    ever holds all failures.
+    The members of a cluster enter as the SHA-256 of their own two-level digest, so no row ever
+    holds all failures.
     """
-    ids = cluster_ids(diagnoses, keys, bound).drop("members")
-    listed = scale.member_digest(diagnoses, [*keys, *KEY], "failure_key", tx.json_list, bound)
-    entry = F.concat(F.lit('{"id":'), tx.json_string(c("cluster_id")), F.lit(',"members":'), c("digest"), F.lit("}"))
-    rows = listed.join(ids, [*keys, *KEY]).select(*keys, *KEY, "members", entry.alias("_entry"))
-    total = diagnoses.agg(F.count(F.lit(1))).scalar()
-    rows = rows.withColumn("_entry", F.when(total <= bound, c("_entry")).otherwise(F.sha2("_entry", 256)))
-    items = rows.select(*keys, F.struct(*KEY, c("_entry").alias("text")).alias("_item"))
-    whole = lambda texts: F.sha2(F.concat(F.lit("["), F.concat_ws(",", texts), F.lit("]")), 256)
-    return scale.member_digest(items, keys, "_item", whole, bound, lambda x: x["text"]).select(
+    ids = cluster_ids(diagnoses, keys).drop("members")
+    joined = lambda parts: F.sha2(F.concat_ws("\n", parts), 256)
+    listed = scale.member_digest(diagnoses, [*keys, *KEY], "failure_key", joined)
+    entry = F.concat(F.lit('{"id":'), tx.json_string(c("cluster_id")), F.lit(',"members":"'), c("digest"), F.lit('"}'))
+    items = listed.join(ids, [*keys, *KEY]).select(*keys, F.struct(*KEY, entry.alias("text")).alias("_item"))
+    return scale.member_digest(items, keys, "_item", joined, lambda x: x["text"]).select(
         *keys, c("digest").alias("membership_sha256"), c("members").alias("clusters")
     )
 
 
-def cluster_table(clusters: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
-    """Per source: clusters, sizes (descending), singleton and deterministic fractions, clusters with two.
+def cluster_sizes(clusters: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
+    """(keys, size, n): how many clusters have each size."""
+    return clusters.groupBy(*keys, c("members").alias("size")).agg(F.count(F.lit(1)).alias("n"))
 
-    Sizes are listed as ``size x count`` pairs expanded from a histogram, so the list is as long
-    as the number of clusters and no longer.
-    """
-    n = F.sum("_n")
-    sizes = clusters.withColumn("_det", c("failure_types").contains("deterministic=")).groupBy(*keys, "members").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if("_det").alias("_d")
-    )
-    listed = F.flatten(
-        F.transform(F.sort_array(F.collect_list(F.struct("members", "_n")), asc=False),
-                    lambda x: F.array_repeat(x["members"].cast("string"), x["_n"].cast("int")))
-    )
-    return sizes.groupBy(*keys).agg(
+
+def printed_sizes(sizes: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
+    """The list of all sizes, descending, as a report prints it: as long as the number of clusters,
+    so for reports of few clusters only."""
+    listed = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False),
+                                   lambda x: F.array_repeat(x["size"].cast("string"), x["n"].cast("int"))))
+    return sizes.groupBy(*keys).agg(F.concat(F.lit("["), F.concat_ws(", ", listed), F.lit("]")).alias("sizes"))
+
+
+def cluster_table(clusters: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
+    """Per source: clusters, singleton and deterministic fractions, clusters with two members."""
+    n = F.count(F.lit(1))
+    return clusters.groupBy(*keys).agg(
         n.alias("n_clusters"),
-        F.concat(F.lit("["), F.concat_ws(", ", listed), F.lit("]")).alias("sizes"),
-        (F.sum(F.when(c("members") == 1, c("_n")).otherwise(0)) / n).alias("singleton_fraction"),
-        (F.sum("_d") / n).alias("deterministic_fraction"),
-        F.sum(F.when(c("members") >= 2, c("_n")).otherwise(0)).alias("clusters_with_two"),
+        (F.count_if(c("members") == 1) / n).alias("singleton_fraction"),
+        (F.count_if(c("failure_types").contains("deterministic=")) / n).alias("deterministic_fraction"),
+        F.count_if(c("members") >= 2).alias("clusters_with_two"),
     )
 
 

@@ -16,11 +16,6 @@ from runlens import fixed
 from runlens.functions import scale
 
 c = F.col
-COMPONENT_BOUND = 4096
-NO_DECOY = "no eligible decoy component outside the candidate set"
-NOT_ACTIVE = "no decoy component active outside the sufficient set"
-NOT_COHERENT = "no decoy component active at a validated-negative step or outside the sufficient set"
-NO_DONOR = "no other cluster with a different value"
 
 
 def _eligible(components: DataFrame) -> DataFrame:
@@ -35,32 +30,21 @@ def exclusion_sets(clusters: DataFrame, candidates: DataFrame, candidate_set: bo
     return own.unionByName(candidates.select("cluster_id", "component")).distinct()
 
 
-def decoy_pool(clusters: DataFrame, components: DataFrame, candidates: DataFrame, candidate_set: bool = True) -> DataFrame:
-    """(cluster_id, component, tier) of every allowed decoy, ``near`` in the true layer, else ``far``.
+def decoy_pool(
+    clusters: DataFrame, components: DataFrame, candidates: DataFrame, activity: DataFrame, candidate_set: bool = True
+) -> DataFrame:
+    """(cluster_id, component, tier) of every allowed decoy that acts, ``near`` in the true layer, else ``far``.
 
-    The component dimension enters as one array (its size is checked), filtered per cluster.
+    Starts from the activity, so nothing pairs all clusters with all components; how many decoys
+    a cluster may have, active or not, is a matter of counts (``pool_sizes``).
     """
-    eligible = (
-        _eligible(components)
-        .agg(F.array_sort(F.collect_list(F.struct("component", "layer"))).alias("a"))
-        .select(F.when(F.size("a") <= COMPONENT_BOUND, c("a")).otherwise(
-            F.raise_error(F.lit(f"more than {COMPONENT_BOUND} components")).cast("array<struct<component:string,layer:string>>")))
-        .scalar()
-    )
-    banned = exclusion_sets(clusters, candidates, candidate_set).groupBy("cluster_id").agg(
-        F.collect_set("component").alias("_banned")
-    )
-    layers = components.select("component", c("layer").alias("_layer"))
-    rows = clusters.select("cluster_id", "component").join(layers, "component", "left").join(banned, "cluster_id")
-    rows = rows.withColumn("_all", eligible)
-    allowed = F.filter("_all", lambda x: ~F.array_contains(c("_banned"), x["component"]))
-    return rows.select("cluster_id", "_layer", F.explode(allowed).alias("_d")).select(
-        "cluster_id", c("_d.component").alias("component"),
-        F.when(c("_d.layer") == c("_layer"), "near").otherwise("far").alias("tier"),
-    )
+    banned = exclusion_sets(clusters, candidates, candidate_set)
+    rows = _active_decoys(clusters, components, banned, activity)
+    return rows.select(
+        "cluster_id", "component", F.when(c("same_layer"), "near").otherwise("far").alias("tier")).distinct()
 
 
-def _pool_sizes(clusters: DataFrame, components: DataFrame, banned: DataFrame) -> DataFrame:
+def pool_sizes(clusters: DataFrame, components: DataFrame, banned: DataFrame) -> DataFrame:
     """(cluster_id, pool): allowed decoys per cluster, from counts alone."""
     eligible = _eligible(components).select("component")
     total = eligible.agg(F.count(F.lit(1))).scalar()
@@ -143,14 +127,14 @@ def where_picks(
     out = clusters.select("cluster_id", c("component").alias("true_component")).join(picked, "cluster_id", "left")
     for wanted in sorted({s for _, s in variants.values()}):
         banned = exclusion_sets(clusters, candidates, wanted)
-        out = out.join(_pool_sizes(clusters, components, banned).withColumnRenamed("pool", f"_pool_{wanted}"), "cluster_id")
+        out = out.join(pool_sizes(clusters, components, banned).withColumnRenamed("pool", f"_pool_{wanted}"), "cluster_id")
 
     def result(name: str, tier: str, candidate_set: bool) -> Column:
         p = c(f"_{name}")
         return F.struct(
             F.lit(f"corrupt_where_{tier}").alias("arm"), p["component"].alias("decoy_component"), p["step"].alias("decoy_step"),
             p["same_layer"].alias("same_layer"), (p["rank"] > 0).alias("distance_fallback"),
-            F.when(c(f"_pool_{candidate_set}") <= 0, NO_DECOY).when(p.isNull(), NOT_ACTIVE).alias("impossible"),
+            F.when(c(f"_pool_{candidate_set}") <= 0, fixed.NO_DECOY).when(p.isNull(), fixed.NOT_ACTIVE).alias("impossible"),
         ).alias(name)
 
     return out.select("cluster_id", "true_component", *[result(n, x, s) for n, (x, s) in variants.items()])
@@ -184,14 +168,14 @@ def corrupt_coherent(
     picked = _pick(rows.withColumn("_rank", rank).where(c("_rank").isNotNull()), "coherent_wrong", seed, ["same_layer"])
     out = (
         clusters.select("cluster_id", c("component").alias("true_component"))
-        .join(_pool_sizes(clusters, components, banned), "cluster_id")
+        .join(pool_sizes(clusters, components, banned), "cluster_id")
         .join(picked, "cluster_id", "left")
     )
     return out.select(
         "cluster_id", F.lit("coherent_wrong").alias("arm"), "true_component", c("component").alias("decoy_component"),
         c("step").alias("decoy_step"), "same_layer",
         F.when(c("_rank") == 0, "validated_negative").when(c("_rank") == 1, "not_sufficient").alias("step_basis"),
-        F.when(c("pool") <= 0, NO_DECOY).when(c("component").isNull(), NOT_COHERENT).alias("impossible"),
+        F.when(c("pool") <= 0, fixed.NO_DECOY).when(c("component").isNull(), fixed.NOT_COHERENT).alias("impossible"),
     )
 
 
@@ -218,7 +202,7 @@ def donors(clusters: DataFrame, value: Column, arm: str, seed: int) -> DataFrame
     takers = ranked.join(step, "_v", "left").withColumn("_dr", (c("_r") - 1) % c("_next_size") + 1)
     return takers.join(origin, ["_next", "_dr"], "left").select(
         "cluster_id", F.lit(arm).alias("arm"), "origin_cluster",
-        F.when(c("origin_cluster").isNull(), NO_DONOR).alias("impossible"),
+        F.when(c("origin_cluster").isNull(), fixed.NO_DONOR).alias("impossible"),
     )
 
 

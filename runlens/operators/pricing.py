@@ -1,6 +1,6 @@
 """Time-dependent token prices and per-query search prices.
 
-The rate tables are fixed values of a few rows, so joining them by broadcast is bounded.
+The rate tables are a few rows, which Spark broadcasts by its own size check.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def price_usage(usage: DataFrame, rates: DataFrame, version: str = fixed.PRICING
 
     A model without rates is an error, never a NULL price.
     """
-    priced = usage.withColumn("tier", pricing_tier(c("ts"))).join(F.broadcast(rates), ["model", "tier"], "left")
+    priced = usage.withColumn("tier", pricing_tier(c("ts"))).join(rates, ["model", "tier"], "left")
     miss = c("prompt_tokens") - c("cache_hit_prompt_tokens")
     usd = (
         c("cache_hit_prompt_tokens") * c("input_cache_hit")
@@ -56,7 +56,7 @@ def search_rates(spark: SparkSession, rates=None) -> DataFrame:
 
 def price_searches(searches: DataFrame, rates: DataFrame) -> DataFrame:
     """Adds ``usd`` = queries x provider rate, with the provider's own version."""
-    joined = searches.join(F.broadcast(rates), "provider", "left")
+    joined = searches.join(rates, "provider", "left")
     unknown = F.raise_error(F.concat(F.lit("no search pricing for provider "), c("provider")))
     negative = F.raise_error(F.lit("queries must be non-negative"))
     return joined.withColumn(

@@ -15,7 +15,10 @@ from runlens.functions.numbers import exact_round, fixed_digits
 
 c = F.col
 PAIR = ["source", "run_a", "run_b"]
-DRAW_BOUND = 10_000
+DRAWS_PER_ROW = 65_536
+#: Above this many pairs the sign test is within 1e-9 of its expansion; below it is summed exactly.
+EXACT_PAIRS = 1 << 20
+TAIL_TERMS = 8192
 
 
 def pair_passes(task_passes: DataFrame) -> DataFrame:
@@ -63,43 +66,44 @@ def mixed(numbers: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(15))
 
 
-def bootstrap_delta(
-    cells: DataFrame, n: int = fixed.BOOTSTRAP_RESAMPLES, seed: int = 0, draw_bound: int = DRAW_BOUND
-) -> DataFrame:
+def bootstrap_delta(cells: DataFrame, n: int = fixed.BOOTSTRAP_RESAMPLES, seed: int = 0,
+                    draws_per_row: int = DRAWS_PER_ROW) -> DataFrame:
     """95% bootstrap interval, over tasks, of |mean(a) - mean(b)| in points, per pair of passes.
 
-    A resampled task only matters by its outcome cell, so no task rows are read. Up to
-    ``draw_bound`` tasks every draw is a seeded hash taken modulo the task count; beyond it the
-    cell counts of a resample are drawn at once from their (exact) multinomial distribution. The
-    resamples are spread over the cluster; the draws of one are a short numpy vector, which measured
-    three times faster than draws as rows.
+    A resampled task only matters by its outcome cell, so no task rows are read. Every draw is a
+    seeded hash of its slot, taken modulo the task count, at every size: the slots of a resample
+    are cut into runs, each run is a short numpy vector, and the runs are summed per resample with
+    partial sums on the map side.
     """
     sized = cells.withColumn("_m", _tasks())
-    small, large = sized.where(c("_m") <= draw_bound), sized.where(c("_m") > draw_bound)
     low, high = int(0.025 * n), min(n - 1, int(0.975 * n))
 
     tag = F.concat_ws(":", F.lit(str(seed)), *PAIR, c("_rep").cast("string"))
-    resamples = small.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    resamples = sized.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    runs = F.sequence(F.lit(0).cast("long"), F.floor((c("_m") - 1) / draws_per_row))
+    resamples = resamples.where(c("_m") > 0).withColumn("_run", F.explode(runs))
     # a fixed number of tasks: these rows are few but expensive, so they must not be coalesced by size
     tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    resamples = resamples.repartition(tasks, *PAIR, "_rep")
+    resamples = resamples.repartition(tasks, *PAIR, "_rep", "_run")
     resamples = resamples.withColumn("_base", F.conv(F.substring(F.sha2(tag, 256), 1, 8), 16, 10).cast("bigint"))
+
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             moves = np.empty(len(pdf), dtype=np.int64)
-            for i, (base, m, up, down) in enumerate(zip(pdf["_base"], pdf["_m"], pdf["n10"], pdf["n01"])):
-                pick = mixed(base + np.arange(m, dtype=np.uint64) * np.uint64(2654435761)) % m
-                moves[i] = abs(2 * np.count_nonzero(pick < up) - np.count_nonzero(pick < up + down))
+            for i, (base, m, run, up, down) in enumerate(zip(pdf["_base"], pdf["_m"], pdf["_run"], pdf["n10"], pdf["n01"])):
+                slots = np.arange(run * draws_per_row, min(m, (run + 1) * draws_per_row), dtype=np.uint64)
+                pick = mixed(base + slots * np.uint64(2654435761)) % m
+                moves[i] = 2 * np.count_nonzero(pick < up) - np.count_nonzero(pick < up + down)
             out = pdf[[*PAIR, "_m", "_rep"]].copy()
             out["_d"] = moves
             yield out
 
-    deltas = resamples.select(*PAIR, "_m", "_rep", "_base", "n10", "n01").mapInPandas(
+    deltas = resamples.select(*PAIR, "_m", "_rep", "_run", "_base", "n10", "n01").mapInPandas(
         draw, "source string, run_a string, run_b string, _m long, _rep int, _d long"
-    )
+    ).groupBy(*PAIR, "_m", "_rep").agg(F.abs(F.sum("_d")).alias("_d"))
     w = Window.partitionBy(*PAIR).orderBy("_d", "_rep")
     point = c("_d") / c("_m") * 100
-    drawn = (
+    return (
         deltas.withColumn("_rn", F.row_number().over(w) - 1)
         .where(c("_rn").isin(low, high))
         .groupBy(*PAIR)
@@ -109,25 +113,6 @@ def bootstrap_delta(
         )
     )
 
-    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ends = []
-            for row in pdf.itertuples(index=False):
-                rng = np.random.default_rng([seed, *f"{row.source}|{row.run_a}|{row.run_b}".encode()])
-                m = row.n10 + row.n01 + row.rest
-                counts = rng.multinomial(m, [row.n10 / m, row.n01 / m, row.rest / m], size=n)
-                d = np.sort(np.abs(counts[:, 0] - counts[:, 1]) / m * 100)
-                ends.append((float(d[low]), float(d[high])))
-            out = pdf[PAIR].copy()
-            out["ci_low"] = [e[0] for e in ends]
-            out["ci_high"] = [e[1] for e in ends]
-            yield out
-
-    sampled = large.select(*PAIR, "n10", "n01", (c("n11") + c("n00")).alias("rest")).mapInPandas(
-        resample, "source string, run_a string, run_b string, ci_low double, ci_high double"
-    )
-    return drawn.unionByName(sampled)
-
 
 def aa_band(task_passes: DataFrame, n: int = fixed.BOOTSTRAP_RESAMPLES, seed: int = 0) -> DataFrame:
     """Agreement, delta in points and its interval for every pair of passes of a source.
@@ -142,17 +127,21 @@ def aa_band(task_passes: DataFrame, n: int = fixed.BOOTSTRAP_RESAMPLES, seed: in
         *PAIR, m.alias("tasks"), ((c("n11") + c("n00")) / m).alias("agreement"),
         (F.abs(c("n10") - c("n01")) / m * 100).alias("delta_points"),
     ).join(bootstrap_delta(cells, n, seed), PAIR)
-    # the few pairs of a source are gathered next to their summary, so nothing runs twice
-    row = F.struct("run_a", "run_b", "tasks", "agreement", "delta_points", "ci_low", "ci_high")
-    summary = F.struct(
-        F.lit(None).cast("string").alias("run_a"), F.lit(None).cast("string").alias("run_b"),
-        F.min_by("tasks", F.struct("run_a", "run_b")).alias("tasks"),
-        F.avg(exact_round(c("agreement"), 4)).alias("agreement"), F.avg("delta_points").alias("delta_points"),
-        F.min(exact_round(c("ci_low"), 2)).alias("ci_low"), F.max(exact_round(c("ci_high"), 2)).alias("ci_high"),
+    # every pair counts once for itself and once for its source, so nothing runs twice
+    none = F.lit(None).cast("string")
+    rows = pairs.withColumnsRenamed({"run_a": "_a", "run_b": "_b"})
+    rows = rows.withColumn("_r", F.explode(F.array(
+        F.struct(c("_a").alias("run_a"), c("_b").alias("run_b"), F.lit(False).alias("all")),
+        F.struct(none.alias("run_a"), none.alias("run_b"), F.lit(True).alias("all")))))
+    shown = lambda name, digits: F.when(c("_r.all"), exact_round(c(name), digits)).otherwise(c(name))
+    return (
+        rows.groupBy("source", "_r")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min_by("tasks", F.struct("_a", "_b")).alias("tasks"),
+             F.avg(shown("agreement", 4)).alias("agreement"), F.avg("delta_points").alias("delta_points"),
+             F.min(shown("ci_low", 2)).alias("ci_low"), F.max(shown("ci_high", 2)).alias("ci_high"))
+        .where(~c("_r.all") | (c("_n") > 1))
+        .select("source", "_r.run_a", "_r.run_b", "tasks", "agreement", "delta_points", "ci_low", "ci_high")
     )
-    both = pairs.groupBy("source").agg(F.collect_list(row).alias("_pairs"), summary.alias("_sum"))
-    out = F.when(F.size("_pairs") > 1, F.array_append("_pairs", c("_sum"))).otherwise(c("_pairs"))
-    return both.select("source", F.explode(out).alias("_r")).select("source", "_r.*")
 
 
 def seed_noise(pass_rates: DataFrame) -> DataFrame:
@@ -189,15 +178,46 @@ def nearest_rank_pct(df: DataFrame, keys: Sequence[str], value: str, q: float, n
     return scale.exact_quantiles(df, keys, value, {name: scale.nearest_rank(q)})
 
 
+def _log_factorial_rest(n: Column) -> Column:
+    """What Stirling's main terms leave of log n!, for n >= 16."""
+    return 1 / (12 * n) - 1 / (360 * n * n * n) + 1 / (1260 * n * n * n * n * n)
+
+
+def _log_lead(m: Column, k: Column) -> Column:
+    """log of C(m, k) / 2^m for k <= m / 2, without large terms that cancel."""
+    few = F.when(k > 0, F.sequence(F.lit(1), F.least(k, F.lit(16.0)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    direct = F.aggregate(few, -m * float(np.log(2.0)), lambda acc, i: acc + F.log((m - i + 1) / i))
+    lean = (m - 2 * k) / m
+    away = m / 2 * ((1 - lean) * F.log1p(-lean) + (1 + lean) * F.log1p(lean))
+    rest = _log_factorial_rest(m) - _log_factorial_rest(k) - _log_factorial_rest(m - k)
+    return F.when(k <= 16, direct).otherwise(rest - away - 0.5 * F.log(2 * float(np.pi) * k * (m - k) / m))
+
+
+def _normal_tail(x: Column) -> Column:
+    """P(Z <= x) for x <= 0: one half less the odd-factorial series, which has positive terms only."""
+    z = F.least(F.lit(8.0), -x)
+    start = F.struct(z.alias("term"), z.alias("total"))
+
+    def add(acc: Column, i: Column) -> Column:
+        term = acc["term"] * z * z / (2 * i + 1)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(160)), start, add, lambda acc: acc["total"])
+    return F.greatest(F.lit(0.0), 0.5 - F.exp(-z * z / 2) / float(np.sqrt(2 * np.pi)) * series)
+
+
 def sign_test_p(positive: Column, negative: Column) -> Column:
-    """Two-sided exact binomial sign test on the non-tied pairs; NULL when there are none.
+    """Two-sided binomial sign test on the non-tied pairs; NULL when there are none.
 
-    tail = C(m,k)/2^m * (1 + k/(m-k+1) + ...), summed downwards from the largest term; the
-    leading factor is computed in logarithms, so large m does not underflow.
+    tail = C(m,k)/2^m * (1 + k/(m-k+1) + ...), summed downwards from the largest term until the
+    terms vanish, which takes at most ``TAIL_TERMS`` of them up to ``EXACT_PAIRS`` pairs. Beyond,
+    the normal tail with continuity and its correction of order 1/m is within 1e-9. The work per
+    row does not depend on the counts.
     """
     m, k = (positive + negative).cast("double"), F.least(positive, negative).cast("double")
-    ks = F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
-    log_lead = F.aggregate(ks, -m * float(np.log(2.0)), lambda acc, i: acc + F.log((m - i + 1) / i))
+    near = F.least(m, F.lit(float(EXACT_PAIRS)))
+    few = F.least(k, F.lit(float(TAIL_TERMS))).cast("int")
+    ks = F.when((few > 0) & (m <= EXACT_PAIRS), F.sequence(F.lit(1), few)).otherwise(F.array().cast("array<int>"))
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
     def down(acc, i):
@@ -206,7 +226,12 @@ def sign_test_p(positive: Column, negative: Column) -> Column:
         return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
     series = F.aggregate(ks, start, down, lambda acc: acc["total"])
-    return F.when(m > 0, F.least(F.lit(1.0), F.lit(2.0) * F.exp(log_lead) * series))
+    summed = F.exp(_log_lead(near, k)) * series
+    x = (2 * k + 1 - m) / F.sqrt(m)
+    density = F.exp(-x * x / 2) / float(np.sqrt(2 * np.pi))
+    expanded = F.when(x >= 0, F.lit(0.5)).otherwise(_normal_tail(F.least(x, F.lit(0.0))) + density * (x * x * x - x) / (12 * m))
+    tail = F.when(m <= EXACT_PAIRS, summed).otherwise(F.greatest(F.lit(0.0), expanded))
+    return F.when(m > 0, F.least(F.lit(1.0), F.lit(2.0) * tail))
 
 
 def sign_test(effects: DataFrame, keys: Sequence[str], value: str = "diff") -> DataFrame:

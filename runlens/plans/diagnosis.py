@@ -24,17 +24,24 @@ def _(t):
     return clu.failure_clusters(t.view("diagnoses"))
 
 
-IDS = """SELECT cause_label, component, COUNT(*) AS members, '[' || STRING_AGG('"' || failure_key || '"', ',' ORDER BY failure_key) || ']' AS list FROM diagnoses GROUP BY cause_label, component"""
+def digest_sql(keys, item, order, table):
+    """Two-level member digest: per group the number of members and the sorted bucket digests ``d``."""
+    return f"""SELECT {keys}SUM(n) AS members, LIST(b || sha256(body) ORDER BY b || sha256(body)) AS parts FROM
+ (SELECT {keys}SUBSTR(sha256({item}), 1, 4) AS b, COUNT(*) AS n, STRING_AGG({item}, CHR(10) ORDER BY {order}) AS body FROM {table} GROUP BY {keys}SUBSTR(sha256({item}), 1, 4)) {f'GROUP BY {keys[:-2]}' if keys else ''}"""
+
+
+IDS = f"""SELECT *, '["' || ARRAY_TO_STRING(parts, '","') || '"]' AS list, sha256(ARRAY_TO_STRING(parts, CHR(10))) AS digest FROM ({digest_sql('cause_label, component, ', 'failure_key', 'failure_key', 'diagnoses')})"""
 WITH_ID = f"""SELECT *, 'c' || SUBSTR(sha256('{{"cause":"' || cause_label || '","component":"' || component || '","members":' || list || '}}'), 1, 8) AS cluster_id FROM ({IDS})"""
 
 
-@query("cluster_id", f"SELECT cause_label, component, members, cluster_id FROM ({WITH_ID})")
+@query("cluster_id", f"SELECT cause_label, component, CAST(members AS BIGINT) AS members, cluster_id FROM ({WITH_ID})")
 def _(t):
     return clu.cluster_ids(t.view("diagnoses"))
 
 
 @query("membership_hash", f"""
-SELECT sha256('[' || STRING_AGG('{{"id":"' || cluster_id || '","members":' || list || '}}', ',' ORDER BY cause_label, component) || ']') AS membership_sha256, COUNT(*) AS clusters FROM ({WITH_ID})""")
+WITH e AS (SELECT cause_label, component, '{{"id":"' || cluster_id || '","members":"' || digest || '"}}' AS entry FROM ({WITH_ID}))
+SELECT sha256(ARRAY_TO_STRING(parts, CHR(10))) AS membership_sha256, CAST(members AS BIGINT) AS clusters FROM ({digest_sql('', 'entry', 'cause_label, component, entry', 'e')})""")
 def _(t):
     return clu.membership_hash(t.view("diagnoses"))
 
@@ -45,11 +52,18 @@ SELECT source, COUNT(*) AS n_clusters, '[' || STRING_AGG(CAST(members AS STRING)
  COUNT(*) FILTER (WHERE members >= 2) AS clusters_with_two FROM
  (SELECT source, cause_label, component, COUNT(*) AS members, COUNT(*) FILTER (WHERE failure_type = 'deterministic') AS det FROM diagnoses GROUP BY source, cause_label, component) GROUP BY source""")
 def _(t):
-    rows = clu.cluster_table(clu.failure_clusters(t.view("diagnoses"), ["source"]))
+    clusters = clu.failure_clusters(t.view("diagnoses"), ["source"])
+    rows = clu.cluster_table(clusters).join(clu.printed_sizes(clu.cluster_sizes(clusters)), "source")
     return rows.withColumn("singleton_fraction", F.round("singleton_fraction", 6)).withColumn(
         "deterministic_fraction", F.round("deterministic_fraction", 6))
 
 
+@query("cluster_sizes", """
+SELECT source, members AS size, COUNT(*) AS n FROM (SELECT source, cause_label, component, COUNT(*) AS members FROM diagnoses GROUP BY source, cause_label, component) GROUP BY source, members""")
+def _(t):
+    return clu.cluster_sizes(clu.failure_clusters(t.view("diagnoses"), ["source"]))
+
+
 FEAS = """SELECT c.cause_label, c.component, a.run_id, a.arm, CASE WHEN a.impossible IS NULL THEN 'feasible' ELSE 'impossible: ' || a.impossible END AS feasibility
  FROM arm_assignments a JOIN clusters c ON a.cluster_id = c.cluster_id"""
 
@@ -113,9 +127,17 @@ pool AS (SELECT c.cluster_id, e.component, e.layer = t.layer AS same_layer FROM
 loose AS (SELECT c.cluster_id, e.component, e.layer = t.layer AS same_layer FROM clusters c JOIN components t ON c.component = t.component CROSS JOIN eligible e WHERE e.component <> c.component)"""
 
 
-@query("decoy_pool", f"WITH {POOL} SELECT cluster_id, component, CASE WHEN same_layer THEN 'near' ELSE 'far' END AS tier FROM pool")
+ACTIVE = "(SELECT * FROM pool p WHERE EXISTS (SELECT 1 FROM cluster_activity a WHERE a.cluster_id = p.cluster_id AND a.component = p.component))"
+
+
+@query("decoy_pool", f"WITH {POOL} SELECT cluster_id, component, CASE WHEN same_layer THEN 'near' ELSE 'far' END AS tier FROM {ACTIVE}")
+def _(t):
+    return cor.decoy_pool(t.view("clusters"), t.view("components"), t.view("cluster_candidates"), t.view("cluster_activity"))
+
+
+@query("pool_sizes", f"WITH {POOL} SELECT c.cluster_id, COUNT(p.component) AS pool FROM clusters c LEFT JOIN pool p ON c.cluster_id = p.cluster_id GROUP BY c.cluster_id")
 def _(t):
-    return cor.decoy_pool(t.view("clusters"), t.view("components"), t.view("cluster_candidates"))
+    return cor.pool_sizes(t.view("clusters"), t.view("components"), cor.exclusion_sets(t.view("clusters"), t.view("cluster_candidates")))
 
 
 def where_sql(tier, name, pool="pool"):
@@ -198,10 +220,10 @@ def _(t):
 
 
 @query("decoy_distance", f"""
-WITH {POOL} SELECT p.cluster_id, c.component AS true_component, p.component AS decoy_component, a.layer = b.layer AS same_layer FROM pool p JOIN clusters c ON p.cluster_id = c.cluster_id
+WITH {POOL} SELECT p.cluster_id, c.component AS true_component, p.component AS decoy_component, a.layer = b.layer AS same_layer FROM {ACTIVE} p JOIN clusters c ON p.cluster_id = c.cluster_id
 JOIN components a ON c.component = a.component JOIN components b ON p.component = b.component""")
 def _(t):
-    pool = cor.decoy_pool(t.view("clusters"), t.view("components"), t.view("cluster_candidates"))
+    pool = cor.decoy_pool(t.view("clusters"), t.view("components"), t.view("cluster_candidates"), t.view("cluster_activity"))
     rows = pool.withColumnRenamed("component", "decoy_component").join(
         t.view("clusters").select("cluster_id", c("component").alias("true_component")), "cluster_id")
     return cor.decoy_distance(rows, t.view("components")).select("cluster_id", "true_component", "decoy_component", "same_layer")

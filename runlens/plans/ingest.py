@@ -70,7 +70,9 @@ FILES = "SELECT source AS tree, lang || '/' || CAST(doc_id % 3 AS STRING) || '/'
 
 
 @query("table_hash", f"""
-SELECT tree, COUNT(*) AS members, sha256(STRING_AGG(path || CHR(0) || STRLEN(text) || CHR(0) || sha256(text), '' ORDER BY STRING_SPLIT(path, '/'))) AS digest FROM ({FILES}) GROUP BY tree""")
+WITH f AS (SELECT tree, STRING_SPLIT(path, '/') AS k, path || CHR(0) || STRLEN(text) || CHR(0) || sha256(text) AS item FROM ({FILES})),
+b AS (SELECT tree, SUBSTR(sha256(item), 1, 4) AS b, COUNT(*) AS n, sha256(STRING_AGG(item, CHR(10) ORDER BY k, item)) AS d FROM f GROUP BY tree, SUBSTR(sha256(item), 1, 4))
+SELECT tree, CAST(SUM(n) AS BIGINT) AS members, sha256(STRING_AGG(b || d, '' ORDER BY b || d)) AS digest FROM b GROUP BY tree""")
 def _(t):
     files = t.sql(FILES).select("tree", "path", c("text").cast("binary").alias("content"))
     return src.table_hash(files, ["tree"])

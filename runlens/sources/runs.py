@@ -41,17 +41,17 @@ def scan_runs(spark: SparkSession, root: str, prefix: str, block: str, source: s
     return select_runs(names, prefix, block, source, reference)
 
 
-def table_hash(files: DataFrame, keys: Sequence[str], bound: int = scale.DIGEST_MEMBER_BOUND) -> DataFrame:
+def table_hash(files: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, members, digest): content hash of the files of a group, independent of their order.
 
     ``files``: path, content (binary). Files sort by path parts; each contributes path, size and
-    SHA-256 of its content.
+    SHA-256 of its content to a two-level digest (``scale.member_digest``).
     """
     nul = F.lit("\u0000")
     text = F.concat(c("path"), nul, F.octet_length("content").cast("string"), nul, F.sha2("content", 256))
     rows = files.select(*keys, F.struct(F.split("path", "/").alias("k"), text.alias("text")).alias("item"))
     return scale.member_digest(
-        rows, keys, "item", lambda items: F.sha2(F.concat_ws("", items), 256), bound, lambda x: x["text"]
+        rows, keys, "item", lambda items: F.sha2(F.concat_ws("", items), 256), lambda x: x["text"]
     )
 
 
@@ -72,11 +72,10 @@ def report_line(columns: Sequence[str], df: DataFrame) -> Column:
     return F.concat_ws(",", *[field(x) for x in columns])
 
 
-def write_report_csv(df: DataFrame, path: str, keys: Sequence[str], single_file: bool = True) -> None:
+def write_report_csv(df: DataFrame, path: str, keys: Sequence[str], single_file: bool = False) -> None:
     """Header, LF line ends, NULL as empty text, rows ordered by ``keys``.
 
-    A report table has one row per source, run or rule, so it is written as one file; pass
-    ``single_file=False`` for ordered part files of anything larger.
+    Ordered part files; ``single_file`` puts a report table of few rows into one.
     """
     ordered = df.orderBy(*keys)
     if single_file:

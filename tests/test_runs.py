@@ -191,14 +191,28 @@ def test_exact_quantiles_with_outliers_and_ties(rows):
         assert r.p90 == vs[round(0.9 * (len(vs) - 1))]
 
 
+def test_exact_quantiles_with_outliers_of_two_scales_and_both_signs(rows):
+    rng = random.Random(5)
+    vs = [rng.random() for _ in range(3000)] + [1e18] * 3 + [1e9, 2e9, -1e18, -3e-300, 0.0, 5e-324] + [-rng.random() for _ in range(500)]
+    df = rows("k string, v double", [("hot", v) for v in vs])
+    picks = {f"q{i}": scale.nearest_rank(i / 40) for i in range(41)}
+    got = scale.exact_quantiles(df, ["k"], "v", picks, buckets=64).first()
+    assert [got[f"q{i}"] for i in range(41)] == [sorted(vs)[round(i / 40 * (len(vs) - 1))] for i in range(41)]
+
+
 def test_member_digest_of_large_groups_counts_every_member(rows):
     base = [("hot", f"m{i}") for i in range(500)] + [("cold", "a"), ("cold", "b")]
     exact = lambda items: F.sha2(F.concat_ws(",", items), 256)
-    run = lambda data, bound: {r.k: r.digest for r in scale.member_digest(rows("k string, m string", data), ["k"], "m", exact, bound).collect()}
-    small, split = run(base, 1000), run(base, 100)
-    assert small["cold"] == split["cold"] == hashlib.sha256(b"a,b").hexdigest()
-    assert small["hot"] == hashlib.sha256(",".join(sorted(f"m{i}" for i in range(500))).encode()).hexdigest()
-    assert split["hot"] == run(base[::-1], 100)["hot"] != run(base[1:], 100)["hot"]
+    run = lambda data: {r.k: r.digest for r in scale.member_digest(rows("k string, m string", data), ["k"], "m", exact).collect()}
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    buckets = {}
+    for member in sorted(f"m{i}" for i in range(70_000)):
+        buckets.setdefault(sha(member)[:4], []).append(member)
+    base = [("hot", f"m{i}") for i in range(70_000)] + base[500:]
+    found = run(base)
+    assert found["cold"] == sha(",".join(sorted(sha(m)[:4] + sha(m) for m in "ab")))
+    assert found["hot"] == sha(",".join(sorted(b + sha("\n".join(ms)) for b, ms in buckets.items())))
+    assert found["hot"] == run(base[::-1])["hot"] != run(base[1:])["hot"]
 
 
 def test_prior_value_over_block_borders(rows):
@@ -252,11 +266,10 @@ def test_tree_hash_and_report_file(spark, rows, tmp_path):
     for name, data in files.items():
         (tree / name).parent.mkdir(parents=True, exist_ok=True)
         (tree / name).write_bytes(data)
-    want = hashlib.sha256()
-    for name in sorted(files, key=lambda p: p.split("/")):
-        want.update(f"{name}\x00{len(files[name])}\x00".encode())
-        want.update(hashlib.sha256(files[name]).hexdigest().encode())
-    assert src.scan_table_hash(spark, str(tree)).first().digest == want.hexdigest()
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    lines = [f"{name}\x00{len(data)}\x00{sha(data)}".encode() for name, data in files.items()]
+    want = sha("".join(sorted(sha(line)[:4] + sha(line) for line in lines)).encode())
+    assert src.scan_table_hash(spark, str(tree)).first().digest == want
     table = rows("source string, n int, note string", [("b", 2, None), ("a", 1, 'x,"y"')])
     src.write_report_csv(table, str(tmp_path / "csv"), ["source"])
     part = next((tmp_path / "csv").glob("part-*.csv"))

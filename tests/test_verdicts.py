@@ -1,11 +1,13 @@
 """Clusters, corruption, verdicts, statistics and decisions against hand values."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from runlens import fixed
 from runlens.operators import attribution as att
 from runlens.operators import clusters as clu
 from runlens.operators import corruption as cor
@@ -40,7 +42,9 @@ def test_cluster_representative_and_id(rows):
     assert len(by) == 3 and by["system_prompt"].representative == "a/r2/1" and by["system_prompt"].max_severity == "high"
     assert by["system_prompt"].failure_types == "deterministic=1,stochastic=1" and by["tool_router"].failure_types == "unvalidated=1"
     ids = {r.component: r.cluster_id for r in clu.cluster_ids(df).collect()}
-    doc = {"cause": "argument_error", "component": "system_prompt", "members": ["a/r1/1", "a/r2/1"]}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    parts = sorted(sha(m)[:4] + sha(m) for m in ("a/r1/1", "a/r2/1"))
+    doc = {"cause": "argument_error", "component": "system_prompt", "members": parts}
     text = json.dumps(doc, sort_keys=True, separators=(",", ":"))
     assert ids["system_prompt"] == "c" + hashlib.sha256(text.encode()).hexdigest()[:8]
     again = clu.membership_hash(rows(DIAG, DIAGNOSES[::-1])).first()
@@ -72,9 +76,9 @@ def test_where_corruption(spark, rows):
     other = {(r.cluster_id, r.arm): (r.decoy_component, r.decoy_step) for r in cor.corrupt_where(*args, seed=2).collect()}
     assert other != {k: (r.decoy_component, r.decoy_step) for k, r in picks.items()}
     stuck = corruption_inputs(spark, rows, steps=(2,))
-    assert {r.cluster_id: r.impossible for r in cor.corrupt_where(*stuck, ("near",), 1).collect()}["c1"] == cor.NOT_ACTIVE
+    assert {r.cluster_id: r.impossible for r in cor.corrupt_where(*stuck, ("near",), 1).collect()}["c1"] == fixed.NOT_ACTIVE
     banned = args[1].select(F.lit("c1").alias("cluster_id"), "component")
-    assert {r.cluster_id: r.impossible for r in cor.corrupt_where(args[0], args[1], banned, *args[3:]).collect()}["c1"] == cor.NO_DECOY
+    assert {r.cluster_id: r.impossible for r in cor.corrupt_where(args[0], args[1], banned, *args[3:]).collect()}["c1"] == fixed.NO_DECOY
 
 
 def test_coherent_prefers_validated_negative_steps(spark, rows):
@@ -92,7 +96,7 @@ def test_donors_differ_and_cover(rows):
     assert len({r.origin_cluster for r in how if hint[r.cluster_id] == "same"}) == 20
     assert sorted(r.origin_cluster for r in cor.shuffle_all(df, 0).collect()) == sorted(d[0] for d in data)
     lonely = cor.corrupt_how(df.where(c("fix_hint") == "same"), 0)
-    assert {r.impossible for r in lonely.collect()} == {cor.NO_DONOR}
+    assert {r.impossible for r in lonely.collect()} == {fixed.NO_DONOR}
 
 
 def schedule_reference(sub, ctl, economize, schedule=(3, 5, 8, 12)):
@@ -192,13 +196,31 @@ def test_sign_test_of_many_pairs_does_not_underflow(rows):
     assert 0.0045 < got < 0.0050
 
 
-def test_bootstrap_ways_agree(rows):
+@pytest.mark.parametrize(("pos", "neg"), [(7, 30), (400, 600), (17, 16), (5000, 5500), (524_000, 524_000), (600_000, 598_900), (40, 3000)])
+def test_sign_test_is_within_a_billionth_of_the_exact_value(rows, pos, neg):
+    m, k = pos + neg, min(pos, neg)
+    logs = [math.lgamma(m + 1) - math.lgamma(i + 1) - math.lgamma(m - i + 1) - m * math.log(2) for i in range(max(0, k - 20_000), k + 1)]
+    want = min(1.0, 2 * math.fsum(math.exp(x) for x in logs))
+    got = rows("a int, b int", [(pos, neg)]).select(sta.sign_test_p(c("a"), c("b")).alias("p")).first().p
+    assert got == pytest.approx(want, abs=1e-9, rel=1e-8)
+
+
+def test_sign_test_of_billions_of_pairs(rows):
+    data = [(3_000_000_000, 2_900_000_000), (3_000_000_000, 3_000_000_000), (3_000_050_000, 2_999_950_000)]
+    got = [r.p for r in rows("a long, b long", data).select(sta.sign_test_p(c("a"), c("b")).alias("p")).collect()]
+    z = 99_999 / math.sqrt(6e9)
+    assert got[0] < 1e-9 and got[1] == 1.0 and got[2] == pytest.approx(math.erfc(z / math.sqrt(2)), abs=1e-9)
+
+
+def test_bootstrap_draws_do_not_depend_on_the_run_length(rows):
     df = rows("source string, run_a string, run_b string, n11 long, n10 long, n01 long, n00 long", [("s", "p1", "p2", 200, 60, 40, 100), ("same", "p1", "p2", 5, 0, 0, 5)])
     drawn = {r.source: r for r in sta.bootstrap_delta(df).collect()}
-    sampled = {r.source: r for r in sta.bootstrap_delta(df, draw_bound=1).collect()}
-    assert (drawn["same"].ci_low, drawn["same"].ci_high) == (0.0, 0.0) == (sampled["same"].ci_low, sampled["same"].ci_high)
-    for r in (drawn["s"], sampled["s"]):  # sd of the difference: about 2.46 points around 5
-        assert 0.0 <= r.ci_low < 1.2 and 9.0 < r.ci_high < 10.8
+    assert drawn == {r.source: r for r in sta.bootstrap_delta(df, draws_per_row=7).collect()}
+    assert (drawn["same"].ci_low, drawn["same"].ci_high) == (0.0, 0.0)
+    assert 0.0 <= drawn["s"].ci_low < 1.2 and 9.0 < drawn["s"].ci_high < 10.8  # sd: about 2.46 points around 5
+    large = [("l", "p1", "p2", 40_000, 12_000, 8_000, 20_000)]  # far above one run of draws
+    r = sta.bootstrap_delta(rows("source string, run_a string, run_b string, n11 long, n10 long, n01 long, n00 long", large), n=200).first()
+    assert 4.5 < r.ci_low < 5.0 < r.ci_high < 5.5
 
 
 # ---- fixed values: published pass rates, pass outcomes, bands and decisions
