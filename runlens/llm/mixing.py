@@ -89,15 +89,18 @@ def mean_shapes(texts: list[str]) -> np.ndarray:
     return sums / np.diff(found.first)[:, None]
 
 
-def fit(texts: list[str], labels: np.ndarray, domains: list[str], seed: int = 9, epochs: int = EPOCHS) -> Classifier:
-    """Adagrad on the log loss. A domain without samples keeps a small constant posterior."""
+def fit(cells: np.ndarray, sizes: np.ndarray, shapes: np.ndarray, labels: np.ndarray, domains: list[str],
+        seed: int = 9, epochs: int = EPOCHS) -> Classifier:
+    """Adagrad on the log loss; the words of a text follow one another in ``cells``, ``sizes`` each.
+
+    A domain without samples keeps a small constant posterior.
+    """
     d = len(domains)
     prior = np.log((np.bincount(labels, minlength=d) + 0.5) / (len(labels) + 0.5 * d))
     model = Classifier(domains, np.zeros((1 << CELL_BITS, d)), np.zeros((SHAPES, d)), prior)
     if len(np.unique(labels)) < 2:
         return model
-    words = Words(texts)
-    cells, shapes = word_cells(words), mean_shapes(texts)
+    begin = np.cumsum(sizes) - sizes
     model.mean, model.scale = shapes.mean(axis=0), shapes.std(axis=0) + 0.05
     seen = [np.full(w.shape, 1e-6) for w in (model.cells, model.shapes, model.bias)]
     rng = np.random.default_rng(seed)
@@ -105,21 +108,22 @@ def fit(texts: list[str], labels: np.ndarray, domains: list[str], seed: int = 9,
         order = rng.permutation(len(labels))
         for at in range(0, len(order), 64):
             chosen = order[at:at + 64]
-            sizes = words.count[chosen]
-            rows = np.repeat(words.first[chosen], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            doc = np.repeat(np.arange(len(chosen)), sizes)
-            z = model.logits(cells[rows], doc, sizes, shapes[chosen])
+            size = sizes[chosen]
+            rows = np.repeat(begin[chosen], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            doc = np.repeat(np.arange(len(chosen)), size)
+            z = model.logits(cells[rows], doc, size, shapes[chosen])
             p = np.exp(z - z.max(axis=1, keepdims=True))
             error = p / p.sum(axis=1, keepdims=True)
             error[np.arange(len(chosen)), labels[chosen]] -= 1
             error /= len(chosen)
-            share = (error / np.sqrt(np.maximum(sizes, 1))[:, None])[doc]
+            share = (error / np.sqrt(np.maximum(size, 1))[:, None])[doc]
             used, where = np.unique(cells[rows], return_inverse=True)
-            where = where.reshape(len(rows), 2)
-            grad = np.column_stack([np.bincount(where.ravel(), weights=np.repeat(share[:, k], 2), minlength=len(used)) for k in range(d)])
-            for weights, total, g, part in ((model.cells, seen[0], grad + 1e-5 * model.cells[used], used),
-                                            (model.shapes, seen[1], ((shapes[chosen] - model.mean) / model.scale).T @ error, slice(None)),
-                                            (model.bias, seen[2], error.sum(axis=0), slice(None))):
+            grad = np.column_stack([np.bincount(where.ravel(), weights=np.repeat(share[:, k], 2), minlength=len(used))
+                                    for k in range(d)])
+            for weights, total, g, part in (
+                    (model.cells, seen[0], grad + 1e-5 * model.cells[used], used),
+                    (model.shapes, seen[1], ((shapes[chosen] - model.mean) / model.scale).T @ error, slice(None)),
+                    (model.bias, seen[2], error.sum(axis=0), slice(None))):
                 total[part] += g * g
                 weights[part] -= RATE * g / np.sqrt(total[part])
     return model
@@ -128,8 +132,8 @@ def fit(texts: list[str], labels: np.ndarray, domains: list[str], seed: int = 9,
 def train(docs: DataFrame, labelled: DataFrame, domains: list[str], limit: int = TRAIN_DOCS) -> Classifier:
     """Fit on at most ``limit`` rows of ``labelled`` (doc_id, domain); other domains are ignored.
 
-    Of a sampled text the classifier learns from at most ``TRAIN_WORDS`` words, evenly spaced runs.
-    An id labelled twice has its first domain by name.
+    Of a sampled text the classifier learns from at most ``TRAIN_WORDS`` words, evenly spaced. An
+    id labelled twice has its first domain by name. Features are computed where the texts are.
     """
     number = F.array_position(F.array(*[F.lit(x) for x in domains]), F.col("domain")) - 1
     one = (labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains))
@@ -138,20 +142,24 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], limit: int =
     sample = F.broadcast(one.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(limit))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for text in texts_of(batch):
-            words = text.split()
-            step = -(-len(words) // TRAIN_WORDS) or 1
-            runs = [words[a:a + 50] for a in range(0, len(words), 50)][::step]
-            out.append(text if step == 1 else "\n".join(" ".join(r) for r in runs))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())],
-                                          ["doc_id", "label", "text"])
+        texts, cells, shapes = texts_of(batch), [], []
+        for a, b in blocks(texts):
+            words = Words(texts[a:b])
+            found = word_cells(words).astype(np.uint16)
+            shapes += [row.tobytes() for row in mean_shapes(texts[a:b])]
+            for first, count in zip(words.first[:-1], words.count):
+                at = first + np.arange(min(count, TRAIN_WORDS)) * count // max(1, min(count, TRAIN_WORDS))
+                cells.append(found[at].tobytes())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.binary()),
+                                           pa.array(shapes, pa.binary())], ["doc_id", "label", "cells", "shapes"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id")
-    found = map_batches(rows.select("doc_id", "label", "text"), run, "doc_id long, label int, text string")
-    got = sorted((r["doc_id"], r["label"], r["text"]) for r in
-                 found.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(limit).collect())
-    return fit([g[2] for g in got], np.array([g[1] for g in got], dtype=int), domains)
+    found = map_batches(rows.select("doc_id", "label", "text"), run, "doc_id long, label int, cells binary, shapes binary")
+    got = found.orderBy(F.xxhash64("doc_id", "cells"), "doc_id", "cells", "shapes").limit(limit).collect()
+    cells = [np.frombuffer(bytes(r["cells"]), np.uint16).reshape(-1, 2) for r in got]
+    return fit(np.concatenate(cells) if cells else np.zeros((0, 2), np.uint16), np.array([len(c) for c in cells], dtype=int),
+               np.array([np.frombuffer(bytes(r["shapes"])) for r in got]).reshape(-1, SHAPES),
+               np.array([r["label"] for r in got], dtype=int), domains)
 
 
 # ---------------------------------------------------------------- rates
