@@ -156,7 +156,7 @@ SELECT event_id AS ord, ts, 'p' || CAST(1 + user_id % 20 AS STRING) AS run_id,
 FROM events WHERE NOT (user_id % 20 = 7 AND event_type = 'view')""",
     # fixed-k results: one row per (failure, candidate step)
     "candidates": """
-SELECT CAST(l_orderkey AS STRING) || '/r1/1' AS failure_key, 'b' || CAST(l_orderkey % 4 AS STRING) AS source,
+SELECT CAST(l_orderkey AS STRING) || '/r' || CAST(rn AS STRING) || '/1' AS failure_key, 'b' || CAST(l_orderkey % 4 AS STRING) AS source,
        l_linenumber AS step, l_partkey % 5 AS ordinal_salt,
        CASE l_partkey % 7 WHEN 0 THEN 'argument_variant' WHEN 1 THEN 'early' ELSE 'different_action' END AS divergence,
        CASE l_partkey % 11 WHEN 0 THEN 'skipped' WHEN 1 THEN 'unreplayable' ELSE 'tested' END AS status,
@@ -167,7 +167,7 @@ SELECT CAST(l_orderkey AS STRING) || '/r1/1' AS failure_key, 'b' || CAST(l_order
        l_tax > 0.065 AS confirmed, CAST(l_extendedprice AS DECIMAL(18,6)) AS usd
 FROM (SELECT l.*, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber
         ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS rn
-      FROM lineitem l) x WHERE rn = 1""",
+      FROM lineitem l) x""",
     # feasibility of the corruption arms of a cluster in a run
     "arm_assignments": """
 SELECT cluster_id, run_id, arm,

@@ -10,9 +10,24 @@ from runlens import fixed
 ELLIPSIS = "…"
 
 
+#: White space and line ends as Python's strip and splitlines see them (fixed values).
+WHITE = r"[\s\p{Z}\x1c-\x1f\x85]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at either end."""
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+
+
+def lines(text: Column) -> Column:
+    """The lines of a text, at every kind of line end."""
+    return F.split(text, LINE_END)
+
+
 def collapse(text: Column) -> Column:
     """Whitespace runs to one blank, trimmed."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, f"{WHITE}+", " "))
 
 
 def head(text: Column, limit: int) -> Column:
@@ -93,7 +108,7 @@ def json_object_text(text: Column) -> Column:
 
     NULL when no object can be parsed.
     """
-    stripped = F.trim(F.coalesce(text, F.lit("")))
+    stripped = strip(F.coalesce(text, F.lit("")))
     fenced = F.regexp_extract(stripped, r"(?s)^```(?:json)?\s*(.*?)\s*```$", 1)
     whole = F.when(fenced != "", fenced).otherwise(stripped)
     braces = F.regexp_extract(whole, r"(?s)(\{.*\})", 1)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions import text as tx
+
 c = F.col
 
 
@@ -63,7 +65,7 @@ def probe_scores(records: DataFrame) -> DataFrame:
         F.array_contains(F.slice("task_top3", 1, 3), c("origin_task")).alias("origin_hit_top3"),
         F.try_divide(hits, F.size(guessed)).alias("tool_precision"),
         F.try_divide(hits, F.size(truth)).alias("tool_recall"),
-        (F.lower(F.trim("guessed_category")) == F.lower(F.trim("true_category"))).alias("category_hit"),
+        (F.lower(tx.strip(c("guessed_category"))) == F.lower(tx.strip(c("true_category")))).alias("category_hit"),
     )
 
 

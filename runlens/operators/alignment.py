@@ -48,16 +48,16 @@ def divergence_kind() -> tuple[Column, Column]:
     known = ~(c("f_opaque") | c("r_opaque"))
     rules = [
         (c("f_final") & c("r_finish"), "no_tool_call",
-         "the failed run ended with a content-only reply where the reference called finish"),
-        (f_end & ~r_end & c("f_final"), "no_tool_call", "the failed run stopped while the reference continued"),
-        (f_end & ~r_end, "premature_finish", "the failed run stopped while the reference continued"),
-        (r_end & ~f_end, "late_finish", "the reference finished here; the failed run kept acting"),
+         fixed.ENDED_WITHOUT_FINISH),
+        (f_end & ~r_end & c("f_final"), "no_tool_call", fixed.STOPPED_EARLY),
+        (f_end & ~r_end, "premature_finish", fixed.STOPPED_EARLY),
+        (r_end & ~f_end, "late_finish", fixed.REFERENCE_DONE_HERE),
         (known & c("r_mutates") & ~c("f_mutates"), "missing_mutation",
-         "the reference changed state here; the failed run only inspected"),
+         fixed.ONLY_INSPECTED),
         (known & c("f_mutates") & ~c("r_mutates"), "extra_mutation",
-         "the failed run changed state where the reference only inspected"),
-        (c("step") == 1, "early", "the very first actions differ"),
-        (F.lit(True), "different_action", "same kind of step, different target"),
+         fixed.ONLY_REFERENCE_INSPECTED),
+        (c("step") == 1, "early", fixed.FIRST_DIFFERS),
+        (F.lit(True), "different_action", fixed.OTHER_TARGET),
     ]
 
     def pick(position: int) -> Column:
@@ -90,9 +90,9 @@ def classified_steps(steps: DataFrame, exits: DataFrame) -> DataFrame:
         F.when(f_gone, F.concat(
             F.lit("failed run ended with "), F.coalesce(c("exit_reason"), F.lit("None")),
             F.lit(" before step "), c("step").cast("string")))
-        .when(r_gone, "the reference had already finished")
+        .when(r_gone, F.lit(fixed.REFERENCE_DONE))
         .when(class_differs, note)
-        .otherwise("same tools and identities, different non-identity arguments")
+        .otherwise(fixed.OTHER_ARGUMENTS)
     )
     return (
         steps.join(exits, "pair_id", "left")

@@ -8,34 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens import fixed
+from runlens.fixed import (
+    CONDITION_TAIL,
+    D8_BEST,
+    D8_MEETS,
+    D8_NONE,
+    ENTERS,
+    EXCLUDED,
+    NOT_EVALUABLE,
+    NO_BUDGET,
+    NO_COMPARISON,
+    PIVOT,
+    STARTS,
+    TEXT_PRIMARY,
+    TEXT_STAYS,
+    VISION_PRIMARY,
+)
 from runlens.functions.numbers import fixed_digits
 
 c = F.col
 ROW = ["rule", "observed", "decision"]
 
-# ---- fixed values: decision texts
-NOT_EVALUABLE = "not evaluable"
-ENTERS, EXCLUDED = "enters E2", "excluded"
-STARTS = "E2 starts"
-PIVOT = (
-    "pivot required: (i) policy reasoning_effort low (deviation stated) or "
-    "(ii) build M2b web freeze and re-admit browsecomp"
-)
-NO_BUDGET = "not evaluable: owner_budget_usd not set"
-VISION_PRIMARY = "gdpval E2 primary judge = vision (deepseek-v4-flash-vision-exp)"
-TEXT_PRIMARY = "gdpval E2 primary judge = text (deepseek-v4-pro); vision reported as secondary"
-TEXT_STAYS = "not evaluable: text judge stays primary"
-D8_MEETS = "cheapest configuration with MDE <= delta_meaningful within owner_budget_usd"
-D8_BEST = (
-    "no configuration within owner_budget_usd reaches delta_meaningful: best available within the "
-    "budget; the paper states the exclusion bound "
-)
-D8_NONE = "no configuration fits owner_budget_usd: cheapest listed; the paper states the exclusion bound "
-CONDITION_TAIL = (
-    "; 11 arms, k=3, 2 held-out passes per accepted patch; the paper states the D8 exclusion bound at that N"
-)
-NO_COMPARISON = "not evaluable: comparison decisions.csv missing"
-
 
 def _row(rule: Column, observed: Column, decision: Column) -> list[Column]:
     return [rule.alias("rule"), observed.alias("observed"), decision.alias("decision")]

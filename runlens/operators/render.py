@@ -209,9 +209,9 @@ def rendered_lengths(arms: DataFrame, tokens: dict[str, str]) -> DataFrame:
 
 def normalise_cause(df: DataFrame, column: str = "cause_label", vocabulary: Sequence[str] = tuple(fixed.CAUSES)) -> DataFrame:
     """Vocabulary id, lower-cased id, or ``other:<text>``; anything else is an error."""
-    text = F.trim(F.coalesce(c(column), F.lit("")))
+    text = tx.strip(F.coalesce(c(column), F.lit("")))
     ids = list(vocabulary)
-    other = F.concat(F.lit("other:"), F.lower(F.trim(F.regexp_extract(text, r"(?s)^other:(.*)$", 1))))
+    other = F.concat(F.lit("other:"), F.lower(tx.strip(F.regexp_extract(text, r"(?s)^other:(.*)$", 1))))
     return df.withColumn(
         column,
         F.when(text.isin(ids), text)

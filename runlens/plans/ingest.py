@@ -29,15 +29,15 @@ def _(t):
     return jsonl.parse_jsonl_strict(lines, ROW, ["event_id", "run_id", "event", "arm"])
 
 
-RECORDS = """SELECT CAST(l_partkey AS STRING) AS task_id, CAST(l_linenumber AS STRING) AS replicate, CAST(l_orderkey AS INT) AS attempt, l_quantity AS steps, l_tax AS usd, l_returnflag <> 'R' AS passed,
- 1.0 - l_discount AS value, l_linestatus = 'F' AS scored FROM lineitem WHERE l_suppkey % 5 = 0"""
+RECORDS = """SELECT CAST(l_partkey AS STRING) AS task_id, CAST(l_linenumber AS STRING) AS replicate, CAST(ROW_NUMBER() OVER (PARTITION BY l_partkey, l_linenumber
+ ORDER BY l_orderkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS INT) AS attempt, l_quantity AS steps, l_tax AS usd, l_returnflag <> 'R' AS passed,
+ 1.0 - l_discount AS value, l_linestatus = 'F' AS scored FROM lineitem"""
 
 
 @query("scan_json_records", f"""
-WITH r AS (SELECT task_id, replicate, attempt, steps, passed, value, scored FROM ({RECORDS})), u AS (SELECT *, COUNT(*) OVER (PARTITION BY task_id, replicate, attempt) AS n FROM r)
-SELECT task_id, replicate, attempt, CAST(steps AS BIGINT) AS steps, CASE WHEN scored THEN passed END AS passed, CASE WHEN scored THEN ROUND(value, 6) END AS value FROM u WHERE n = 1""")
+SELECT task_id, replicate, attempt, CAST(steps AS BIGINT) AS steps, CASE WHEN scored THEN passed END AS passed, CASE WHEN scored THEN ROUND(value, 6) END AS value FROM ({RECORDS})""")
 def _(t):
-    rows = t.sql(f"""SELECT * FROM (SELECT q.*, COUNT(*) OVER (PARTITION BY task_id, replicate, attempt) AS n FROM ({RECORDS}) q) z WHERE n = 1""")
+    rows = t.sql(RECORDS)
     folder = F.concat_ws("/", F.lit("runs/p1/rollouts"), "task_id", "replicate", F.concat(F.lit("attempt_"), c("attempt").cast("string")))
     done = rows.select(F.concat(folder, F.lit("/done.json")).alias("file"),
                        F.to_json(F.struct("task_id", "replicate", "attempt", c("steps").cast("bigint").alias("steps"))).alias("value"))

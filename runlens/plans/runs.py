@@ -120,7 +120,7 @@ def _(t):
 
 
 SCORES = """SELECT o_orderkey AS task_id, o_totalprice < 250000 AS passed, o_totalprice / 1000.0 AS value,
- CASE WHEN o_custkey % 9 = 0 THEN 'empty_answer' END AS task_failure FROM orders WHERE o_custkey % 4 <> 0"""
+ CASE WHEN o_custkey % 9 = 0 THEN 'empty_answer' END AS task_failure FROM orders"""
 SRC_METRICS = f"""SELECT t.source, COUNT(*) AS n, COUNT(*) FILTER (WHERE s.passed) AS passed, COUNT(*) FILTER (WHERE s.passed) / COUNT(*) AS pass_rate,
  AVG(s.value) AS mean_value, COUNT(s.task_failure) AS task_failures FROM ({SCORES}) s JOIN tasks t ON s.task_id = t.task_id GROUP BY t.source"""
 

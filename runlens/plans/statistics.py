@@ -232,12 +232,13 @@ def _(t):
     return rounded(rep.stage_seconds(t.view("stage_log"), "run_start", "run_done"), "seconds")
 
 
-RUN_NAMES = """SELECT DISTINCT p_brand AS source, 'p' || CAST(1 + p_size % 10 AS STRING) AS run_id, 'p' || CAST(11 + p_size % 10 AS STRING) AS reference_run_id FROM part WHERE p_partkey < 25"""
+RUN_NAMES = """SELECT DISTINCT p_brand AS source, 'p' || CAST(1 + p_size % 10 AS STRING) AS run_id, 'p' || CAST(11 + p_size % 10 AS STRING) AS reference_run_id FROM part"""
 ONE_RUN = f"SELECT source, MIN(run_id) AS run_id, MIN(reference_run_id) AS reference_run_id FROM ({RUN_NAMES}) q GROUP BY source"
-REPLAYS = """SELECT p_brand AS source, CAST(l_orderkey AS STRING) || '/r' || CAST(l_linenumber AS STRING) || '/' || CAST(l_suppkey AS STRING) AS failure_key, CAST(l_quantity AS INT) AS q,
+REPLAYS = """SELECT p_brand AS source, CAST(l_orderkey AS STRING) || '/r' || CAST(l_linenumber AS STRING) || '/' ||
+ CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS STRING) AS failure_key, CAST(l_quantity AS INT) AS q,
  CASE CAST(l_quantity AS INT) % 5 WHEN 0 THEN 'deterministic' WHEN 1 THEN 'stochastic' WHEN 2 THEN 'unrepairable' WHEN 3 THEN 'unreplayable' ELSE 'unresolved' END AS failure_type,
- CASE WHEN CAST(l_quantity AS INT) % 5 < 2 THEN 1 + l_suppkey % 4 END AS oracle_step, 1 + l_suppkey % 5 AS candidates, CAST(l_extendedprice AS DECIMAL(18,6)) AS usd FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 4"""
-GENUINE = """SELECT p_brand AS source, l_partkey AS task_id, CASE WHEN l_quantity < 20.5 THEN 'genuine' WHEN l_quantity < 40.5 THEN 'shortcut' ELSE 'undetermined' END AS verdict FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 5"""
+ CASE WHEN CAST(l_quantity AS INT) % 5 < 2 THEN 1 + l_suppkey % 4 END AS oracle_step, 1 + l_suppkey % 5 AS candidates, CAST(l_extendedprice AS DECIMAL(18,6)) AS usd FROM lineitem JOIN part ON l_partkey = p_partkey"""
+GENUINE = """SELECT p_brand AS source, l_partkey AS task_id, CASE WHEN l_quantity < 20.5 THEN 'genuine' WHEN l_quantity < 40.5 THEN 'shortcut' ELSE 'undetermined' END AS verdict FROM lineitem JOIN part ON l_partkey = p_partkey"""
 TIMES_SQL = f"""SELECT run_id, {', '.join(f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN GREATEST(0.0, (EPOCH_US({b}) - EPOCH_US({a})) / 1000000.0) END AS {n}" for n, a, b in
  (('run_wall_s', 'run_start', 'run_done'), ('replay_wall_s', 'replay_start', 'replay_done'), ('diagnosis_wall_s', 'run_done', 'diagnosis_done')))} FROM
  (SELECT run_id, {', '.join(f"ARG_MAX(ts, ord) FILTER (WHERE event = '{e}') AS {e}" for e in ('run_start', 'run_done', 'replay_start', 'replay_done', 'diagnosis_done'))} FROM stage_log GROUP BY run_id)"""
@@ -341,8 +342,8 @@ def _(t):
 
 
 REOPENED = f"""SELECT source, 'p1' AS run_id, failure_key, failure_type AS type_before, CASE WHEN q % 3 = 0 THEN 'unresolved' ELSE failure_type END AS type_after, oracle_step AS oracle_before,
- CASE WHEN q % 4 = 0 THEN NULL ELSE oracle_step END AS oracle_after, usd FROM ({REPLAYS}) z WHERE q % 2 = 0"""
-MOVES = f"""SELECT source, 'p1' AS run_id, CASE q % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'unresolved' END AS before, CASE q % 5 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'unresolved' END AS after FROM ({REPLAYS}) z WHERE q % 2 = 0"""
+ CASE WHEN q % 4 = 0 THEN NULL ELSE oracle_step END AS oracle_after, usd FROM ({REPLAYS}) z"""
+MOVES = f"""SELECT source, 'p1' AS run_id, CASE q % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'unresolved' END AS before, CASE q % 5 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'unresolved' END AS after FROM ({REPLAYS}) z"""
 
 
 @query("escalation_table", f"""
@@ -356,13 +357,13 @@ def _(t):
 
 @query("drift_reasons", f"""
 SELECT failure_key, CASE q % 4 WHEN 0 THEN '' WHEN 1 THEN 'exit_code_differs=2' WHEN 2 THEN 'exit_code_differs=1;mutating_or_quoted_output_differs=2' ELSE 'mutating_or_quoted_output_differs=1' END AS drift_reasons FROM
-(SELECT failure_key, MIN(q) AS q FROM ({REPLAYS}) GROUP BY failure_key HAVING COUNT(*) = 1)""")
+({REPLAYS})""")
 def _(t):
     drift = lambda *names: F.struct(F.array(*[F.struct(F.lit(n).alias("reason")) for n in names]).alias("drifts"))
     e, m = "exit_code_differs", "mutating_or_quoted_output_differs"
     none = F.struct(F.array().cast("array<struct<reason:string>>").alias("drifts"))
     case = lambda *reports: F.create_map(*[x for i, r in enumerate(reports) for x in (F.lit(f"r{i}"), r)])
-    one = t.sql(f"SELECT failure_key, MIN(q) AS q FROM ({REPLAYS}) z GROUP BY failure_key HAVING COUNT(*) = 1")
+    one = t.sql(REPLAYS).select("failure_key", "q")
     k = c("q") % 4
     reports = (F.when(k == 0, case(none, none)).when(k == 1, case(drift(e), drift(e)))
                .when(k == 2, case(drift(e, m), drift(m))).otherwise(case(none, drift(m))))

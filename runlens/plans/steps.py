@@ -149,8 +149,12 @@ SPOKEN = """SELECT conv_id AS rollout_id, turn AS step, text AS heard,
  text || CASE WHEN conv_id % 3 = 0 THEN ' ' || COALESCE(LAG(text) OVER (PARTITION BY conv_id ORDER BY turn), '') ELSE '' END AS said FROM conversations"""
 
 
+CUTOFFS = "SELECT conv_id AS rollout_id, CAST(MAX(turn) + 1 - conv_id % 3 AS INT) AS cutoff FROM conversations GROUP BY conv_id"
+
+
 @query("quoted_later", f"""
-WITH o AS (SELECT rollout_id, step, heard FROM ({SPOKEN}) WHERE step % 2 = 1 AND step < 6), s AS (SELECT rollout_id, step, said FROM ({SPOKEN}) WHERE step % 2 = 0 AND step < 6),
+WITH x AS (SELECT p.*, k.cutoff FROM ({SPOKEN}) p JOIN ({CUTOFFS}) k ON p.rollout_id = k.rollout_id WHERE step < cutoff),
+o AS (SELECT rollout_id, step, heard FROM x WHERE step % 2 = 1), s AS (SELECT rollout_id, step, said FROM x WHERE step % 2 = 0),
 l AS (SELECT rollout_id, step, TRIM(UNNEST(STRING_SPLIT(heard, CHR(10)))) AS line FROM o)
 SELECT o.rollout_id, o.step, EXISTS (SELECT 1 FROM l JOIN s ON l.rollout_id = s.rollout_id WHERE l.rollout_id = o.rollout_id AND l.step = o.step AND LENGTH(l.line) >= 12
  AND s.step > l.step AND CONTAINS(s.said, l.line)) AS quoted FROM o""")
@@ -158,8 +162,7 @@ def _(t):
     rows = t.sql(SPOKEN)
     heard = rows.where(c("step") % 2 == 1).select("rollout_id", "step", c("heard").alias("text"))
     said = rows.where(c("step") % 2 == 0).select("rollout_id", "step", c("said").alias("text"))
-    cutoffs = rows.select("rollout_id").distinct().withColumn("cutoff", F.lit(6))
-    return trj.quoted_later(heard, said, cutoffs).drop("cutoff")
+    return trj.quoted_later(heard, said, t.sql(CUTOFFS)).drop("cutoff")
 
 
 # ------------------------------------------------------------------ alignment
@@ -217,7 +220,7 @@ def _(t):
 
 
 REFS = """SELECT l_partkey AS task_id, l_linenumber AS replicate, l_suppkey AS attempt,
- CASE WHEN l_quantity < 20.5 THEN 'genuine' WHEN l_quantity < 40.5 THEN 'shortcut' ELSE 'undetermined' END AS verdict FROM lineitem WHERE l_linenumber >= 4"""
+ CASE WHEN l_quantity < 20.5 THEN 'genuine' WHEN l_quantity < 40.5 THEN 'shortcut' ELSE 'undetermined' END AS verdict FROM lineitem"""
 FAILED = """SELECT source, run_id, task_id, replicate, attempt, CASE error_family WHEN 'infra' THEN 'infra' WHEN 'budget' THEN 'budget' ELSE 'task' END AS family,
  'finished' AS exit_reason FROM rollouts WHERE NOT COALESCE(passed, FALSE)"""
 
@@ -303,21 +306,22 @@ def _(t):
     return ren.step_blocks(entries_of(t))
 
 
-BLOCKS = "SELECT conv_id AS rollout_id, turn + 1 AS step, 'step ' || CAST(turn + 1 AS STRING) || ': ' || SUBSTR(text, 1, 60) AS text FROM conversations"
+BUDGET = 1200
+BLOCKS = "SELECT conv_id AS rollout_id, turn + 1 AS step, 'step ' || CAST(turn + 1 AS STRING) || ': ' || text AS text FROM conversations"
 
 
 @query("condense_steps", f"""
 WITH b AS (SELECT rollout_id, step, text, LENGTH(text) AS len, ROW_NUMBER() OVER (PARTITION BY rollout_id ORDER BY step) - 1 AS pos, COUNT(*) OVER (PARTITION BY rollout_id) AS n,
   SUM(LENGTH(text)) OVER (PARTITION BY rollout_id) + COUNT(*) OVER (PARTITION BY rollout_id) - 1 AS total FROM ({BLOCKS})),
 d AS (SELECT rollout_id, pos FROM (SELECT *, COALESCE(SUM(len + 1) OVER (PARTITION BY rollout_id ORDER BY ABS(pos - n / 2.0), pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone
-  FROM b WHERE total > 250 AND pos >= 2 AND pos < n - 2) WHERE total - gone > 250),
+  FROM b WHERE total > {BUDGET} AND pos >= 2 AND pos < n - 2) WHERE total - gone > {BUDGET}),
 k AS (SELECT b.*, pos - COALESCE(LAG(pos) OVER (PARTITION BY rollout_id ORDER BY pos), -1) - 1 AS gap FROM b WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.rollout_id = b.rollout_id AND d.pos = b.pos))
 SELECT rollout_id, STRING_AGG(CASE WHEN gap > 0 THEN '  … ' || gap || ' step(s) omitted …' || CHR(10) || text ELSE text END, CHR(10) ORDER BY pos) AS text FROM k GROUP BY rollout_id""")
 def _(t):
-    return ren.condense_steps(t.sql(BLOCKS), budget=250)
+    return ren.condense_steps(t.sql(BLOCKS), budget=BUDGET)
 
 
-NAMED = """SELECT doc_id, 'The tool_router in agent/loop.py sent ' || source || ' to `finish` and Finisher, finish ' || lang || ' agent/loop.pyx ' || SUBSTR(text, 1, 50) AS mechanism,
+NAMED = """SELECT doc_id, 'The tool_router in agent/loop.py sent ' || source || ' to `finish` and Finisher, finish ' || lang || ' agent/loop.pyx ' || text AS mechanism,
  'fix ' || source || ' in the loop' AS fix_hint FROM documents"""
 TOKENS = {"tool_router": "component", "agent/loop.py": "path", "finish": "tool", "loop": "component", "src1": "routine", "src12": "setting"}
 
@@ -364,7 +368,7 @@ def _(t):
     return t.view("diagnoses").select("failure_key", ren.render_diagnosis().alias("text"))
 
 
-ARM_TEXTS = """SELECT source AS cluster_id, CAST(doc_id AS STRING) AS arm, SUBSTR(text, 1, 30 + doc_id % 100) AS mechanism, 'fix the  ' || lang || ' zzthing' AS fix_hint FROM documents"""
+ARM_TEXTS = """SELECT source AS cluster_id, CAST(doc_id AS STRING) AS arm, text AS mechanism, 'fix the  ' || lang || ' zzthing' AS fix_hint FROM documents"""
 
 
 @query("rendered_lengths", f"""

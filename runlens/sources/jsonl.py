@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runlens.functions import text as tx
+
 c = F.col
 
 
@@ -27,7 +29,7 @@ def strict_record(value: Column, ddl: str, required: Sequence[str] = ()) -> Colu
     unknown = F.array_except(keys, names)
     missing = F.array_except(F.array(*[F.lit(r) for r in required]), keys) if required else None
     fail = lambda what: F.raise_error(F.concat(F.lit(what), F.substring(value, 1, 200)))
-    out = F.when(keys.isNull() | ~F.ltrim(value).startswith("{"), fail("not a JSON object: ")).when(
+    out = F.when(keys.isNull() | ~tx.strip(value).startswith("{"), fail("not a JSON object: ")).when(
         F.size(unknown) > 0, fail("unknown field in record: ")
     )
     if missing is not None:
@@ -37,7 +39,7 @@ def strict_record(value: Column, ddl: str, required: Sequence[str] = ()) -> Colu
 
 def parse_jsonl_strict(lines: DataFrame, ddl: str, required: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """JSON lines in column ``value`` -> typed rows; blank lines are skipped."""
-    rows = lines.where(F.trim("value") != "").select(*keep, strict_record(c("value"), ddl, required).alias("_r"))
+    rows = lines.where(tx.strip(c("value")) != "").select(*keep, strict_record(c("value"), ddl, required).alias("_r"))
     return rows.select(*keep, "_r.*")
 
 

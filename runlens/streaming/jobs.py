@@ -46,11 +46,14 @@ def latest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(w)).where(c("_rn") == 1).drop("_rn", "batch")
 
 
-def stream_ledger_summary(ledger: DataFrame, hours: int = 1, late: str = "1 day") -> DataFrame:
-    """Streaming ledger totals per run and tumbling window; rows later than ``late`` are dropped."""
+def stream_ledger_summary(ledger: DataFrame, hours: int = 1) -> DataFrame:
+    """Streaming ledger totals per run and tumbling window, in update mode.
+
+    There is no watermark: a row counts in its window however late it comes. The state holds one
+    row per run and window.
+    """
     return (
-        ledger.withWatermark("ts", late)
-        .groupBy(F.window("ts", f"{hours} hour"), "run_id")
+        ledger.groupBy(F.window("ts", f"{hours} hour"), "run_id")
         .agg(*summary_columns())
         .select(c("window.start").alias("window_start"), "*")
         .drop("window")
