@@ -277,3 +277,20 @@ def decoy_exclusion_audit(
         F.when(reason.isNull(), "feasible").otherwise(F.concat(F.lit("impossible: "), reason)).alias("new_feasibility"),
         (c("old.impossible").isNull() & reason.isNotNull()).alias("lost"),
     )
+
+
+def decoy_audit_summary(audit: DataFrame, sources: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Per source and tier of ``decoy_exclusion_audit``: clusters, old decoys inside the candidate set,
+    feasibility lost, decoys changed, and the mean size of the candidate sets.
+
+    ``sources``: cluster_id, source.
+    """
+    sizes = candidates.select("cluster_id", "component").distinct().groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n"))
+    rows = audit.join(sources, "cluster_id").join(sizes, "cluster_id", "left")
+    return rows.groupBy("source", "tier").agg(
+        F.count(F.lit(1)).alias("clusters"),
+        F.count_if("old_decoy_in_candidate_set").alias("old_decoys_in_candidate_set"),
+        F.count_if("lost").alias("feasibility_lost"),
+        F.count_if(~c("old_decoy").eqNullSafe(c("new_decoy"))).alias("decoys_changed"),
+        F.avg(F.coalesce(c("_n"), F.lit(0))).alias("candidate_set_size_mean"),
+    )

@@ -362,7 +362,16 @@ def parity_table(pooled: DataFrame) -> DataFrame:
     )
 
 
-def coherent_table(scores: DataFrame, pooled: DataFrame) -> DataFrame:
-    """Score rows of the final generation round of their source."""
+def coherent_table(generated: DataFrame, scores: DataFrame, pooled: DataFrame) -> DataFrame:
+    """Every generated diagnosis of the final round of its source, with its scores where it has any.
+
+    ``generated``: source, run_id, cluster_id, decoy_component, decoy_step, step_basis, cause_label,
+    severity, generation_seed; ``scores``: source, cluster_id, generation_seed, reference_score,
+    coherent_score, error. A diagnosis without a score row is kept with NULL scores.
+    """
     final = pooled.select("source", c("final_generation_seed").alias("generation_seed"))
-    return scores.join(final, ["source", "generation_seed"], "left_semi")
+    kept = generated.join(final, ["source", "generation_seed"], "left_semi")
+    given = scores.select("source", "cluster_id", "generation_seed", "reference_score", "coherent_score", "error")
+    return kept.join(given, ["source", "cluster_id", "generation_seed"], "left").select(
+        "source", "run_id", "cluster_id", "decoy_component", "decoy_step", "step_basis", "cause_label", "severity",
+        "generation_seed", "reference_score", "coherent_score", "error")

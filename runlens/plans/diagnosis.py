@@ -117,6 +117,13 @@ def _(t):
         "llm_chosen_fraction", F.round("llm_chosen_fraction", 6))
 
 
+@query("ambiguity_clusters", """
+SELECT source, cause_label, component, COUNT(*) AS members, BOOL_AND(n_candidates = 1) AS component_unique, MAX(n_candidates) AS max_candidate_set,
+ COUNT(*) FILTER (WHERE attribution = 'llm') AS llm_chosen_members FROM diagnoses GROUP BY source, cause_label, component""")
+def _(t):
+    return clu.ambiguity_clusters(t.view("diagnoses"))
+
+
 # ------------------------------------------------------------------ corruption
 
 SEED = 0
@@ -242,6 +249,19 @@ def _(t):
     return cor.decoy_exclusion_audit(*where_args(t), SEED)
 
 
+@query("decoy_audit_summary", f"""
+WITH {POOL}, {where_sql('near', 'new_near')}, {where_sql('far', 'new_far')}, {where_sql('near', 'old_near', 'loose')}, {where_sql('far', 'old_far', 'loose')}, a AS ({audit_sql('near')} UNION ALL {audit_sql('far')}),
+s AS (SELECT cluster_id, COUNT(DISTINCT component) AS n FROM cluster_candidates GROUP BY cluster_id)
+SELECT c.cause_label AS source, a.tier, COUNT(*) AS clusters, COUNT(*) FILTER (WHERE old_decoy_in_candidate_set) AS old_decoys_in_candidate_set, COUNT(*) FILTER (WHERE lost) AS feasibility_lost,
+ COUNT(*) FILTER (WHERE old_decoy IS DISTINCT FROM new_decoy) AS decoys_changed, ROUND(AVG(COALESCE(s.n, 0)), 6) AS candidate_set_size_mean
+FROM a JOIN clusters c ON a.cluster_id = c.cluster_id LEFT JOIN s ON a.cluster_id = s.cluster_id GROUP BY c.cause_label, a.tier""")
+def _(t):
+    audit = cor.decoy_exclusion_audit(*where_args(t), SEED)
+    sources = t.view("clusters").select("cluster_id", c("cause_label").alias("source"))
+    out = cor.decoy_audit_summary(audit, sources, t.view("cluster_candidates"))
+    return out.withColumn("candidate_set_size_mean", F.round("candidate_set_size_mean", 6))
+
+
 # ------------------------------------------------------------------ verdicts
 
 

@@ -138,9 +138,13 @@ SELECT file, seq, 'gap' AS kind FROM x WHERE seq <> 1 AND NOT EXISTS (SELECT 1 F
 UNION ALL SELECT file, seq, 'run_id' FROM x WHERE run_id <> (SELECT ARG_MIN(y.run_id, y.seq) FROM x y WHERE y.file = x.file) UNION ALL SELECT file, seq, 'schema_version' FROM x WHERE schema_version <> 1"""
 
 
-@query("validate_trace", VIOLATIONS)
+LINED = f"SELECT x.*, ROW_NUMBER() OVER (PARTITION BY file ORDER BY (seq * 7) % 5 + seq, seq) AS line FROM ({TRACE}) x"
+
+
+@query("validate_trace", f"""{VIOLATIONS}
+UNION ALL SELECT file, seq, 'order' FROM (SELECT file, seq, LAG(seq) OVER (PARTITION BY file ORDER BY line) AS before FROM ({LINED})) WHERE seq < before""")
 def _(t):
-    return logs.validate_trace(t.sql(TRACE))
+    return logs.validate_trace(t.sql(LINED))
 
 
 # ------------------------------------------------------------------ scalars

@@ -122,12 +122,16 @@ def _(t):
     return rounded(rep.parity_table(sta.pooled_parity(t.view("score_pairs"))), "mean_difference", "sign_test_p")
 
 
+GENERATED = """SELECT 'b' || CAST(doc_id % 4 AS STRING) AS source, 'p' || CAST(1 + doc_id % 2 AS STRING) AS run_id, doc_id AS cluster_id, source AS decoy_component, 1 + n_chars % 7 AS decoy_step,
+ CASE WHEN n_chars % 2 = 0 THEN 'validated_negative' ELSE 'not_sufficient' END AS step_basis, lang AS cause_label, CASE WHEN n_chars % 3 = 0 THEN 'high' ELSE 'low' END AS severity, doc_id % 3 AS generation_seed FROM documents"""
+COHERENT_SCORES = "SELECT *, CASE WHEN reference_score IS NULL THEN 'no reference score' END AS error FROM score_pairs WHERE cluster_id % 5 <> 0"
+
+
 @query("coherent_table", f"""
-SELECT s.source, s.cluster_id, s.generation_seed, s.reference_score, s.coherent_score FROM score_pairs s JOIN ({POOLED}) p ON s.source = p.source AND s.generation_seed = p.generation_seed""")
+SELECT g.*, s.reference_score, s.coherent_score, s.error FROM ({GENERATED}) g JOIN ({POOLED}) p ON g.source = p.source AND g.generation_seed = p.generation_seed
+LEFT JOIN ({COHERENT_SCORES}) s ON s.source = g.source AND s.cluster_id = g.cluster_id AND s.generation_seed = g.generation_seed""")
 def _(t):
-    scores = t.view("score_pairs")
-    return rep.coherent_table(scores, sta.pooled_parity(scores)).select(
-        "source", "cluster_id", "generation_seed", "reference_score", "coherent_score")
+    return rep.coherent_table(t.sql(GENERATED), t.sql(COHERENT_SCORES), sta.pooled_parity(t.view("score_pairs")))
 
 
 EFFECTS = "SELECT conv_id, turn, LENGTH(text) % 17 - 7.5 AS effect FROM conversations"

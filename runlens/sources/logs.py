@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens import fixed
+from runlens.functions import scale
 
 c = F.col
 
@@ -105,11 +106,13 @@ def scan_rollout_log(spark: SparkSession, path: str) -> DataFrame:
     return rollout_log_events(read_log_lines(spark, path))
 
 
-def validate_trace(events: DataFrame, version: int = fixed.TRACE_SCHEMA_VERSION) -> DataFrame:
-    """Violations (file, seq, kind): ``seq`` must be contiguous from 1, one run id, known version.
+def validate_trace(events: DataFrame, version: int = fixed.TRACE_SCHEMA_VERSION, run_id: str | None = None) -> DataFrame:
+    """Violations (file, seq, kind): ``seq`` must be contiguous from 1 and, where the events carry
+    their ``line``, rise with it; one run id (``run_id`` if given), known version.
 
     A number without its predecessor is a gap, so contiguity is an anti join on (file, seq)
-    rather than an ordered scan of a file.
+    rather than an ordered scan of a file; the number on the line before is looked up by blocks of
+    lines.
     """
     keyed = events.groupBy("file", "seq").agg(
         F.count(F.lit(1)).alias("_n"), F.min("run_id").alias("_lo"), F.max("run_id").alias("_hi"),
@@ -117,7 +120,8 @@ def validate_trace(events: DataFrame, version: int = fixed.TRACE_SCHEMA_VERSION)
     )
     before = keyed.select("file", (c("seq") + 1).alias("seq"))
     gaps = keyed.where(c("seq") != 1).join(before, ["file", "seq"], "left_anti").select("file", "seq", F.lit("gap").alias("kind"))
-    first = keyed.groupBy("file").agg(F.min_by("_lo", "seq").alias("_run"))
+    run = F.min_by("_lo", "seq") if run_id is None else F.first(F.lit(run_id))
+    first = keyed.groupBy("file").agg(run.alias("_run"))
     rows = keyed.join(first, "file")
     kinds = F.array_compact(
         F.array(
@@ -126,4 +130,10 @@ def validate_trace(events: DataFrame, version: int = fixed.TRACE_SCHEMA_VERSION)
             F.when(c("_old"), "schema_version"),
         )
     )
-    return gaps.unionByName(rows.select("file", "seq", F.explode(kinds).alias("kind")))
+    found = gaps.unionByName(rows.select("file", "seq", F.explode(kinds).alias("kind")))
+    if "line" not in events.columns:
+        return found
+    lines = events.select("file", "line", "seq")
+    marks = lines.withColumn("ord", c("line"))
+    before = scale.prior_value(lines, marks, ["file"], "line", "ord", "seq")
+    return found.unionByName(before.where(c("seq") < c("prior_seq")).select("file", "seq", F.lit("order").alias("kind")))

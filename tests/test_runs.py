@@ -294,3 +294,11 @@ def test_trace_violations(rows):
     df = rows("file string, seq long, run_id string, schema_version int", [("f", 1, "r", 1), ("f", 3, "r", 1), ("f", 4, "x", 2), ("g", 2, "r", 1), ("h", 1, "r", 1), ("h", 1, "r", 1)])
     assert {(r.file, r.seq, r.kind) for r in logs.validate_trace(df).collect()} == {
         ("f", 3, "gap"), ("f", 4, "run_id"), ("f", 4, "schema_version"), ("g", 2, "gap"), ("h", 1, "duplicate")}
+
+
+def test_trace_lines_in_another_order_and_the_expected_run(rows):
+    lines = [("f", 1, 1), ("f", 2, 3), ("f", 3, 2), ("f", 4, 4)] + [("g", n, n) for n in range(1, 700)]
+    df = rows("file string, line long, seq long", lines).withColumn("run_id", F.lit("r")).withColumn("schema_version", F.lit(1))
+    assert [tuple(r) for r in logs.validate_trace(df).collect()] == [("f", 2, "order")]
+    other = {(r.file, r.seq) for r in logs.validate_trace(df.drop("line"), run_id="x").collect()}
+    assert other == {(f, s) for f, _, s in lines}
