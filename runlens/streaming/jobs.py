@@ -6,6 +6,7 @@ overwritten on a retry, so a lost executor or a restarted query never doubles ro
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -66,32 +67,92 @@ def stream_spend_guard(ledger: DataFrame, cap: float, key: str = "run_id") -> Da
     return spend.where(c("spent") >= cap).withColumn("cap", F.lit(float(cap)))
 
 
+def merged(spans: Sequence[Sequence[int]], numbers: np.ndarray) -> list[list[int]]:
+    """Spans [low, high] of whole numbers with more numbers added; neighbours are joined."""
+    own = np.unique(numbers)
+    cut = np.flatnonzero(np.diff(own) > 1)
+    low = np.concatenate([own[:1], own[cut + 1]])
+    high = np.concatenate([own[cut], own[-1:]])
+    out: list[list[int]] = []
+    for x, y in sorted([*map(tuple, spans), *zip(low.tolist(), high.tolist())]):
+        if out and x <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], y)
+        else:
+            out.append([x, y])
+    return out
+
+
+def covered(spans: Sequence[Sequence[int]], numbers: np.ndarray) -> np.ndarray:
+    """Which numbers lie in one of the spans."""
+    if not spans:
+        return np.zeros(len(numbers), dtype=bool)
+    low, high = np.array(spans).T
+    at = np.searchsorted(low, numbers, side="right") - 1
+    return (at >= 0) & (numbers <= high[np.maximum(at, 0)])
+
+
+class TraceState:
+    """What is known of a file: numbers seen per run id as spans, repeated numbers, numbers of another version."""
+
+    def __init__(self, text: str | None) -> None:
+        known = json.loads(text) if text else {}
+        self.runs, self.twice, self.old = known.get("runs", {}), set(known.get("twice", [])), set(known.get("old", []))
+
+    def text(self) -> str:
+        return json.dumps({"runs": self.runs, "twice": sorted(self.twice), "old": sorted(self.old)})
+
+    def add(self, rows: pd.DataFrame, version: int) -> None:
+        numbers, counts = np.unique(rows["seq"].to_numpy(), return_counts=True)
+        before = np.zeros(len(numbers), dtype=bool)
+        for spans in self.runs.values():
+            before |= covered(spans, numbers)
+        self.twice.update(numbers[(counts > 1) | before].tolist())
+        self.old.update(rows["seq"][rows["schema_version"] != version].tolist())
+        for run, part in rows.groupby("run_id"):
+            self.runs[run] = merged(self.runs.get(run, []), part["seq"].to_numpy())
+
+    def violations(self) -> set[tuple[int, str]]:
+        """The same rules as the batch form, over all that has come so far."""
+        spans = sorted(span for spans in self.runs.values() for span in spans)
+        if not spans:
+            return set()
+        gaps, reach = set(), 0
+        for low, high in spans:
+            if low > reach + 1:
+                gaps.add((low, "gap"))
+            reach = max(reach, high)
+        first = min(run for run, own in self.runs.items() if own[0][0] == spans[0][0])
+        other = {(n, "run_id") for run, own in self.runs.items() if run != first for x, y in own for n in range(x, y + 1)}
+        return gaps | other | {(n, "duplicate") for n in self.twice} | {(n, "schema_version") for n in self.old}
+
+
 def stream_trace_gaps(trace: DataFrame, key: str = "file", version: int = fixed.TRACE_SCHEMA_VERSION) -> DataFrame:
-    """Violations (file, seq, kind) of a trace stream: ``seq`` contiguous from 1, one run id, known version.
+    """Changes (file, seq, kind, change) of the violations of a trace stream, in any order of arrival.
 
-    State per file: last number and run id. ``trace``: file, seq, run_id, schema_version.
+    ``change`` is 1 where a violation appears and -1 where a late row closes it; ``standing`` sums
+    them up. The rules are those of the batch form. State per file: spans of the numbers seen and
+    the violations that no later row can close. ``trace``: file, seq, run_id, schema_version.
     """
     def check(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, run = state.get if state.exists else (0, None)
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        seq = rows["seq"].to_numpy()
-        before = np.concatenate([[last], seq[:-1]])
-        run = run if run is not None else rows["run_id"].iloc[0]
-        flags = {
-            "gap": seq > before + 1,
-            "duplicate": seq <= before,
-            "run_id": (rows["run_id"] != run).to_numpy(),
-            "schema_version": (rows["schema_version"] != version).to_numpy(),
-        }
-        state.update((int(max(last, seq[-1])), run))
-        found = [pd.DataFrame({"file": name[0], "seq": seq[hit], "kind": kind}) for kind, hit in flags.items() if hit.any()]
-        yield pd.concat(found) if found else pd.DataFrame({"file": [], "seq": [], "kind": []})
+        known = TraceState(state.get[0] if state.exists else None)
+        before = known.violations()
+        for rows in batches:
+            known.add(rows, version)
+        after = known.violations()
+        state.update((known.text(),))
+        changes = [(*v, 1) for v in sorted(after - before)] + [(*v, -1) for v in sorted(before - after)]
+        yield pd.DataFrame([(name[0], *x) for x in changes], columns=["file", "seq", "kind", "change"])
 
     return trace.groupBy(c(key).alias("file")).applyInPandasWithState(
-        check, "file string, seq long, kind string", "last long, run string", "append", GroupStateTimeout.NoTimeout
+        check, "file string, seq long, kind string, change int", "known string", "append", GroupStateTimeout.NoTimeout
     )
 
 
+def standing(changes: DataFrame) -> DataFrame:
+    """The violations (file, seq, kind) that are open after all changes."""
+    return changes.groupBy("file", "seq", "kind").agg(F.sum("change").alias("_n")).where(c("_n") > 0).drop("_n")
+
+
 def read_table_stream(spark: SparkSession, path: str) -> DataFrame:
     """A parquet folder or a single file as a stream, with the schema of what is there now.
 
