@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.arrow import map_batches, stored, texts_of
-from runlens.llm.features import SHAPES, Passages
 from runlens.llm.words import SPREAD, Words, blocks
 
 TRAIN_DOCS = 4000
@@ -30,6 +29,8 @@ STEM = 5
 EPOCHS = 12
 RATE = 0.2
 GRID = 256
+KINDS = 8
+SHAPES = KINDS + 4
 STEPS = 40
 PULL = 1e-3
 MOST_COPIES = 4.0
@@ -39,24 +40,48 @@ TOLERANCE = 1e-4
 # ---------------------------------------------------------------- classifier
 
 
-def word_cells(words: Words) -> np.ndarray:
-    """Two cells per token: its lower-cased ASCII form as a whole, and its first letters."""
-    low = np.where((words.cps >= 65) & (words.cps <= 90), words.cps + 32, words.cps).astype(np.uint32)
-    keep = (low > 127) | ((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57))
-    upto = np.concatenate([[0], np.cumsum(words.inside & keep)])
+def _kinds() -> np.ndarray:
+    """Kind of each code point below 128, and of all others."""
+    kind = np.full(129, 5, dtype=np.uint8)
+    for number, chars in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "#*$%&|<>", "!?")):
+        kind[[ord(c) for c in chars]] = number
+    kind[[9, 10, 11, 12, 13, 32]] = 6
+    kind[128] = 7
+    return kind
+
+
+_KIND = _kinds()
+
+
+def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two cells per token (its lower-cased letters and digits, and the first of them), and the
+    shape of every text: shares of the kinds of characters, of repeated and of one-letter words,
+    mean word length, and size."""
+    kind = _KIND[np.minimum(words.cps, 128)]
+    low = words.cps + np.uint32(32) * (kind == 0)
+    keep = (kind <= 2) | (kind == 7)
+    upto = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
     begin, end = upto[words.start], upto[words.end]
-    chars = np.append(low[words.inside & keep], np.uint32(0))
+    chars = np.append(low[keep], np.uint32(0))
     with np.errstate(over="ignore"):
         core, stem = words.hashes(values=low, keep=keep), np.zeros(len(begin), dtype=np.uint32)
         for k in range(STEM):
-            stem = stem * np.uint32(1_000_003) + np.where(begin + k < end, chars[np.minimum(begin + k, len(chars) - 1)], np.uint32(0))
+            stem = stem * np.uint32(1_000_003) + chars[np.minimum(begin + k, len(chars) - 1)] * (begin + k < end)
         both = np.column_stack([core, stem ^ np.uint32(0x5BD1E995)]) * np.uint32(SPREAD)
-    return (both >> np.uint32(32 - CELL_BITS)).astype(np.int64)
+    size = np.diff(words.text_start)
+    home = np.repeat(np.arange(words.n) * KINDS, size)
+    counts = np.bincount(home + kind, minlength=words.n * KINDS).reshape(words.n, KINDS)
+    again = np.zeros(len(core), dtype=bool)
+    again[1:] = (core[1:] == core[:-1]) & (words.doc[1:] == words.doc[:-1])
+    n = np.maximum(words.count, 1)
+    shapes = np.column_stack([counts / np.maximum(size, 1)[:, None], words.per_text(again) / n, words.per_text(words.length == 1) / n,
+                              words.per_text(words.length) / n / 10, np.log1p(words.count) / 10])
+    return (both >> np.uint32(32 - CELL_BITS)).astype(np.int64), shapes
 
 
 @dataclass
 class Classifier:
-    """Softmax over hashed words (scaled by the root of the text's length) and mean shape features."""
+    """Softmax over hashed words (scaled by the root of the text's length) and shape features."""
 
     domains: list[str]
     cells: np.ndarray
@@ -66,14 +91,15 @@ class Classifier:
     scale: np.ndarray = field(default_factory=lambda: np.ones(SHAPES))
 
     def logits(self, cells: np.ndarray, doc: np.ndarray, count: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        pull = self.cells[cells].sum(axis=1)
-        summed = np.column_stack([np.bincount(doc, weights=pull[:, k], minlength=len(count)) for k in range(len(self.bias))])
+        summed = np.column_stack([np.bincount(doc, weights=w[cells[:, 0]] + w[cells[:, 1]], minlength=len(count))
+                                  for w in np.ascontiguousarray(self.cells.T)])
         return summed / np.sqrt(np.maximum(count, 1))[:, None] + ((shapes - self.mean) / self.scale) @ self.shapes + self.bias
 
     def units(self, texts: list[str]) -> np.ndarray:
         """Posterior of each text in whole 1/GRID."""
-        words, shapes = Words(texts), mean_shapes(texts)
-        z = self.logits(word_cells(words), words.doc, words.count, shapes)
+        words = Words(texts)
+        cells, shapes = features(words)
+        z = self.logits(cells, words.doc, words.count, shapes)
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p = p / p.sum(axis=1, keepdims=True) * GRID
         whole = np.floor(p).astype(np.int64)
@@ -83,12 +109,6 @@ class Classifier:
         return whole + (rank < short[:, None])
 
 
-def mean_shapes(texts: list[str]) -> np.ndarray:
-    found = Passages(texts)
-    sums = np.add.reduceat(found.x[:, :SHAPES].astype(float), found.first[:-1], axis=0)
-    return sums / np.diff(found.first)[:, None]
-
-
 def fit(cells: np.ndarray, sizes: np.ndarray, shapes: np.ndarray, labels: np.ndarray, domains: list[str],
         seed: int = 9, epochs: int = EPOCHS) -> Classifier:
     """Adagrad on the log loss; the words of a text follow one another in ``cells``, ``sizes`` each.
@@ -145,8 +165,9 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], limit: int =
         texts, cells, shapes = texts_of(batch), [], []
         for a, b in blocks(texts):
             words = Words(texts[a:b])
-            found = word_cells(words).astype(np.uint16)
-            shapes += [row.tobytes() for row in mean_shapes(texts[a:b])]
+            found, shape = features(words)
+            found = found.astype(np.uint16)
+            shapes += [row.tobytes() for row in shape]
             for first, count in zip(words.first[:-1], words.count):
                 at = first + np.arange(min(count, TRAIN_WORDS)) * count // max(1, min(count, TRAIN_WORDS))
                 cells.append(found[at].tobytes())
