@@ -56,6 +56,9 @@ def _postings(rows: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 def block_top(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best candidates of a block for each query of a block."""
+    nothing = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+    if queries.empty or candidates.empty:
+        return nothing
     candidates = candidates.sort_values("id", kind="stable")
     ids, index, found = candidates["id"].to_numpy(), _postings(candidates), []
     for at in range(0, len(queries), LANES):
@@ -78,7 +81,7 @@ def block_top(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.Dat
         rank = np.arange(len(col)) - np.searchsorted(col, col)
         row, col = row[rank < k], col[rank < k]
         found.append(pd.DataFrame({"query_id": own[col], "vec_id": ids[row], "score": scores[row, col]}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+    return pd.concat(found)
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding",
