@@ -9,10 +9,10 @@ rows is spread like the rest.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.functions.scale import bucketed_rank, hash_rank, seeded_hash
+from runlens.functions.scale import bucketed_rank, seeded_hash
 from runlens.llm.arrow import stored
 
 SEED = 20240
@@ -33,11 +33,19 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = SEED, source: str =
         F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")).alias("stratum"),
         (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     # texts are read once; the rankings below run over the narrow rows
-    rows = stored(rows.withColumn("digest", seeded_hash(seed, F.col("doc_id"), F.col("text_crc32"), F.col("size"))), "shard-rows")
-    ranked = hash_rank(rows, ["stratum"], "digest", ["doc_id", "text_crc32", "size"], "r")
-    totals = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    placed = ranked.join(totals, "stratum").withColumn("at", (2 * F.col("r") - 1).cast("double") / (2 * F.col("n")))
-    placed = bucketed_rank(placed.drop("n"), [], F.floor(F.col("at") * FRACTIONS),
+    digest = seeded_hash(seed, F.col("doc_id"), F.col("text_crc32"), F.col("size"))
+    rows = stored(rows.withColumn("digest", digest).withColumn("bucket", F.substring("digest", 1, 3)), "shard-rows")
+    # rank within the stratum: rows before the row's hash bucket, from counts, and a sort inside it
+    whole = Window.partitionBy("stratum")
+    earlier = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("here"))
+    counts = counts.select("stratum", "bucket", F.coalesce(F.sum("here").over(earlier), F.lit(0)).alias("before"),
+                           F.sum("here").over(whole).alias("n"))
+    inside = Window.partitionBy("stratum", "bucket").orderBy("digest", "doc_id", "text_crc32", "size")
+    r = F.col("before") + F.row_number().over(inside)
+    placed = rows.join(counts, ["stratum", "bucket"]).withColumn(
+        "at", (2 * r - 1).cast("double") / (2 * F.col("n"))).drop("digest", "bucket", "before", "n")
+    placed = bucketed_rank(stored(placed, "shard-fractions"), [], F.floor(F.col("at") * FRACTIONS),
                            [F.col("at"), F.col("stratum")], "p")
     total = rows.count()
     cut = placed.withColumn("position", F.col("p") - 1)
