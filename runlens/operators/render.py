@@ -153,10 +153,11 @@ def strip_identifiers(df: DataFrame, column: str, tokens: dict[str, str], counts
     for token, klass in sorted(tokens.items(), key=lambda kv: -len(kv[0])):
         edge = r"[\w/]" if "/" in token or "." in token else r"\w"
         pattern = rf"(?U)(?<!{edge})\Q{token}\E(?!{edge})"
-        changed = {column: F.regexp_replace(column, pattern, "[" + klass + "]")}
+        there = c(column).contains(token)  # most texts hold few tokens, so most passes end here
+        changed = {column: F.when(there, F.regexp_replace(column, pattern, "[" + klass + "]")).otherwise(c(column))}
         if counts:
             name = f"{column}_{klass}"
-            changed[name] = c(name) + F.regexp_count(column, F.lit(pattern))
+            changed[name] = c(name) + F.when(there, F.regexp_count(column, F.lit(pattern))).otherwise(0)
         out = out.withColumns(changed)
     return out.withColumn(column, F.regexp_replace(column, r"(?U)`\[(\w+)\]`", "[$1]"))
 
