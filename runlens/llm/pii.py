@@ -30,7 +30,7 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 PATTERNS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "secret": r"(?i:token|secret|password|api[_-]?key)\s*[=:]\s*[\"']?[0-9A-Fa-f]{32,}(?![0-9A-Za-z])",
-    "iso_date": r"(?<![\w.-])\d{4}-\d{2}-\d{2}(?![\w-])",
+    "iso_date": r"(?<![\w.-])\d{4}-\d{2}-\d{2}(?!(?![Tt]\d{2}(?!\d))[\w-])",
     "day_date": r"(?<![\w./-])\d{2}[./]\d{2}[./]\d{4}(?![\w/]|\.\d)",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)",
@@ -39,6 +39,14 @@ PATTERNS = {
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]|\.\d)",
 }
+#: National digits by country code, fewest and most (fixed values); elsewhere at most 15 digits in all.
+PLANS = {
+    "1": (10, 10), "7": (10, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "41": (9, 9),
+    "44": (9, 10), "45": (8, 8), "46": (7, 9), "47": (8, 8), "48": (9, 9), "52": (10, 10), "55": (10, 11), "61": (9, 9),
+    "81": (9, 10), "82": (8, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10), "351": (9, 9), "420": (9, 9),
+}
+#: Usual groupings of card numbers, tried before all others (fixed values).
+_CARD_SHAPES = re.compile(r"\d{13,19}(?![\d])|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?!\d)|\d{4}([ -])\d{6}\2\d{4,5}(?!\d)", re.ASCII)
 _FINDER = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in PATTERNS.items()), re.ASCII)
 #: What every value contains; a text without any of it is not searched.
 _HINT = re.compile(r"\d|@", re.ASCII)
@@ -144,7 +152,15 @@ def _date(value: str, p: Permuter, form: str) -> str | None:
 
 
 def _day_date(value: str, p: Permuter) -> str | None:
-    return _date(value, p, f"%d{value[2]}%m{value[5]}%Y") if value[2] == value[5] else None
+    """Day before month; with slashes month before day where only that is a date, now and afterwards."""
+    if value[2] != value[5]:
+        return None
+    new = _date(value, p, f"%d{value[2]}%m{value[5]}%Y")
+    if new is None and value[2] == "/":
+        new = _date(value, p, "%m/%d/%Y")
+        while new is not None and int(new[3:5]) <= 12:
+            new = _date(new, p, "%m/%d/%Y")
+    return new
 
 
 def _ip(value: str, p: Permuter) -> str | None:
@@ -154,10 +170,15 @@ def _ip(value: str, p: Permuter) -> str | None:
     return ".".join(map(str, p.digits([int(o) for o in octets], [256] * 4, "ip")))
 
 
+def _country(value: str) -> int:
+    """Length of the plus sign and the country code of a phone number."""
+    head = re.match(r"\+\d{1,3}(?=[ .(-])", value)
+    return len(head.group()) if head else 2
+
+
 def _phone(value: str, p: Permuter) -> str | None:
     """Country code stays, the national number is permuted; at least 7 and at most 15 digits in all."""
-    head = re.match(r"\+\d{1,3}(?=[ .(-])", value)
-    keep = len(head.group()) if head else 2
+    keep = _country(value)
     digits = _digits(value[keep:])
     if not 7 <= len(digits) + keep - 1 <= 15:
         return None
@@ -225,23 +246,63 @@ def replaced(text: str, key: str, inverse: bool = False) -> tuple[str, list[tupl
     return "".join([*out, text[last:]]), found
 
 
-def _values(text: str, permuter: Permuter) -> Iterator[tuple[str, int, int, str]]:
-    at = 0
+def _shorter(kind: str, value: str) -> list[str]:
+    """What a match may stand for, in the order of trial: the match and prefixes that end before a separator.
+
+    A phone number ends with the longest prefix that its country's plan allows. A card number is
+    first read in its usual groupings, then as a whole, then as ever fewer groups of three digits or more.
+    """
+    if kind == "phone":
+        keep = _country(value)
+        low, high = PLANS.get(value[1:keep], (0, 0))
+        ends = [m.start() for m in re.finditer(r"(?<=\d)[ .-]", value) if m.start() > keep] + [len(value)]
+        fit = [e for e in ends if low <= len(_digits(value[keep:e])) <= high]
+        return [value[:fit[-1]] if fit else value]
+    if kind != "card":
+        return [value]
+    usual = _CARD_SHAPES.match(value)
+    ends = [m.start() for m in re.finditer("[ -]", value)]
+    fewer = [value[:e] for e in reversed(ends) if len(_digits(value[:e])) >= 13]
+    fewer = [v for v in fewer if all(len(g) >= 3 for g in re.split("[ -]", v))]
+    return list(dict.fromkeys([*([usual.group()] if usual else []), value, *fewer]))
+
+
+def _next(text: str, at: int, permuter: Permuter) -> tuple[str, int, int, str, bool, int] | None:
+    """The first value from ``at`` on: kind, start, end, pseudonym, whether another reading failed
+    before this one, and where the first such reading began."""
+    doubt, origin = False, 0
     while match := _FINDER.search(text, at):
-        kind, value = match.lastgroup, match.group()
-        new = _RULES[kind](value, permuter)
-        if new is not None:
-            yield kind, match.start(), match.end(), new
-            at = match.end()
-            continue
+        kind, start = match.lastgroup, match.start()
+        if not doubt:
+            origin = start
+        for value in _shorter(kind, match.group()):
+            if (new := _RULES[kind](value, permuter)) is not None:
+                return kind, start, start + len(value), new, doubt, origin
+            doubt |= kind == "card"
         for other, rule in _RULES.items():  # what fails one rule may pass a later one at the same place
-            again = re.compile(PATTERNS[other], re.ASCII).match(text, match.start()) if other != kind else None
-            if again and (new := rule(again.group(), permuter)) is not None:
-                yield other, again.start(), again.end(), new
-                at = again.end()
+            again = re.compile(PATTERNS[other], re.ASCII).match(text, start) if other != kind else None
+            for value in _shorter(other, again.group()) if again else ():
+                if (new := rule(value, permuter)) is not None:
+                    return other, start, start + len(value), new, doubt, origin
+                doubt |= other == "card"
+        border = re.search("[ -]", match.group()) if kind in ("phone", "card") else None
+        at = start + border.end() if border else match.end()
+    return None
+
+
+def _values(text: str, permuter: Permuter) -> Iterator[tuple[str, int, int, str]]:
+    at = 0
+    while found := _next(text, at, permuter):
+        kind, start, end, new, doubt, origin = found
+        while doubt:  # a reading that failed must fail with the pseudonym too: walks the permutation on
+            low, high = max(at, origin), min(len(text), end + 64)
+            before = text[max(0, low - 64):start]
+            seen = _next(before + new + text[end:high], low - max(0, low - 64), permuter)
+            if seen and (seen[0], seen[1], seen[2]) == (kind, len(before), len(before) + len(new)):
                 break
-        else:
-            at = match.end()
+            new = _RULES[kind](new, permuter)
+        yield kind, start, end, new
+        at = end
 
 
 def pseudonymise(docs: DataFrame, key: str = DEMONSTRATION_KEY, inverse: bool = False, text: str = "text",

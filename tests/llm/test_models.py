@@ -125,6 +125,30 @@ def test_pseudonyms_keep_the_format_and_come_back(kind):
     assert pii.replaced("4111111111111111", "k")[0] == pii.replaced("4111-1111-1111-1111", "k")[0].replace("-", "")
 
 
+@pytest.mark.parametrize("value, behind", [
+    ("4111 1111 1111 1111", " 12/25"), ("4111111111111111", " 737"), ("3782 822463 10005", " 1234"), ("41111111 11111111", " 123"),
+    ("+1 555 123 4567", " 20 units"), ("+49 30 1234567", " x"), ("2021-03-04", "T10:00"), ("12/31/2020", " x"), ("28/02/2001", " x"),
+])
+def test_values_before_other_numbers(value, behind):
+    for before in ("é ", "1234 " if value.startswith("4111 ") else "at "):
+        new, found = pii.replaced(before + value + behind, "k")
+        assert len(found) == 1 and new.startswith(before) and new.endswith(behind) and new != before + value + behind
+        assert pii.replaced(new, "k", inverse=True)[0] == before + value + behind
+    if value != "41111111 11111111":
+        assert pii.replaced(f"é {value}{behind}", "k")[0] == pii.replaced(f"é {value}", "k")[0] + behind
+
+
+def test_doubtful_readings_come_back():
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        body = [int(d) for d in rng.integers(0, 10, 15)]
+        number = "".join(map(str, [*body, pii.luhn(body)]))
+        value = rng.choice([f"{number[:8]} {number[8:]}", " ".join(number[k:k + 4] for k in range(0, 16, 4))])
+        text = f"{rng.integers(100, 9999)} {value} {rng.integers(0, 999):03d}, 03/{rng.integers(13, 29)}/1999"
+        new, found = pii.replaced(text, "k")
+        assert "card" in [f[0] for f in found] and pii.replaced(new, "k", inverse=True)[0] == text
+
+
 def test_what_does_not_validate_stays():
     text = "9807915762804490 999.1.1.1 2001-02-29 31.02.1999 DE88370400440532013000 000-12-3456 1.2.3 123456 12:30 x@y 1,234,567"
     assert pii.replaced(text, "k") == (text, [])
