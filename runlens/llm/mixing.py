@@ -4,14 +4,16 @@ A softmax classifier, fitted on a bounded sample of a labelled table, gives ever
 posterior over domains. Each document gets a non-negative rate, its expected number of copies;
 the rates solve a weighted least-squares problem: the expected tokens of every domain, tokens
 times rate times posterior summed over all documents, shall match the targets while rates stay as
-close to 1 as that allows, and at most ``MOST_COPIES`` (a target that the corpus cannot reach would
-otherwise repeat a few documents without end). It is solved by projected gradient steps, each one aggregation over the
+close to 1 as that allows. Only targets that no rates reach are approached with at most ``MOST_COPIES``
+(they would otherwise repeat a few documents without end), and reported. It is solved by projected
+gradient steps, scaled by the spread of the posteriors whose rates are free, each one aggregation over the
 posteriors; a rate depends on a document's posterior and the residuals of the steps only, so no
 state is kept per document. Posteriors are whole 1/``GRID``, which lets equal ones be summed first.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.llm import tokens as vocabularies
 from runlens.llm.arrow import map_batches, stored, texts_of
 from runlens.llm.words import SPREAD, Words, blocks
 
@@ -35,6 +38,7 @@ STEPS = 40
 PULL = 1e-3
 MOST_COPIES = 4.0
 TOLERANCE = 1e-4
+VOCABULARY = "byte_bpe_50k.json"
 
 
 # ---------------------------------------------------------------- classifier
@@ -188,16 +192,23 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], limit: int =
 
 @dataclass
 class Mixture:
-    """Targets, metric, and the residual of every step: all that a document's rate depends on."""
+    """Domains, bound, and the direction of every step: all that a document's rate depends on.
+
+    ``residual``: largest difference between a domain's expected share and its target.
+    """
 
     domains: list[str]
-    metric: np.ndarray
     pull: float
     most: float = MOST_COPIES
-    residuals: list[list[float]] = field(default_factory=list)
+    moves: list[list[float]] = field(default_factory=list)
+    residual: float = 0.0
+
+    @property
+    def reached(self) -> bool:
+        return self.residual < TOLERANCE
 
     def directions(self) -> np.ndarray:
-        return np.array(self.residuals, dtype=float).reshape(-1, len(self.domains)) @ self.metric
+        return np.array(self.moves, dtype=float).reshape(-1, len(self.domains))
 
     def rate(self, units: Column) -> Column:
         """The rate of a posterior: the projected gradient steps, one after the other, from 1."""
@@ -213,14 +224,15 @@ class Mixture:
         return F.aggregate(F.array(*steps), F.lit(1.0), move)
 
 
-def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, n_tokens (words), units (posterior in 1/GRID, by domain)."""
+def posteriors(docs: DataFrame, model: Classifier, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, n_tokens (by the vocabulary file that packing uses), units (posterior in 1/GRID, by domain)."""
+    path = vocabulary or vocabularies.public_path(VOCABULARY)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # weights by cell and domain, a fixed size
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, counts, units = texts_of(batch), [], []
         for a, b in blocks(texts):
-            counts += [len(t.split()) for t in texts[a:b]]
+            counts += [len(ids) for ids in vocabularies.byte_level(path)(texts[a:b])]
             units += shared.value.units(texts[a:b]).tolist()
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()),
                                            pa.array(units, pa.list_(pa.int64()))], ["doc_id", "n_tokens", "units"])
@@ -229,30 +241,51 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
                        "doc_id long, n_tokens long, units array<long>")
 
 
-def solve(rows: DataFrame, targets: dict[str, float], steps: int = STEPS, pull: float = PULL) -> Mixture:
-    """Projected gradient over (units, n_tokens); the targets are shares of all tokens."""
+def solve(rows: DataFrame, targets: dict[str, float], steps: int = STEPS, pull: float = PULL,
+          most: float | None = MOST_COPIES) -> Mixture:
+    """Projected gradient over (units, n_tokens); the targets are shares of all tokens.
+
+    With ``most`` None rates are bounded by what a target can need at all: the tokens of all domains
+    from the smallest cell of equal posteriors. If that does not reach the targets, the rates are
+    those of ``MOST_COPIES``, with a warning; ``residual`` of the result says how far they are off.
+    """
     domains, total = list(targets), sum(targets.values())
     if total <= 0 or min(targets.values()) < 0:
         raise ValueError("targets must be non-negative and not all zero")
     goal = np.array([targets[d] / total for d in domains])
-    cells = stored(rows.groupBy("units").agg(F.sum("n_tokens").alias("tokens")), "posterior-cells")
-    d = range(len(domains))
-    share = [F.get("units", F.lit(k)) / F.lit(float(GRID)) for k in d]
-    first = cells.agg(F.sum("tokens").alias("all"), *[
-        F.sum(F.col("tokens") * share[i] * share[k]).alias(f"h{i}_{k}") for i in d for k in d]).first()
+    cells = stored(rows.groupBy("units").agg(F.sum("n_tokens").alias("tokens")), "posterior-cells").where("tokens > 0")
+    first = cells.agg(F.sum("tokens").alias("all"), F.min("tokens").alias("least")).first()
     tokens = float(first["all"] or 0)
-    mixture = Mixture(domains, np.eye(len(domains)), pull)
     if not tokens:
-        return mixture
-    spread = np.array([[first[f"h{i}_{k}"] / tokens for k in d] for i in d])
-    mixture.metric = np.linalg.inv(spread + 1e-6 * np.eye(len(domains)))
-    for _ in range(steps):
-        rate = mixture.rate(F.col("units"))
-        got = cells.agg(*[F.sum(F.col("tokens") * rate * share[k]).alias(f"t{k}") for k in d]).first()
+        return Mixture(domains, pull, MOST_COPIES if most is None else most)
+    if most is not None:
+        return _steps(cells, tokens, goal, Mixture(domains, pull, most), steps)
+    mixture = _steps(cells, tokens, goal, Mixture(domains, pull, len(domains) * tokens / float(first["least"])), steps)
+    if not mixture.reached:
+        mixture = _steps(cells, tokens, goal, Mixture(domains, pull, MOST_COPIES), steps)
+        if not mixture.reached:
+            warnings.warn(f"targets {targets} are not reached, largest difference of a share {mixture.residual:.4f}", stacklevel=2)
+    return mixture
+
+
+def _steps(cells: DataFrame, tokens: float, goal: np.ndarray, mixture: Mixture, steps: int) -> Mixture:
+    """Steps from the rates 1 until the expected shares are the targets, at most ``steps``."""
+    d, pull = range(len(goal)), mixture.pull
+    share = [F.get("units", F.lit(k)) / F.lit(float(GRID)) for k in d]
+    for number in range(steps + 1):
+        rated = cells.withColumn("rate", mixture.rate(F.col("units")))
+        free = F.when((F.col("rate") > 0) & (F.col("rate") < mixture.most), F.col("tokens")).otherwise(0)
+        got = rated.agg(*[F.sum(F.col("tokens") * F.col("rate") * share[k]).alias(f"t{k}") for k in d],
+                        *[F.sum(free * (F.col("rate") - 1) * share[k]).alias(f"f{k}") for k in d],
+                        *[F.sum(free * share[i] * share[k]).alias(f"h{i}_{k}") for i in d for k in d]).first()
         residual = np.array([got[f"t{k}"] / tokens for k in d]) - goal
-        if np.abs(residual).max() < TOLERANCE:
+        mixture.residual = float(np.abs(residual).max())
+        if mixture.reached or number == steps:
             break
-        mixture.residuals.append([round(float(x), 9) for x in residual])
+        spread = np.array([[got[f"h{i}_{k}"] / tokens for k in d] for i in d])
+        away = np.array([got[f"f{k}"] / tokens for k in d])  # what the pull towards 1 takes back
+        move = np.linalg.solve(spread + 1e-9 * np.eye(len(goal)), (1 + pull) * residual - pull * away)
+        mixture.moves.append([round(float(x), 9) for x in move])
     return mixture
 
 
@@ -262,10 +295,11 @@ def copies(rate: Column, *identity: Column) -> Column:
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("int")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> tuple[DataFrame, Mixture, Classifier]:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
+        most: float | None = MOST_COPIES) -> tuple[DataFrame, Mixture, Classifier]:
     """Per row doc_id, n_tokens, units, rate and copies; the fitted mixture and classifier with it.
 
-    ``targets``: share of all tokens for each domain. A null or empty text has no tokens, moves no
+    ``targets``: share of all tokens for each domain; ``most`` as in ``solve``. A null or empty text has no tokens, moves no
     total and has the rate of its posterior. Rows without an id and repeated rows are rows like
     any other (equal ids with equal token counts draw alike); other columns are not read. For an
     empty table there are no rows; without labels every posterior is the same and rates stay 1
@@ -273,18 +307,19 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> tupl
     """
     model = train(docs, labelled, list(targets))
     rows = stored(posteriors(docs, model), "posteriors")
-    mixture = solve(rows, targets)
+    mixture = solve(rows, targets, most=most)
     rated = rows.withColumn("rate", mixture.rate(F.col("units")))
     return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id"), F.col("n_tokens"))), mixture, model
 
 
-def apply(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
+def apply(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], most: float | None = MOST_COPIES) -> DataFrame:
     """The documents, all columns, each row as often as its copies say.
 
     Two passes over the texts: one for the totals, one to decide; texts are not shuffled. The
     same defined cases as in ``mix``; columns of any name are carried along.
     """
-    _, mixture, model = mix(docs, labelled, targets)
+    _, mixture, model = mix(docs, labelled, targets, most)
+    path = vocabularies.public_path(VOCABULARY)
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     hidden = "_units"
     while hidden in names:
@@ -294,7 +329,7 @@ def apply(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Da
         texts, units, counts = texts_of(batch), [], []
         for a, b in blocks(texts):
             units += shared.value.units(texts[a:b]).tolist()
-            counts += [len(t.split()) for t in texts[a:b]]
+            counts += [len(ids) for ids in vocabularies.byte_level(path)(texts[a:b])]
         both = pa.array([{"u": u, "n": n} for u, n in zip(units, counts)],
                         pa.struct([("u", pa.list_(pa.int64())), ("n", pa.int64())]))
         return pa.RecordBatch.from_arrays([*batch.columns, both], [*batch.schema.names, hidden])

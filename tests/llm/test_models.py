@@ -191,6 +191,32 @@ def test_an_unreachable_target_stays_bounded(spark):
     assert got.rate.between(0, mixing.MOST_COPIES).all() and got.rate.iloc[-1] > 3.9
 
 
+@pytest.mark.parametrize("rare, goal", [([0, 256], 0.07), ([0, 256], 0.5), ([20, 236], 0.3)])
+def test_rare_domains_reach_their_targets(spark, rare, goal):
+    rows = spark.createDataFrame([(i, 100, [256, 0] if i % 100 else rare) for i in range(1000)],
+                                 "doc_id long, n_tokens long, units array<long>")
+    mixture = mixing.solve(rows, {"a": 1 - goal, "b": goal}, most=None)
+    got = rows.selectExpr("n_tokens", "units", "units[1] / 256 AS b").withColumn("rate", mixture.rate(F.col("units")))
+    sums = got.selectExpr("sum(n_tokens * rate * b)", "sum(n_tokens * rate)", "sum(n_tokens)").first()
+    assert mixture.reached and abs(sums[0] / sums[2] - goal) < 1e-3 and abs(sums[1] / sums[2] - 1) < 1e-3
+
+
+def test_an_impossible_target_is_reported(spark):
+    rows = spark.createDataFrame([(i, 100, [250, 6] if i % 10 else [56, 200]) for i in range(100)], "doc_id long, n_tokens long, units array<long>")
+    with pytest.warns(UserWarning, match="not reached"):
+        mixture = mixing.solve(rows, {"a": 0.05, "b": 0.95}, most=None)
+    assert not mixture.reached and mixture.most == mixing.MOST_COPIES and mixture.residual > 0.1
+
+
+def test_tokens_are_those_of_packing(spark):
+    from runlens.llm import packing, tokens
+
+    docs = spark.createDataFrame([(1, "x" * 3000), (2, "日本語" * 400), (3, ""), (4, "two words")], "doc_id long, text string")
+    rated, _, _ = mixing.mix(docs, queries.label_domains(labels(spark, [])), queries.TARGETS)
+    want = {r["doc_id"]: r["doc_tokens"] - 1 for r in packing.pack(docs, tokens.public_path("byte_bpe_50k.json")).collect()}  # without the end mark
+    assert {r["doc_id"]: r["n_tokens"] for r in rated.collect()} == want and want[1] > 100
+
+
 def test_domains_are_learned(spark):
     docs = spark.read.parquet(f"{WIDER}/documents.parquet")
     known = queries.label_domains(spark.read.parquet(f"{WIDER}/labels.parquet"))
