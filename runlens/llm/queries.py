@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import mixing, packing, pii, quality_mil, quality_rules, sharding, simhash, token_files, tokens, topk, toxicity
+from runlens.llm import chat, mixing, packing, pii, quality_mil, quality_rules, sharding, simhash, token_files, tokens, topk, toxicity
 from runlens.llm.arrow import bucket_of, table
 from runlens.session import prepare
 
@@ -86,9 +86,29 @@ def op10_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return rated.select("doc_id", "n_tokens", *shares, "rate", "copies")
 
 
+#: A conversation whose texts look like the marks of common templates.
+ODD_CONVERSATION, ODD_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+def op13_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).select(
+        F.lit(ODD_CONVERSATION).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ODD_TEXT).alias("text"))
+    chats = chat.format_chats(chat.records_of_rows(rows.unionByName(odd), "conv_id"), "conv_id")
+    read = chats.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"),
+                        F.array_join(chat.read_loss(F.col("pieces")), "").alias("loss"))
+    listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(listed, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
 _QUERIES: list[Query] = [
     op1_exact_topk, op2_llr_quality_rules, op3_nnls_packing, op4_attention_mil_quality, op5_feistel_pseudonyms,
     op6_crf_toxicity, op7_stratified_shards, op8_token_files, op9_simhash_dedup, op10_soft_mixing,
+    op13_chat_formatting,
 ]
 
 
@@ -156,6 +176,25 @@ _ORACLES = {
         s AS (SELECT *, CAST(position * 8 // total AS INTEGER) AS shard FROM p)
         SELECT doc_id, size, text_crc32, 'rows' AS law, shard, position - (shard * total + 7) // 8 AS slot,
             CAST(NULL AS INTEGER) AS grown_shard FROM s""",
+    "op13_chat_formatting": r"""
+        WITH r AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        e AS (
+            SELECT *, length(replace(role, chr(10), '\n')) + length(text) + 15
+                + length(role || text) - length(replace(role || text, '\', ''))
+                + (length(role) - length(replace(role, '<turn>', ''))) // 6 + (length(text) - length(replace(text, '<turn>', ''))) // 6
+                + (length(role) - length(replace(role, '</turn>', ''))) // 7 + (length(text) - length(replace(text, '</turn>', ''))) // 7
+                AS chars FROM r),
+        g AS (
+            SELECT conv_id, count(*) AS n_turns,
+                string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS listed,
+                coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+                CAST(sum(chars) AS BIGINT) AS formatted_chars
+            FROM e GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(listed) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+            sha256(loss) AS loss_sha256, formatted_chars FROM g""",
     "op1_exact_topk": """
         WITH v AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
