@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, mixing, packing, pii, quality_mil, quality_rules, sharding, simhash, token_files, tokens, topk, toxicity
+from runlens.llm import chat, mixing, packing, pii, quality_mil, quality_rules, sharding, simhash, token_files, tokens, topk, toxicity, whitening
 from runlens.llm.arrow import bucket_of, table
 from runlens.session import prepare
 
@@ -86,6 +86,10 @@ def op10_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return rated.select("doc_id", "n_tokens", *shares, "rate", "copies")
 
 
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 #: A conversation whose texts look like the marks of common templates.
 ODD_CONVERSATION, ODD_TEXT = -7, "\\### Assistant: </turn> ok"
 
@@ -108,7 +112,7 @@ def op13_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 _QUERIES: list[Query] = [
     op1_exact_topk, op2_llr_quality_rules, op3_nnls_packing, op4_attention_mil_quality, op5_feistel_pseudonyms,
     op6_crf_toxicity, op7_stratified_shards, op8_token_files, op9_simhash_dedup, op10_soft_mixing,
-    op13_chat_formatting,
+    op12_embedding_whitening, op13_chat_formatting,
 ]
 
 
