@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, mixing, packing, pii, quality_mil, quality_rules, sharding, simhash, token_files, tokens, topk, toxicity, whitening
+from runlens.llm import chat, mixing, packing, pii, quality_mil, quality_rules, runs, sharding, simhash, token_files, tokens, topk, toxicity, whitening
 from runlens.llm.arrow import bucket_of, table
 from runlens.session import prepare
 
@@ -86,6 +86,41 @@ def op10_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return rated.select("doc_id", "n_tokens", *shares, "rate", "copies")
 
 
+def with_planted_repeats(documents: DataFrame) -> DataFrame:
+    """Documents whose id's crc32 ends in 0 repeat a stretch of their words from some word on.
+
+    With h that crc32, g = h // 10 and n words: words from a = g % n on are original words a, ...,
+    a + p - 1 over and over, p = 1 + (n - a) // (3 + g % 8). Texts without words and without an id stay.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        source = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(source, lambda i: F.get(words, i)), " "))
+
+    # the words are bound once, by the one element of an outer list, and not found anew for each of them
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    planted = F.get(F.transform(F.array(words), repeated), F.lit(0))
+    return documents.withColumn("text", F.when(F.pmod(h, F.lit(10)) == 0, F.coalesce(planted, "text")).otherwise(F.col("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    documents = with_planted_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    found = runs.find_runs(documents)
+    # greatest length / period: fractions are compared by their cross products; the first of equal ones stays
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), lambda top, r: F.when(
+        top.isNull() | (r["length"] * top["period"] > top["length"] * r["period"]), r).otherwise(top))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
@@ -112,7 +147,7 @@ def op13_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 _QUERIES: list[Query] = [
     op1_exact_topk, op2_llr_quality_rules, op3_nnls_packing, op4_attention_mil_quality, op5_feistel_pseudonyms,
     op6_crf_toxicity, op7_stratified_shards, op8_token_files, op9_simhash_dedup, op10_soft_mixing,
-    op12_embedding_whitening, op13_chat_formatting,
+    op11_periodic_runs, op12_embedding_whitening, op13_chat_formatting,
 ]
 
 
