@@ -21,9 +21,16 @@ def entries_of(t):
     """Nested entry rows built from the flat turns."""
     turns = t.view("turns")
     speaks = c("role") == "assistant"
+    number = (c("n") % 5).cast("string")
+    title = (
+        F.when(c("n") % 4 == 0, F.concat(number, F.lit(".0")))
+        .when(c("n") % 4 == 1, F.concat(F.lit('9, "title": '), number))
+        .when(c("n") % 4 == 2, F.concat(F.lit('{"b":['), number, F.lit(',2e1] , "a":"x\\u0041"}')))
+        .otherwise(number)
+    )
     arguments = (
         F.when(c("tool_name") == "todo_list_tasks", F.concat(
-            F.lit('{"title": '), (c("n") % 5).cast("string"), F.lit(', "task_id": "t'), (c("n") % 3).cast("string"), F.lit('"}')))
+            F.lit('{"title": '), title, F.lit(', "task_id": "t'), (c("n") % 3).cast("string"), F.lit('"}')))
         .when(c("tool_name") == "finish", F.concat(F.lit('{"answer": "A  '), c("n").cast("string"), F.lit('"}')))
         .otherwise(F.to_json(F.struct("command")))
     )
@@ -79,7 +86,8 @@ KLASS = """CASE WHEN n % 6 = 0 THEN 'final' WHEN tool_name = 'finish' THEN 'fini
 SELECT rollout_id, step, idx, name, klass, CASE klass WHEN 'shell_mut' THEN 'shell_mut:' || CASE n % 5 WHEN 1 THEN 'out' || (n % 9) || '.txt' ELSE 'report.md' END
   WHEN 'shell_opaque' THEN 'shell_opaque:' || cmd WHEN 'tool' THEN name || ':{{"task_id": "t' || (n % 3) || '"}}' ELSE klass END AS identity,
  CASE klass WHEN 'final' THEN 'final:' || LOWER(TRIM(REGEXP_REPLACE(content, '\\s+', ' ', 'g'))) WHEN 'finish' THEN 'finish:a ' || n
-  WHEN 'tool' THEN name || ':{{"task_id":"t' || (n % 3) || '","title":' || (n % 5) || '}}' ELSE 'shell:' || cmd END AS exact
+  WHEN 'tool' THEN name || ':{{"task_id": "t' || (n % 3) || '", "title": ' || CASE n % 4 WHEN 0 THEN (n % 5) || '.0'
+   WHEN 2 THEN '{{"a": "xA", "b": [' || (n % 5) || ', 20.0]}}' ELSE CAST(n % 5 AS VARCHAR) END || '}}' ELSE 'shell:' || cmd END AS exact
 FROM (SELECT rollout_id, step, 0 AS idx, n, content, {NORMAL} AS cmd, {KLASS} AS klass, CASE WHEN n % 6 = 0 THEN '__final__' ELSE tool_name END AS name
  FROM turns WHERE role = 'assistant')""")
 def _(t):

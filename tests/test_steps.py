@@ -60,7 +60,7 @@ def test_actions_identity_and_classes(spark):
     out = trj.actions(frame(spark, entries("r", [[UPDATE, LIST], [("x", None)], "final  Words"]))).orderBy("step", "idx").collect()
     assert [r.klass for r in out] == ["tool", "tool", "tool", "final"]
     assert out[0].identity == 'todo_update_task:{"task_id": "todo_001"}'
-    assert out[0].exact == 'todo_update_task:{"status":"done","task_id":"todo_001"}'
+    assert out[0].exact == 'todo_update_task:{"status": "done", "task_id": "todo_001"}'
     assert out[1].identity == "todo_list_tasks:{}"
     assert out[3].exact == "final:final words"
 
@@ -69,7 +69,7 @@ def test_arguments_that_are_no_object_are_kept(spark):
     rows = entries("r", [[LIST]])
     broken = [(r[0], r[1], r[2], r[3], (r[4][0], None, [("a", "tool_a", "not json"), ("b", "tool_b", "[1, 2]"), ("d", "tool_d", None)]) if r[4] else None, *r[5:]) for r in rows]
     out = {r.name: r.exact for r in trj.actions(frame(spark, broken)).collect()}
-    assert out == {"tool_a": 'tool_a:{"raw":"not json"}', "tool_b": 'tool_b:{"value":[1,2]}', "tool_d": 'tool_d:{"value":null}'}
+    assert out == {"tool_a": 'tool_a:{"raw": "not json"}', "tool_b": 'tool_b:{"value": [1, 2]}', "tool_d": 'tool_d:{"value": null}'}
 
 
 @pytest.mark.parametrize(("command", "klass"), [
