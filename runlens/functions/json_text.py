@@ -12,6 +12,8 @@ a tree of this size, built Column by Column, would take a second of round trips
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,8 +32,13 @@ _SLASH = "char(92)"
 _SHORT = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _let(value: str, name: str, body: str) -> str:
-    """``body`` with ``name`` for a value that is computed once, however often the body mentions it."""
+    """The same in SQL text: ``name`` stands for the value in ``body``."""
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens import fixed
+from runlens.functions import json_text as jt
 from runlens.functions import scale
 from runlens.functions import text as tx
 
@@ -122,8 +124,13 @@ def identifier_tokens(
     tools: Iterable[str] = (),
     layers: Iterable[str] = (),
     components: Iterable[str] = (),
+    extra: Iterable[str] = fixed.EXTRA_IDENTIFIERS,
 ) -> dict[str, str]:
-    """Token -> placeholder class for a manifest; component ids win over same-named tokens."""
+    """Token -> placeholder class for a manifest; component ids win over same-named tokens.
+
+    ``extra`` are names outside the manifest: a routine with a capital first letter, else a path,
+    where the manifest does not say otherwise.
+    """
     tokens = {f: "path" for f in files}
     for symbol in symbols:
         path, _, rest = symbol.partition(":")
@@ -134,32 +141,104 @@ def identifier_tokens(
         else:
             tokens.update({p: "routine" for p in name.split(".") if p not in ("", "__init__")})
     tokens.update({t: "tool" for t in [*tools, fixed.SHELL_TOOL, fixed.FINISH_TOOL]})
+    for name in extra:
+        tokens.setdefault(name, "routine" if name[0].isupper() else "path")
     tokens.update({x: "layer" for x in layers})
     tokens.update({x: "component" for x in components})
     return tokens
 
 
+def any_of(words: Iterable[str]) -> str:
+    """A pattern for the longest of the words at a place: their trie, so that shared beginnings are read once."""
+    trie: dict = {}
+    for word in words:
+        node = trie
+        for char in word:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        parts = [_literal(char) + pattern(below) for char, below in sorted(node.items()) if char]
+        if not parts:
+            return ""
+        together = f"(?:{'|'.join(parts)})" if len(parts) > 1 or "" in node else parts[0]
+        return together + "?" if "" in node else together
+
+    return pattern(trie)
+
+
+def _literal(text: str) -> str:
+    return "".join(x if x.isalnum() or x == "_" else "\\" + x if x.isascii() and not x.isspace() else f"\\x{{{ord(x):x}}}" for x in text)
+
+
+def _vocabulary(tokens: dict[str, str]) -> tuple[list[dict], dict[str, list[int]]]:
+    """Tokens in the order of replacement, and for each which places in it an occurrence may need.
+
+    Those are the tokens inside it (it may itself be held back by its neighbours) and, as one
+    replaced text may hold another token, the tokens inside their placeholders, and so on.
+    """
+    order = sorted((t for t in tokens if t), key=lambda t: -len(t))
+    rows = []
+    for token in order:
+        edge = r"[\w/]" if "/" in token or "." in token else r"\w"
+        rows.append({"pattern": rf"(?U)(?<!{edge}){_literal(token)}(?!{edge})", "mark": f"[{tokens[token]}]", "class": tokens[token]})
+    inside = {token: {k for k, t in enumerate(order) if t in token} for token in order}
+    by_mark = {row["mark"]: {k for k, t in enumerate(order) if t in row["mark"]} for row in rows}
+    bracketed = {k for k, t in enumerate(order) if "[" in t or "]" in t}
+    places = {}
+    for token in order:
+        found, new = set(), inside[token] | bracketed
+        while new - found:
+            found |= new
+            new = set().union(*(by_mark[rows[k]["mark"]] for k in new))
+        places[token] = sorted(found)
+    return rows, places
+
+
+def stripped(text: Column, tokens: dict[str, str]) -> Column:
+    """struct<text, counts>: the text with tokens replaced by class placeholders, longest first;
+    ``counts`` is a struct of the replacements per class.
+
+    One pass over the text finds which tokens occur at all; a fold over those, in order of length,
+    cuts the running text at each one and joins the parts with its placeholder.
+    """
+    classes = sorted(set(tokens.values()))
+    rows, places = _vocabulary(tokens)
+    if not rows:
+        counts = F.struct(*[F.lit(0).alias(k) for k in classes or ["none"]])
+        return F.struct(text.alias("text"), counts.alias("counts"))
+    vocabulary = F.from_json(F.lit(json.dumps(rows)), "array<struct<pattern:string,mark:string,class:string>>")
+    where = F.from_json(F.lit(json.dumps(places)), "map<string,array<int>>")
+    hits = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({any_of(places)}))"), F.lit(1)))
+    needed = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda x: F.try_element_at(where, x)))))
+    zero = F.struct(text.alias("text"), F.struct(*[F.lit(0).alias(k) for k in classes]).alias("counts"))
+
+    def replaced(acc: Column, place: Column) -> Column:
+        def joined(row: Column) -> Column:
+            return jt.let(F.split(acc["text"], row["pattern"], -1), lambda parts: F.struct(
+                F.call_function("array_join", parts, row["mark"]).alias("text"),
+                F.struct(*[(acc["counts"][k] + F.when(row["class"] == k, F.size(parts) - 1).otherwise(0)).alias(k) for k in classes]).alias("counts")))
+
+        return jt.let(F.get(vocabulary, place), joined)
+
+    def unquoted(acc: Column) -> Column:
+        return F.struct(F.regexp_replace(acc["text"], r"(?U)`\[(\w+)\]`", "[$1]").alias("text"), acc["counts"].alias("counts"))
+
+    return F.aggregate(needed, zero, replaced, unquoted)
+
+
 def strip_identifiers(df: DataFrame, column: str, tokens: dict[str, str], counts: bool = True) -> DataFrame:
     """Replaces tokens, longest first, by class placeholders; adds ``<column>_<class>`` counts.
 
-    The token list is a manifest vocabulary of a few hundred entries. One projection per token
-    keeps the running text from being evaluated more than once.
+    Null texts stay null, with counts of zero. The tokens are a manifest's vocabulary, a few
+    hundred names or more: a text is searched for all of them at once.
     """
-    classes = sorted(set(tokens.values()))
-    out = df
+    out = df.withColumn("_stripped", stripped(c(column), tokens))
+    made = {column: c("_stripped.text")}
     if counts:
-        for k in classes:
-            out = out.withColumn(f"{column}_{k}", F.lit(0))
-    for token, klass in sorted(tokens.items(), key=lambda kv: -len(kv[0])):
-        edge = r"[\w/]" if "/" in token or "." in token else r"\w"
-        pattern = rf"(?U)(?<!{edge})\Q{token}\E(?!{edge})"
-        there = c(column).contains(token)  # most texts hold few tokens, so most passes end here
-        changed = {column: F.when(there, F.regexp_replace(column, pattern, "[" + klass + "]")).otherwise(c(column))}
-        if counts:
-            name = f"{column}_{klass}"
-            changed[name] = c(name) + F.when(there, F.regexp_count(column, F.lit(pattern))).otherwise(0)
-        out = out.withColumns(changed)
-    return out.withColumn(column, F.regexp_replace(column, r"(?U)`\[(\w+)\]`", "[$1]"))
+        for k in sorted(set(tokens.values())):
+            made[f"{column}_{k}"] = F.coalesce(c(f"_stripped.counts.{k}"), F.lit(0))
+    return out.withColumns(made).drop("_stripped")
 
 
 # ------------------------------------------------------------------ caps and templates
@@ -181,30 +260,67 @@ def fit_text(text: Column, cap: Column) -> Column:
     return F.when(F.length(flat) <= cap, flat).otherwise(F.concat(F.regexp_replace(at_word, r"[ ,;:]+$", ""), F.lit(".")))
 
 
-def render_diagnosis(template: str = fixed.DIAGNOSIS_TEMPLATE) -> Column:
-    """The template filled from component, step, severity, cause_label, mechanism and fix_hint."""
+#: The free texts of a diagnosis.
+TEXT_FIELDS = ["mechanism", "fix_hint"]
+
+
+def render_diagnosis(template: str = fixed.DIAGNOSIS_TEMPLATE, texts: dict[str, Column] | None = None) -> Column:
+    """The template filled from component, step, severity, cause_label, mechanism and fix_hint;
+    ``texts`` are used in place of the columns of their names."""
     out = F.lit(template)
     for name in ("component", "step", "severity", "cause_label", "mechanism", "fix_hint"):
-        value = F.coalesce(c("step").cast("string"), F.lit("unknown")) if name == "step" else c(name)
+        value = (texts or {}).get(name, c(name))
+        value = F.coalesce(value.cast("string"), F.lit("unknown")) if name == "step" else value
         out = F.replace(out, F.lit("{" + name + "}"), value)
     return out
 
 
-def rendered_lengths(arms: DataFrame, tokens: dict[str, str]) -> DataFrame:
+def caps_of(diagnoses: DataFrame, tokens: dict[str, str], key: str = "cluster_id") -> DataFrame:
+    """(key, mechanism_cap, fix_hint_cap): per cluster the longest stripped text of each field, at least 20 characters."""
+    texts = diagnoses.select(key, *[stripped(c(f), tokens)["text"].alias(f) for f in TEXT_FIELDS])
+    return field_caps(texts, [key], TEXT_FIELDS)
+
+
+def render_diagnoses(
+    diagnoses: DataFrame, tokens: dict[str, str], caps: DataFrame | None = None, key: str = "cluster_id",
+    template: str = fixed.DIAGNOSIS_TEMPLATE,
+) -> DataFrame:
+    """Diagnoses with their rendered ``text`` and what rendering did to them.
+
+    Adds text, mechanism_length, fix_hint_length, mechanism_cut, fix_hint_cut and
+    placeholder_<class>, the replacements in both fields. ``caps`` (key, mechanism_cap,
+    fix_hint_cap) default to the longest texts of the cluster among these rows; a cluster without
+    caps is not cut. Where the component is named stays as it is, identifiers in the two texts are
+    replaced, then the texts are cut to their caps.
+    """
+    limits = caps_of(diagnoses, tokens, key) if caps is None else caps
+    rows = diagnoses.withColumns({f"_{f}": stripped(F.coalesce(c(f), F.lit("")), tokens) for f in TEXT_FIELDS})
+    rows = rows.join(limits.select(c(key), *[c(f"{f}_cap").alias(f"_{f}_cap") for f in TEXT_FIELDS]), key, "left")
+    flat = {f: tx.collapse(c(f"_{f}.text")) for f in TEXT_FIELDS}
+    cap = {f: F.coalesce(c(f"_{f}_cap"), F.length(flat[f])) for f in TEXT_FIELDS}
+    fitted = rows.withColumns({f"_{f}_fit": fit_text(c(f"_{f}.text"), cap[f]) for f in TEXT_FIELDS})
+    made = {"text": render_diagnosis(template, {f: c(f"_{f}_fit") for f in TEXT_FIELDS})}
+    made |= {f"{f}_length": F.length(f"_{f}_fit") for f in TEXT_FIELDS}
+    made |= {f"{f}_cut": F.length(flat[f]) > cap[f] for f in TEXT_FIELDS}
+    for k in sorted(set(tokens.values())):
+        made[f"placeholder_{k}"] = sum((F.coalesce(c(f"_{f}.counts.{k}"), F.lit(0)) for f in TEXT_FIELDS), F.lit(0))
+    return fitted.withColumns(made).drop(*[f"_{f}{end}" for f in TEXT_FIELDS for end in ("", "_cap", "_fit")])
+
+
+def rendered_lengths(arms: DataFrame, tokens: dict[str, str], caps: DataFrame | None = None) -> DataFrame:
     """(cluster_id, arm, mechanism_length, fix_hint_length, mechanism_cut, fix_hint_cut).
 
-    ``arms``: cluster_id, arm, mechanism, fix_hint. Texts are stripped, then capped by the
-    longest stripped text among the arms of their cluster.
+    ``arms``: cluster_id, arm, mechanism, fix_hint. Texts are stripped, then capped by ``caps``, or
+    by the longest stripped text among the arms of their cluster.
     """
-    fields = ["mechanism", "fix_hint"]
-    stripped = arms
-    for f in fields:
-        stripped = strip_identifiers(stripped, f, tokens, counts=False)
-    rows = stripped.join(field_caps(stripped, ["cluster_id"], fields), "cluster_id")
+    filled = arms.select("cluster_id", "arm", *TEXT_FIELDS)
+    limits = caps_of(filled, tokens) if caps is None else caps
+    texts = filled.select("cluster_id", "arm", *[stripped(c(f), tokens)["text"].alias(f) for f in TEXT_FIELDS])
+    rows = texts.join(limits, "cluster_id")
     return rows.select(
         "cluster_id", "arm",
-        *[F.length(fit_text(c(f), c(f"{f}_cap"))).alias(f"{f}_length") for f in fields],
-        *[(F.length(tx.collapse(c(f))) > c(f"{f}_cap")).alias(f"{f}_cut") for f in fields],
+        *[F.length(fit_text(c(f), c(f"{f}_cap"))).alias(f"{f}_length") for f in TEXT_FIELDS],
+        *[(F.length(tx.collapse(c(f))) > c(f"{f}_cap")).alias(f"{f}_cut") for f in TEXT_FIELDS],
     )
 
 

@@ -369,21 +369,40 @@ def _(t):
     return t.base("documents").select("doc_id", ren.fit_text(c("text"), F.lit(120)).alias("fitted"))
 
 
-@query("render_diagnosis", """
+MARKED = """SELECT failure_key, component AS cluster_id, component, step, severity, cause_label, attribution,
+ CASE WHEN step % 3 = 0 THEN 'zztool and zztools in `zztool` ' ELSE '' END || mechanism AS mechanism, fix_hint || ' of zz/thing.py (zztool)' AS fix_hint FROM diagnoses"""
+MARKS = {"zztool": "tool", "zz/thing.py": "path", "never": "routine"}
+FITTED = """CASE WHEN LENGTH({f}) <= {cap} THEN {f} ELSE REGEXP_REPLACE(CASE WHEN CONTAINS(SUBSTR({f}, 1, {cap}), ' ')
+ THEN REGEXP_REPLACE(SUBSTR({f}, 1, {cap}), ' [^ ]*$', '') ELSE SUBSTR({f}, 1, {cap}) END, '[ ,;:]+$', '') || '.' END"""
+
+
+@query("render_diagnosis", f"""
+WITH x AS (SELECT *, TRIM(REGEXP_REPLACE(REPLACE(mechanism, 'zztool and zztools in `zztool` ', '[tool] and zztools in [tool] '), '\\s+', ' ', 'g')) AS m,
+  REPLACE(REPLACE(fix_hint, 'zz/thing.py', '[path]'), '(zztool)', '([tool])') AS h FROM ({MARKED})),
+k AS (SELECT cluster_id, GREATEST(20, MAX(LENGTH(m))) AS m_cap, GREATEST(20, MAX(LENGTH(h))) AS h_cap FROM x WHERE attribution = 'rule' GROUP BY cluster_id),
+f AS (SELECT x.*, COALESCE(m_cap, LENGTH(m)) AS m_cap, COALESCE(h_cap, LENGTH(h)) AS h_cap FROM x LEFT JOIN k ON x.cluster_id = k.cluster_id),
+y AS (SELECT *, {FITTED.format(f='m', cap='m_cap')} AS fm, {FITTED.format(f='h', cap='h_cap')} AS fh FROM f)
 SELECT failure_key, 'DIAGNOSIS' || CHR(10) || 'WHERE: component `' || component || '`, step ' || COALESCE(CAST(step AS STRING), 'unknown') || CHR(10) || 'SEVERITY: ' || severity || CHR(10)
- || 'WHY (' || cause_label || '): ' || mechanism || CHR(10) || 'HOW: ' || fix_hint AS text FROM diagnoses""")
+ || 'WHY (' || cause_label || '): ' || fm || CHR(10) || 'HOW: ' || fh AS text, CAST(LENGTH(fm) AS INT) AS mechanism_length, CAST(LENGTH(fh) AS INT) AS fix_hint_length,
+ LENGTH(m) > m_cap AS mechanism_cut, LENGTH(h) > h_cap AS fix_hint_cut, 1 AS placeholder_path, 0 AS placeholder_routine, 1 + CASE WHEN step % 3 = 0 THEN 2 ELSE 0 END AS placeholder_tool FROM y""")
 def _(t):
-    return t.view("diagnoses").select("failure_key", ren.render_diagnosis().alias("text"))
+    rows = t.sql(MARKED)
+    done = ren.render_diagnoses(rows, MARKS, ren.caps_of(rows.where(c("attribution") == "rule"), MARKS))
+    return done.select("failure_key", "text", *[f"{f}_{x}" for x in ("length", "cut") for f in ren.TEXT_FIELDS],
+                       *[f"placeholder_{k}" for k in sorted(set(MARKS.values()))])
 
 
-ARM_TEXTS = """SELECT source AS cluster_id, CAST(doc_id AS STRING) AS arm, text AS mechanism, 'fix the  ' || lang || ' zzthing' AS fix_hint FROM documents"""
+ARM_TEXTS = """SELECT source AS cluster_id, CAST(doc_id AS STRING) AS arm, text AS mechanism, 'fix the  ' || lang || ' zzthing' AS fix_hint, lang FROM documents"""
 
 
 @query("rendered_lengths", f"""
-WITH s AS (SELECT cluster_id, arm, TRIM(REGEXP_REPLACE(mechanism, '\\s+', ' ', 'g')) AS m, REPLACE(TRIM(REGEXP_REPLACE(fix_hint, '\\s+', ' ', 'g')), 'zzthing', '[routine]') AS h FROM ({ARM_TEXTS}))
-SELECT cluster_id, arm, CAST(LENGTH(m) AS INT) AS mechanism_length, CAST(LENGTH(h) AS INT) AS fix_hint_length, FALSE AS mechanism_cut, FALSE AS fix_hint_cut FROM s""")
+WITH s AS (SELECT cluster_id, arm, lang, TRIM(REGEXP_REPLACE(mechanism, '\\s+', ' ', 'g')) AS m, REPLACE(TRIM(REGEXP_REPLACE(fix_hint, '\\s+', ' ', 'g')), 'zzthing', '[routine]') AS h FROM ({ARM_TEXTS})),
+k AS (SELECT cluster_id, GREATEST(20, MAX(LENGTH(m))) AS m_cap, GREATEST(20, MAX(LENGTH(h))) AS h_cap FROM s WHERE lang = 'en' GROUP BY cluster_id)
+SELECT cluster_id, arm, CAST(LENGTH({FITTED.format(f='m', cap='m_cap')}) AS INT) AS mechanism_length, CAST(LENGTH({FITTED.format(f='h', cap='h_cap')}) AS INT) AS fix_hint_length,
+ LENGTH(m) > m_cap AS mechanism_cut, LENGTH(h) > h_cap AS fix_hint_cut FROM s JOIN k USING (cluster_id)""")
 def _(t):
-    return ren.rendered_lengths(t.sql(ARM_TEXTS), {"zzthing": "routine"})
+    arms, tokens = t.sql(ARM_TEXTS), {"zzthing": "routine"}
+    return ren.rendered_lengths(arms, tokens, ren.caps_of(arms.where(c("lang") == "en"), tokens))
 
 
 CAUSES = """SELECT doc_id, CASE n_chars % 4 WHEN 0 THEN 'argument_error' WHEN 1 THEN ' Wrong_Target ' WHEN 2 THEN 'other: Odd Thing ' || lang ELSE 'context_loss' END AS cause_label FROM documents"""

@@ -1,5 +1,9 @@
 """Trajectories, alignment and attribution against hand values."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +234,61 @@ def test_strip_and_lines_follow_unicode(rows):
     assert rows("c string", [(text,)]).select(tx.strip(c("c"))).first()[0] == text.strip() == "a b"
     many = "a\r\nb\rc\nd\x0be\x0cf\x1cg\x1dh\x1ei\x85j\u2028k\u2029l"
     assert rows("c string", [(many,)]).select(tx.lines(c("c"))).first()[0] == many.splitlines()
+
+
+def sequential(text, tokens):
+    """Token after token, longest first."""
+    counts = dict.fromkeys(tokens.values(), 0)
+    for token, klass in sorted(tokens.items(), key=lambda kv: -len(kv[0])):
+        edge = r"[\w/]" if "/" in token or "." in token else r"\w"
+        text, n = re.subn(rf"(?<!{edge}){re.escape(token)}(?!{edge})", f"[{klass}]", text)
+        counts[klass] += n
+    return re.sub(r"`\[(\w+)\]`", r"[\1]", text), counts
+
+
+def test_strip_equals_token_after_token(spark):
+    """Tokens inside tokens, beside each other, across each other and inside placeholders."""
+    rng = random.Random(3)
+    tokens = {"a.b": "path", "b.c.d": "path", "a": "tool", "tool": "component", "path": "layer", "a/b": "path", "foo": "routine",
+              "foo.bar": "setting", "é": "tool", "x-y": "tool", "x": "layer", "component": "tool", "$1(": "path", "[q": "layer"}
+    bits = [*"abcdéxy./`-_[] ", "foo", "bar", "tool", "path", "component", "$1(", "q"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(600)]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string")
+    for r in ren.strip_identifiers(df, "t", tokens).collect():
+        text, counts = sequential(texts[r.i], tokens) if r.i >= 0 else (None, dict.fromkeys(tokens.values(), 0))
+        assert (r.t, {k: r[f"t_{k}"] for k in counts}) == (text, counts)
+
+
+def test_a_large_vocabulary_is_one_projection(spark):
+    tokens = {f"pkg{i}/mod{i}.py": "path" for i in range(150)} | {f"Part{i}Of": "routine" for i in range(150)}
+    df = spark.createDataFrame([("see pkg7/mod7.py and Part149Of, not Part14Of1",)], "t string")
+    started = time.perf_counter()
+    out = ren.strip_identifiers(df, "t", tokens)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert time.perf_counter() - started < 3
+    assert plan.count("Project") <= 2
+    assert tuple(out.first()) == ("see [path] and [routine], not Part14Of1", 1, 1)
+
+
+def test_extra_names_give_way_to_the_manifest():
+    tokens = ren.identifier_tokens(files=["harness.json"], components=["injected_tools"], extra=["harness.json", "injected_tools", "Runner"])
+    assert (tokens["harness.json"], tokens["injected_tools"], tokens["Runner"]) == ("path", "component", "routine")
+
+
+def test_rendering_strips_caps_and_counts(rows):
+    ddl = "cluster_id string, id int, component string, step int, severity string, cause_label string, mechanism string, fix_hint string"
+    df = rows(ddl, [("c", 1, "planner", None, "high", "lost", "the Router of agent/run.py never   asks again", "call Router, then stop"),
+                    ("c", 2, "planner", 4, "low", "lost", "short Router", None)])
+    tokens = {"Router": "routine", "agent/run.py": "path"}
+    out = {r.id: r for r in ren.render_diagnoses(df, tokens).collect()}
+    assert out[1].text == ("DIAGNOSIS\nWHERE: component `planner`, step unknown\nSEVERITY: high\n"
+                           "WHY (lost): the [routine] of [path] never asks again\nHOW: call [routine], then stop")
+    assert (out[1].mechanism_length, out[1].mechanism_cut, out[1].placeholder_path, out[1].placeholder_routine) == (40, False, 1, 2)
+    assert out[2].text.endswith("step 4\nSEVERITY: low\nWHY (lost): short [routine]\nHOW: ") and out[2].fix_hint_length == 0
+    caps = rows("cluster_id string, mechanism_cap int, fix_hint_cap int", [("c", 22, 20)])
+    out = {r.id: r for r in ren.render_diagnoses(df, tokens, caps).collect()}
+    assert "WHY (lost): the [routine] of.\nHOW: call [routine]." in out[1].text
+    assert (out[1].mechanism_cut, out[1].fix_hint_cut, out[2].mechanism_cut) == (True, True, False)
+    assert (out[1].mechanism_length, out[1].fix_hint_length) == (17, 15)
+    uncapped = ren.render_diagnoses(df, tokens, caps.where("cluster_id = 'other'")).collect()
+    assert not any(r.mechanism_cut or r.fix_hint_cut for r in uncapped)
