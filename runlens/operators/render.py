@@ -181,7 +181,9 @@ def _vocabulary(tokens: dict[str, str]) -> tuple[list[dict], dict[str, list[int]
     rows = []
     for token in order:
         edge = r"[\w/]" if "/" in token or "." in token else r"\w"
-        rows.append({"pattern": rf"(?U)(?<!{edge}){_literal(token)}(?!{edge})", "mark": f"[{tokens[token]}]", "class": tokens[token]})
+        # the name comes first: its letters are searched for, its neighbours looked at where they are found
+        name = _literal(token)
+        rows.append({"pattern": rf"(?U){name}(?<!{edge}{name})(?!{edge})", "mark": f"[{tokens[token]}]", "class": tokens[token]})
     inside = {token: {k for k, t in enumerate(order) if t in token} for token in order}
     by_mark = {row["mark"]: {k for k, t in enumerate(order) if t in row["mark"]} for row in rows}
     bracketed = {k for k, t in enumerate(order) if "[" in t or "]" in t}
@@ -195,6 +197,21 @@ def _vocabulary(tokens: dict[str, str]) -> tuple[list[dict], dict[str, list[int]
     return rows, places
 
 
+def _searches(tokens: Iterable[str]) -> list[str]:
+    """Patterns that find the longest token at every place.
+
+    One that begins like a word can only begin where no word goes on: a replaced neighbour ends
+    where its own word ends. One that begins with a mark may follow upon a replaced neighbour.
+    """
+    words = {t for t in tokens if t[0] == "_" or (t[0].isascii() and t[0].isalnum())}
+    out = []
+    for group, before in ((words, r"(?<!\w)"), (set(tokens) - words, "")):
+        if group:
+            first = "".join(sorted(_literal(t[0]) for t in group))
+            out.append(f"(?U)(?=[{first}]){before}(?=({any_of(group)}))")
+    return out
+
+
 def stripped(text: Column, tokens: dict[str, str]) -> Column:
     """struct<text, counts>: the text with tokens replaced by class placeholders, longest first;
     ``counts`` is a struct of the replacements per class.
@@ -209,7 +226,7 @@ def stripped(text: Column, tokens: dict[str, str]) -> Column:
         return F.struct(text.alias("text"), counts.alias("counts"))
     vocabulary = F.from_json(F.lit(json.dumps(rows)), "array<struct<pattern:string,mark:string,class:string>>")
     where = F.from_json(F.lit(json.dumps(places)), "map<string,array<int>>")
-    hits = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({any_of(places)}))"), F.lit(1)))
+    hits = F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in _searches(places)]))
     needed = F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda x: F.try_element_at(where, x)))))
     zero = F.struct(text.alias("text"), F.struct(*[F.lit(0).alias(k) for k in classes]).alias("counts"))
 
