@@ -50,26 +50,26 @@ def prior_observation(candidates: DataFrame, observations: DataFrame) -> DataFra
 
 
 def unsupported_answer(answers: DataFrame, observations: DataFrame, key: str = "pair_id") -> DataFrame:
-    """(key, unsupported): the answer holds numbers and no observation contains any of them.
+    """(key, unsupported): the first answer holds numbers and no observation contains any of them.
 
-    Each number is tested against each observation of its own run; only a flag is kept.
+    ``answers``: key, answer and, where there may be several, step and idx (the first counts). A
+    number starts with a digit and goes on with digits, points and commas, so it can only stand
+    inside such a stretch of an observation: each observation is cut down to its different
+    stretches before it is joined, once, to the numbers of its run.
     """
-    numbers = answers.select(
-        key, F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit(f"({fixed.ANSWER_NUMBER})"), F.lit(1)))).alias("_num")
-    )
+    order = [c(x) for x in ("step", "idx") if x in answers.columns]
+    first = answers.groupBy(key).agg(F.min(F.struct(*order, F.coalesce(c("answer"), F.lit("")).alias("answer"))).alias("_a"))
+    numbers = first.select(
+        key, F.array_distinct(F.regexp_extract_all("_a.answer", F.lit(f"(?U)({fixed.ANSWER_NUMBER})"), F.lit(1))).alias("_numbers"))
+    stretches = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)([\d.,]+)"), F.lit(1)))
+    digits = observations.select(key, F.array_join(F.filter(stretches, lambda x: x.rlike(r"(?U)\d")), " ").alias("_digits"))
     seen = (
-        numbers.join(observations.select(key, "text"), key)
-        .groupBy(key)
-        .agg(F.bool_or(c("text").contains(c("_num"))).alias("_seen"))
-    )
-    has = numbers.select(key).distinct().withColumn("_has", F.lit(True))
-    return (
-        answers.select(key)
-        .distinct()
-        .join(has, key, "left")
-        .join(seen, key, "left")
-        .select(key, (c("_has").isNotNull() & ~F.coalesce(c("_seen"), F.lit(False))).alias("unsupported"))
+        digits.where(c("_digits") != "")
+        .join(numbers.where(F.size("_numbers") > 0), key)
+        .where(F.exists("_numbers", lambda n: c("_digits").contains(n)))
+        .select(key).distinct().withColumn("_seen", F.lit(True))
     )
+    return numbers.join(seen, key, "left").select(key, ((F.size("_numbers") > 0) & c("_seen").isNull()).alias("unsupported"))
 
 
 def reference_tools_missing(acts: DataFrame) -> DataFrame:

@@ -261,7 +261,7 @@ def _(t):
 
 
 @query("unsupported_answer", f"""
-SELECT a.pair_id, BOOL_OR(a.answer LIKE '%77%') AND NOT EXISTS (SELECT 1 FROM ({OBS}) o WHERE o.pair_id = a.pair_id AND (CONTAINS(o.text, '77') OR CONTAINS(o.text, '12.5'))) AS unsupported
+SELECT a.pair_id, MIN_BY(a.answer, a.step) LIKE '%77%' AND NOT EXISTS (SELECT 1 FROM ({OBS}) o WHERE o.pair_id = a.pair_id AND (CONTAINS(o.text, '77') OR CONTAINS(o.text, '12.5'))) AS unsupported
 FROM ({ANSWERS}) a GROUP BY a.pair_id""")
 def _(t):
     return att.unsupported_answer(t.sql(ANSWERS), t.sql(OBS))

@@ -292,3 +292,16 @@ def test_rendering_strips_caps_and_counts(rows):
     assert (out[1].mechanism_length, out[1].fix_hint_length) == (17, 15)
     uncapped = ren.render_diagnoses(df, tokens, caps.where("cluster_id = 'other'")).collect()
     assert not any(r.mechanism_cut or r.fix_hint_cut for r in uncapped)
+
+
+def test_numbers_of_the_first_answer(rows):
+    answers = rows("pair_id string, step int, idx int, answer string, n int", [
+        ("whole", 3, 0, "about 4,711.5 units", 1), ("inside", 3, 0, "12", 1), ("none", 3, 0, "no number", 1), ("null", 3, 0, None, 1),
+        ("first", 4, 0, "99", 1), ("first", 3, 1, "88", 1), ("first", 3, 0, "77", 1), ("dot", 3, 0, "7.", 1), ("arabic", 3, 0, "\u0664\u0662", 1),
+        ("alone", 3, 0, "5", 1), ("either", 3, 0, "1 and 2", 1)])
+    seen = rows("pair_id string, text string", [
+        ("whole", "x4,711.50y"), ("inside", "31.25 then 3124"), ("none", "1"), ("first", "99 and 88"), ("first", None), ("dot", "7 7, .7"),
+        ("arabic", "=\u0664\u0662="), ("either", "..., 3"), ("either", "v2"), ("other", "5")])
+    out = {r.pair_id: r.unsupported for r in att.unsupported_answer(answers, seen).collect()}
+    assert out == {"whole": False, "inside": False, "none": False, "null": False, "first": True, "dot": True, "arabic": False,
+                   "alone": True, "either": False}
