@@ -23,8 +23,8 @@ def _sum(event: str, column: str) -> Column:
     return F.coalesce(F.sum(F.when(c("event") == event, c(column))), F.lit(0))
 
 
-def summary_columns() -> list[Column]:
-    """The ledger totals as aggregate expressions (also used by the streaming form).
+def partial_columns() -> list[Column]:
+    """The ledger totals as aggregate expressions, money as DECIMAL: what can be added up further.
 
     Search and policy spend stay apart from ``usd``; budget exhaustion is not a task failure.
     """
@@ -38,18 +38,30 @@ def summary_columns() -> list[Column]:
         _count("task_failure", budget).alias("budget_exhausted"),
         _sum("call", "prompt_tokens").cast("bigint").alias("prompt_tokens"),
         _sum("call", "completion_tokens").cast("bigint").alias("completion_tokens"),
-        _sum("call", "usd").cast("double").alias("usd"),
+        _sum("call", "usd").alias("usd"),
         _count("search").alias("search_calls"),
-        _sum("search", "usd").cast("double").alias("search_usd"),
+        _sum("search", "usd").alias("search_usd"),
         _count("policy").alias("policy_rollouts"),
         _sum("policy", "prompt_tokens").cast("bigint").alias("policy_prompt_tokens"),
         _sum("policy", "completion_tokens").cast("bigint").alias("policy_completion_tokens"),
-        _sum("policy", "usd").cast("double").alias("policy_usd"),
+        _sum("policy", "usd").alias("policy_usd"),
     ]
 
 
+#: Columns of the totals that are money.
+MONEY = ("usd", "search_usd", "policy_usd")
+
+
+def summed(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Totals per key from any number of partial totals."""
+    names = [n for n in partials.columns if n not in (*keys, "batch")]
+    sums = {n: F.sum(n).cast("double" if n in MONEY else "bigint").alias(n) for n in names}
+    return partials.groupBy(*keys).agg(*sums.values())
+
+
 def ledger_summary(ledger: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
-    return ledger.groupBy(*keys).agg(*summary_columns())
+    totals = ledger.groupBy(*keys).agg(*partial_columns())
+    return totals.withColumns({n: c(n).cast("double") for n in MONEY})
 
 
 def ledger_summary_resumed(ledger: DataFrame, done: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:

@@ -131,8 +131,9 @@ def _(t):
     return logs.rollout_log_final(log_lines(t))
 
 
-TRACE = """SELECT 'f' || CAST(CAST(FLOOR(event_id / 100.0) AS BIGINT) AS STRING) AS file, event_id % 100 + 1 AS seq, CASE WHEN event_id % 211 = 210 THEN 'other' ELSE 'run' END AS run_id,
- CASE WHEN event_id % 307 = 5 THEN 2 ELSE 1 END AS schema_version FROM events WHERE event_id % 37 <> 3"""
+TRACE = """SELECT 'f' || CAST(CAST(FLOOR(event_id / 100.0) AS BIGINT) AS STRING) AS file,
+ event_id % 100 + CASE WHEN event_id % 37 = 3 THEN 5000 ELSE 1 END AS seq, CASE WHEN event_id % 211 = 210 THEN 'other' ELSE 'run' END AS run_id,
+ CASE WHEN event_id % 307 = 5 THEN 2 ELSE 1 END AS schema_version FROM events"""
 VIOLATIONS = f"""WITH x AS ({TRACE})
 SELECT file, seq, 'gap' AS kind FROM x WHERE seq <> 1 AND NOT EXISTS (SELECT 1 FROM x y WHERE y.file = x.file AND y.seq = x.seq - 1)
 UNION ALL SELECT file, seq, 'run_id' FROM x WHERE run_id <> (SELECT ARG_MIN(y.run_id, y.seq) FROM x y WHERE y.file = x.file) UNION ALL SELECT file, seq, 'schema_version' FROM x WHERE schema_version <> 1"""
@@ -196,20 +197,20 @@ def ledger_stream(t):
 
 
 @query("stream_spend_guard", """
-SELECT run_id, ROUND(CAST(SUM(usd) AS DOUBLE), 6) AS spent, CAST(5000 AS DOUBLE) AS cap FROM ledger WHERE event IN ('call','policy','search') GROUP BY run_id HAVING SUM(usd) >= 5000""")
+WITH s AS (SELECT run_id, ts, event_id, SUM(usd) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS spent FROM ledger WHERE event IN ('call','policy','search')),
+x AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS rn FROM s WHERE spent >= 5000)
+SELECT run_id, ts, event_id, ROUND(CAST(spent AS DOUBLE), 6) AS spent, CAST(5000 AS DOUBLE) AS cap FROM x WHERE rn = 1""")
 def _(t):
-    rows = jobs.run_available(jobs.stream_spend_guard(ledger_stream(t), 5000.0), "spend")
-    return rounded(jobs.latest(rows, ["run_id"]), "spent")
+    return rounded(jobs.stream_spend_guard(ledger_stream(t), 5000.0), "spent")
 
 
 @query("stream_ledger_summary", f"SELECT DATE_TRUNC('hour', ts) AS window_start, run_id, {runs.LEDGER_COLS} FROM ledger GROUP BY DATE_TRUNC('hour', ts), run_id")
 def _(t):
-    rows = jobs.run_available(jobs.stream_ledger_summary(ledger_stream(t)), "ledger")
-    return rounded(jobs.latest(rows, ["window_start", "run_id"]), "usd", "search_usd", "policy_usd")
+    return rounded(jobs.stream_ledger_summary(ledger_stream(t)), "usd", "search_usd", "policy_usd")
 
 
 @query("stream_trace_gaps", VIOLATIONS)
 def _(t):
     jobs.read_table_stream(t.spark, f"{t.folder}/events.parquet").createOrReplaceTempView("runlens_events_stream")
     trace = t.spark.sql(TRACE.replace("FROM events", "FROM runlens_events_stream"))
-    return jobs.standing(jobs.run_available(jobs.stream_trace_gaps(trace), "trace", "append"))
+    return jobs.standing(jobs.run_available(jobs.stream_trace_gaps(trace), "trace"))

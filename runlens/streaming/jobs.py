@@ -7,28 +7,37 @@ overwritten on a retry, so a lost executor or a restarted query never doubles ro
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runlens import fixed
-from runlens.operators.ledger import summary_columns
+from runlens.functions import scale
+from runlens.operators.ledger import partial_columns, summed
 from runlens.session import shared_dir
 
 c = F.col
 
+#: Numbers of a trace that share one state.
+BLOCK = 4096
 
-def run_available(stream: DataFrame, purpose: str, mode: str = "update") -> DataFrame:
-    """Processes what is there, then returns the rows written by all micro-batches (with ``batch``)."""
+
+def run_available(stream: DataFrame, purpose: str, mode: str = "append",
+                  work: Callable[[DataFrame, int, str], DataFrame] | None = None) -> DataFrame:
+    """Processes what is there, then returns the rows of all micro-batches (with ``batch``).
+
+    ``work`` (batch, its number, folder of the job) gives the rows to keep of a micro-batch; by
+    default they are the batch itself.
+    """
     spark = stream.sparkSession
     out = shared_dir(spark, purpose)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        rows = batch if work is None else work(batch, number, out)
+        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
 
     query = (
         stream.writeStream.outputMode(mode)
@@ -41,116 +50,162 @@ def run_available(stream: DataFrame, purpose: str, mode: str = "update") -> Data
     return spark.read.parquet(f"{out}/rows")
 
 
-def latest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The last update of every key."""
-    w = Window.partitionBy(*keys).orderBy(c("batch").desc())
-    return rows.withColumn("_rn", F.row_number().over(w)).where(c("_rn") == 1).drop("_rn", "batch")
+# ------------------------------------------------------------------ ledger
 
 
-def stream_ledger_summary(ledger: DataFrame, hours: int = 1) -> DataFrame:
-    """Streaming ledger totals per run and tumbling window, in update mode.
+def hourly_partials(batch: DataFrame, hours: int = 1) -> DataFrame:
+    """Totals of one micro-batch per run and tumbling window, money still as DECIMAL."""
+    window = F.window("ts", f"{hours} hour").alias("window")
+    totals = batch.groupBy(window, "run_id").agg(*partial_columns())
+    return totals.select(c("window.start").alias("window_start"), "*").drop("window")
 
-    There is no watermark: a row counts in its window however late it comes. The state holds one
-    row per run and window.
+
+def stream_ledger_summary(ledger: DataFrame, hours: int = 1, purpose: str = "ledger") -> DataFrame:
+    """Ledger totals per run and tumbling window of a stream.
+
+    Every micro-batch adds its partial totals, exact ones, and the table is their sum. There is no
+    state that could grow and no watermark that could drop a row: a row days late is one more
+    partial total of its hour. Rows without ``ts`` belong to no window.
     """
-    return (
-        ledger.groupBy(F.window("ts", f"{hours} hour"), "run_id")
-        .agg(*summary_columns())
-        .select(c("window.start").alias("window_start"), "*")
-        .drop("window")
-    )
+    parts = run_available(ledger, purpose, work=lambda batch, number, out: hourly_partials(batch, hours))
+    return summed(parts, ["window_start", "run_id"])
+
+
+# ------------------------------------------------------------------ spend guard
+
+
+def crossings(spend: DataFrame, before: DataFrame, cap: float, key: str, order: Sequence[str]) -> DataFrame:
+    """(key, order columns, spent): the row of each stage with which its spend reaches the cap.
+
+    ``before``: key, spent, reached. Running sums are taken in the order of the rows, the first
+    order column a timestamp, and only for stages that can reach the cap at all: a stage's rows
+    are cut into hours, so one that holds a third of all rows is no single task.
+    """
+    ups = spend.groupBy(key).agg(F.sum(F.greatest(c("usd"), F.lit(0))).alias("_up"))
+    near = ups.join(before, key, "left").where(~F.coalesce(c("reached"), F.lit(False)) & (F.coalesce(c("spent"), F.lit(0)) + c("_up") >= cap))
+    rows = spend.join(near.select(key, F.coalesce(c("spent"), F.lit(0)).alias("_spent")), key)
+    hour = F.coalesce(F.floor(F.unix_timestamp(c(order[0])) / 3600), F.lit(-(2**40)))
+    running = scale.bucketed_running_sum(rows, [key], hour, [c(x) for x in order], "usd", "_earlier")
+    total = c("_spent") + c("_earlier") + c("usd")
+    first = running.where(total >= cap).groupBy(key).agg(
+        F.min(F.struct(*order, total.cast("decimal(38,6)").alias("spent"))).alias("_row"))
+    return first.select(key, "_row.*")
+
+
+def stream_spend_guard(ledger: DataFrame, cap: float, key: str = "run_id", order: Sequence[str] = ("ts", "event_id"),
+                       purpose: str = "spend") -> DataFrame:
+    """(key, order columns, spent, cap): for each stage the row with which its spend reached the cap, once.
+
+    Spend counts in order of arrival: by micro-batch, and within one by ``order``. Between
+    micro-batches one row per stage is kept (its spend, and whether the cap was reached), written
+    anew under the number of the batch, so a batch that is run again starts from the same state.
+    """
+
+    def guard(batch: DataFrame, number: int, out: str) -> DataFrame:
+        spark = batch.sparkSession
+        spend = batch.where(c("event").isin(fixed.SPEND_EVENTS) & c(key).isNotNull()).select(
+            key, *order, F.coalesce(c("usd"), F.lit(0)).cast("decimal(18,6)").alias("usd"))
+        kinds = f"{key} {batch.schema[key].dataType.simpleString()}, spent decimal(38,6), reached boolean"
+        before = spark.read.schema(kinds).parquet(f"{out}/spent/batch={number - 1}") if number else spark.createDataFrame([], kinds)
+        crossed = crossings(spend, before, cap, key, order)
+        new = spend.groupBy(key).agg(F.sum("usd").alias("_new"))
+        after = before.join(new, key, "full").join(crossed.select(key, F.lit(True).alias("_now")), key, "left").select(
+            key, (F.coalesce("spent", F.lit(0)) + F.coalesce("_new", F.lit(0))).cast("decimal(38,6)").alias("spent"),
+            (F.coalesce("reached", F.lit(False)) | F.coalesce("_now", F.lit(False))).alias("reached"))
+        after.write.mode("overwrite").parquet(f"{out}/spent/batch={number}")
+        return crossed.withColumn("spent", c("spent").cast("double")).withColumn("cap", F.lit(float(cap)))
+
+    return run_available(ledger, purpose, work=guard).drop("batch")
+
+
+# ------------------------------------------------------------------ trace gaps
+
+_SPANS = "file string, block long, low long, high long, first_run string, last_run string, repeated boolean, old boolean"
+_LAST = "\U0010ffff"
 
 
-def stream_spend_guard(ledger: DataFrame, cap: float, key: str = "run_id") -> DataFrame:
-    """Running spend per stage; a row is emitted for every update at or above the cap."""
-    spend = ledger.where(c("event").isin(fixed.SPEND_EVENTS)).groupBy(key).agg(F.sum("usd").cast("double").alias("spent"))
-    return spend.where(c("spent") >= cap).withColumn("cap", F.lit(float(cap)))
+def _rows_of(spans: Sequence[Sequence]) -> pd.DataFrame:
+    """One row per number of the spans."""
+    rows = [(n, *span[2:]) for span in spans for n in range(span[0], span[1] + 1)]
+    return pd.DataFrame(rows, columns=["seq", "first_run", "last_run", "n", "old"])
 
 
-def merged(spans: Sequence[Sequence[int]], numbers: np.ndarray) -> list[list[int]]:
-    """Spans [low, high] of whole numbers with more numbers added; neighbours are joined."""
-    own = np.unique(numbers)
-    cut = np.flatnonzero(np.diff(own) > 1)
-    low = np.concatenate([own[:1], own[cut + 1]])
-    high = np.concatenate([own[cut], own[-1:]])
-    out: list[list[int]] = []
-    for x, y in sorted([*map(tuple, spans), *zip(low.tolist(), high.tolist())]):
-        if out and x <= out[-1][1] + 1:
-            out[-1][1] = max(out[-1][1], y)
+def _spans_of(rows: pd.DataFrame) -> list[list]:
+    """Stretches [low, high, first_run, last_run, n, old] of neighbouring numbers with equal values."""
+    out: list[list] = []
+    for seq, *values in rows.itertuples(index=False, name=None):
+        if out and out[-1][1] == seq - 1 and out[-1][2:] == values:
+            out[-1][1] = seq
         else:
-            out.append([x, y])
+            out.append([seq, seq, *values])
     return out
 
 
-def covered(spans: Sequence[Sequence[int]], numbers: np.ndarray) -> np.ndarray:
-    """Which numbers lie in one of the spans."""
-    if not spans:
-        return np.zeros(len(numbers), dtype=bool)
-    low, high = np.array(spans).T
-    at = np.searchsorted(low, numbers, side="right") - 1
-    return (at >= 0) & (numbers <= high[np.maximum(at, 0)])
-
-
-class TraceState:
-    """What is known of a file: numbers seen per run id as spans, repeated numbers, numbers of another version."""
-
-    def __init__(self, text: str | None) -> None:
-        known = json.loads(text) if text else {}
-        self.runs, self.twice, self.old = known.get("runs", {}), set(known.get("twice", [])), set(known.get("old", []))
-
-    def text(self) -> str:
-        return json.dumps({"runs": self.runs, "twice": sorted(self.twice), "old": sorted(self.old)})
-
-    def add(self, rows: pd.DataFrame, version: int) -> None:
-        numbers, counts = np.unique(rows["seq"].to_numpy(), return_counts=True)
-        before = np.zeros(len(numbers), dtype=bool)
-        for spans in self.runs.values():
-            before |= covered(spans, numbers)
-        self.twice.update(numbers[(counts > 1) | before].tolist())
-        self.old.update(rows["seq"][rows["schema_version"] != version].tolist())
-        for run, part in rows.groupby("run_id"):
-            self.runs[run] = merged(self.runs.get(run, []), part["seq"].to_numpy())
-
-    def violations(self) -> set[tuple[int, str]]:
-        """The same rules as the batch form, over all that has come so far."""
-        spans = sorted(span for spans in self.runs.values() for span in spans)
-        if not spans:
-            return set()
-        gaps, reach = set(), 0
-        for low, high in spans:
-            if low > reach + 1:
-                gaps.add((low, "gap"))
-            reach = max(reach, high)
-        first = min(run for run, own in self.runs.items() if own[0][0] == spans[0][0])
-        other = {(n, "run_id") for run, own in self.runs.items() if run != first for x, y in own for n in range(x, y + 1)}
-        return gaps | other | {(n, "duplicate") for n in self.twice} | {(n, "schema_version") for n in self.old}
-
-
-def stream_trace_gaps(trace: DataFrame, key: str = "file", version: int = fixed.TRACE_SCHEMA_VERSION) -> DataFrame:
-    """Changes (file, seq, kind, change) of the violations of a trace stream, in any order of arrival.
-
-    ``change`` is 1 where a violation appears and -1 where a late row closes it; ``standing`` sums
-    them up. The rules are those of the batch form. State per file: spans of the numbers seen and
-    the violations that no later row can close. ``trace``: file, seq, run_id, schema_version.
+def merged(spans: Sequence[Sequence], batch: pd.DataFrame, version: int) -> list[list]:
+    """The spans of a block with the rows (seq, run_id, schema_version) of a batch added.
+
+    Of the run ids of a number the smallest and the greatest are kept, of its rows whether there
+    is more than one (n = 2), so that the block bounds the size.
+    """
+    runs = batch["run_id"]
+    new = pd.DataFrame({
+        "seq": batch["seq"], "first_run": runs.fillna(_LAST), "last_run": runs.fillna(""), "n": 1,
+        "old": (batch["schema_version"].notna() & (batch["schema_version"] != version)).astype(int)})
+    known = _rows_of(spans)
+    known["first_run"], known["last_run"] = known["first_run"].fillna(_LAST), known["last_run"].fillna("")
+    rows = pd.concat([known, new]) if len(known) else new
+    rows = rows.groupby("seq", as_index=False).agg(
+        first_run=("first_run", "min"), last_run=("last_run", "max"), n=("n", "sum"), old=("old", "max"))
+    rows["n"] = rows["n"].clip(upper=2)
+    nameless = rows["first_run"] == _LAST
+    for name in ("first_run", "last_run"):
+        rows[name] = rows[name].astype(object).where(~nameless, None)
+    return [[int(low), int(high), first, last, int(n), int(old)] for low, high, first, last, n, old in _spans_of(rows)]
+
+
+def stream_trace_gaps(trace: DataFrame, key: str = "file", version: int = fixed.TRACE_SCHEMA_VERSION, block: int = BLOCK) -> DataFrame:
+    """Spans of the numbers of a trace stream by blocks, in any order of arrival; ``standing`` reads them.
+
+    The numbers of a file are cut into blocks, each with a state of its own that the block's size
+    bounds, so one file that holds a third of all rows is many groups. A block that a micro-batch
+    touches gives all its spans anew: (file, block, low, high, first_run, last_run, repeated, old).
+    Rows without a number are left out. ``trace``: file, seq, run_id, schema_version.
     """
-    def check(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = TraceState(state.get[0] if state.exists else None)
-        before = known.violations()
+    def update(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        spans = json.loads(state.get[0]) if state.exists else []
         for rows in batches:
-            known.add(rows, version)
-        after = known.violations()
-        state.update((known.text(),))
-        changes = [(*v, 1) for v in sorted(after - before)] + [(*v, -1) for v in sorted(before - after)]
-        yield pd.DataFrame([(name[0], *x) for x in changes], columns=["file", "seq", "kind", "change"])
-
-    return trace.groupBy(c(key).alias("file")).applyInPandasWithState(
-        check, "file string, seq long, kind string, change int", "known string", "append", GroupStateTimeout.NoTimeout
-    )
+            spans = merged(spans, rows, version)
+        state.update((json.dumps(spans),))
+        yield pd.DataFrame([(*name, *span[:4], span[4] > 1, span[5] > 0) for span in spans],
+                           columns=["file", "block", "low", "high", "first_run", "last_run", "repeated", "old"])
 
+    rows = trace.where(c("seq").isNotNull()).select(c(key).alias("file"), c("seq").cast("long").alias("seq"), "run_id", "schema_version")
+    rows = rows.withColumn("block", F.floor((c("seq") - 1) / block))
+    return rows.groupBy("file", "block").applyInPandasWithState(
+        update, _SPANS, "known string", "append", GroupStateTimeout.NoTimeout)
 
-def standing(changes: DataFrame) -> DataFrame:
-    """The violations (file, seq, kind) that are open after all changes."""
-    return changes.groupBy("file", "seq", "kind").agg(F.sum("change").alias("_n")).where(c("_n") > 0).drop("_n")
+
+def standing(spans: DataFrame) -> DataFrame:
+    """The violations (file, seq, kind) that are open after all micro-batches, by the rules of the batch form.
+
+    Of every block the spans of its last batch count. A span whose predecessor no span of the file
+    ends with, be it of the same block or of the one before, follows a gap.
+    """
+    last = spans.groupBy("file", "block").agg(F.max("batch").alias("batch"))
+    now = spans.join(last, (spans["file"].eqNullSafe(last["file"])) & (spans["block"] == last["block"]) & (spans["batch"] == last["batch"]),
+                     "left_semi")
+    ends = now.select(c("file").alias("_file"), (c("high") + 1).alias("_seq"))
+    gaps = now.where(c("low") != 1).join(ends, c("file").eqNullSafe(c("_file")) & (c("low") == c("_seq")), "left_anti").select(
+        "file", c("low").alias("seq"), F.lit("gap").alias("kind"))
+    first = now.groupBy(c("file").alias("_file")).agg(F.min_by("first_run", "low").alias("_run"))
+    rows = now.join(first, c("file").eqNullSafe(c("_file")))
+    kinds = F.array_compact(F.array(
+        F.when(c("repeated"), "duplicate"),
+        F.when((c("first_run") != c("_run")) | (c("last_run") != c("_run")), "run_id"),
+        F.when(c("old"), "schema_version"),
+    ))
+    found = rows.select("file", "low", "high", F.explode(kinds).alias("kind"))
+    return gaps.unionByName(found.select("file", F.explode(F.sequence("low", "high")).alias("seq"), "kind"))
 
 
 def read_table_stream(spark: SparkSession, path: str) -> DataFrame:

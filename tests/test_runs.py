@@ -17,7 +17,6 @@ from runlens.operators import metrics as met
 from runlens.operators import outcomes as out_
 from runlens.operators import pricing as pri
 from runlens.operators import tasks as tsk
-from runlens.streaming import jobs
 from runlens.sources import jsonl, logs
 from runlens.sources import runs as src
 
@@ -303,19 +302,3 @@ def test_trace_lines_in_another_order_and_the_expected_run(rows):
     assert [tuple(r) for r in logs.validate_trace(df).collect()] == [("f", 2, "order")]
     other = {(r.file, r.seq) for r in logs.validate_trace(df.drop("line"), run_id="x").collect()}
     assert other == {(f, s) for f, _, s in lines}
-
-
-@pytest.mark.parametrize("reverse", [False, True])
-def test_trace_stream_over_batches_equals_the_batch_form(spark, rows, tmp_path, reverse):
-    rng = random.Random(3)
-    data = [(f"f{i % 3}", rng.randint(1, 40), "other" if rng.random() < 0.1 else "run", 2 if rng.random() < 0.05 else 1) for i in range(110)]
-    data.sort(key=lambda r: r[1], reverse=reverse)
-    df = rows("file string, seq long, run_id string, schema_version int", data)
-    folder = str(tmp_path / "trace")
-    for at in range(0, len(data), 25):
-        rows("file string, seq long, run_id string, schema_version int", data[at:at + 25]).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    changes = jobs.run_available(jobs.stream_trace_gaps(stream), "trace", "append")
-    assert changes.select("batch").distinct().count() > 1
-    got = {tuple(r) for r in jobs.standing(changes).collect()}
-    assert got == {tuple(r) for r in logs.validate_trace(df).collect()}
