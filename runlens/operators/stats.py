@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 from runlens import fixed
 from runlens.functions import scale
-from runlens.functions.numbers import exact_round, fixed_digits
+from runlens.functions.numbers import exact_round, fixed_digits, let
 
 c = F.col
 PAIR = ["source", "run_a", "run_b"]
 DRAWS_PER_ROW = 65_536
-#: Above this many pairs the sign test is within 1e-9 of its expansion; below it is summed exactly.
-EXACT_PAIRS = 1 << 20
-TAIL_TERMS = 8192
+#: Nodes of the quadrature behind the sign test.
+NODES = 64
 
 
 def pair_passes(task_passes: DataFrame) -> DataFrame:
@@ -178,60 +177,57 @@ def nearest_rank_pct(df: DataFrame, keys: Sequence[str], value: str, q: float, n
     return scale.exact_quantiles(df, keys, value, {name: scale.nearest_rank(q)})
 
 
-def _log_factorial_rest(n: Column) -> Column:
-    """What Stirling's main terms leave of log n!, for n >= 16."""
-    return 1 / (12 * n) - 1 / (360 * n * n * n) + 1 / (1260 * n * n * n * n * n)
+def _integral(log_height: Callable[[Column], Column], low: Column, high: Column) -> Column:
+    """Integral of exp(log_height) between two bounds, by Gauss-Legendre quadrature."""
+    nodes, weights = np.polynomial.legendre.leggauss(NODES)
 
+    def between(bounds: Column) -> Column:
+        def part(x: Column, w: Column) -> Column:
+            return w * F.exp(log_height(bounds["low"] + (bounds["high"] - bounds["low"]) * (x + 1) / 2))
 
-def _log_lead(m: Column, k: Column) -> Column:
-    """log of C(m, k) / 2^m for k <= m / 2, without large terms that cancel."""
-    few = F.when(k > 0, F.sequence(F.lit(1), F.least(k, F.lit(16.0)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    direct = F.aggregate(few, -m * float(np.log(2.0)), lambda acc, i: acc + F.log((m - i + 1) / i))
-    lean = (m - 2 * k) / m
-    away = m / 2 * ((1 - lean) * F.log1p(-lean) + (1 + lean) * F.log1p(lean))
-    rest = _log_factorial_rest(m) - _log_factorial_rest(k) - _log_factorial_rest(m - k)
-    return F.when(k <= 16, direct).otherwise(rest - away - 0.5 * F.log(2 * float(np.pi) * k * (m - k) / m))
+        parts = F.zip_with(F.lit(nodes.tolist()), F.lit(weights.tolist()), part)
+        return F.aggregate(parts, F.lit(0.0), lambda total, x: total + x) * (bounds["high"] - bounds["low"]) / 2
 
-
-def _normal_tail(x: Column) -> Column:
-    """P(Z <= x) for x <= 0: one half less the odd-factorial series, which has positive terms only."""
-    z = F.least(F.lit(8.0), -x)
-    start = F.struct(z.alias("term"), z.alias("total"))
-
-    def add(acc: Column, i: Column) -> Column:
-        term = acc["term"] * z * z / (2 * i + 1)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(160)), start, add, lambda acc: acc["total"])
-    return F.greatest(F.lit(0.0), 0.5 - F.exp(-z * z / 2) / float(np.sqrt(2 * np.pi)) * series)
+    return let(F.struct(low.alias("low"), high.alias("high")), between)
 
 
 def sign_test_p(positive: Column, negative: Column) -> Column:
     """Two-sided binomial sign test on the non-tied pairs; NULL when there are none.
 
-    tail = C(m,k)/2^m * (1 + k/(m-k+1) + ...), summed downwards from the largest term until the
-    terms vanish, which takes at most ``TAIL_TERMS`` of them up to ``EXACT_PAIRS`` pairs. Beyond,
-    the normal tail with continuity and its correction of order 1/m is within 1e-9. The work per
-    row does not depend on the counts.
+    Of m pairs k have the rarer sign. P(X <= k) is the share of [0, 1/2] in the integral of
+    t^(m-k-1) (1-t)^k over [0, 1]. Both halves are taken at the distance u from 1/2 and relative
+    to the height there, exp(k log(1 - 4 u^2) + (m - 2k - 1) log(1 -+ 2u)): the left one as far as
+    it stays above exp(-40), the right one within ten standard deviations of its peak. The same
+    quadrature serves every count, exact for the polynomials of few pairs.
     """
+
+    def named(**values: Column) -> Column:
+        return F.struct(*[v.alias(n) for n, v in values.items()])
+
+    def height(x: Column, side: int) -> Callable[[Column], Column]:
+        return lambda u: x["k"] * F.log1p(-4 * u * u) + x["lean"] * F.log1p(2 * side * u)
+
+    def of_counts(x: Column) -> Column:
+        steep = F.greatest(x["m"] - 1, F.lit(1.0))
+        reach = 2 * x["lean"] + F.sqrt(4 * x["lean"] * x["lean"] + 320 * (x["m"] - 1))
+        at = F.greatest(F.lit(0.0), F.least(F.lit(0.5), x["lean"] / steep / 2))
+        bounds = named(reach=F.when(reach > 160, 80 / reach).otherwise(0.5), at=at, steep=steep)
+        return let(bounds, lambda y: of_bounds(x, y))
+
+    def of_bounds(x: Column, y: Column) -> Column:
+        peak = F.when(y["at"] < 0.5, height(x, 1)(y["at"])).otherwise(x["lean"] * float(np.log(2.0)))
+        width = 10 * F.sqrt((0.25 - y["at"] * y["at"] + 1 / y["steep"]) / y["steep"])
+        left = _integral(height(x, -1), F.lit(0.0), y["reach"])
+        return let(named(peak=peak, left=left, low=F.greatest(F.lit(0.0), y["at"] - width), high=F.least(F.lit(0.5), y["at"] + width)),
+                   lambda z: share(x, z))
+
+    def share(x: Column, z: Column) -> Column:
+        right = _integral(lambda u: height(x, 1)(u) - z["peak"], z["low"], z["high"])
+        return z["left"] / (z["left"] + right * F.exp(z["peak"]))
+
     m, k = (positive + negative).cast("double"), F.least(positive, negative).cast("double")
-    near = F.least(m, F.lit(float(EXACT_PAIRS)))
-    few = F.least(k, F.lit(float(TAIL_TERMS))).cast("int")
-    ks = F.when((few > 0) & (m <= EXACT_PAIRS), F.sequence(F.lit(1), few)).otherwise(F.array().cast("array<int>"))
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-
-    def down(acc, i):
-        j = k - i + 1  # j = k, k-1, ..., 1
-        term = acc["term"] * j / (m - j + 1)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    series = F.aggregate(ks, start, down, lambda acc: acc["total"])
-    summed = F.exp(_log_lead(near, k)) * series
-    x = (2 * k + 1 - m) / F.sqrt(m)
-    density = F.exp(-x * x / 2) / float(np.sqrt(2 * np.pi))
-    expanded = F.when(x >= 0, F.lit(0.5)).otherwise(_normal_tail(F.least(x, F.lit(0.0))) + density * (x * x * x - x) / (12 * m))
-    tail = F.when(m <= EXACT_PAIRS, summed).otherwise(F.greatest(F.lit(0.0), expanded))
-    return F.when(m > 0, F.least(F.lit(1.0), F.lit(2.0) * tail))
+    counts = F.when(m > 0, named(m=m, k=k, lean=m - 2 * k - 1))
+    return let(counts, lambda x: F.when(x.isNotNull(), F.least(F.lit(1.0), 2 * of_counts(x))))
 
 
 def sign_test(effects: DataFrame, keys: Sequence[str], value: str = "diff") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -205,6 +206,15 @@ def test_sign_test_is_within_a_billionth_of_the_exact_value(rows, pos, neg):
     assert got == pytest.approx(want, abs=1e-9, rel=1e-8)
 
 
+def test_sign_test_of_few_pairs_is_exact(rows):
+    counts = [(m, k) for m in [*range(1, 41), 63, 64, 127, 128, 129, 255, 400, 1000] for k in {0, 1, 2, m // 8, m // 3, m // 2 - 1, m // 2} if 0 <= k <= m // 2]
+    df = rows("a int, b int", [(k, m - k) for m, k in counts]).select("a", "b", sta.sign_test_p(c("a"), c("b")).alias("p"))
+    for r in df.collect():
+        m = r.a + r.b
+        want = min(1.0, float(Fraction(2 * sum(math.comb(m, i) for i in range(r.a + 1)), 2**m)))
+        assert r.p == pytest.approx(want, abs=1e-12, rel=1e-6 if want > 1e-12 else 1), (m, r.a)
+
+
 def test_sign_test_of_billions_of_pairs(rows):
     data = [(3_000_000_000, 2_900_000_000), (3_000_000_000, 3_000_000_000), (3_000_050_000, 2_999_950_000)]
     got = [r.p for r in rows("a long, b long", data).select(sta.sign_test_p(c("a"), c("b")).alias("p")).collect()]
