@@ -155,6 +155,17 @@ def arguments(text: str) -> Column:
     return F.expr(_let(_value(text), "f", chosen))
 
 
+def object_entries(text: str) -> Column:
+    """The entries (key, canonical text) of a JSON object; null for any other text. ``text`` names the column."""
+    items = f"transform({_last_of_each('f.items')}, x -> named_struct('key', x.key, 'text', x.text))"
+    return F.expr(_let(_value(text), "f", f"IF(f.object, {items}, NULL)"))
+
+
+def text_values(entries: str) -> Column:
+    """The values of the entries that are strings, decoded."""
+    return F.expr(f"transform(filter({entries}, x -> startswith(x.text, '\"')), x -> {_decoded('x.text')})")
+
+
 def entry_text(entries: str, key: str) -> Column:
     """A value as plain text: strings decoded, the words null, true and false as None, True and False; null if missing."""
     words = "CASE e WHEN 'null' THEN 'None' WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' ELSE e END"

@@ -73,9 +73,21 @@ def _rate(flag: str) -> Column:
     return F.avg(c(flag).cast("double"))
 
 
-def probe_rates(scored: DataFrame, keys: Sequence[str] = ("source", "arm")) -> DataFrame:
-    """Hit rates and mean tool precision and recall over answers without an error; NULLs ignored."""
-    return scored.where(c("error").isNull()).groupBy(*keys).agg(
+def chance_rates(pools: DataFrame) -> DataFrame:
+    """(source, chance_top1, chance_top3): hits of blind guesses, from the pool of a source's last run.
+
+    ``pools``: source, run_id, pool_size (tasks a guess could name). An empty pool counts as one task.
+    """
+    size = F.greatest(F.lit(1), F.max_by("pool_size", "run_id")).cast("double")
+    return pools.groupBy("source").agg((1 / size).alias("chance_top1"), F.least(F.lit(1.0), 3 / size).alias("chance_top3"))
+
+
+def probe_rates(scored: DataFrame, keys: Sequence[str] = ("source", "arm"), pools: DataFrame | None = None) -> DataFrame:
+    """Hit rates and mean tool precision and recall over answers without an error; NULLs ignored.
+
+    With ``pools`` (see ``chance_rates``) also what chance would give.
+    """
+    rates = scored.where(c("error").isNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         _rate("hit_top1").alias("task_top1"),
         _rate("hit_top3").alias("task_top3"),
@@ -84,6 +96,7 @@ def probe_rates(scored: DataFrame, keys: Sequence[str] = ("source", "arm")) -> D
         F.avg("tool_recall").alias("tool_recall"),
         _rate("category_hit").alias("category_hit"),
     )
+    return rates if pools is None else rates.join(chance_rates(pools), "source", "left")
 
 
 def pair_probe_arms(scored: DataFrame, keys: Sequence[str] = ("source", "run_id", "cluster_id")) -> DataFrame:

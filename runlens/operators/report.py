@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens import fixed
+from runlens.functions.numbers import let
 from runlens.operators.metrics import RUN, trials_for
 
 c = F.col
+#: Failure types that re-opening can change.
+REOPENED_TYPES = (*fixed.FAILURE_TYPES, "unresolved")
 
 
 def zero(column: str) -> Column:
@@ -239,16 +242,64 @@ def escalation_table(log: DataFrame, candidates: DataFrame) -> DataFrame:
     return base.join(moves, RUN, "left").fillna(0, ["candidates_reopened"]).fillna({"verdict_transitions": "{}"})
 
 
-def drift_reasons(replays: DataFrame, key: str = "failure_key") -> DataFrame:
-    """Histogram text ``reason=count;...`` per failure over its nested drift reports.
+def histogram_text(items: Column) -> Column:
+    """``item=count;...`` of an array of texts, by item; a null item reads None."""
+    named = F.transform(items, lambda x: F.coalesce(x, F.lit("None")))
+    return let(F.array_sort(named), lambda every: F.array_join(F.transform(F.array_distinct(every), lambda x: F.concat(
+        x, F.lit("="), F.size(F.filter(every, lambda y: y == x)).cast("string"))), ";"))
 
-    ``drift_reports``: map of report id -> struct with an array ``drifts`` of structs with ``reason``.
+
+def drift_table(replays: DataFrame) -> DataFrame:
+    """One line per replayed failure: its verdict, how its candidates went and why replays drifted.
+
+    ``replays``: source, failure_key, failure_type, oracle_step, oracle_step_basis, usd,
+    ``candidates`` (array of structs with step, status and the arms ``substitute`` and
+    ``control``, each with an array ``rollouts`` of structs with status) and ``drift_reports``
+    (map of report id -> struct with an array ``drifts`` of structs with reason). Adds candidates
+    (their number), statuses (``step:status;...`` in the order of the candidates),
+    unreplayable_trials and drift_reasons. All of it is folded within the row.
+    """
+    def unreplayable(candidate: Column) -> Column:
+        trials = F.concat(*[F.coalesce(candidate[arm]["rollouts"]["status"], F.array().cast("array<string>")) for arm in ("substitute", "control")])
+        return F.size(F.filter(trials, lambda x: x == "unreplayable"))
+
+    every = F.coalesce(c("candidates"), F.array())
+    statuses = F.transform(every, lambda x: F.concat(x["step"].cast("string"), F.lit(":"), x["status"]))
+    lost = F.aggregate(every, F.lit(0), lambda total, x: total + unreplayable(x))
+    reports = F.coalesce(F.map_values("drift_reports"), F.array())
+    reasons = F.flatten(F.transform(reports, lambda r: F.coalesce(r["drifts"]["reason"], F.array().cast("array<string>"))))
+    return replays.select(
+        "source", "failure_key", "failure_type", "oracle_step", "oracle_step_basis", F.size(every).alias("candidates"),
+        F.array_join(statuses, ";").alias("statuses"), lost.alias("unreplayable_trials"),
+        histogram_text(reasons).alias("drift_reasons"), c("usd").cast("double").alias("usd"))
+
+
+def reopened_types(before: DataFrame, after: DataFrame, candidates: DataFrame, types: Sequence[str] = REOPENED_TYPES) -> DataFrame:
+    """(source, failure_type, before, after): failures per type before and after marginal verdicts were re-opened.
+
+    ``before`` and ``after``: source, run_id, failure_key, failure_type; a run without earlier
+    results counts with its present ones on both sides, one without present results not at all.
+    Two more lines per source count the candidates (source, run_id, status, confirmed) that were
+    tried: confirmed ones, and those left at the fixed number of trials; their ``before`` is NULL.
     """
-    reports = replays.select(key, F.explode_outer(F.map_values("drift_reports")).alias("_r"))
-    reasons = reports.select(key, F.explode_outer("_r.drifts.reason").alias("_reason"))
-    counts = reasons.groupBy(key, "_reason").agg(F.count(F.lit(1)).alias("_n"))
-    item = F.when(c("_reason").isNotNull(), F.concat_ws("=", "_reason", c("_n").cast("string")))
-    return counts.groupBy(key).agg(F.concat_ws(";", F.array_sort(F.collect_list(item))).alias("drift_reasons"))
+    present = after.select(*RUN).distinct()
+    older = before.join(present, RUN, "left_semi")
+    unchanged = after.join(before.select(*RUN).distinct(), RUN, "left_anti")
+    earlier = older.select(*RUN, "failure_type").unionByName(unchanged.select(*RUN, "failure_type"))
+    marked = earlier.select("source", "failure_type", F.lit("before").alias("_side")).unionByName(
+        after.select("source", "failure_type", F.lit("after").alias("_side")))
+    counts = marked.groupBy("source").agg(*[
+        F.count_if((c("failure_type") == x) & (c("_side") == side)).alias(f"_{x}_{side}") for x in types for side in ("before", "after")])
+    tried = candidates.where(~c("status").isin("skipped", "unreplayable")).join(present, RUN, "left_semi").groupBy("source").agg(
+        F.count_if(F.coalesce(c("confirmed"), F.lit(False))).alias("_yes"), F.count_if(~F.coalesce(c("confirmed"), F.lit(False))).alias("_no"))
+
+    def line(name: str, first: Column, second: Column) -> Column:
+        return F.struct(F.lit(name).alias("failure_type"), first.cast("long").alias("before"), second.cast("long").alias("after"))
+
+    lines = [line(x, c(f"_{x}_before"), c(f"_{x}_after")) for x in types]
+    lines += [line(name, F.lit(None), F.coalesce(c(flag), F.lit(0))) for name, flag in
+              (("candidates_confirmed_n>=5", "_yes"), ("candidates_unconfirmed_fixed_k", "_no"))]
+    return counts.join(tried, "source", "left").select("source", F.explode(F.array(*lines)).alias("_l")).select("source", "_l.*")
 
 
 def failure_priority(failures: DataFrame) -> DataFrame:

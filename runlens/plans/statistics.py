@@ -124,7 +124,7 @@ def _(t):
 
 GENERATED = """SELECT 'b' || CAST(doc_id % 4 AS STRING) AS source, 'p' || CAST(1 + doc_id % 2 AS STRING) AS run_id, doc_id AS cluster_id, source AS decoy_component, 1 + n_chars % 7 AS decoy_step,
  CASE WHEN n_chars % 2 = 0 THEN 'validated_negative' ELSE 'not_sufficient' END AS step_basis, lang AS cause_label, CASE WHEN n_chars % 3 = 0 THEN 'high' ELSE 'low' END AS severity, doc_id % 3 AS generation_seed FROM documents"""
-COHERENT_SCORES = "SELECT *, CASE WHEN reference_score IS NULL THEN 'no reference score' END AS error FROM score_pairs WHERE cluster_id % 5 <> 0"
+COHERENT_SCORES = "SELECT *, CASE WHEN reference_score IS NULL THEN 'no reference score' END AS error FROM score_pairs"
 
 
 @query("coherent_table", f"""
@@ -188,11 +188,17 @@ def _(t):
         "tool_precision", "tool_recall", "category_hit")
 
 
+POOLS = "SELECT source, run_id, COUNT(DISTINCT assigned_task) AS pool_size FROM probe_records GROUP BY source, run_id"
+
+
 @query("probe_rates", f"""
 SELECT source, arm, COUNT(*) AS n, ROUND(AVG(CAST(hit_top1 AS INT)), 6) AS task_top1, ROUND(AVG(CAST(hit_top3 AS INT)), 6) AS task_top3, ROUND(AVG(CAST(origin_hit_top1 AS INT)), 6) AS origin_top1,
- ROUND(AVG(tool_precision), 6) AS tool_precision, ROUND(AVG(tool_recall), 6) AS tool_recall, ROUND(AVG(CAST(category_hit AS INT)), 6) AS category_hit FROM ({SCORED}) WHERE error IS NULL GROUP BY source, arm""")
+ ROUND(AVG(tool_precision), 6) AS tool_precision, ROUND(AVG(tool_recall), 6) AS tool_recall, ROUND(AVG(CAST(category_hit AS INT)), 6) AS category_hit,
+ ROUND(1.0 / GREATEST(1, ANY_VALUE(pool_size)), 6) AS chance_top1, ROUND(LEAST(1.0, 3.0 / GREATEST(1, ANY_VALUE(pool_size))), 6) AS chance_top3
+FROM ({SCORED}) LEFT JOIN (SELECT source, ARG_MAX(pool_size, run_id) AS pool_size FROM ({POOLS}) GROUP BY source) USING (source) WHERE error IS NULL GROUP BY source, arm""")
 def _(t):
-    return rounded(agr.probe_rates(scored_probes(t)), "task_top1", "task_top3", "origin_top1", "tool_precision", "tool_recall", "category_hit")
+    rates = agr.probe_rates(scored_probes(t), pools=t.sql(POOLS))
+    return rounded(rates, "task_top1", "task_top3", "origin_top1", "tool_precision", "tool_recall", "category_hit", "chance_top1", "chance_top3")
 
 
 @query("pair_probe_arms", f"""
@@ -217,12 +223,10 @@ def _(t):
 
 # ------------------------------------------------------------------ report tables
 
-SCORE_ROWS = "SELECT source, run_id, task_id, replicate, attempt, passed, value FROM rollouts WHERE passed IS NOT NULL AND steps % 4 <> 0"
+SCORE_ROWS = "SELECT source, run_id, task_id, replicate, attempt, passed, value FROM rollouts WHERE passed IS NOT NULL"
 
 
-@query("attach_scores", f"""
-SELECT r.source, r.run_id, r.task_id, r.replicate, r.attempt, r.steps, s.passed, ROUND(s.value, 6) AS value FROM rollouts r LEFT JOIN ({SCORE_ROWS}) s
-ON r.source = s.source AND r.run_id = s.run_id AND r.task_id = s.task_id AND r.replicate = s.replicate AND r.attempt = s.attempt""")
+@query("attach_scores", "SELECT source, run_id, task_id, replicate, attempt, steps, passed, ROUND(value, 6) AS value FROM rollouts")
 def _(t):
     keys = ["source", "run_id", "task_id", "replicate", "attempt"]
     records = t.view("rollouts").select(*keys, "steps")
@@ -360,18 +364,48 @@ def _(t):
 
 
 @query("drift_reasons", f"""
-SELECT failure_key, CASE q % 4 WHEN 0 THEN '' WHEN 1 THEN 'exit_code_differs=2' WHEN 2 THEN 'exit_code_differs=1;mutating_or_quoted_output_differs=2' ELSE 'mutating_or_quoted_output_differs=1' END AS drift_reasons FROM
-({REPLAYS})""")
+SELECT source, failure_key, failure_type, oracle_step, CASE WHEN oracle_step IS NULL THEN 'none' ELSE 'replay' END AS oracle_step_basis, 2 AS candidates,
+ '1:' || CASE WHEN q % 3 = 0 THEN 'skipped' ELSE 'tested' END || ';' || (2 + q % 5) || ':tested' AS statuses, CASE WHEN q % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN q % 6 = 1 THEN 2 ELSE 0 END AS unreplayable_trials,
+ CASE q % 4 WHEN 0 THEN '' WHEN 1 THEN 'exit_code_differs=2' WHEN 2 THEN 'exit_code_differs=1;mutating_or_quoted_output_differs=2' ELSE 'mutating_or_quoted_output_differs=1' END AS drift_reasons,
+ CAST(usd AS DOUBLE) AS usd FROM ({REPLAYS})""")
 def _(t):
     drift = lambda *names: F.struct(F.array(*[F.struct(F.lit(n).alias("reason")) for n in names]).alias("drifts"))
     e, m = "exit_code_differs", "mutating_or_quoted_output_differs"
     none = F.struct(F.array().cast("array<struct<reason:string>>").alias("drifts"))
     case = lambda *reports: F.create_map(*[x for i, r in enumerate(reports) for x in (F.lit(f"r{i}"), r)])
-    one = t.sql(REPLAYS).select("failure_key", "q")
     k = c("q") % 4
     reports = (F.when(k == 0, case(none, none)).when(k == 1, case(drift(e), drift(e)))
                .when(k == 2, case(drift(e, m), drift(m))).otherwise(case(none, drift(m))))
-    return rep.drift_reasons(one.withColumn("drift_reports", reports))
+
+    def arm(*statuses):
+        return F.struct(F.array(*[F.struct(x.alias("status")) for x in statuses]).alias("rollouts"))
+
+    def candidate(step, status, substitute, control):
+        return F.struct(step.cast("int").alias("step"), status.alias("status"), substitute.alias("substitute"), control.alias("control"))
+
+    lost, ok = F.lit("unreplayable"), F.lit("passed")
+    skipped = c("q") % 3 == 0
+    candidates = F.array(
+        candidate(F.lit(1), F.when(skipped, "skipped").otherwise("tested"), arm(F.when(skipped, ok).otherwise(lost), ok), arm(ok)),
+        candidate(2 + c("q") % 5, F.lit("tested"), arm(F.when(c("q") % 6 == 1, lost).otherwise(ok)), arm(F.when(c("q") % 6 == 1, lost).otherwise(ok), ok)))
+    rows = t.sql(REPLAYS).withColumns({
+        "oracle_step_basis": F.when(c("oracle_step").isNull(), "none").otherwise("replay"), "drift_reports": reports, "candidates": candidates})
+    return rep.drift_table(rows)
+
+
+EARLIER = f"""SELECT source, CASE WHEN q % 2 = 0 THEN 'p1' ELSE 'p2' END AS run_id, failure_key, failure_type FROM ({REPLAYS}) z"""
+LATER = f"""SELECT source, CASE WHEN q % 2 = 0 THEN 'p1' ELSE 'p3' END AS run_id, failure_key, CASE WHEN q % 3 = 0 AND failure_type = 'unresolved' THEN 'stochastic' ELSE failure_type END AS failure_type FROM ({REPLAYS}) z"""
+TRIED = f"""SELECT source, CASE WHEN q % 2 = 0 THEN 'p1' ELSE 'p3' END AS run_id, CASE q % 4 WHEN 0 THEN 'skipped' WHEN 1 THEN 'unreplayable' ELSE 'tested' END AS status, q % 5 = 2 AS confirmed FROM ({REPLAYS}) z"""
+
+
+@query("reopened_types", f"""
+WITH b AS (SELECT source, failure_type FROM ({EARLIER}) WHERE run_id = 'p1' UNION ALL SELECT source, failure_type FROM ({LATER}) WHERE run_id = 'p3'), a AS (SELECT source, failure_type FROM ({LATER})),
+s AS (SELECT DISTINCT source FROM a), y AS (SELECT UNNEST(['deterministic','stochastic','unrepairable','unreplayable','unresolved']) AS failure_type),
+k AS (SELECT source, COUNT(*) FILTER (WHERE confirmed) AS yes, COUNT(*) FILTER (WHERE NOT confirmed) AS no FROM ({TRIED}) WHERE status = 'tested' GROUP BY source)
+SELECT s.source, y.failure_type, (SELECT COUNT(*) FROM b WHERE b.source = s.source AND b.failure_type = y.failure_type) AS before, (SELECT COUNT(*) FROM a WHERE a.source = s.source AND a.failure_type = y.failure_type) AS after FROM s, y
+UNION ALL SELECT s.source, 'candidates_confirmed_n>=5', NULL, COALESCE(yes, 0) FROM s LEFT JOIN k USING (source) UNION ALL SELECT s.source, 'candidates_unconfirmed_fixed_k', NULL, COALESCE(no, 0) FROM s LEFT JOIN k USING (source)""")
+def _(t):
+    return rep.reopened_types(t.sql(EARLIER), t.sql(LATER), t.sql(TRIED))
 
 
 @query("failure_priority", f"SELECT f.source, f.run_id, f.task_id, f.replicate, f.attempt, n.priority FROM ({runs.FAILS}) f JOIN (SELECT task_id, COUNT(*) AS priority FROM ({runs.FAILS}) GROUP BY task_id) n ON f.task_id = n.task_id")

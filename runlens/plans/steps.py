@@ -139,18 +139,28 @@ def _(t):
     return trj.approx_search_calls(t.sql(COMMANDS))
 
 
-REPLAYED = """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'todo_list_tasks' ELSE 'run_shell_command' END AS name, 0 AS recorded_exit,
- CASE WHEN n_chars % 11 = 0 THEN 1 ELSE 0 END AS fresh_exit, n_chars % 2 = 0 AS mutated, n_chars % 5 = 0 AS quoted,
- 'at 2024-01-02 10:11:12 pid=' || CAST(doc_id AS STRING) || '  value ' || CAST(n_chars % 3 AS STRING) || ' /tmp/a' || CAST(doc_id AS STRING) AS recorded_text,
- 'at 2025-03-0' || CAST(1 + doc_id % 9 AS STRING) || ' 01:02:03 pid=7 value ' || CAST(doc_id % 3 AS STRING) || ' /tmp/b/c.txt' AS fresh_text FROM documents"""
+REPLAYED = """SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'todo_list_tasks' ELSE 'run_shell_command' END AS name, 0 AS recorded_exit,
+ CASE WHEN n_chars % 11 = 0 THEN 1 ELSE 0 END AS fresh_exit, n_chars % 2 = 0 AS mutated, n_chars % 5 = 0 AS quoted, n_chars % 3 AS recorded_value, doc_id % 3 AS fresh_value FROM documents"""
 
 
 @query("mask_and_compare", f"""
-SELECT doc_id, same AS output_equal, CASE WHEN name = 'run_shell_command' AND recorded_exit <> fresh_exit THEN 'exit_code_differs'
- WHEN NOT same AND (mutated OR quoted) THEN 'mutating_or_quoted_output_differs' WHEN NOT same THEN 'warning' ELSE 'equal' END AS outcome
-FROM (SELECT r.*, (SELECT d.n_chars % 3 = d.doc_id % 3 FROM documents d WHERE d.doc_id = r.doc_id) AS same FROM ({REPLAYED}) r)""")
+SELECT doc_id, recorded_value = fresh_value AS output_equal, CASE WHEN name = 'run_shell_command' AND recorded_exit <> fresh_exit THEN 'exit_code_differs'
+ WHEN recorded_value <> fresh_value AND (mutated OR quoted) THEN 'mutating_or_quoted_output_differs' WHEN recorded_value <> fresh_value THEN 'warning' ELSE 'equal' END AS outcome FROM ({REPLAYED})""")
 def _(t):
-    return trj.mask_and_compare(t.sql(REPLAYED)).select("doc_id", "output_equal", "outcome")
+    def output(day, pid, value, folder, shape):
+        """The document's text with volatile parts, as streams, as JSON with streams, or as plain content."""
+        head = F.concat(F.lit(f"at {day}T01:02:03 pid={pid} value "), c(value).cast("string"), F.lit(f"  in {folder}/"), c("doc_id").cast("string"), F.lit(" "))
+        body = F.concat(head, F.coalesce(c("text"), F.lit("")))
+        none = F.lit(None).cast("string")
+        decoded = F.to_json(F.struct(body.alias("stdout"), F.lit(f"made /tmp/x{pid}/log").alias("stderr")))
+        return F.struct(F.when(shape == 0, none).when(shape == 1, decoded).otherwise(body).alias("content"),
+                        F.when(shape == 0, body).alias("stdout"), F.when(shape == 0, f"made /tmp/x{pid}/log").alias("stderr"))
+
+    shape = c("doc_id") % 3
+    pairs = t.sql(REPLAYED).withColumns({
+        "recorded": output("2024-01-02", 5123, "recorded_value", "/data/run-1(a)", shape), "fresh": output("2025-03-04", 7, "fresh_value", "/replay/w", shape),
+        "workspaces": F.array(F.lit("/data/run-1(a)"), F.lit("/replay/w"), F.lit(None))})
+    return trj.mask_and_compare(pairs).select("doc_id", "output_equal", "outcome")
 
 
 SPOKEN = """SELECT conv_id AS rollout_id, turn AS step, text AS heard,
@@ -168,8 +178,17 @@ SELECT o.rollout_id, o.step, EXISTS (SELECT 1 FROM l JOIN s ON l.rollout_id = s.
  AND s.step > l.step AND CONTAINS(s.said, l.line)) AS quoted FROM o""")
 def _(t):
     rows = t.sql(SPOKEN)
-    heard = rows.where(c("step") % 2 == 1).select("rollout_id", "step", c("heard").alias("text"))
-    said = rows.where(c("step") % 2 == 0).select("rollout_id", "step", c("said").alias("text"))
+    none, shape = F.lit(None).cast("string"), F.length("heard") % 3
+    listens = c("step") % 2 == 1
+    shown = F.struct(
+        F.when(shape == 0, F.to_json(F.struct(F.lit(1).alias("n"), c("heard").alias("out")))).when(shape == 1, c("heard")).alias("content"),
+        F.when(shape == 2, c("heard")).otherwise("").alias("stdout"), none.alias("stderr"))
+    calls = F.array().cast("array<struct<id:string,name:string,arguments:string>>")
+    message = F.struct(F.when(shape == 0, c("said")).alias("content"), F.when(shape == 1, c("said")).alias("reasoning_content"), F.when(
+        shape == 2, F.array(F.struct(F.lit("a").alias("id"), F.lit("b").alias("name"), c("said").alias("arguments")))).otherwise(calls).alias("tool_calls"))
+    entries = rows.select("rollout_id", "step", F.when(listens, "tool").otherwise("assistant").alias("role"),
+                          F.when(listens, shown).alias("tool_output"), F.when(~listens, message).alias("message"))
+    heard, said = trj.observations(entries), trj.spoken_texts(entries)
     return trj.quoted_later(heard, said, t.sql(CUTOFFS)).drop("cutoff")
 
 

@@ -305,3 +305,45 @@ def test_numbers_of_the_first_answer(rows):
     out = {r.pair_id: r.unsupported for r in att.unsupported_answer(answers, seen).collect()}
     assert out == {"whole": False, "inside": False, "none": False, "null": False, "first": True, "dot": True, "arabic": False,
                    "alone": True, "either": False}
+
+
+RESULT = "struct<content:string,stdout:string,stderr:string>"
+SHAPES = [  # result -> text to compare, text to quote
+    (("c", "out", None), "out\n--stderr--\n", "out"),
+    (("c", "", "err"), "\n--stderr--\nerr", "err"),
+    (("c", "out", "err"), "out\n--stderr--\nerr", "out\nerr"),
+    ((None, "", ""), "\n--stderr--\n", ""),
+    (("plain", None, None), "plain", "plain"),
+    (('{"stdout": "a\\nb", "exit": 0}', None, None), "a\nb\n--stderr--\n", "a\nb"),
+    (('{"stderr": null, "x": "y"}', None, None), "\n--stderr--\nNone", "y"),
+    (('{"result": "r", "n": 1, "b": "s"}', None, None), '{"result": "r", "n": 1, "b": "s"}', "s\nr"),
+    (('["stdout"]', None, None), '["stdout"]', '["stdout"]'),
+    (('{"result": "r"}', "", ""), "\n--stderr--\n", "r"),
+    ((None, None, None), "", ""),
+]
+
+
+def test_text_of_a_result(rows):
+    df = rows(f"i int, o {RESULT}", [(i, o) for i, (o, _, _) in enumerate(SHAPES)])
+    got = {r.i: (r.a, r.b) for r in trj.with_output_text(trj.with_output_text(df, "o", "a"), "o", "b", quotable=True).collect()}
+    assert got == {i: (a, b) for i, (_, a, b) in enumerate(SHAPES)}
+
+
+def test_workspaces_and_volatile_parts_are_masked(rows):
+    ddl = f"i int, name string, recorded_exit int, fresh_exit int, mutated boolean, quoted boolean, recorded {RESULT}, fresh {RESULT}, workspaces array<string>"
+    shell, ok = "run_shell_command", (0, 0, False, False)
+    df = rows(ddl, [
+        (1, shell, *ok, (None, "in /w(1)/a at 10:11:12", None), ('{"stdout": "in /new/a  at 01:02:03"}', None, None), ["/w(1)", "/new", None]),
+        (2, shell, *ok, (None, "in /w(1)/a", None), (None, "in /new/b", None), ["/w(1)", "/new", ""]),
+        (3, shell, 0, 1, False, False, (None, "x", None), (None, "x", None), None),
+        (4, "tool", 0, 1, True, False, ("x", None, None), ("y", None, None), []),
+    ])
+    assert {r.i: r.outcome for r in trj.mask_and_compare(df.fillna({})).collect() if r.i != 3} == {
+        1: "equal", 2: "warning", 4: "mutating_or_quoted_output_differs"}
+    assert trj.mask_and_compare(df.drop("workspaces")).where("i = 3").first().outcome == "exit_code_differs"
+
+
+def test_observations_and_spoken_texts_of_entries(spark):
+    df = frame(spark, entries("r", [[sh("ls -la notes")], "the words of the reply"], {1: {"content": '{"out": "a line that is long", "n": 2}'}}))
+    assert [(r.step, r.text) for r in trj.observations(df).collect()] == [(1, "a line that is long")]
+    assert sorted((r.step, r.text) for r in trj.spoken_texts(df).collect()) == [(1, '{"command": "ls -la notes"}'), (2, "the words of the reply")]
