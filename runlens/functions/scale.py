@@ -97,16 +97,13 @@ def exact_quantiles(
     """Exact order statistics per group, one row per group with one column per pick.
 
     ``picks`` maps a column name to a function from the group size to a 0-based position.
-    Equal values are counted before anything else. The first level counts cells that follow the
-    magnitude (``value_cell``), each further one cuts what is left of a pick into ``buckets``
-    equal-width cells; only the rows of the last cell are sorted. A hot group or outliers of
+    The first level counts cells that follow the magnitude (``value_cell``); the rows of the cells
+    that hold a pick are counted by value, and each further level cuts what is left of a pick into
+    ``buckets`` equal-width cells; only the values of the last cell are sorted. A hot group or outliers of
     several scales therefore leave few rows to sort.
     """
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    cells = values.withColumn("_b", value_cell(F.col("_v"), buckets)).withColumn("_c", F.lit(1))
 
     def with_cell(frame: DataFrame) -> DataFrame:
         width = F.col("_hi") - F.col("_lo")
@@ -124,15 +121,18 @@ def exact_quantiles(
             *keys, "_pick", "_b", (F.col("_pos") - F.col("_before")).alias("_pos"), "_lo", "_hi"
         )
 
-    groups = counted.groupBy(*keys).agg(F.sum("_c").alias("_size"))
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("pick"), f(F.col("_size")).cast("long").alias("pos")) for n, f in picks.items()
-    ]))
-    positions = groups.select(*keys, wanted.alias("_p")).select(
-        *keys, F.col("_p.pick").alias("_pick"), F.col("_p.pos").alias("_pos"))
-    rows = counted.withColumn("_b", value_cell(F.col("_v"), buckets))
-    state = hits(histogram(rows, keys).join(positions, list(keys)))
-    rows = rows.join(state, [*keys, "_b"]).drop("_b")
+    def wanted(cells: DataFrame) -> DataFrame:
+        """The picks of a group, whose positions follow from its size, beside each of its cells."""
+        size = F.sum("_n").over(Window.partitionBy(*keys))
+        picked = F.explode(F.array(*[
+            F.struct(F.lit(n).alias("pick"), f(F.col("_size")).cast("long").alias("pos")) for n, f in picks.items()
+        ]))
+        return cells.withColumn("_size", size).select("*", picked.alias("_p")).select(
+            *cells.columns, F.col("_p.pick").alias("_pick"), F.col("_p.pos").alias("_pos"))
+
+    state = hits(wanted(histogram(cells, keys)))
+    near = [*keys, "_pick", "_pos", "_lo", "_hi", "_v"]
+    rows = cells.join(state, [*keys, "_b"]).groupBy(*near).agg(F.count(F.lit(1)).alias("_c"))
     for _ in range(levels - 1):
         rows = with_cell(rows)
         by = [*keys, "_pick", "_pos"]

@@ -150,65 +150,85 @@ def kind_histogram(df: DataFrame, keys: Sequence[str], kind: str, name: str) ->
     )
 
 
-def run_aggregate(rollouts: DataFrame, ledger: DataFrame, failures: DataFrame, tasks: DataFrame) -> DataFrame:
-    """One profile row per (source, run), each grain aggregated once and then joined.
+def _grains(rollouts: DataFrame, values: dict[str, str]) -> DataFrame:
+    """Rollouts counted per (run, task), and infra failures per (run, kind), in one pass.
 
-    ``tasks`` holds (source, run_id, task_id, pass_hat_k). Costs and wall clocks come with
-    mean, exact median, maximum and total.
+    ``_grain`` is 0 for the rows of a task and 1 for those of a kind.
     """
-    values = {"policy_usd": "usd", "wall_s": "duration_seconds"}
-    per_task = rollouts.groupBy(*RUN, "task_id").agg(
+    infra = c("error_family") == "infra"
+    rows = rollouts.select(
+        *RUN, "task_id", "passed", "search_calls", "partial", "error_kind", *values.values(),
+        infra.alias("_infra"), F.when(infra, F.coalesce(c("error_kind"), F.lit("infra"))).alias("_kind"))
+    task, kind = [c(x) for x in (*RUN, "task_id")], [c(x) for x in (*RUN, "_kind")]
+    return rows.groupingSets([task, kind], *[c(x) for x in (*RUN, "task_id", "_kind")]).agg(
+        F.grouping("task_id").cast("int").alias("_grain"),
         F.count(F.lit(1)).alias("rollouts"),
         F.count("passed").alias("scored"),
         F.count_if(F.coalesce(c("passed"), F.lit(False))).alias("passed"),
         F.sum("search_calls").alias("search_calls"),
         F.count_if(c("error_kind") == "usage_mismatch").alias("usage_mismatch"),
         F.count_if("partial").alias("partial"),
+        F.count_if("_infra").alias("_infra"),
         *[agg for prefix, value in values.items() for agg in (
             F.sum(value).alias(f"_{prefix}_sum"), F.count(value).alias(f"_{prefix}_n"), F.max(value).alias(f"_{prefix}_max"))],
     )
-    base = per_task.groupBy(*RUN).agg(
-        F.count(F.lit(1)).alias("tasks"),
-        *[F.sum(x).alias(x) for x in ("rollouts", "scored", "passed", "search_calls", "usage_mismatch", "partial")],
+
+
+def run_costs(rollouts: DataFrame, ledger: DataFrame | None = None, failures: DataFrame | None = None,
+              tasks: DataFrame | None = None) -> DataFrame:
+    """One profile row per (source, run) without medians: counts, costs, wall clocks and failures.
+
+    ``tasks`` holds (source, run_id, task_id, pass_hat_k). Each table is read once. The rows of all
+    of them, rollouts already counted per task and kind, meet in one aggregation per run. What
+    comes from a table that is left out is zero.
+    """
+    values = {"policy_usd": "usd", "wall_s": "duration_seconds"}
+    rows = _grains(rollouts, values).drop("task_id")
+    empty = F.lit(None)
+    money = empty.cast("decimal(18,6)")
+    rows = rows.withColumns({"_hat": empty.cast("boolean"), "event": empty.cast("string"), "arm": empty.cast("string"),
+                             "cached": empty.cast("boolean"), "_usd": money, "family": empty.cast("string")})
+    given = []
+    if tasks is not None:
+        given.append(tasks.select(*RUN, c("pass_hat_k").alias("_hat")))
+    if ledger is not None:
+        given.append(ledger.select(*RUN, "event", "arm", "cached", c("usd").alias("_usd")))
+    if failures is not None:
+        given.append(failures.select(*RUN, "family"))
+    for part in given:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    call, policy, per_task = c("event") == "call", c("event") == "policy", c("_grain") == 0
+    judge, other = call & (c("arm") == "judge"), c("family") != "infra"
+    of_task = lambda x: F.when(per_task, c(x))
+    spent = lambda when: F.coalesce(F.sum(F.when(when, c("_usd"))), F.lit(0)).cast("double")
+    kinds = F.array_sort(F.collect_list(F.when((c("_grain") == 1) & (c("_infra") > 0), F.struct(c("_kind").alias("k"), c("_infra").alias("n")))))
+    listed = F.transform(kinds, lambda x: F.concat(F.lit('"'), x["k"], F.lit('": '), x["n"].cast("string")))
+    return rows.groupBy(*RUN).agg(
+        F.count_if(per_task).alias("tasks"),
+        *[F.sum(of_task(x)).alias(x) for x in ("rollouts", "scored", "passed", "search_calls", "usage_mismatch", "partial")],
         *[agg for prefix in values for agg in (
-            F.try_divide(F.sum(f"_{prefix}_sum").cast("double"), F.sum(f"_{prefix}_n")).alias(f"{prefix}_mean"),
-            F.max(f"_{prefix}_max").cast("double").alias(f"{prefix}_max"),
-            F.sum(f"_{prefix}_sum").cast("double").alias(f"{prefix}_total"))],
-    )
-    hats = tasks.groupBy(*RUN).agg(F.count_if("pass_hat_k").alias("pass_hat_k_tasks"))
-    call, policy = c("event") == "call", c("event") == "policy"
-    money = F.lit(0).cast("decimal(18,6)")
-    spend = ledger.groupBy(*RUN).agg(
-        F.sum(F.when(call & (c("arm") == "judge"), c("usd")).otherwise(money)).cast("double").alias("judge_usd"),
-        F.count_if(call & (c("arm") == "judge")).alias("judge_calls"),
-        F.count_if(call & (c("arm") == "judge") & c("cached")).alias("judge_cached"),
-        F.sum(F.when(call & (c("arm") == "diagnosis"), c("usd")).otherwise(money)).cast("double").alias("diagnosis_usd"),
-        F.sum(F.when(policy & (c("arm") == "replay"), c("usd")).otherwise(money)).cast("double").alias("replay_usd"),
+            F.try_divide(F.sum(of_task(f"_{prefix}_sum")).cast("double"), F.sum(of_task(f"_{prefix}_n"))).alias(f"{prefix}_mean"),
+            F.max(of_task(f"_{prefix}_max")).cast("double").alias(f"{prefix}_max"),
+            F.sum(of_task(f"_{prefix}_sum")).cast("double").alias(f"{prefix}_total"))],
+        F.count_if("_hat").alias("pass_hat_k_tasks"),
+        spent(judge).alias("judge_usd"),
+        F.count_if(judge).alias("judge_calls"),
+        F.count_if(judge & c("cached")).alias("judge_cached"),
+        spent(call & (c("arm") == "diagnosis")).alias("diagnosis_usd"),
+        spent(policy & (c("arm") == "replay")).alias("replay_usd"),
         F.count_if(policy & (c("arm") == "replay")).alias("replay_rollouts"),
-        F.sum(F.when(c("event") == "search", c("usd")).otherwise(money)).cast("double").alias("search_usd"),
-    )
-    fails = failures.groupBy(*RUN).agg(
-        F.count_if(c("family") != "infra").alias("harness_failures"),
-        F.count_if(c("family") == "infra").alias("infra_failures"),
+        spent(c("event") == "search").alias("search_usd"),
+        F.count_if(other).alias("harness_failures"),
+        F.count_if(~other).alias("infra_failures"),
         F.count_if(c("family") == "budget").alias("budget_failures"),
-    )
-    kinds = kind_histogram(
-        rollouts.where(c("error_family") == "infra").withColumn("error_kind", F.coalesce(c("error_kind"), F.lit("infra"))),
-        RUN,
-        "error_kind",
-        "infra",
-    )
-    out = base
-    for part in (
-        medians(rollouts, RUN, values),
-        hats, spend, fails, kinds,
-    ):
-        out = out.join(part, RUN, "left")
-    return out.fillna(
-        0,
-        ["pass_hat_k_tasks", "judge_usd", "judge_calls", "judge_cached", "diagnosis_usd", "replay_usd",
-         "replay_rollouts", "search_usd", "harness_failures", "infra_failures", "budget_failures"],
-    ).fillna({"infra": "{}"})
+        F.concat(F.lit("{"), F.array_join(listed, ", "), F.lit("}")).alias("infra"),
+    ).where(c("tasks") > 0)
+
+
+def run_aggregate(rollouts: DataFrame, ledger: DataFrame, failures: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``run_costs`` with the exact medians of policy cost and wall clock."""
+    costs = run_costs(rollouts, ledger, failures, tasks)
+    return costs.join(medians(rollouts, RUN, {"policy_usd": "usd", "wall_s": "duration_seconds"}), RUN, "left")
 
 
 def baseline_table(rollouts: DataFrame, k: int) -> DataFrame:
@@ -228,7 +248,7 @@ def baseline_table(rollouts: DataFrame, k: int) -> DataFrame:
 
 
 def cost_table(runs: DataFrame) -> DataFrame:
-    """Unit costs per run from ``run_aggregate`` rows."""
+    """Unit costs per run from ``run_costs`` rows."""
     total = sum((F.coalesce(c(x), F.lit(0.0)) for x in ("judge_usd", "replay_usd", "diagnosis_usd", "search_usd")),
                 F.coalesce(c("policy_usd_total"), F.lit(0.0)))
     return runs.select(

@@ -208,7 +208,7 @@ COST_COLS = ["policy_usd_per_rollout", "judge_usd_per_rollout", "replay_usd", "d
 
 @query("cost_table", f"SELECT source, run_id, rollouts, {', '.join(f'ROUND({m}, 4) AS {m}' for m in COST_COLS)} FROM ({COST})")
 def _(t):
-    df = met.cost_table(run_profiles(t))
+    df = met.cost_table(met.run_costs(t.view("rollouts"), ledger=t.sql(RUN_LEDGER)))
     for m in COST_COLS:
         df = df.withColumn(m, F.round(m, 4))
     return df
@@ -216,13 +216,13 @@ def _(t):
 
 @query("infra_table", f"SELECT source, run_id, infra_failures, infra, usage_mismatch, partial, budget_failures FROM ({RUN_AGG})")
 def _(t):
-    return met.infra_table(run_profiles(t))
+    return met.infra_table(met.run_costs(t.view("rollouts"), failures=t.sql(FAILS)))
 
 
 @query("cost_per_rollout", f"""
 SELECT ROUND(AVG(policy_usd_per_rollout + judge_usd_per_rollout), 4) AS cost_per_rollout FROM ({COST}) WHERE run_id <> 'p2'""")
 def _(t):
-    costs = met.cost_table(run_profiles(t)).withColumn(
+    costs = met.cost_table(met.run_costs(t.view("rollouts"), ledger=t.sql(RUN_LEDGER))).withColumn(
         "run_id", F.when(c("run_id") == "p2", "p2-ref").otherwise(c("run_id")))
     return met.cost_per_rollout(costs).withColumn("cost_per_rollout", F.round("cost_per_rollout", 4))
 
