@@ -5,6 +5,7 @@ Tokenizers are loaded once per Python worker. Nothing here is trained.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Sequence
@@ -14,6 +15,8 @@ import numpy as np
 import regex
 
 REMEMBERED = 500_000
+#: Runs of white space from this length on go to the tokenizer itself.
+LONGEST_BLANK = 10_000
 #: What may stand behind a word as a token run of its own (no apostrophe: it may start a suffix).
 _MARKS = ".,!?;:%&$*#|"
 #: Characters that a whitespace split may leave to the memory of words: ASCII and Latin letters,
@@ -30,13 +33,26 @@ def public_path(name: str) -> str:
 
 @lru_cache(maxsize=4)
 def load(path: str):
-    """The tokenizer; the strings of special tokens in a text are ordinary text."""
+    """The tokenizer as its file describes it: special tokens in a text have their own ids."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=4)
+def _needs_tokenizer(path: str) -> Callable[[str], bool]:
+    """Whether a text is left to the tokenizer itself: it holds the name of an added token in any
+    case, or white space without end, which other implementations of the pattern do not survive."""
+    with open(path, encoding="utf-8") as file:
+        names = [added["content"].lower() for added in json.load(file)["added_tokens"]]
+    blanks = re.compile(rf"(?<!\s)\s{{{LONGEST_BLANK}}}")
+
+    def needs(text: str) -> bool:
+        low = text.lower() if any(name[0] in text for name in names) else text
+        return any(name in low for name in names) or (len(text) >= LONGEST_BLANK and blanks.search(text) is not None)
+
+    return needs
 
 
 @lru_cache(maxsize=4)
@@ -45,10 +61,10 @@ def split_by_words(path: str) -> Callable[[Sequence[str]], list[np.ndarray]]:
 
     White space is never part of such a token, nor does a token reach from letters into the marks
     behind them; so the ids of a text are those of its pieces, one after the other. Pieces are
-    remembered up to ``REMEMBERED`` of them. A text with characters beyond Latin goes to the
-    tokenizer as a whole.
+    remembered up to ``REMEMBERED`` of them. A text with characters beyond Latin, or with the name of
+    an added token, goes to the tokenizer as a whole.
     """
-    tokenizer = load(path)
+    tokenizer, needs = load(path), _needs_tokenizer(path)
     last = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
     last[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
     memory: dict[str, bytes] = {}
@@ -89,7 +105,7 @@ def split_by_words(path: str) -> Callable[[Sequence[str]], list[np.ndarray]]:
         return {p: ids(core) + ids(tail) for p, (core, tail) in parts.items()}
 
     def encode(texts: Sequence[str]) -> list[np.ndarray]:
-        pieces = [t.lower().split() if _PLAIN.fullmatch(t) else None for t in texts]
+        pieces = [t.lower().split() if _PLAIN.fullmatch(t) and not needs(t) else None for t in texts]
         fresh = fill(list({p for ps in pieces if ps for p in ps if p not in memory}))
         if len(memory) + len(fresh) <= REMEMBERED:
             memory.update(fresh)
@@ -105,10 +121,9 @@ def byte_level(path: str) -> Callable[[Sequence[str]], list[np.ndarray]]:
     """Encoder for byte-level vocabularies.
 
     Runs the vocabulary's merges, read from the same file, by the faster of the two installed
-    libraries; ids and splitting rule are the same, which the tests check.
+    libraries; ids and splitting rule are the same, which the tests check. Texts with names of
+    added tokens or with very long white space go to the tokenizer itself.
     """
-    import json
-
     import public_tokenizers
     import tiktoken
 
@@ -121,8 +136,13 @@ def byte_level(path: str) -> Callable[[Sequence[str]], list[np.ndarray]]:
         ranks.pop(added["content"].encode(), None)
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    needs = _needs_tokenizer(path)
+
+    def ids(text: str) -> list[int]:
+        return load(path).encode(text, add_special_tokens=False).ids if needs(text) else encoding.encode_ordinary(text)
+
     def encode(texts: Sequence[str]) -> list[np.ndarray]:
-        return [np.asarray(encoding.encode_ordinary(t), dtype="<u4") for t in texts]
+        return [np.asarray(ids(t), dtype="<u4") for t in texts]
 
     return encode
 

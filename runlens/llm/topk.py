@@ -20,81 +20,125 @@ LANES = 128
 SCALE = 256
 
 
-def quantised(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of every component as long; null where the vector or a component is
-    null, NaN or infinite, or where a component leaves the range of 32 bits."""
-    limit = float(2**31)
-    doubles = F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
-    fine = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double") * scale) < limit))
-    return F.when(fine, doubles)
+def taking_part(vector: Column) -> Column:
+    """Whether a vector is there and all of its components are finite."""
+    return vector.isNotNull() & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
 
 
-def rows_of(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, terms, weights), one row for each different (id, vector); zeros are left out."""
+def rows_of(df: DataFrame, key: str, vector: str, scale: int = SCALE) -> DataFrame:
+    """(id, terms, values, row, copies): equal vectors of one id are one row with their number.
+
+    Terms are the positions where floor(scale * x) is not zero, values the doubles there; ``row``
+    tells different vectors of one id apart.
+    """
+    doubles = F.transform(F.col(vector), lambda x: x.cast("double"))
     e = F.col("e")
-    at = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: F.get(e, i) != 0)
+    zero = lambda x: (x >= 0) & (x < 1.0 / scale)
+    at = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: ~zero(F.get(e, i)))
     at = F.when(F.size(e) > 0, at).otherwise(F.array().cast("array<int>"))
-    return (df.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector)).alias("e"))
-            .where(F.col("id").isNotNull() & F.col("e").isNotNull()).distinct()
-            .select("id", at.alias("terms"), F.transform(at, lambda i: F.get(e, i)).alias("weights")))
+    sparse = (df.where(taking_part(F.col(vector)) & F.col(key).isNotNull())
+              .select(F.col(key).cast("long").alias("id"), doubles.alias("e"))
+              .select("id", at.alias("terms"), F.transform(at, lambda i: F.get(e, i)).alias("values")))
+    each = sparse.groupBy("id", "terms", "values").agg(F.count(F.lit(1)).alias("copies"))
+    return each.withColumn("row", F.xxhash64("terms", "values"))
 
 
-def _dense(column: pd.Series, rows: pd.DataFrame) -> np.ndarray:
+def _dense(column: pd.Series, rows: pd.DataFrame, kind=np.int64) -> np.ndarray:
     """One array from the lists of a column, one after the other."""
-    return np.concatenate([np.asarray(x, dtype=np.int64) for x in column]) if len(rows) else np.zeros(0, np.int64)
+    return np.concatenate([np.asarray(x, dtype=kind) for x in column]) if len(rows) else np.zeros(0, kind)
+
+
+def _weights(values: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as whole numbers of any size."""
+    whole = np.empty(len(values), dtype=object)
+    whole[:] = [int(v) * scale if abs(v) >= 2.0**53 else int(np.floor(v * scale)) for v in values.tolist()]
+    return whole
 
 
-def _postings(rows: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _postings(rows: pd.DataFrame, kind, scale: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """term -> (row numbers, weights)."""
     sizes = rows["terms"].map(len).to_numpy()
-    terms, weights = _dense(rows["terms"], rows), _dense(rows["weights"], rows)
+    terms, values = _dense(rows["terms"], rows), _dense(rows["values"], rows, np.float64)
+    weights = np.floor(values * scale).astype(np.int64) if kind is np.int64 else _weights(values, scale)
     owner = np.repeat(np.arange(len(rows)), sizes)
     order = np.argsort(terms, kind="stable")
     names, first = np.unique(terms[order], return_index=True)
     return {int(t): (owner[o], weights[o]) for t, o in zip(names, np.split(order, first[1:]))}
 
 
-def block_top(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best candidates of a block for each query of a block."""
-    nothing = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-    if queries.empty or candidates.empty:
-        return nothing
-    candidates = candidates.sort_values("id", kind="stable")
-    ids, index, found = candidates["id"].to_numpy(), _postings(candidates), []
-    for at in range(0, len(queries), LANES):
-        lane = queries.iloc[at:at + LANES]
-        own = lane["id"].to_numpy()
-        scores = np.zeros((len(ids), len(lane)), dtype=np.int64)
-        for term, (asked, query_weight) in _postings(lane).items():
+def _fits(rows: pd.DataFrame, scale: int) -> np.ndarray:
+    """Rows whose weights are so small that sums of products with each other stay within 62 bits."""
+    most = np.array([max(map(abs, v), default=0.0) for v in rows["values"].map(list)], dtype=np.float64)
+    terms = np.array([len(t) for t in rows["terms"]], dtype=np.float64)
+    return (most * scale + 1) ** 2 * np.maximum(terms, 1) < 2.0**62
+
+
+def _best(asked: pd.DataFrame, offered: pd.DataFrame, k: int, kind, scale: int) -> list[tuple]:
+    """(query_id, query_row, vec_id, score) of the k best rows of ``offered`` for each of ``asked``.
+
+    ``kind`` is the type of the scores: 64-bit integers, or whole numbers of any size.
+    """
+    ids, marks = offered["id"].to_numpy(), offered["row"].to_numpy()
+    copies, index, found = offered["copies"].to_numpy(), _postings(offered, kind, scale), []
+    for at in range(0, len(asked), LANES):
+        lane = asked.iloc[at:at + LANES]
+        scores = np.zeros((len(ids), len(lane)), dtype=kind)
+        for term, (who, query_weight) in _postings(lane, kind, scale).items():
             if term in index:
                 where, weight = index[term]
-                if len(where) == len(ids) and len(asked) == len(lane):
+                if len(where) == len(ids) and len(who) == len(lane):
                     scores += weight[:, None] * query_weight[None, :]
                 else:
-                    scores[np.ix_(where, asked)] += weight[:, None] * query_weight[None, :]
-        others = ids[:, None] != own[None, :]
-        scores[~others] = np.iinfo(np.int64).min
-        least = np.partition(scores, max(len(ids) - k, 0), axis=0)[max(len(ids) - k, 0)]
-        row, col = np.nonzero((scores >= least) & others)
-        order = np.lexsort((row, -scores[row, col], col))
-        row, col = row[order], col[order]
-        rank = np.arange(len(col)) - np.searchsorted(col, col)
-        row, col = row[rank < k], col[rank < k]
-        found.append(pd.DataFrame({"query_id": own[col], "vec_id": ids[row], "score": scores[row, col]}))
-    return pd.concat(found)
+                    scores[np.ix_(where, who)] += weight[:, None] * query_weight[None, :]
+        own = (ids[:, None] == lane["id"].to_numpy()[None, :]) & (marks[:, None] == lane["row"].to_numpy()[None, :])
+        left = copies[:, None] - own  # a row is no candidate of its own
+        for col, (query, row) in enumerate(zip(lane["id"].tolist(), lane["row"].tolist())):
+            open_ = np.flatnonzero(left[:, col] > 0)
+            mine = scores[open_, col]
+            if len(open_) > k:
+                least = np.partition(mine, len(mine) - k)[len(mine) - k]
+                open_, mine = open_[mine >= least], mine[mine >= least]
+            # candidates are sorted by id, so a stable sort by falling score settles ties
+            order = sorted(range(len(open_)), key=lambda i: -int(mine[i]))[:k]
+            many = [(query, row, int(ids[open_[i]]), int(mine[i])) for i in order for _ in range(min(k, int(left[open_[i], col])))]
+            found += many[:k]
+    return found
+
+
+def block_top(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, scale: int = SCALE) -> pd.DataFrame:
+    """The k best candidates of a block for each query of a block; scores as decimal text.
+
+    Rows with weights too large for 64-bit sums are scored apart, in whole numbers of any size.
+    """
+    names = ["query_id", "query_row", "copies", "vec_id", "score"]
+    if queries.empty or candidates.empty:
+        return pd.DataFrame({n: [] for n in names}).astype({"query_id": "int64", "query_row": "int64", "copies": "int64", "vec_id": "int64", "score": str})
+    candidates = candidates.sort_values("id", kind="stable")
+    small = [_fits(rows, scale) for rows in (queries, candidates)]
+    found: list[tuple] = []
+    for asked, offered, kind in (
+        (queries[small[0]], candidates[small[1]], np.int64), (queries[small[0]], candidates[~small[1]], object),
+        (queries[~small[0]], candidates, object),
+    ):
+        if len(asked) and len(offered):
+            found += _best(asked, offered, k, kind, scale)
+    copies = {(i, r): c for i, r, c in zip(queries["id"], queries["row"], queries["copies"])}
+    rows = [(q, r, copies[q, r], v, str(s)) for q, r, v, s in found]
+    return pd.DataFrame(rows, columns=names)
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding",
           query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest integer inner products per query.
 
-    Ties go to the smaller vec_id; a query with fewer than k candidates returns them all. Rows
-    with the query's own id are not its candidates. Vectors that are null, or that hold a null,
-    non-finite or (beyond 32 bits after scaling) oversized component, and rows without an id take
-    no part. Vectors of different lengths meet in the terms they share; an empty one scores 0.
-    A row repeated in full counts once; an id with several different vectors is that many
-    candidates and, as a query, keeps the k best of all its vectors. Scores are sums of 64-bit
-    integers. Other columns are ignored, empty tables give an empty result.
+    Ties go to the smaller vec_id; a query with fewer than k candidates returns them all. Every row
+    is a candidate of every query but of the one it is itself: rows are told apart by id and
+    vector, and of several equal rows a query among them leaves out one. Repeated rows and ids are
+    that many candidates, and that many queries with results of their own. Vectors that are null
+    or hold a null or non-finite component, and rows without an id, take no part. Vectors of
+    different lengths meet in the terms they share; an empty one scores 0. Scores are exact
+    whatever the size of the components; one that leaves 64 bits is ranked by its true value and
+    returned as the nearest long. Other columns are ignored, empty tables give an empty result.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -105,12 +149,18 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, key: str = "vec
         parts[name] = max(1, -(-count // size))
 
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("id", "weights"), F.lit(parts[own])).cast("int")
+        mine = F.pmod(F.xxhash64("id", "row"), F.lit(parts[own])).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.lit(parts[other] - 1)))
         return rows.select("*", mine.alias(own), every.alias(other))
 
     pairs = dealt(asked, "q", "c").groupBy("q", "c").cogroup(dealt(offered, "c", "q").groupBy("q", "c"))
-    best = pairs.applyInPandas(lambda left, right: block_top(left, right, k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+    best = pairs.applyInPandas(lambda left, right: block_top(left, right, k), "query_id long, query_row long, copies long, vec_id long, score string")
+    # whole numbers as text: by sign, then by length, then digit by digit
+    below, digits = F.col("score").startswith("-"), F.replace("score", F.lit("-"), F.lit(""))
+    shape = [F.when(below, 0).otherwise(1), F.when(below, -F.length(digits)).otherwise(F.length(digits))]
+    order = Window.partitionBy("query_id", "query_row").orderBy(
+        shape[0].desc(), shape[1].desc(), F.when(~below, digits).desc(), F.when(below, digits).asc(), "vec_id")
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    nearest = F.coalesce(F.expr("try_cast(score AS BIGINT)"), F.when(below, F.lit(-(2**63))).otherwise(F.lit(2**63 - 1)))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return ranked.select("query_id", "rank", "vec_id", nearest.alias("score"), each.alias("_copy")).drop("_copy")

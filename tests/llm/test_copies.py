@@ -1,10 +1,12 @@
 """SimHash groups, shards, packing and token files against direct computations."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from runlens.llm import packing, sharding, simhash, token_files, tokens
 from tests.llm.tables import FOLDER, edge, prose
@@ -144,15 +146,40 @@ def test_nnls_reaches_the_optimum():
 
 
 ODD = ["", "  ", "İstanbul ſ ΑΣ ὈΔΥΣΣΕΎΣ", "é ́x", "A\xa0B", "<|endoftext|> x", "it's don't I'LL x'! y-!", "x\x1cy z\x85w", "ß ẞ ŉ ǰ",
-       "１２３ ½ ²", "a  b", "a \n b\n\n c", "don't  WE'LL 12 345", "word,word... (x) &&&$$$ wo-rd!!", "\x00 nul"]
+       "１２３ ½ ²", "a  b", "a \n b\n\n c", "don't  WE'LL 12 345", "word,word... (x) &&&$$$ wo-rd!!", "\x00 nul",
+       "hello <|endoftext|> world", "<|startoftext|>a<|ENDOFTEXT|> b", "<|endoftext|>", "<|endoftext|> <|endoftext|>", "a <|endoftext", "Hi</w>"]
+#: Texts that other implementations of the splitting pattern take long for or do not survive.
+ENDLESS = ["a" + " " * 2_000_000 + "b", " " * 20_000, "\n \t" * 9_000 + "x", "z" * 50_000, "." * 50_000]
+
+
+def noise(n):
+    rng = random.Random(1)
+    bits = [*"abc XYZ\n\t  .,!?'sé日本<|>123\x0b\x1c", "<|endoftext|>", "<|startoftext|>", "n't", "</w>"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(n)]
+
+
+def test_special_tokens_have_their_own_ids():
+    assert tokens.byte_level(tokens.public_path("byte_bpe_50k.json"))(["hello <|endoftext|> world"])[0].tolist() == [31373, 220, 50256, 995]
+
+
+def test_packing_endless_and_special_texts(spark):
+    path = tokens.public_path("byte_bpe_50k.json")
+    texts = [*ENDLESS, "hello <|endoftext|> world"]
+    out = packing.pack(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), path, end_id=1).toPandas()
+    tokenizer = Tokenizer.from_file(path)
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], dtype="<u4")
+        mine = out[out.doc_id == i].sort_values("start")
+        assert mine.start.tolist() == [0, *mine.length.cumsum().tolist()[:-1]] and mine.length.sum() == len(ids) == mine.doc_tokens.iloc[0]
+        assert [zlib.crc32(ids[a:a + n].tobytes()) for a, n in zip(mine.start, mine.length)] == mine.ids_crc32.tolist()
 
 
 @pytest.mark.parametrize("name, encoder", [("word_bpe_49k.json", tokens.split_by_words), ("byte_bpe_50k.json", tokens.byte_level)])
 def test_encoders_agree_with_the_tokenizer(spark, name, encoder):
     path = tokens.public_path(name)
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").collect()
-    texts = [r["text"] or "" for r in docs] + ODD
-    tokenizer = tokens.load(path)
+    texts = [r["text"] or "" for r in docs] + ODD + ENDLESS + noise(300)
+    tokenizer = Tokenizer.from_file(path)  # as it is, without settings of ours
     for got, want in zip(encoder(path)(texts), tokenizer.encode_batch(texts, add_special_tokens=False)):
         assert got.tolist() == want.ids
 
@@ -181,7 +208,7 @@ def test_token_files_round_trip(spark, width, tmp_path):
     folder = str(tmp_path / "files")
     parts = token_files.write(docs, folder, path, 2, width=width, shards=5, keys_per_part=7)
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_back(docs, folder, parts).collect())
-    tokenizer, want = tokens.load(path), Counter()
+    tokenizer, want = Tokenizer.from_file(path), Counter()
     for r in docs.collect():
         ids = np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2], dtype="<u4")
         want[(r["doc_id"], len(ids), zlib.crc32(ids.tobytes()))] += 1
