@@ -2,12 +2,13 @@
 
 Labels are given per document, the field needs labelled tokens. A word counts as toxic if, over a
 bounded sample of labelled documents, it or one of its stems (its first 3 to 7 letters) stands
-almost only in toxic documents and in many different surroundings there (a word of a repeated
-passage has few). The tokens of toxic documents that are such words are labelled, all tokens of
-other documents are not, and the field is fitted on that: it learns from word, stems, neighbours,
-ending and form. Forward-backward marginals of
-every token then give the offending spans, and their aggregate, calibrated on the same sample,
-the document's score.
+in toxic documents in significantly more different surroundings than chance would put there (a
+word of a repeated passage has few). The tokens of toxic documents that are such words are
+labelled 1, all tokens of other documents 0; every other token of a toxic document stays open, as
+nothing tells whether it is part of the offence. The field is fitted to that partial labelling, by
+the difference of its marginals with and without the labels given: it learns from word, stems,
+neighbours, ending and form. Forward-backward marginals of every token then give the offending
+spans, and their aggregate, calibrated on the same sample, the document's score.
 
 Texts are never cut: a chain is run in segments of ``SEGMENT`` tokens whose transfer matrices are
 multiplied up, so the messages are exact whatever the length.
@@ -22,21 +23,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.arrow import map_batches, texts_of
+from runlens.llm.arrow import map_batches, stored, texts_of
 from runlens.llm.features import labelled_sample
 from runlens.llm.words import SPREAD, Words, blocks
 
+#: Labelled documents of either kind that words are counted in and the score is calibrated on.
 TRAIN_DOCS = 3000
-TRAIN_SEGMENTS = 16_000
-SEGMENTS_PER_DOC = 8
+#: Tokens of either kind of document that the field is fitted on: whole documents, as many as fit.
+FIT_TOKENS = 800_000
 SEGMENT = 32
 CELL_BITS = 18
-EPOCHS = 16
+EPOCHS = 12
 RATE = 0.3
 DECAY = 5e-5
-MIN_SURROUNDINGS = 3
+#: Chance of taking any clean word of the sample for a toxic one.
+SIGNIFICANCE = 0.01
 MIN_PRECISION = 0.8
 STEMS = (3, 4, 5, 6, 7)
+#: Log-potential of a token that is held to its label.
+HOLD = 40.0
 KINDS = ("word", "previous", "next", "ending", "form", *(f"stem{n}" for n in STEMS))
 
 
@@ -181,10 +186,15 @@ class Field:
 
 def fit_field(cells: np.ndarray, gold: np.ndarray, sizes: np.ndarray, bits: int = CELL_BITS, seed: int = 3,
               epochs: int = EPOCHS) -> Field:
-    """Maximum likelihood by Adagrad; chains of at most ``SEGMENT`` tokens follow one another."""
+    """Maximum likelihood by Adagrad; chains of at most ``SEGMENT`` tokens follow one another.
+
+    ``gold`` is 1 or 0 where a token's label is known and -1 where it is open. The gradient is the
+    difference of two sums of marginals: of the field as it is, and of the field held to the
+    known labels.
+    """
     rng = np.random.default_rng(seed)
     field = Field(np.zeros(1 << bits), -2.0, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0]))
-    if not gold.any():
+    if not (gold == 1).any():
         field.bias = -8.0
         return field
     seen, seen_trans, seen_bias = np.full(1 << bits, 1e-6), np.full((2, 2), 1e-6), 1e-6
@@ -196,17 +206,16 @@ def fit_field(cells: np.ndarray, gold: np.ndarray, sizes: np.ndarray, bits: int
             size = sizes[chosen]
             rows = np.repeat(begin[chosen], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             first = np.cumsum(size) - size
-            prob, joint, _ = marginals(field.energy(cells[rows]), field.trans, first, size, np.arange(len(chosen)), pairs=True)
-            y = gold[rows]
-            error = (prob - y) / len(chosen)
-            used, where = np.unique(cells[rows], return_inverse=True)
+            here, y = cells[rows], gold[rows]
+            energy, lanes = field.energy(here), np.arange(len(chosen))
+            prob, joint, _ = marginals(energy, field.trans, first, size, lanes, pairs=True)
+            held = np.where(y == 1, HOLD, np.where(y == 0, -HOLD, energy))
+            known, known_joint, _ = marginals(held, field.trans, first, size, lanes, pairs=True)
+            error = (prob - known) / len(chosen)
+            used, where = np.unique(here, return_inverse=True)
             grad = np.bincount(where.ravel(), weights=np.repeat(error, cells.shape[1]), minlength=len(used))
             grad += DECAY * field.weights[used]
-            inner = np.ones(len(rows), dtype=bool)
-            inner[first] = False
-            pair = np.zeros((2, 2))
-            np.add.at(pair, (y[np.flatnonzero(inner) - 1].astype(int), y[inner].astype(int)), 1)
-            turn = (joint - pair) / len(chosen) + DECAY * field.trans
+            turn = (joint - known_joint) / len(chosen) + DECAY * field.trans
             seen[used] += grad * grad
             field.weights[used] -= RATE * grad / np.sqrt(seen[used])
             seen_trans += turn * turn
@@ -249,12 +258,15 @@ def units(words: Words) -> np.ndarray:
     return np.column_stack([whole, stems.astype(np.int64)])
 
 
-def toxic_units(sample: DataFrame, least: int = MIN_SURROUNDINGS, precision: float = MIN_PRECISION) -> list[int]:
-    """Words and stems that mark toxic documents of ``sample`` (doc_id, label, text).
+def toxic_units(sample: DataFrame, precision: float = MIN_PRECISION, chance: float = SIGNIFICANCE) -> np.ndarray:
+    """Words and stems that mark toxic documents of ``sample`` (doc_id, label, text), as sorted keys.
 
-    A unit qualifies by at least ``least`` different surroundings in toxic documents, if most of
-    its surroundings are in toxic ones, ``precision`` of them when both kinds of document are
-    weighed alike, and if it has at least a tenth of the surroundings of the best unit.
+    Different surroundings of a unit are counted in toxic documents and in all. A unit qualifies
+    if ``precision`` of its surroundings are in toxic documents, both kinds of document weighed by
+    their tokens, and if so many of them would be there by chance, at the toxic documents' share
+    of the tokens, with a probability below ``chance`` divided by the number of units tested
+    (Chernoff's bound). How frequent other units are plays no part, and no unit is left out for
+    their number; the sample bounds it.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -268,57 +280,76 @@ def toxic_units(sample: DataFrame, least: int = MIN_SURROUNDINGS, precision: flo
         table = np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(3)], ["unit", "around", "label"])
 
-    kinds = sample.agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("all")).first()
-    bad, good = int(kinds["bad"] or 0), int(kinds["all"] or 0) - int(kinds["bad"] or 0)
-    if not bad or not good:
-        return []
     seen = map_batches(sample.select("doc_id", "label", "text"), run, "unit long, around long, label long")
-    counts = seen.distinct().groupBy("unit").agg(
-        F.sum("label").alias("in_bad"), F.count(F.lit(1)).alias("n")).where(F.col("in_bad") >= least)
-    share = F.col("in_bad") / bad / (F.col("in_bad") / bad + (F.col("n") - F.col("in_bad")) / good)
-    clear = (F.col("in_bad") >= 0.5 * F.col("n")) & (share >= precision)
-    found = counts.where(clear).orderBy(F.desc("in_bad"), "unit").limit(1000).collect()
-    return [r["unit"] for r in found if r["in_bad"] * 10 >= found[0]["in_bad"]]
-
-
-def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int = TRAIN_DOCS) -> Field:
-    """Fit on at most ``limit`` toxic and ``limit`` other labelled documents.
-
-    Of each at most ``SEGMENTS_PER_DOC`` segments train the field (those with toxic words first);
-    the calibration reads the whole texts of the sample.
+    counts = seen.distinct().groupBy("unit").agg(F.sum("label").alias("in_bad"), F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.count(F.lit(1)).alias("units"), F.sum("in_bad").alias("bad"), F.sum("n").alias("all")).first()
+    if not total["units"] or not 0 < total["bad"] < total["all"]:
+        return np.zeros(0, dtype=np.int64)
+    base = total["bad"] / total["all"]  # share of the toxic documents in all surroundings
+    share = F.col("in_bad") / F.col("n")
+    weighed = share / base / (share / base + (1 - share) / (1 - base))
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    surprise = F.col("n") * (F.when(share > 0, share * F.log(share / base)).otherwise(0.0) + rest)
+    found = counts.where((weighed >= precision) & (surprise >= float(np.log(total["units"] / chance)))).select("unit")
+    return np.sort(found.toArrow().column(0).to_numpy().astype(np.int64))
+
+
+def _fitting(sample: DataFrame, budget: int) -> DataFrame:
+    """The documents of the sample the field is fitted on: of either label whole documents in the
+    order of a hash, each that still fits ``budget`` tokens."""
+    sizes = sample.groupBy("doc_id", "label").agg(F.sum("n_words").alias("n")).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").collect()
+    left, chosen = {0: budget, 1: budget}, []
+    for r in sizes:  # at most as many as the sample has documents
+        if r["n"] <= left[r["label"]]:
+            left[r["label"]] -= r["n"]
+            chosen.append((r["doc_id"],))
+    ids = sample.sparkSession.createDataFrame(chosen, "doc_id long")
+    return sample.join(F.broadcast(ids), "doc_id", "left_semi")
+
+
+def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int = TRAIN_DOCS, tokens: int = FIT_TOKENS) -> Field:
+    """Fit on labelled documents, whole ones always.
+
+    Toxic words and the calibration come from at most ``limit`` toxic and ``limit`` other documents,
+    the field from those of them, taken in the order of a hash, that fit ``tokens`` tokens of
+    either kind; a document that is longer than that teaches no field.
     """
     ids = [labelled_sample(labels.where(F.col(column) == kind), column, limit) for kind in (1, 0)]
     sample_ids = F.broadcast(ids[0].unionByName(ids[1].join(ids[0], "doc_id", "left_anti")))  # 2 * limit rows
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample_ids, "doc_id").select(
-        "doc_id", "label", "text")
-    lexicon = np.array(sorted(toxic_units(sample)), dtype=np.int64)
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample_ids, "doc_id")
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, n = texts_of(batch, "text"), []
+        for a, b in blocks(texts):
+            n += Words(texts[a:b]).count.tolist()
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, "n_words"])
+
+    sample = stored(map_batches(picked.select("doc_id", "label", "text"), count, "doc_id long, label int, text string, n_words long"),
+                    "toxicity-sample")
+    lexicon = toxic_units(sample)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, labels_, texts, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch), []
         for a, b in blocks(texts):
             words = Words(texts[a:b])
-            gold = np.isin(units(words), lexicon).any(axis=1) & (np.array(labels_[a:b])[words.doc] == 1)
+            bad = np.array(labels_[a:b])[words.doc] == 1
+            gold = np.where(bad, np.where(np.isin(units(words), lexicon).any(axis=1), 1, -1), 0).astype(np.int8)
             cells = features(words)
-            begin, size, doc = segments(words)
-            marked = np.concatenate([[0], np.cumsum(gold)])
-            rich = marked[begin + size] - marked[begin]
-            spread = (begin.astype(np.uint64) * np.uint64(SPREAD)) % np.uint64(1009)
             for i in range(b - a):
-                mine = np.flatnonzero(doc == i)
-                best = mine[np.lexsort((spread[mine], -np.minimum(rich[mine], 1)))][:SEGMENTS_PER_DOC]
-                for s in best:
-                    span = slice(begin[s], begin[s] + size[s])
-                    rows.append((keys[a + i], cells[span].tobytes(), gold[span].tobytes()))
+                span = slice(words.first[i], words.first[i + 1])
+                rows.append((keys[a + i], cells[span].astype(np.uint32).tobytes(), gold[span].tobytes()))
         columns = list(zip(*rows)) or [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()),
                                            pa.array(columns[2], pa.binary())], ["doc_id", "cells", "gold"])
 
-    chains = map_batches(sample, run, "doc_id long, cells binary, gold binary").orderBy(
-        F.xxhash64("cells"), "doc_id", "cells").limit(TRAIN_SEGMENTS).collect()
-    gold = [np.frombuffer(bytes(r["gold"]), dtype=bool) for r in chains]
-    cells = [np.frombuffer(bytes(r["cells"]), dtype=np.uint32).reshape(-1, len(KINDS)) for r in chains]
-    field = fit_field(np.concatenate(cells).astype(np.int64) if cells else np.zeros((0, len(KINDS)), np.int64),
-                      np.concatenate(gold) if gold else np.zeros(0, bool), np.array([len(g) for g in gold], dtype=int))
+    chains = map_batches(_fitting(sample, tokens).select("doc_id", "label", "text"), run, "doc_id long, cells binary, gold binary").orderBy(
+        F.xxhash64("doc_id", F.lit(5)), "doc_id", "gold", "cells").toArrow()
+    gold = [np.frombuffer(x, dtype=np.int8) for x in chains.column("gold").to_pylist()]
+    cells = [np.frombuffer(x, dtype=np.uint32).reshape(-1, len(KINDS)) for x in chains.column("cells").to_pylist()]
+    sizes = [min(SEGMENT, len(g) - at) for g in gold for at in range(0, len(g), SEGMENT)]
+    field = fit_field(np.concatenate(cells) if cells else np.zeros((0, len(KINDS)), np.uint32),
+                      np.concatenate(gold) if gold else np.zeros(0, np.int8), np.array(sizes, dtype=int))
+    del chains, gold, cells
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -330,8 +361,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both[:, 0]), pa.array(both[:, 1])],
                                           ["doc_id", "label", "top", "expected"])
 
-    rows = map_batches(sample, read, "doc_id long, label int, top double, expected double").orderBy(
-        "doc_id", "top", "expected").limit(2 * limit).collect()
+    rows = map_batches(sample.select("doc_id", "label", "text"), read, "doc_id long, label int, top double, expected double").orderBy(
+        F.xxhash64("doc_id", F.lit(5)), "doc_id", "top", "expected").limit(2 * limit).collect()
     prior_shift = _prior_shift(labels, column, [r["label"] for r in rows])
     field.calibration = calibrate(np.array([[r["top"], r["expected"]] for r in rows]).reshape(-1, 2),
                                   np.array([r["label"] for r in rows], dtype=float))

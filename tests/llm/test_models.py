@@ -1,6 +1,7 @@
 """Trained operators: held-out accuracy, exact inference and gradients, exact round trips."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -74,6 +75,49 @@ def test_crf_marginals_equal_enumeration(monkeypatch, segment):
         assert np.isclose(logs.sum(), partition)
 
 
+def test_rare_toxic_words_beside_a_frequent_one(spark):
+    """One word in 400 documents, another in 30: neither frequency nor number cuts the second off."""
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choice("abdeginorstu") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+
+    def text(extra=None):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(30, 160))]
+        return " ".join([*words[:9], *([extra] if extra else []), *words[9:]])
+
+    rows = [(text("vilewordx"), 1) for _ in range(400)] + [(text("grimthingz"), 1) for _ in range(30)] + [(text(), 0) for _ in range(570)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, label) for i, (_, label) in enumerate(rows)], "doc_id long, toxic int")
+    field = toxicity.train(docs, known)
+    new = [text("vilewordx") for _ in range(20)] + [text("grimthingz") for _ in range(20)] + [text() for _ in range(100)]
+    scored = toxicity.score(spark.createDataFrame([*enumerate(new)], "doc_id long, text string"), field).collect()
+    hits = {r["doc_id"] for r in scored if r["score"] >= 0.5}
+    assert len(hits & set(range(20))) >= 18 and len(hits & set(range(20, 40))) >= 18 and len(hits - set(range(40))) <= 2
+
+
+def test_units_by_significance_alone(spark):
+    """A word in every toxic document and few others, beside one as rare as chance allows."""
+    rng = random.Random(2)
+    texts = [(f"{'awful' if i % 2 else 'other'} " + " ".join(rng.choice("abcdefgh") + rng.choice("abcdefgh") for _ in range(20)), i % 2) for i in range(200)]
+    texts[1] = (texts[1][0] + " onlyonce", 1)
+    sample = spark.createDataFrame([(i, label, t) for i, (t, label) in enumerate(texts)], "doc_id long, label int, text string")
+    found = set(toxicity.toxic_units(sample).tolist())
+    words = toxicity.Words(["awful onlyonce other"])
+    awful, once, other = toxicity.units(words)[:, 0].tolist()
+    assert awful in found and once not in found and other not in found
+    assert len(toxicity.toxic_units(sample.where("label = 1"))) == 0 and len(toxicity.toxic_units(sample.limit(0))) == 0
+
+
+def test_open_tokens_follow_neither_label():
+    """The gradient of a chain without known labels is zero; held tokens count like labels."""
+    rng = np.random.default_rng(4)
+    cells = rng.integers(0, 64, (96, len(toxicity.KINDS))).astype(np.uint32)
+    gold = np.full(96, -1, dtype=np.int8)
+    gold[:32] = rng.integers(0, 2, 32)
+    with_open = toxicity.fit_field(cells, gold, np.array([32, 32, 32]), bits=6, epochs=3)
+    alone = toxicity.fit_field(cells[:32], gold[:32], np.array([32]), bits=6, epochs=3)
+    assert np.corrcoef(with_open.weights, alone.weights)[0, 1] > 0.9
+
+
 def test_toxic_spans_point_at_the_words(spark):
     docs = spark.read.parquet(f"{WIDER}/documents.parquet")
     field = toxicity.train(docs, spark.read.parquet(f"{WIDER}/labels.parquet"))
