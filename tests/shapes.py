@@ -6,10 +6,17 @@ import json
 
 from runlens import schemas
 
-LIST = ("todo_list_tasks", {})
-UPDATE = ("todo_update_task", {"task_id": "todo_001", "status": "done"})
-UPDATE_VARIANT = ("todo_update_task", {"task_id": "todo_001", "status": "open"})
-UPDATE_OTHER = ("todo_update_task", {"task_id": "todo_002", "status": "done"})
+#: Calls of an assistant that keeps a calendar and a mailbox: two that look, two that change.
+FIND = ("calendar_find_event", {"query": "review", "limit": 3})
+READ = ("mail_read_message", {"message_id": "m4", "headers": False})
+
+
+def move(event, day):
+    return ("calendar_move_event", {"event_id": event, "day": day})
+
+
+def send(message, body):
+    return ("mail_send_message", {"message_id": message, "body": body})
 
 
 def sh(command):
