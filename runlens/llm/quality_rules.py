@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.arrow import map_batches, texts_of
@@ -25,6 +25,8 @@ MICRO = 1_000_000
 #: speaks against the trusted multinomial.
 THRESHOLD_MICRO = -100_000
 MIN_WORDS = 50
+#: The filter that trusted texts are found by has 2^FILTER_BITS bits, whatever the number of trusted ids.
+FILTER_BITS = 24
 SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 BLANKS = " \t\n\x0b\x0c\r"
@@ -80,6 +82,36 @@ def cell_weights(target_counts: DataFrame, raw_counts: DataFrame, bits: int = BU
     return np.rint(ratio * MICRO).astype(np.int64)
 
 
+def bloom_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> bytes:
+    """A Bloom filter of 2^bits bits with two hashes, filled by Spark; its size does not depend on the ids.
+
+    Collects at most one row per 64 bits. A filter that is too small for the ids lets more through.
+    """
+    cell = F.explode(F.array(*_probes(F.col(column), bits)))
+    words = ids.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cell").bitwiseAND(F.lit(63)).cast("int"))).alias("set"))
+    found = words.toArrow()
+    table = np.zeros(1 << (bits - 6), dtype="<i8")
+    table[found.column("word").to_numpy()] = found.column("set").to_numpy()
+    return table.tobytes()
+
+
+def _probes(value: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(value, F.lit(k)), F.lit(1 << bits)) for k in (1, 2)]
+
+
+def may_contain(value: Column, filter_: bytes) -> Column:
+    """Whether the filter holds both bits of a value; evaluated where the rows are scanned."""
+    bits = (len(filter_) * 8).bit_length() - 1
+
+    def held(cell: Column) -> Column:
+        byte = F.conv(F.hex(F.substr(F.lit(filter_), F.shiftright(cell, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.call_function("shiftright", byte, cell.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    first, second = _probes(value, bits)
+    return held(first) & held(second)
+
+
 def judge(docs: DataFrame, weights: np.ndarray, threshold_micro: int = THRESHOLD_MICRO,
           bits: int = BUCKET_BITS) -> DataFrame:
     """doc_id, the base counts, base_failed, llr_micro (sum), n_grams and kept for every row."""
@@ -117,10 +149,9 @@ def score(docs: DataFrame, trusted_ids: DataFrame, threshold_micro: int = THRESH
     columns are not read; an empty table gives no rows. Without any trusted document all weights
     measure the raw counts alone, so a target has to be given for the ratio to mean anything.
     """
-    # Only trusted texts are joined. The same join at every size; over a large corpus Spark puts a
-    # bloom filter of the trusted ids before the shuffle, so few other texts are moved.
     trusted = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
-    target = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        trusted.hint("merge"), "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # what the filter lets through is joined exactly, so a false positive costs a text's move and nothing else
+    target = texts.where(may_contain(F.col("doc_id"), bloom_filter(trusted, "doc_id"))).join(trusted, "doc_id", "left_semi")
     weights = cell_weights(cell_counts(target, "target", bits), cell_counts(docs, "raw", bits), bits)
     return judge(docs, weights, threshold_micro, bits)

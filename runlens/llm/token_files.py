@@ -39,6 +39,9 @@ MAGIC = 0x524C544B
 FOOTER = np.dtype([("docs", "<u8"), ("tokens", "<u8"), ("width", "<u4"), ("magic", "<u4")])
 RECORD = np.dtype([("print", "<u4"), ("shard", "<u4"), ("first", "<u8"), ("docs", "<u4"), ("more", "<u4")])
 KEYS_PER_PART = 250_000
+#: Text of a shard, and documents that are read together.
+SHARD_BYTES = 256 << 20
+READ_DOCS = 65_536
 ROOM = 1.5
 READ_BYTES = 8 << 20
 Encoder = Callable[[str], Callable[[Sequence[str]], list[np.ndarray]]]
@@ -162,10 +165,13 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, encoder: E
     """Write the shards and the index of ``docs`` (doc_id, text); returns the number of index parts.
 
     Documents go to shards in ascending doc_id (null first), equal ids ordered by text, so a
-    repeated id may fill several shards. ``width`` is 2 or 4 bytes an id.
+    repeated id may fill several shards. Their number follows the bytes of the texts, so that a
+    shard, which one task writes, stays at about ``SHARD_BYTES`` of text. ``width`` is 2 or 4 bytes an id.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // SHARD_BYTES))
     kind = {2: "<u2", 4: "<u4"}[width]
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
             .withColumn("tie", F.xxhash64("text"))
@@ -181,22 +187,23 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, encoder: E
                 texts = texts_of(batch)
                 for a, b in blocks(texts):
                     found = encode(texts[a:b])
-                    lengths.extend(len(ids) + 1 for ids in found)
+                    lengths.append(np.array([len(ids) + 1 for ids in found], dtype=np.int64))
                     end = np.array([end_id])
                     yield np.concatenate([x for ids in found for x in (ids, end)]).astype(kind).tobytes()
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths) if lengths else [])]).astype("<u8")
             yield offsets.tobytes()
-            yield np.array([(len(lengths), int(offsets[-1]), width, MAGIC)], dtype=FOOTER).tobytes()
+            yield np.array([(len(offsets) - 1, int(offsets[-1]), width, MAGIC)], dtype=FOOTER).tobytes()
 
         _publish(folder, f"tokens-{shard:05d}.bin", parts())
         ids = pa.chunked_array(keys, pa.int64()) if keys else pa.chunked_array([], pa.int64())
+        sizes = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
         for at in range(0, len(ids), 65_536):
             part = ids.slice(at, 65_536).combine_chunks()
             part = part if isinstance(part, pa.Array) else pa.concat_arrays(part.chunks)
             yield pa.RecordBatch.from_arrays(
                 [part, pa.array(np.full(len(part), shard), pa.int32()),
                  pa.array(np.arange(at, at + len(part)), pa.int64()),
-                 pa.array(np.array(lengths[at:at + len(part)]), pa.int64())], ["doc_id", "shard", "local", "n"])
+                 pa.array(sizes[at:at + len(part)])], ["doc_id", "shard", "local", "n"])
 
     entries = stored(rows.mapInArrow(run, "doc_id long, shard int, local long, n long"), "token-entries")
     runs = entries.groupBy(*_identity(F.col("doc_id")), "shard").agg(
@@ -260,32 +267,53 @@ def locate(keys: DataFrame, folder: str, parts: int) -> DataFrame:
     return distinct.groupBy("p").applyInPandas(look_up, "id long, missing boolean, shard int, first long, docs long")
 
 
+def _footer(file) -> np.void:
+    footer = np.frombuffer(file.read_at(FOOTER.itemsize, file.size() - FOOTER.itemsize), FOOTER)[0]
+    if footer["magic"] != MAGIC:
+        raise ValueError("not a token file")
+    return footer
+
+
 def shard_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """(shard, docs, tokens, base): footers of all shards; ``base`` is the tokens of earlier shards."""
+    """(shard, docs, tokens, base): footers of all shards; ``base`` is the tokens of earlier shards.
+
+    The driver lists names, tasks read the footers; the running sum is over one row per shard.
+    """
     system, path = _open(folder)
-    names = [f.path for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.base_name.startswith("tokens-")]
-    rows = []
-    for name in sorted(names):
-        with system.open_input_file(name) as file:
-            footer = np.frombuffer(file.read_at(FOOTER.itemsize, file.size() - FOOTER.itemsize), FOOTER)[0]
-        rows.append((int(name[-9:-4]), int(footer["docs"]), int(footer["tokens"])))
-    base = np.concatenate([[0], np.cumsum([r[2] for r in rows])]).tolist()
-    return spark.createDataFrame([(*r, b) for r, b in zip(rows, base)], "shard int, docs long, tokens long, base long")
+    names = [f.base_name for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.base_name.startswith("tokens-")]
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            system, path = _open(folder)
+            rows = []
+            for name in frame["name"]:
+                with system.open_input_file(posixpath.join(path, name)) as file:
+                    footer = _footer(file)
+                rows.append((int(name[7:-4]), int(footer["docs"]), int(footer["tokens"])))
+            yield pd.DataFrame(rows, columns=["shard", "docs", "tokens"])
+
+    listed = spark.createDataFrame([(n,) for n in sorted(names)], "name string").repartition(max(1, len(names) // 64), "name")
+    sizes = listed.mapInPandas(read, "shard int, docs long, tokens long")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
 def read_shard(folder: str, shard: int, first: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(request, token offset in the shard, ids) of each document of each request, in file order."""
+    """(request, token offset in the shard, ids) of each document of each request, in file order.
+
+    Of the offsets only those between the first and the last document asked for are read.
+    """
+    if not len(first):
+        return
     system, path = _open(folder)
     with system.open_input_file(posixpath.join(path, f"tokens-{shard:05d}.bin")) as file:
-        footer = np.frombuffer(file.read_at(FOOTER.itemsize, file.size() - FOOTER.itemsize), FOOTER)[0]
-        if footer["magic"] != MAGIC:
-            raise ValueError(f"shard {shard} is not a token file")
-        width, count = int(footer["width"]), int(footer["docs"])
-        table = file.read_at(8 * (count + 1), int(footer["tokens"]) * width)
+        footer = _footer(file)
+        width, low, high = int(footer["width"]), int(first.min()), int((first + docs).max())
+        table = file.read_at(8 * (high - low + 1), int(footer["tokens"]) * width + 8 * low)
         offsets = np.frombuffer(table, "<u8").astype(np.int64)
         order = np.argsort(first, kind="stable")
         request = np.repeat(order, docs[order])
-        number = np.concatenate([np.arange(f, f + d) for f, d in zip(first[order], docs[order])] or [np.zeros(0, int)])
+        number = np.concatenate([np.arange(f, f + d) for f, d in zip(first[order], docs[order])] or [np.zeros(0, int)]) - low
         at = 0
         while at < len(number):
             start = offsets[number[at]]
@@ -299,8 +327,12 @@ def read_shard(folder: str, shard: int, first: np.ndarray, docs: np.ndarray) ->
             at = upto
 
 
-def read_back(keys: DataFrame, folder: str, parts: int) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document whose id is in ``keys``, from the files."""
+def read_back(keys: DataFrame, folder: str, parts: int, span: int = READ_DOCS) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document whose id is in ``keys``, from the files.
+
+    What is read together are the documents of one range of a shard, ``span`` of them; a repeated
+    id's documents are cut at the borders of the ranges.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         base, rows = int(pdf["base"].iloc[0]), []
@@ -311,7 +343,11 @@ def read_back(keys: DataFrame, folder: str, parts: int) -> DataFrame:
         return pdf[["id", "missing"]].iloc[out["at"]].reset_index(drop=True).join(out.drop(columns="at"))
 
     found = locate(keys, folder, parts).join(shard_sizes(keys.sparkSession, folder).select("shard", "base"), "shard")
-    rows = found.groupBy("shard").applyInPandas(
+    last = F.col("first") + F.col("docs")
+    cut = found.withColumn("span", F.explode(F.sequence(F.floor(F.col("first") / span), F.floor((last - 1) / span)))).select(
+        "id", "missing", "shard", "base", "span", F.greatest("first", F.col("span") * span).alias("first"),
+        (F.least(last, (F.col("span") + 1) * span) - F.greatest("first", F.col("span") * span)).alias("docs"))
+    rows = cut.groupBy("shard", "span").applyInPandas(
         run, "id long, missing boolean, start long, n_tokens long, ids_crc32 long")
     return rows.select(F.when(~F.col("missing"), F.col("id")).alias("doc_id"), "start", "n_tokens", "ids_crc32")
 

@@ -224,4 +224,16 @@ def test_a_repeated_id_over_several_shards(spark, tmp_path):
     docs = spark.createDataFrame([(5, f"text {i}") for i in range(400)] + [(1, "a"), (9, "b")], "doc_id long, text string")
     folder = str(tmp_path / "files")
     parts = token_files.write(docs, folder, tokens.public_path("word_bpe_49k.json"), 2, shards=6)
-    assert Counter(r["doc_id"] for r in token_files.read_back(docs, folder, parts).collect()) == Counter({5: 400, 1: 1, 9: 1})
+    whole = token_files.read_back(docs, folder, parts).collect()
+    assert Counter(r["doc_id"] for r in whole) == Counter({5: 400, 1: 1, 9: 1})
+    assert sorted(token_files.read_back(docs, folder, parts, span=7).collect(), key=str) == sorted(whole, key=str)
+
+
+def test_the_number_of_shards_follows_the_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 100)
+    docs = spark.createDataFrame([(i, "word " * 20) for i in range(30)], "doc_id long, text string")
+    folder = str(tmp_path / "files")
+    parts = token_files.write(docs, folder, tokens.public_path("word_bpe_49k.json"), 2)
+    sizes = token_files.shard_sizes(spark, folder).collect()
+    assert len(sizes) >= 20 and sum(r["docs"] for r in sizes) == 30
+    assert len(token_files.read_back(docs, folder, parts).collect()) == 30

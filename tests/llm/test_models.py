@@ -141,6 +141,20 @@ def test_rules_follow_the_definitions(spark):
     assert rows[7]["word_chars"] == 15
 
 
+@pytest.mark.parametrize("bits", [8, 16])
+def test_the_filter_of_trusted_ids_misses_none(spark, bits):
+    rng = np.random.default_rng(3)
+    ids = [0, -1, 2**63 - 1, -(2**63), *map(int, rng.integers(-(2**62), 2**62, 300))]
+    kept = spark.createDataFrame([(i,) for i in ids] * 2, "doc_id long")
+    made = quality_rules.bloom_filter(kept, "doc_id", bits)
+    assert len(made) == 2**bits // 8
+    assert kept.where(quality_rules.may_contain(F.col("doc_id"), made)).count() == 2 * len(ids)
+    strangers = spark.range(5000).where(quality_rules.may_contain(F.col("id"), made)).count()
+    assert strangers < (5001 if bits == 8 else 50)
+    nothing = quality_rules.bloom_filter(kept.limit(0), "doc_id", bits)
+    assert kept.where(quality_rules.may_contain(F.col("doc_id"), nothing)).count() == 0
+
+
 def test_rates_meet_the_targets(spark):
     rng = np.random.default_rng(0)
     units = [rng.multinomial(mixing.GRID, rng.dirichlet([2, 1, 0.5])).tolist() for _ in range(500)]
