@@ -7,10 +7,12 @@ Features look at the text alone.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.words import Words, repeated_words, word_keys
+from runlens.llm.arrow import map_batches, stored, texts_of
+from runlens.llm.words import Words, blocks, repeated_words, word_keys
 
 PASSAGE = 64
 HASHED = 32
@@ -82,13 +84,6 @@ class Passages:
             hashed[filled] = np.add.reduceat(_SIGNS[cell], begin[filled], axis=0)
         self.x = np.column_stack([*shapes, hashed / np.sqrt(n)[:, None]]).astype(np.float32)
 
-    def evenly(self, most: int) -> np.ndarray:
-        """At most ``most`` evenly spaced passages of each text (for training samples only)."""
-        per = np.diff(self.first)
-        keep = np.minimum(per, most)
-        at = np.arange(keep.sum()) - np.repeat(np.concatenate([[0], np.cumsum(keep)[:-1]]), keep)
-        return np.repeat(self.first[:-1], keep) + at * np.repeat(per, keep) // np.repeat(keep, keep)
-
 
 def labelled_sample(labels: DataFrame, column: str, limit: int) -> DataFrame:
     """(doc_id, label) of at most ``limit`` labelled ids, by hash of the id; an id labelled twice
@@ -96,3 +91,39 @@ def labelled_sample(labels: DataFrame, column: str, limit: int) -> DataFrame:
     one = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
            .dropna().groupBy("doc_id").agg(F.max("label").alias("label")))
     return one.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(limit)
+
+
+def stored_sample(docs: DataFrame, ids: DataFrame, purpose: str) -> DataFrame:
+    """(doc_id, label, text, n_words) of the documents named by ``ids`` (doc_id, label), written once.
+
+    ``ids`` is a sample of a bounded number of rows. The texts are read from all documents a
+    single time; whatever is fitted reads them from the shared folder.
+    """
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, n = texts_of(batch), []
+        for a, b in blocks(texts):
+            n += Words(texts[a:b]).count.tolist()
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, "n_words"])
+
+    schema = "doc_id long, label int, text string, n_words long"
+    return stored(map_batches(picked.select("doc_id", "label", "text"), count, schema), purpose)
+
+
+def within_budget(sample: DataFrame, words: int, salt: int, by_label: bool = False) -> DataFrame:
+    """The documents of a stored sample that models are fitted on, always whole ones.
+
+    Those, in the order of a hash of the id, that still fit ``words`` words together (``by_label``:
+    words of each label); a document that is longer than what is left is passed over.
+    """
+    sizes = sample.groupBy("doc_id", "label").agg(F.sum("n_words").alias("n")).orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").collect()
+    left: dict[int | None, int] = {}
+    chosen = []
+    for r in sizes:  # at most as many as the sample has documents
+        kind = r["label"] if by_label else None
+        if r["n"] <= left.setdefault(kind, words):
+            left[kind] -= r["n"]
+            chosen.append((r["doc_id"],))
+    ids = sample.sparkSession.createDataFrame(chosen, "doc_id long")
+    return sample.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "label", "text")

@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from runlens.llm import tokens as vocabularies
 from runlens.llm.arrow import map_batches, stored, texts_of
+from runlens.llm.features import stored_sample, within_budget
 from runlens.llm.words import SPREAD, Words, blocks
 
 TRAIN_DOCS = 4000
-TRAIN_WORDS = 2000
+#: Words that the classifier is fitted on, in whole documents.
+FIT_WORDS = 2_000_000
 CELL_BITS = 15
 STEM = 5
 EPOCHS = 12
@@ -34,9 +36,10 @@ RATE = 0.2
 GRID = 256
 KINDS = 8
 SHAPES = KINDS + 4
-STEPS = 40
+STEPS = 60
 PULL = 1e-3
-MOST_COPIES = 4.0
+#: Largest rate of a document. Targets that need more are approached as far as it goes.
+MOST_COPIES = 64.0
 TOLERANCE = 1e-4
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -153,17 +156,17 @@ def fit(cells: np.ndarray, sizes: np.ndarray, shapes: np.ndarray, labels: np.nda
     return model
 
 
-def train(docs: DataFrame, labelled: DataFrame, domains: list[str], limit: int = TRAIN_DOCS) -> Classifier:
-    """Fit on at most ``limit`` rows of ``labelled`` (doc_id, domain); other domains are ignored.
+def train(docs: DataFrame, labelled: DataFrame, domains: list[str], limit: int = TRAIN_DOCS, budget: int = FIT_WORDS) -> Classifier:
+    """Fit on whole documents of at most ``limit`` rows of ``labelled`` (doc_id, domain), in the order of
+    a hash as many as fit ``budget`` words; a longer document teaches nothing. Other domains are ignored.
 
-    Of a sampled text the classifier learns from at most ``TRAIN_WORDS`` words, evenly spaced. An
-    id labelled twice has its first domain by name. Features are computed where the texts are.
+    An id labelled twice has its first domain by name. Features are computed where the texts are.
     """
     number = F.array_position(F.array(*[F.lit(x) for x in domains]), F.col("domain")) - 1
     one = (labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains))
            .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("domain").alias("domain"))
            .select("doc_id", number.cast("int").alias("label")))
-    sample = F.broadcast(one.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(limit))
+    sample = stored_sample(docs, one.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(limit), "mixing-sample")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, cells, shapes = texts_of(batch), [], []
@@ -172,18 +175,15 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], limit: int =
             found, shape = features(words)
             found = found.astype(np.uint16)
             shapes += [row.tobytes() for row in shape]
-            for first, count in zip(words.first[:-1], words.count):
-                at = first + np.arange(min(count, TRAIN_WORDS)) * count // max(1, min(count, TRAIN_WORDS))
-                cells.append(found[at].tobytes())
+            cells += [found[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:])]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.binary()),
                                            pa.array(shapes, pa.binary())], ["doc_id", "label", "cells", "shapes"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id")
-    found = map_batches(rows.select("doc_id", "label", "text"), run, "doc_id long, label int, cells binary, shapes binary")
-    got = found.orderBy(F.xxhash64("doc_id", "cells"), "doc_id", "cells", "shapes").limit(limit).collect()
-    cells = [np.frombuffer(bytes(r["cells"]), np.uint16).reshape(-1, 2) for r in got]
+    found = map_batches(within_budget(sample, budget, 13), run, "doc_id long, label int, cells binary, shapes binary").toArrow().to_pylist()
+    got = sorted(found, key=lambda r: (r["doc_id"], r["label"], r["cells"], r["shapes"]))
+    cells = [np.frombuffer(r["cells"], np.uint16).reshape(-1, 2) for r in got]
     return fit(np.concatenate(cells) if cells else np.zeros((0, 2), np.uint16), np.array([len(c) for c in cells], dtype=int),
-               np.array([np.frombuffer(bytes(r["shapes"])) for r in got]).reshape(-1, SHAPES),
+               np.array([np.frombuffer(r["shapes"]) for r in got]).reshape(-1, SHAPES),
                np.array([r["label"] for r in got], dtype=int), domains)
 
 
@@ -241,30 +241,23 @@ def posteriors(docs: DataFrame, model: Classifier, vocabulary: str | None = None
                        "doc_id long, n_tokens long, units array<long>")
 
 
-def solve(rows: DataFrame, targets: dict[str, float], steps: int = STEPS, pull: float = PULL,
-          most: float | None = MOST_COPIES) -> Mixture:
+def solve(rows: DataFrame, targets: dict[str, float], steps: int = STEPS, pull: float = PULL, most: float = MOST_COPIES) -> Mixture:
     """Projected gradient over (units, n_tokens); the targets are shares of all tokens.
 
-    With ``most`` None rates are bounded by what a target can need at all: the tokens of all domains
-    from the smallest cell of equal posteriors. If that does not reach the targets, the rates are
-    those of ``MOST_COPIES``, with a warning; ``residual`` of the result says how far they are off.
+    Rates lie between 0 and ``most``. Where the targets cannot be met under that bound, the rates
+    are those that come nearest; ``residual`` of the result says how far they are off, with a warning.
     """
     domains, total = list(targets), sum(targets.values())
     if total <= 0 or min(targets.values()) < 0:
         raise ValueError("targets must be non-negative and not all zero")
     goal = np.array([targets[d] / total for d in domains])
     cells = stored(rows.groupBy("units").agg(F.sum("n_tokens").alias("tokens")), "posterior-cells").where("tokens > 0")
-    first = cells.agg(F.sum("tokens").alias("all"), F.min("tokens").alias("least")).first()
-    tokens = float(first["all"] or 0)
+    tokens = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     if not tokens:
-        return Mixture(domains, pull, MOST_COPIES if most is None else most)
-    if most is not None:
-        return _steps(cells, tokens, goal, Mixture(domains, pull, most), steps)
-    mixture = _steps(cells, tokens, goal, Mixture(domains, pull, len(domains) * tokens / float(first["least"])), steps)
+        return Mixture(domains, pull, most)
+    mixture = _steps(cells, tokens, goal, Mixture(domains, pull, most), steps)
     if not mixture.reached:
-        mixture = _steps(cells, tokens, goal, Mixture(domains, pull, MOST_COPIES), steps)
-        if not mixture.reached:
-            warnings.warn(f"targets {targets} are not reached, largest difference of a share {mixture.residual:.4f}", stacklevel=2)
+        warnings.warn(f"targets {targets} are not reached, largest difference of a share {mixture.residual:.4f}", stacklevel=2)
     return mixture
 
 
@@ -296,8 +289,8 @@ def copies(rate: Column, *identity: Column) -> Column:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
-        most: float | None = MOST_COPIES) -> tuple[DataFrame, Mixture, Classifier]:
-    """Per row doc_id, n_tokens, units, rate and copies; the fitted mixture and classifier with it.
+        most: float = MOST_COPIES) -> tuple[DataFrame, Mixture, Classifier]:
+    """Per row doc_id, n_tokens, units, rate, copies and residual; the fitted mixture and classifier with it.
 
     ``targets``: share of all tokens for each domain; ``most`` as in ``solve``. A null or empty text has no tokens, moves no
     total and has the rate of its posterior. Rows without an id and repeated rows are rows like
@@ -308,11 +301,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     model = train(docs, labelled, list(targets))
     rows = stored(posteriors(docs, model), "posteriors")
     mixture = solve(rows, targets, most=most)
-    rated = rows.withColumn("rate", mixture.rate(F.col("units")))
+    rated = rows.withColumn("rate", mixture.rate(F.col("units"))).withColumn("residual", F.lit(mixture.residual))
     return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id"), F.col("n_tokens"))), mixture, model
 
 
-def apply(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], most: float | None = MOST_COPIES) -> DataFrame:
+def apply(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], most: float = MOST_COPIES) -> DataFrame:
     """The documents, all columns, each row as often as its copies say.
 
     Two passes over the texts: one for the totals, one to decide; texts are not shuffled. The

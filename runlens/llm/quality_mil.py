@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.arrow import map_batches, texts_of
-from runlens.llm.features import WIDTH, Passages, labelled_sample
+from runlens.llm.features import WIDTH, Passages, labelled_sample, stored_sample, within_budget
 from runlens.llm.words import blocks
 
 TRAIN_DOCS = 3000
-TRAIN_PASSAGES = 24
+#: Words that are fitted on, in whole documents.
+FIT_WORDS = 2_000_000
 ENCODED = 24
 GATES = 12
 EPOCHS = 25
@@ -102,25 +103,23 @@ def fit(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, seed: int = 5, epo
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str, limit: int = TRAIN_DOCS,
-          passages: int = TRAIN_PASSAGES) -> Model:
-    """Fit on at most ``limit`` documents of ``labels``, with at most ``passages`` of each."""
+def train(docs: DataFrame, labels: DataFrame, column: str, limit: int = TRAIN_DOCS, words: int = FIT_WORDS) -> Model:
+    """Fit on all passages of documents named by ``labels``: of at most ``limit`` those, in the order
+    of a hash, that fit ``words`` words together. A longer document teaches nothing."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, x, sizes = texts_of(batch), [], []
         for a, b in blocks(texts):
             found = Passages(texts[a:b])
-            at = found.evenly(passages)
-            sizes += np.bincount(found.doc[at], minlength=b - a).tolist()
-            x.append(found.x[at])
+            sizes += np.diff(found.first).tolist()
+            x.append(found.x)
         rows = np.split(np.concatenate(x), np.cumsum(sizes)[:-1]) if x else []
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "label", "x"])
 
-    sample = F.broadcast(labelled_sample(labels, column, limit))  # at most ``limit`` rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id")
-    found = map_batches(rows.select("doc_id", "label", "text"), run, "doc_id long, label int, x binary")
-    bags = sorted((r["doc_id"], r["label"], bytes(r["x"])) for r in found.orderBy(F.xxhash64("doc_id", "x")).limit(limit).collect())
+    sample = stored_sample(docs, labelled_sample(labels, column, limit), "quality-sample")
+    found = map_batches(within_budget(sample, words, 11), run, "doc_id long, label int, x binary").toArrow().to_pylist()
+    bags = sorted((r["doc_id"], r["label"], r["x"]) for r in found)
     x = [np.frombuffer(b[2], np.float32).reshape(-1, WIDTH) for b in bags]
     return fit(np.concatenate(x).astype(float) if x else np.zeros((0, WIDTH)), np.array([len(b) for b in x], dtype=int),
                np.array([b[1] for b in bags], dtype=float))

@@ -81,9 +81,9 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 def op10_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    rated, _, _ = mixing.mix(documents, label_domains(labels), TARGETS, most=None)
+    rated, _, _ = mixing.mix(documents, label_domains(labels), TARGETS)
     shares = [(F.get("units", F.lit(k)) / float(mixing.GRID)).alias(f"p_{d}") for k, d in enumerate(TARGETS)]
-    return rated.select("doc_id", "n_tokens", *shares, "rate", "copies")
+    return rated.select("doc_id", "n_tokens", *shares, "rate", "copies", "residual")
 
 
 def with_planted_repeats(documents: DataFrame) -> DataFrame:

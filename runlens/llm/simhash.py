@@ -153,20 +153,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", cr
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_docs")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, without near-duplicates: of each component the smallest id stays.
-
-    Of rows that share that id one stays, the smallest by text and then by the other columns.
-    Rows without an id stay, as no result can name them.
-    """
-    kept = near_duplicates(docs.where(F.col(key).isNotNull()), key, text).select(
-        F.col("component_id").alias(key)).distinct()
-    order = [text, *[c for c in docs.columns if c not in (text, key)]]
-    single = (docs.join(kept, key, "left_semi").groupBy(key)
-              .agg(F.min(F.struct(*order)).alias("_row")).select(key, "_row.*").select(*docs.columns))
-    return single.unionByName(docs.where(F.col(key).isNull()))
-
-
 def _row_key(key: str, text: str) -> Column:
     """Names a row by its id and a digest of its text; never null."""
     part = lambda c: F.coalesce(c, F.lit("null"))
@@ -178,8 +164,9 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Rows are told apart by id and text, so unrelated texts under one id all stay, each for its own
     component. The row with the smallest id stays, of equal ids the one with the smallest text
-    digest, of equal texts the smallest by the other columns. A row without an id stays only if
-    its component has no row with one.
+    digest, of equal texts the smallest by the other columns (which have to be of types with an
+    order, so no maps). A row without an id stays only if its component has no row with one. Null
+    and empty texts are one component. An empty table gives an empty one.
     """
     rows = stored(fingerprints(docs, key, text, row=_row_key(key, text)), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("head"))

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.arrow import map_batches, stored, texts_of
-from runlens.llm.features import labelled_sample
+from runlens.llm.arrow import map_batches, texts_of
+from runlens.llm.features import labelled_sample, stored_sample, within_budget
 from runlens.llm.words import SPREAD, Words, blocks
 
 #: Labelled documents of either kind that words are counted in and the score is calibrated on.
@@ -294,19 +294,6 @@ def toxic_units(sample: DataFrame, precision: float = MIN_PRECISION, chance: flo
     return np.sort(found.toArrow().column(0).to_numpy().astype(np.int64))
 
 
-def _fitting(sample: DataFrame, budget: int) -> DataFrame:
-    """The documents of the sample the field is fitted on: of either label whole documents in the
-    order of a hash, each that still fits ``budget`` tokens."""
-    sizes = sample.groupBy("doc_id", "label").agg(F.sum("n_words").alias("n")).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").collect()
-    left, chosen = {0: budget, 1: budget}, []
-    for r in sizes:  # at most as many as the sample has documents
-        if r["n"] <= left[r["label"]]:
-            left[r["label"]] -= r["n"]
-            chosen.append((r["doc_id"],))
-    ids = sample.sparkSession.createDataFrame(chosen, "doc_id long")
-    return sample.join(F.broadcast(ids), "doc_id", "left_semi")
-
-
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int = TRAIN_DOCS, tokens: int = FIT_TOKENS) -> Field:
     """Fit on labelled documents, whole ones always.
 
@@ -315,17 +302,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int
     either kind; a document that is longer than that teaches no field.
     """
     ids = [labelled_sample(labels.where(F.col(column) == kind), column, limit) for kind in (1, 0)]
-    sample_ids = F.broadcast(ids[0].unionByName(ids[1].join(ids[0], "doc_id", "left_anti")))  # 2 * limit rows
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample_ids, "doc_id")
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, n = texts_of(batch, "text"), []
-        for a, b in blocks(texts):
-            n += Words(texts[a:b]).count.tolist()
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, "n_words"])
-
-    sample = stored(map_batches(picked.select("doc_id", "label", "text"), count, "doc_id long, label int, text string, n_words long"),
-                    "toxicity-sample")
+    both = ids[0].unionByName(ids[1].join(ids[0], "doc_id", "left_anti"))  # 2 * limit rows
+    sample = stored_sample(docs, both, "toxicity-sample")
     lexicon = toxic_units(sample)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -342,7 +320,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()),
                                            pa.array(columns[2], pa.binary())], ["doc_id", "cells", "gold"])
 
-    chains = map_batches(_fitting(sample, tokens).select("doc_id", "label", "text"), run, "doc_id long, cells binary, gold binary").orderBy(
+    chains = map_batches(within_budget(sample, tokens, 5, by_label=True), run, "doc_id long, cells binary, gold binary").orderBy(
         F.xxhash64("doc_id", F.lit(5)), "doc_id", "gold", "cells").toArrow()
     gold = [np.frombuffer(x, dtype=np.int8) for x in chains.column("gold").to_pylist()]
     cells = [np.frombuffer(x, dtype=np.uint32).reshape(-1, len(KINDS)) for x in chains.column("cells").to_pylist()]

@@ -68,13 +68,6 @@ def test_chains_and_stars_become_one_component(spark):
     assert roots == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 150)}, 500: 100}
 
 
-def test_one_of_each_keeps_the_smallest_id(spark):
-    kept = simhash.one_of_each(edge(spark)).select("doc_id", "text").collect()
-    ids = Counter(r["doc_id"] for r in kept)
-    assert ids[None] == 2 and ids[5] == 1 and 6 not in ids and all(n == 1 for d, n in ids.items() if d is not None)
-    assert 1 in ids and 2 not in ids and 3 not in ids  # texts without words are copies of each other
-
-
 def test_one_row_of_each_group(spark):
     a, b, c = prose(3, seed=8)
     rows = [(1, a, "x"), (2, b, "x"), (2, c, "x"), (2, c, "y"), (3, a, "x"), (None, a, "x"), (None, "no id " + b[:40], "x"),

@@ -174,15 +174,17 @@ def test_rates_meet_the_targets(spark):
 
 def test_an_unreachable_target_stays_bounded(spark):
     rows = spark.createDataFrame([(i, 100, [256, 0]) for i in range(50)] + [(99, 1, [0, 256])], "doc_id long, n_tokens long, units array<long>")
-    got = rows.withColumn("rate", mixing.solve(rows, {"a": 0.1, "b": 0.9}).rate(F.col("units"))).toPandas()
-    assert got.rate.between(0, mixing.MOST_COPIES).all() and got.rate.iloc[-1] > 3.9
+    with pytest.warns(UserWarning, match="not reached"):
+        mixture = mixing.solve(rows, {"a": 0.1, "b": 0.9}, most=4.0)
+    got = rows.withColumn("rate", mixture.rate(F.col("units"))).toPandas()
+    assert got.rate.between(0, 4).all() and got.rate.iloc[-1] > 3.9
 
 
 @pytest.mark.parametrize("rare, goal", [([0, 256], 0.07), ([0, 256], 0.5), ([20, 236], 0.3)])
 def test_rare_domains_reach_their_targets(spark, rare, goal):
     rows = spark.createDataFrame([(i, 100, [256, 0] if i % 100 else rare) for i in range(1000)],
                                  "doc_id long, n_tokens long, units array<long>")
-    mixture = mixing.solve(rows, {"a": 1 - goal, "b": goal}, most=None)
+    mixture = mixing.solve(rows, {"a": 1 - goal, "b": goal})
     got = rows.selectExpr("n_tokens", "units", "units[1] / 256 AS b").withColumn("rate", mixture.rate(F.col("units")))
     sums = got.selectExpr("sum(n_tokens * rate * b)", "sum(n_tokens * rate)", "sum(n_tokens)").first()
     assert mixture.reached and abs(sums[0] / sums[2] - goal) < 1e-3 and abs(sums[1] / sums[2] - 1) < 1e-3
@@ -191,8 +193,10 @@ def test_rare_domains_reach_their_targets(spark, rare, goal):
 def test_an_impossible_target_is_reported(spark):
     rows = spark.createDataFrame([(i, 100, [250, 6] if i % 10 else [56, 200]) for i in range(100)], "doc_id long, n_tokens long, units array<long>")
     with pytest.warns(UserWarning, match="not reached"):
-        mixture = mixing.solve(rows, {"a": 0.05, "b": 0.95}, most=None)
+        mixture = mixing.solve(rows, {"a": 0.05, "b": 0.95})
     assert not mixture.reached and mixture.most == mixing.MOST_COPIES and mixture.residual > 0.1
+    units = rows.select("doc_id", "n_tokens", "units")
+    assert (units.withColumn("rate", mixture.rate(F.col("units"))).toPandas().rate <= mixing.MOST_COPIES).all()
 
 
 def test_tokens_are_those_of_packing(spark):
