@@ -11,8 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm.arrow import map_batches, texts_of
@@ -100,16 +101,18 @@ def _probes(value: Column, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(value, F.lit(k)), F.lit(1 << bits)) for k in (1, 2)]
 
 
-def may_contain(value: Column, filter_: bytes) -> Column:
-    """Whether the filter holds both bits of a value; evaluated where the rows are scanned."""
-    bits = (len(filter_) * 8).bit_length() - 1
+def may_contain(spark: SparkSession, value: Column, filter_: bytes) -> Column:
+    """Whether the filter holds both bits of a value; only hashes of the value travel to Python."""
+    shared = spark.sparkContext.broadcast(np.frombuffer(filter_, dtype=np.uint8))  # its size is a parameter
 
-    def held(cell: Column) -> Column:
-        byte = F.conv(F.hex(F.substr(F.lit(filter_), F.shiftright(cell, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return F.call_function("shiftright", byte, cell.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    @F.pandas_udf("boolean")
+    def held(first: pd.Series, second: pd.Series) -> pd.Series:
+        hit = np.ones(len(first), dtype=bool)
+        for cell in (first.to_numpy(), second.to_numpy()):
+            hit &= (shared.value[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+        return pd.Series(hit)
 
-    first, second = _probes(value, bits)
-    return held(first) & held(second)
+    return held(*_probes(value, (len(filter_) * 8).bit_length() - 1))
 
 
 def judge(docs: DataFrame, weights: np.ndarray, threshold_micro: int = THRESHOLD_MICRO,
@@ -152,6 +155,6 @@ def score(docs: DataFrame, trusted_ids: DataFrame, threshold_micro: int = THRESH
     trusted = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # what the filter lets through is joined exactly, so a false positive costs a text's move and nothing else
-    target = texts.where(may_contain(F.col("doc_id"), bloom_filter(trusted, "doc_id"))).join(trusted, "doc_id", "left_semi")
+    target = texts.where(may_contain(docs.sparkSession, F.col("doc_id"), bloom_filter(trusted, "doc_id"))).join(trusted, "doc_id", "left_semi")
     weights = cell_weights(cell_counts(target, "target", bits), cell_counts(docs, "raw", bits), bits)
     return judge(docs, weights, threshold_micro, bits)

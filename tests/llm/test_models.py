@@ -148,11 +148,11 @@ def test_the_filter_of_trusted_ids_misses_none(spark, bits):
     kept = spark.createDataFrame([(i,) for i in ids] * 2, "doc_id long")
     made = quality_rules.bloom_filter(kept, "doc_id", bits)
     assert len(made) == 2**bits // 8
-    assert kept.where(quality_rules.may_contain(F.col("doc_id"), made)).count() == 2 * len(ids)
-    strangers = spark.range(5000).where(quality_rules.may_contain(F.col("id"), made)).count()
+    assert kept.where(quality_rules.may_contain(spark, F.col("doc_id"), made)).count() == 2 * len(ids)
+    strangers = spark.range(5000).where(quality_rules.may_contain(spark, F.col("id"), made)).count()
     assert strangers < (5001 if bits == 8 else 50)
     nothing = quality_rules.bloom_filter(kept.limit(0), "doc_id", bits)
-    assert kept.where(quality_rules.may_contain(F.col("doc_id"), nothing)).count() == 0
+    assert kept.where(quality_rules.may_contain(spark, F.col("doc_id"), nothing)).count() == 0
 
 
 def test_rates_meet_the_targets(spark):
