@@ -43,18 +43,14 @@ def fingerprint(text: str, width: int = WIDTH) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
-                 row: Column | None = None) -> DataFrame:
-    """(doc_id, fp) for every row, and ``row`` where it is given; ``fp`` is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """(doc_id, fp) for every row; ``fp`` is the fingerprint as a signed long."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t, width) for t in texts_of(batch)], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]],
-                                          ["doc_id", "fp", *batch.schema.names[2:]])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    more = [] if row is None else [row.alias("row")]
-    return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *more), run,
-                       "doc_id long, fp long" + (", row string" if more else ""))
+    return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, fp long")
 
 
 def _halves(value: Column, bits: int) -> tuple[Column, Column]:
@@ -153,33 +149,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", cr
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_docs")
 
 
-def _row_key(key: str, text: str) -> Column:
-    """Names a row by its id and a digest of its text; never null."""
-    part = lambda c: F.coalesce(c, F.lit("null"))
-    return F.concat_ws(":", part(F.col(key).cast("string")), part(F.sha2(F.col(text).cast("binary"), 256)))
-
-
-def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", crowded: int = CROWDED) -> DataFrame:
-    """The documents, all columns, with exactly one row of every component.
-
-    Rows are told apart by id and text, so unrelated texts under one id all stay, each for its own
-    component. The row with the smallest id stays, of equal ids the one with the smallest text
-    digest, of equal texts the smallest by the other columns (which have to be of types with an
-    order, so no maps). A row without an id stays only if its component has no row with one. Null
-    and empty texts are one component. An empty table gives an empty one.
-    """
-    rows = stored(fingerprints(docs, key, text, row=_row_key(key, text)), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("head"))
-    roots = components(links(rows, crowded))
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("head", F.coalesce("root", "fp").alias("root"))
-    hidden = "_row"
-    while hidden in docs.columns:
-        hidden += "_"
-    kept = placed.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.row").alias(hidden))
-    named = docs.withColumn(hidden, _row_key(key, text)).join(kept, hidden, "left_semi")
-    return named.groupBy(hidden).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_kept")).select("_kept.*")
-
-
 def linked_by_brute_force(values: list[int], distance: int = DISTANCE) -> Iterator[tuple[int, int]]:
     """All linked pairs, by comparing each with each; for tests."""
     for i, a in enumerate(values):

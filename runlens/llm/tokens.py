@@ -46,11 +46,13 @@ def _needs_tokenizer(path: str) -> Callable[[str], bool]:
     case, or white space without end, which other implementations of the pattern do not survive."""
     with open(path, encoding="utf-8") as file:
         names = [added["content"].lower() for added in json.load(file)["added_tokens"]]
-    blanks = re.compile(rf"(?<!\s)\s{{{LONGEST_BLANK}}}")
+    half = LONGEST_BLANK // 2
 
     def needs(text: str) -> bool:
         low = text.lower() if any(name[0] in text for name in names) else text
-        return any(name in low for name in names) or (len(text) >= LONGEST_BLANK and blanks.search(text) is not None)
+        # a run of that length holds a whole block of half of it
+        return any(name in low for name in names) or (len(text) >= LONGEST_BLANK and any(
+            text[at].isspace() and text[at:at + half].isspace() for at in range(0, len(text) - half + 1, half)))
 
     return needs
 

@@ -68,19 +68,6 @@ def test_chains_and_stars_become_one_component(spark):
     assert roots == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 150)}, 500: 100}
 
 
-def test_one_row_of_each_group(spark):
-    a, b, c = prose(3, seed=8)
-    rows = [(1, a, "x"), (2, b, "x"), (2, c, "x"), (2, c, "y"), (3, a, "x"), (None, a, "x"), (None, "no id " + b[:40], "x"),
-            (None, "no id " + b[:40], "x"), (None, None, "x"), (None, "", "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
-    kept = Counter((r["doc_id"], r["text"] or "", r["_row"]) for r in simhash.one_of_each_group(docs).collect())
-    assert kept == Counter([(1, a, "x"), (2, b, "x"), (2, c, "x"), (None, "no id " + b[:40], "x"), (None, "", "x")])
-    import corpus_pipeline
-
-    staged = Counter((r["doc_id"], r["text"] or "", r["_row"]) for r in corpus_pipeline.near_dedup_stage(spark, docs, FOLDER).collect())
-    assert staged == kept
-
-
 def test_shards_match_the_mixture(spark):
     rows = [(i, f"t{i}", "big" if i % 3 == 0 else f"s{i % 7}" if i % 11 else None) for i in range(1001)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from runlens.llm import mixing, packing, pii, quality_mil, quality_rules, sharding, simhash, token_files, tokens, toxicity
+from runlens.llm import mixing, near_copies, packing, pii, quality_mil, quality_rules, sharding, simhash, token_files, tokens, toxicity
 from tests.llm.tables import EDGE_TEXTS, edge, empty, labels
 
 N = len(EDGE_TEXTS)
@@ -53,8 +53,8 @@ def test_without_labels(spark, name):
 
 def test_one_row_of_each_group(spark):
     """Empty tables, null ids, repeated rows, unrelated texts of one id, other columns."""
-    assert simhash.one_of_each_group(empty(spark)).count() == 0
-    out = simhash.one_of_each_group(edge(spark)).collect()
+    assert near_copies.one_of_each_group(empty(spark)).count() == 0
+    out = near_copies.one_of_each_group(edge(spark)).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in out if r["text"] not in (None, "")) == sorted(
         (d is None, d or 0, t) for d, t in {(d, t) for d, t in EDGE_TEXTS} if t and t.split() and (d, t) != (6, "same text here"))
     assert [r["doc_id"] for r in out if not (r["text"] or "").split()] == [1]  # texts without words are one group
@@ -62,7 +62,7 @@ def test_one_row_of_each_group(spark):
 
 def test_filters_carry_all_columns(spark):
     docs, known = edge(spark), labels(spark, LABELS)
-    for out in (toxicity.without_toxic(docs, toxicity.train(docs, known)), simhash.one_of_each_group(docs), pii.pseudonymise(docs),
+    for out in (toxicity.without_toxic(docs, toxicity.train(docs, known)), near_copies.one_of_each_group(docs), pii.pseudonymise(docs),
                 mixing.apply(docs, domains(known), TARGETS)):
         assert out.schema.names == docs.columns
         assert {f.dataType.simpleString() for f in out.schema} == {f.dataType.simpleString() for f in docs.schema}
