@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -75,6 +76,27 @@ def test_crf_marginals_equal_enumeration(monkeypatch, segment):
         assert np.isclose(logs.sum(), partition)
 
 
+def test_scores_against_one_document_at_a_time(spark):
+    """The scored table against a plain forward pass over the passages of each text."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").unionByName(edge(spark).select("doc_id", "text", "lang", "source", "n_chars"))
+    model = quality_mil.train(docs, spark.read.parquet(f"{WIDER}/labels.parquet"), "quality")
+    p = model.p
+    got = Counter((r["doc_id"], round(r["score"], 9), r["passages"], r["attention_top"]) for r in quality_mil.score(docs, model).collect())
+    want = Counter()
+    for r in docs.select("doc_id", "text").collect():
+        hidden, gates = [], []
+        for row in quality_mil.Passages([r["text"] or ""]).x:
+            h = np.tanh(((row - model.mean) / model.scale) @ p["w"] + p["b"])
+            hidden.append(h)
+            gates.append(float((np.tanh(h @ p["v"]) / (1 + np.exp(-(h @ p["u"])))) @ p["a"]))
+        attention = np.exp(np.array(gates) - max(gates))
+        attention /= attention.sum()
+        logit = sum(a * h for a, h in zip(attention, hidden)) @ p["c"] + p["d"][0]
+        want[r["doc_id"], round(float(1 / (1 + np.exp(-logit))), 9), len(hidden), int(attention.argmax())] += 1
+    strangers = sum(((got - want) + (want - got)).values())
+    assert sum(got.values()) == sum(want.values()) and strangers <= 4
+
+
 def test_rare_toxic_words_beside_a_frequent_one(spark):
     """One word in 400 documents, another in 30: neither frequency nor number cuts the second off."""
     rng = random.Random(1)
