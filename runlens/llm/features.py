@@ -19,6 +19,7 @@ HASHED = 32
 CELLS = 4096
 SHAPES = 16
 WIDTH = SHAPES + HASHED
+SAMPLE_PARTS = 64
 
 
 def _letters() -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +109,8 @@ def stored_sample(docs: DataFrame, ids: DataFrame, purpose: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, "n_words"])
 
     schema = "doc_id long, label int, text string, n_words long"
-    return stored(map_batches(picked.select("doc_id", "label", "text"), count, schema), purpose)
+    kept = stored(map_batches(picked.select("doc_id", "label", "text"), count, schema), purpose)
+    return kept.repartition(SAMPLE_PARTS, "doc_id")  # small files would be read by one or two tasks
 
 
 def within_budget(sample: DataFrame, words: int, salt: int, by_label: bool = False) -> DataFrame:

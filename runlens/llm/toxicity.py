@@ -16,6 +16,7 @@ multiplied up, so the messages are exact whatever the length.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -269,18 +270,18 @@ def toxic_units(sample: DataFrame, precision: float = MIN_PRECISION, chance: flo
     their number; the sample bounds it.
     """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, labels, rows = texts_of(batch), np.array(batch.column(1).to_pylist()), []
-        for a, b in blocks(texts):
-            words = Words(texts[a:b])
-            f, found = features(words).astype(np.int64), units(words)
-            around = np.repeat(f[:, 1] * (1 << CELL_BITS) + f[:, 2], found.shape[1])
-            table = np.column_stack([found.ravel(), around, np.repeat(labels[a:b][words.doc], found.shape[1])])
-            rows.append(np.unique(table[table[:, 0] != 0], axis=0))
-        table = np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(3)], ["unit", "around", "label"])
-
-    seen = map_batches(sample.select("doc_id", "label", "text"), run, "unit long, around long, label long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, labels = texts_of(batch), np.array(batch.column(1).to_pylist())
+            for a, b in blocks(texts):
+                words = Words(texts[a:b])
+                f, found = features(words).astype(np.int64), units(words)
+                around = np.repeat(f[:, 1] * (1 << CELL_BITS) + f[:, 2], found.shape[1])
+                table = np.column_stack([found.ravel(), around, np.repeat(labels[a:b][words.doc], found.shape[1])])
+                table = np.unique(table[table[:, 0] != 0], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(3)], ["unit", "around", "label"])
+
+    seen = sample.select("doc_id", "label", "text").mapInArrow(run, "unit long, around long, label long")
     counts = seen.distinct().groupBy("unit").agg(F.sum("label").alias("in_bad"), F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.count(F.lit(1)).alias("units"), F.sum("in_bad").alias("bad"), F.sum("n").alias("all")).first()
     if not total["units"] or not 0 < total["bad"] < total["all"]:
