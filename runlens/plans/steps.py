@@ -323,7 +323,8 @@ def _(t):
 
 @query("step_blocks", r"""
 WITH e AS (SELECT rollout_id, step, role, tool_name, n, reasons, ord, exit_code, timed_out, TRIM(REGEXP_REPLACE(content, '\s+', ' ', 'g')) AS flat,
- CASE WHEN tool_name = 'todo_list_tasks' THEN '{"title": ' || (n % 5) || ', "task_id": "t' || (n % 3) || '"}' WHEN tool_name = 'finish' THEN '{"answer": "A ' || n || '"}'
+ CASE WHEN tool_name = 'todo_list_tasks' THEN '{"title": ' || CASE n % 4 WHEN 0 THEN (n % 5) || '.0' WHEN 1 THEN '9, "title": ' || (n % 5)
+   WHEN 2 THEN '{"b":[' || (n % 5) || ',2e1] , "a":"x' || CHR(92) || 'u0041"}' ELSE CAST(n % 5 AS VARCHAR) END || ', "task_id": "t' || (n % 3) || '"}' WHEN tool_name = 'finish' THEN '{"answer": "A ' || n || '"}'
   ELSE '{"command":"' || TRIM(REGEXP_REPLACE(command, '\s+', ' ', 'g')) || '"}' END AS args FROM turns),
 l AS (SELECT rollout_id, step, CASE WHEN role = 'assistant' THEN CASE WHEN reasons THEN '  reasoning: because' || CHR(10) ELSE '' END
   || '  says: ' || CASE WHEN LENGTH(flat) <= 300 THEN flat ELSE SUBSTR(flat, 1, 299) || '…' END || CASE WHEN n % 6 = 0 THEN '' ELSE CHR(10) || '  call ' || tool_name || '(' || args || ')' END
