@@ -155,6 +155,7 @@ def score(docs: DataFrame, trusted_ids: DataFrame, threshold_micro: int = THRESH
     trusted = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # what the filter lets through is joined exactly, so a false positive costs a text's move and nothing else
-    target = texts.where(may_contain(docs.sparkSession, F.col("doc_id"), bloom_filter(trusted, "doc_id"))).join(trusted, "doc_id", "left_semi")
+    kept = texts.where(may_contain(docs.sparkSession, F.col("doc_id"), bloom_filter(trusted, "doc_id")))
+    target = kept.join(trusted.hint("merge"), "doc_id", "left_semi")  # the same join at every size
     weights = cell_weights(cell_counts(target, "target", bits), cell_counts(docs, "raw", bits), bits)
     return judge(docs, weights, threshold_micro, bits)
