@@ -11,9 +11,12 @@ What meets is compared over the complete fingerprint, then by its shingles. ``SE
 many texts share a key by chance: 24 bits keep that small up to some ten million texts.
 
 Keys that more than ``CROWDED`` fingerprints share stand for a group of copies: there every member
-is compared with the smallest one. Of all that a text met it is compared in full with the ``NEAREST``
+first meets the smallest one, and of all that a text met it is first compared with the ``NEAREST``
 ones before it, so that pairs grow with the members of a group, not with their square. Links make
-components.
+components. The others that met, whatever their number, are compared after that where their components
+differ; within a component they cannot change anything. So the groups are those of all pairs that met.
+Of a crowd of looser copies these are many; a bound of their similarity (``SKETCHES``) that is never
+too low keeps most of them from a comparison by shingles.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ PARTS = ("p0", "p1", "p2")
 #: standard deviations above what a similarity of 0.8 gives.
 FIRST_DISTANCE, DISTANCE = 20, 45
 CROWDED = 16
-#: Smaller nodes that a node is compared with.
+#: Smaller nodes that a node is compared with at first.
 NEAREST = 8
+#: Parities of the number of shingles in each of 512 classes. Every bit that differs is a shingle that only one text has.
+SKETCHES = tuple(f"s{k}" for k in range(8))
 #: Shingles whose bits are summed at a time.
 PIECE = 8192
 
@@ -65,13 +70,20 @@ def shingles(words: Words, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     return found[new], doc[new]
 
 
-def signatures(words: Words) -> tuple[np.ndarray, np.ndarray]:
+def sketches(n: int, found: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """``SKETCHES`` of ``n`` texts by their ``shingles``."""
+    classes = 64 * len(SKETCHES)
+    counts = np.bincount(doc * classes + (found % np.uint64(classes)).astype(np.int64), minlength=n * classes).reshape(n, classes)
+    return np.packbits((counts & 1).astype(np.uint8), axis=1, bitorder="little").view("<u8").reshape(-1, len(SKETCHES))
+
+
+def signatures(words: Words, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints (three 64-bit numbers) and keys of the texts of a block.
 
     A fingerprint bit is the majority of the shingles' bits; a text without words has fingerprint
-    zero. Keys: segment number and segment, for all settings of its ``DOUBT`` least certain bits.
+    zero. Keys: segment number and segment, for all settings of its ``DOUBT`` least certain bits. ``known``: the shingles, if they are there.
     """
-    found, doc = shingles(words)
+    found, doc = shingles(words) if known is None else known
     with np.errstate(over="ignore"):
         wide = np.column_stack([mixed(found + np.uint64(k) * np.uint64(0x632BE59BD9B4E019)) for k in range(len(PARTS))])
     sums = np.zeros((words.n, 64 * len(PARTS)), dtype=np.int32)
@@ -96,12 +108,12 @@ def signatures(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return prints, keys.reshape(words.n, -1).astype(np.int32)
 
 
-def links(nodes: DataFrame, crowded: int = CROWDED, first: int = FIRST_DISTANCE, distance: int = DISTANCE) -> DataFrame:
-    """Pairs (a, b), a < b, of ``nodes`` (node, p0, p1, p2, keys) that share a key and differ in at most ``distance`` bits.
+def meetings(nodes: DataFrame, crowded: int = CROWDED, first: int = FIRST_DISTANCE) -> DataFrame:
+    """(key, a, b, gap): which of ``nodes`` (node, p0, p1, p2, keys) share a key; ``gap`` counts the differing bits of p0.
 
     The first 64 bits travel with the keys, so that nodes that meet by chance part where they meet.
-    Of a key with up to ``crowded`` nodes all pairs are looked at; of a key with more each node and
-    the key's smallest one. Of the smaller nodes it met a node keeps the ``NEAREST`` ones.
+    Of a key with up to ``crowded`` nodes all pairs a < b with a gap of at most ``first`` are listed,
+    each once and with a null key; of a key with more every node b, whatever its gap, beside the key's smallest one.
     """
     entries = nodes.select("node", "p0", F.explode("keys").alias("key")).repartition("key")
     crowds = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "p0")).alias("least")).where(
@@ -114,19 +126,70 @@ def links(nodes: DataFrame, crowded: int = CROWDED, first: int = FIRST_DISTANCE,
         near = F.filter("m", lambda other: (other["node"] > one["node"]) & (gap(other) <= first))
         return F.transform(near, lambda other: F.struct(one["node"].alias("a"), other["node"].alias("b"), gap(other).alias("gap")))
 
-    met = lists.select(F.explode(F.flatten(F.transform("m", partners))).alias("e")).select("e.a", "e.b", "e.gap")
-    gap = F.bit_count(F.col("x").bitwiseXOR(F.col("p0")))
-    star = entries.join(crowds, [entries["key"] == crowds["key"], F.col("node") > F.col("a"), gap <= first]).select(
-        "a", F.col("node").alias("b"), gap.alias("gap"))
-    # a node meets a bounded number of others under each of its keys
-    pairs = met.unionByName(star).groupBy("b").agg(
-        F.slice(F.array_sort(F.collect_set(F.struct("gap", "a"))), 1, NEAREST).alias("heads")).select(F.explode("heads.a").alias("a"), "b")
+    met = lists.select(F.explode(F.flatten(F.transform("m", partners))).alias("e")).select("e.a", "e.b", "e.gap").distinct()
+    star = entries.join(crowds, "key").select("key", "a", F.col("node").alias("b"), F.bit_count(F.col("x").bitwiseXOR(F.col("p0"))).alias("gap"))
+    return star.unionByName(met.withColumn("key", F.lit(None).cast("int")))
+
+
+def ranked(met: DataFrame, first: int = FIRST_DISTANCE) -> DataFrame:
+    """(b, near): the smaller nodes that each node met, (gap, a), by their gaps. A node meets a bounded number under each of its keys."""
+    return met.where((F.col("a") < F.col("b")) & (F.col("gap") <= first)).groupBy("b").agg(
+        F.array_sort(F.collect_set(F.struct("gap", "a"))).alias("near"))
+
+
+def nearest(met: DataFrame, first: int = FIRST_DISTANCE) -> DataFrame:
+    """(a, b): of the smaller nodes that a node met, the ``NEAREST`` ones."""
+    return ranked(met, first).select(F.explode(F.slice("near", 1, NEAREST)["a"]).alias("a"), "b")
+
+
+def others(met: DataFrame, placed: DataFrame, similarity: float = SIMILARITY, first: int = FIRST_DISTANCE, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): all pairs that met beside the ``nearest`` ones, of different roots, that are close and may be similar.
+
+    ``placed``: node, prints, n (shingles), sketches, root. Of a crowded key with one root nothing is
+    left. Of one with more, all nodes outside its most frequent root meet all nodes of other roots.
+    """
+    known = [c for c in placed.columns if c != "node"]
+
+    def of(side: str, *names: str) -> DataFrame:
+        return placed.select(F.col("node").alias(side), *[F.col(c).alias(side + c) for c in names or known])
+
+    def differing(names) -> Column:
+        return sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in names), F.lit(0))
+
+    away = (F.col("aroot") != F.col("broot")) & (differing(PARTS) <= distance)
+    # at a similarity of s at most (1 - s) / (1 + s) of both texts' shingles are in one text only; rounding may let a pair through
+    alike = differing(SKETCHES) * F.lit(1 + similarity) <= F.lit(1 - similarity) * (F.col("an") + F.col("bn")) + F.lit(1e-6)
+    rest = ranked(met, first).where(F.size("near") > NEAREST).select(
+        "b", F.slice("near", F.lit(NEAREST + 1), F.size("near"))["a"].alias("rest"))
+    listed = rest.join(of("b", *PARTS, "root"), "b").withColumn("_a", F.explode("rest")).drop("rest")
+    listed = listed.join(of("a", *PARTS, "root"), (F.col("_a") == F.col("a")) & away).select("a", "b")
+    listed = listed.join(of("a", "n", *SKETCHES), "a").join(of("b", "n", *SKETCHES).withColumnRenamed("b", "_b"), (F.col("b") == F.col("_b")) & alike)
+    members = met.where(F.col("key").isNotNull()).select("key", F.col("b").alias("node")).join(placed.select("node", "root"), "node")
+    several = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root"))["root"].alias("main")).where(F.col("roots") > 1).select("key", "main")
+    crowd = stored(members.join(several, "key").select("key", "main", "node").join(placed, "node"), "crowds")
+    one = crowd.where(F.col("root") != F.col("main")).select("key", "main", F.col("node").alias("a"), *[F.col(c).alias("a" + c) for c in known])
+    two = crowd.select("key", F.col("node").alias("b"), *[F.col(c).alias("b" + c) for c in known])
+    once = (F.col("broot") == F.col("main")) | (F.col("a") < F.col("b"))
+    gap = F.bit_count(F.col(f"a{PARTS[0]}").bitwiseXOR(F.col(f"b{PARTS[0]}")))
+    across = one.join(two, (one["key"] == two["key"]) & once & (gap <= first) & away & alike)
+    return listed.select("a", "b").unionByName(across.select("a", "b")).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def close(pairs: DataFrame, nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """The pairs (a, b) that differ in at most ``distance`` bits of the complete fingerprint."""
     prints = nodes.select("node", *PARTS)
     both = pairs.join(prints.toDF("a", *[f"x{p}" for p in PARTS]), "a").join(prints.toDF("b", *[f"y{p}" for p in PARTS]), "b")
     apart = sum((F.bit_count(F.col(f"x{p}").bitwiseXOR(F.col(f"y{p}"))) for p in PARTS), F.lit(0))
     return both.where(apart <= distance).select("a", "b")
 
 
+def links(nodes: DataFrame, crowded: int = CROWDED, first: int = FIRST_DISTANCE, distance: int = DISTANCE) -> DataFrame:
+    """Pairs (a, b), a < b, that are compared first: the ``nearest`` of the ``meetings`` of ``nodes`` that are ``close``."""
+    return close(nearest(meetings(nodes, crowded, first), first), nodes, distance)
+
+
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose texts (node, text) have at least that Jaccard similarity of shingles."""
 
@@ -149,7 +212,8 @@ def row_key(key: str, text: str) -> Column:
     return F.concat_ws(":", part(F.col(key).cast("string")), part(F.sha2(F.col(text).cast("binary"), 256)))
 
 
-def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
+                      crowded: int = CROWDED) -> DataFrame:
     """The documents, all columns, with exactly one row of every group of near copies.
 
     Rows are told apart by id and text, so unrelated texts under one id all stay. Of a group the row
@@ -165,26 +229,38 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, prints, keys = texts_of(batch), [np.zeros((0, len(PARTS)), np.uint64)], [np.zeros((0, SEGMENTS << DOUBT), np.int32)]
+        sizes, bits = [np.zeros(0, np.int64)], [np.zeros((0, len(SKETCHES)), np.uint64)]
         for a, b in blocks(found):
-            some = signatures(Words(found[a:b]))
-            prints.append(some[0])
-            keys.append(some[1])
-        fp, every = np.concatenate(prints).view(np.int64), np.concatenate(keys)
+            words = Words(found[a:b])
+            some = shingles(words)
+            for whole, part in zip((prints, keys, sizes, bits), (*signatures(words, some), np.bincount(some[1], minlength=b - a), sketches(b - a, *some))):
+                whole.append(part)
+        fp, every, sketch = np.concatenate(prints).view(np.int64), np.concatenate(keys), np.concatenate(bits).view(np.int64)
         listed = pa.ListArray.from_arrays(pa.array(np.arange(0, every.size + 1, every.shape[1], dtype=np.int32)), pa.array(every.ravel()))
-        parts = [pa.array(np.ascontiguousarray(fp[:, k])) for k in range(len(PARTS))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *parts, listed], ["doc_id", "row", *PARTS, "keys"])
+        parts = [pa.array(np.ascontiguousarray(numbers[:, k])) for numbers in (fp, sketch) for k in range(numbers.shape[1])]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(sizes)), *parts, listed],
+                                          ["doc_id", "row", "n", *PARTS, *SKETCHES, "keys"])
 
     read = named.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(hidden).alias("row"))
-    rows = map_batches(read, run, "doc_id long, row string, p0 long, p1 long, p2 long, keys array<int>")
+    rows = map_batches(read, run, f"doc_id long, row string, n long, {' long, '.join((*PARTS, *SKETCHES))} long, keys array<int>")
     nodes = stored(rows.groupBy(*PARTS).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("head"), F.min("keys").alias("keys")
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "n", *SKETCHES)).alias("head"), F.min("keys").alias("keys")
     ).withColumn("node", F.xxhash64(*PARTS)), "nodes")
-    pairs = stored(links(nodes), "pairs")
-    met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(met, "node", "left_semi").select("node", F.col("head.row").alias(hidden))
-    texts = named.join(wanted, hidden).groupBy("node").agg(F.min(text).alias("text"))
-    roots = components(similar(pairs, texts, similarity))
-    placed = nodes.join(roots, "node", "left").select("head", F.coalesce("root", "node").alias("root"))
+    met = stored(meetings(nodes, crowded), "met")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        here = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = nodes.join(here, "node", "left_semi").select("node", F.col("head.row").alias(hidden))
+        texts = named.join(wanted, hidden).groupBy("node").agg(F.min(text).alias("text"))
+        return similar(pairs, texts, similarity)
+
+    roots = components(linked(stored(close(nearest(met), nodes), "pairs")))
+    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = stored(others(met, placed.select("node", *PARTS, "head.n", *[f"head.{c}" for c in SKETCHES], "root"), similarity), "others")
+    if not rest.isEmpty():
+        known = roots.where(F.col("node") != F.col("root")).select(F.col("root").alias("a"), F.col("node").alias("b"))
+        roots = components(known.unionByName(linked(rest)))
+        placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = placed.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.row").alias(hidden))
     return named.join(kept, hidden, "left_semi").groupBy(hidden).agg(
         F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_kept")).select("_kept.*")

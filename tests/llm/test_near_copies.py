@@ -104,6 +104,57 @@ def test_links_of_a_crowd_grow_with_its_members(spark, crowded):
         assert 100 <= pairs.count() <= 150 * nc.NEAREST
 
 
+def loose_crowd(n, seed):
+    """Texts about as far from each other as copies of one text may be, each with a closer one."""
+    rng = random.Random(seed)
+    base, out = [f"b{k}" for k in range(120)], []
+    for _ in range(n):
+        words = base[:]
+        for times in (3, 2):
+            for at in rng.sample(range(len(words)), times):
+                words[at] = f"w{rng.randrange(10**6)}"
+            out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("crowded", [1, 16])
+def test_a_crowd_has_the_groups_of_all_pairs_that_meet(spark, crowded):
+    texts = loose_crowd(150, 3)
+    sets = [shingle_set(t) for t in texts]
+    prints, keys = nc.signatures(Words(texts))
+    keys = [set(k.tolist()) for k in keys]
+    head = list(range(len(texts)))
+
+    def find(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for i, j in combinations(range(len(texts)), 2):
+        apart = [(int(x) ^ int(y)).bit_count() for x, y in zip(prints[i], prints[j])]
+        if alike(sets[i], sets[j]) and keys[i] & keys[j] and apart[0] <= nc.FIRST_DISTANCE and sum(apart) <= nc.DISTANCE:
+            a, b = sorted((find(i), find(j)))
+            head[b] = a
+    want = {find(i) for i in range(len(texts))}
+    assert 10 < len(want) < 290
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"] for r in nc.one_of_each_group(docs, crowded=crowded).collect()} == want
+
+
+def test_sketches_never_part_similar_texts():
+    texts = [*near_texts(60, 6), *loose_crowd(30, 4), "", "a b"]
+    words = Words(texts)
+    bits = nc.sketches(words.n, *nc.shingles(words))
+    sets = [shingle_set(t) for t in texts]
+    parted = 0
+    for i, j in combinations(range(len(texts)), 2):
+        apart = sum((int(x) ^ int(y)).bit_count() for x, y in zip(bits[i], bits[j]))
+        assert apart <= len(sets[i] ^ sets[j])
+        parted += apart * 1.8 > 0.2 * (len(sets[i]) + len(sets[j])) + 1e-6
+        assert not alike(sets[i], sets[j]) or apart * 1.8 <= 0.2 * (len(sets[i]) + len(sets[j])) + 1e-6
+    assert parted > 1000
+
+
 def test_recall_on_the_given_documents(spark):
     docs = table(spark, FOLDER.replace("sf0.001", "sf0.01"), "documents")
     rows = docs.select("doc_id", "text").collect()
