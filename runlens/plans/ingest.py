@@ -213,4 +213,4 @@ def _(t):
 def _(t):
     jobs.read_table_stream(t.spark, f"{t.folder}/events.parquet").createOrReplaceTempView("runlens_events_stream")
     trace = t.spark.sql(TRACE.replace("FROM events", "FROM runlens_events_stream"))
-    return jobs.standing(jobs.run_available(jobs.stream_trace_gaps(trace), "trace"))
+    return jobs.standing(jobs.run_available(jobs.stream_trace_gaps(trace), "trace", work=lambda batch, number, out: jobs.spans_of(batch)))

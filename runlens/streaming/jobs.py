@@ -6,13 +6,11 @@ overwritten on a retry, so a lost executor or a restarted query never doubles ro
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runlens import fixed
 from runlens.functions import scale
@@ -21,7 +19,7 @@ from runlens.session import shared_dir
 
 c = F.col
 
-#: Numbers of a trace that share one state.
+#: Numbers of a trace that are joined to spans together.
 BLOCK = 4096
 
 
@@ -120,7 +118,6 @@ def stream_spend_guard(ledger: DataFrame, cap: float, key: str = "run_id", order
 
 # ------------------------------------------------------------------ trace gaps
 
-_SPANS = "file string, block long, low long, high long, first_run string, last_run string, repeated boolean, old boolean"
 _LAST = "\U0010ffff"
 
 
@@ -142,7 +139,7 @@ def _spans_of(rows: pd.DataFrame) -> list[list]:
 
 
 def merged(spans: Sequence[Sequence], batch: pd.DataFrame, version: int) -> list[list]:
-    """The spans of a block with the rows (seq, run_id, schema_version) of a batch added.
+    """The spans of one block with the rows (seq, run_id, schema_version) of a batch added: ``spans_of``, for rows at hand.
 
     Of the run ids of a number the smallest and the greatest are kept, of its rows whether there
     is more than one (n = 2), so that the block bounds the size.
@@ -164,36 +161,50 @@ def merged(spans: Sequence[Sequence], batch: pd.DataFrame, version: int) -> list
 
 
 def stream_trace_gaps(trace: DataFrame, key: str = "file", version: int = fixed.TRACE_SCHEMA_VERSION, block: int = BLOCK) -> DataFrame:
-    """Spans of the numbers of a trace stream by blocks, in any order of arrival; ``standing`` reads them.
+    """The numbers of a trace stream as spans of one number each, in any order of arrival.
 
-    The numbers of a file are cut into blocks, each with a state of its own that the block's size
-    bounds, so one file that holds a third of all rows is many groups. A block that a micro-batch
-    touches gives all its spans anew: (file, block, low, high, first_run, last_run, repeated, old).
-    Rows without a number are left out. ``trace``: file, seq, run_id, schema_version.
+    (file, block, low, high, first_run, last_run, repeated, old). ``spans_of`` joins those of a
+    micro-batch, ``standing`` reads them with or without it. The numbers of a file are cut into
+    blocks, so one file that holds a third of all rows is many groups. There is no state that could
+    grow: every micro-batch adds its spans. Rows without a number are left out. ``trace``: file,
+    seq, run_id, schema_version.
     """
-    def update(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        spans = json.loads(state.get[0]) if state.exists else []
-        for rows in batches:
-            spans = merged(spans, rows, version)
-        state.update((json.dumps(spans),))
-        yield pd.DataFrame([(*name, *span[:4], span[4] > 1, span[5] > 0) for span in spans],
-                           columns=["file", "block", "low", "high", "first_run", "last_run", "repeated", "old"])
+    seq = c("seq").cast("long")
+    return trace.where(c("seq").isNotNull()).select(
+        c(key).alias("file"), F.floor((seq - 1) / block).alias("block"), seq.alias("low"), seq.alias("high"),
+        c("run_id").alias("first_run"), c("run_id").alias("last_run"), F.lit(False).alias("repeated"),
+        F.coalesce(c("schema_version") != version, F.lit(False)).alias("old"))
 
-    rows = trace.where(c("seq").isNotNull()).select(c(key).alias("file"), c("seq").cast("long").alias("seq"), "run_id", "schema_version")
-    rows = rows.withColumn("block", F.floor((c("seq") - 1) / block))
-    return rows.groupBy("file", "block").applyInPandasWithState(
-        update, _SPANS, "known string", "append", GroupStateTimeout.NoTimeout)
+
+def spans_of(spans: DataFrame) -> DataFrame:
+    """The same numbers, each once, as the longest spans within a block that are alike in all columns.
+
+    Of the run ids of a number the smallest and the greatest are kept; it is repeated if more than
+    one span has it. Rows of one number meet in an aggregation, the numbers of a block, at most as many as it has, in a window.
+    """
+    each = spans.select("file", "block", F.explode(F.sequence("low", "high")).alias("seq"), "first_run", "last_run", "repeated", "old")
+    numbers = each.groupBy("file", "block", "seq").agg(
+        F.min("first_run").alias("first_run"), F.max("last_run").alias("last_run"),
+        ((F.count(F.lit(1)) > 1) | F.bool_or("repeated")).alias("repeated"), F.bool_or("old").alias("old"))
+    inside = Window.partitionBy("file", "block").orderBy("seq")
+    alike = F.struct("first_run", "last_run", "repeated", "old")
+    begins = ~(F.lag("seq").over(inside).eqNullSafe(c("seq") - 1) & F.lag(alike).over(inside).eqNullSafe(alike))
+    counted = numbers.withColumn("_begins", begins.cast("int")).withColumn("_span", F.sum("_begins").over(inside))
+    return counted.groupBy("file", "block", "_span").agg(
+        F.min("seq").alias("low"), F.max("seq").alias("high"),
+        *[F.first(x).alias(x) for x in ("first_run", "last_run", "repeated", "old")]).drop("_span")
 
 
 def standing(spans: DataFrame) -> DataFrame:
     """The violations (file, seq, kind) that are open after all micro-batches, by the rules of the batch form.
 
-    Of every block the spans of its last batch count. A span whose predecessor no span of the file
-    ends with, be it of the same block or of the one before, follows a gap.
+    A span whose predecessor no span of the file ends with, be it of the same block or of the one
+    before, follows a gap. The joined spans are written once, as several steps read them.
     """
-    last = spans.groupBy("file", "block").agg(F.max("batch").alias("batch"))
-    now = spans.join(last, (spans["file"].eqNullSafe(last["file"])) & (spans["block"] == last["block"]) & (spans["batch"] == last["batch"]),
-                     "left_semi")
+    out = shared_dir(spans.sparkSession, "spans")
+    joined = spans_of(spans)
+    joined.write.mode("overwrite").parquet(out)
+    now = spans.sparkSession.read.schema(joined.schema).parquet(out)
     ends = now.select(c("file").alias("_file"), (c("high") + 1).alias("_seq"))
     gaps = now.where(c("low") != 1).join(ends, c("file").eqNullSafe(c("_file")) & (c("low") == c("_seq")), "left_anti").select(
         "file", c("low").alias("seq"), F.lit("gap").alias("kind"))

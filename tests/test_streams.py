@@ -71,6 +71,26 @@ def test_spans_of_a_batch():
         [1, 1, "a", "a", 1, 0], [2, 2, "a", "b", 2, 1], [3, 4, "a", "a", 1, 0], [9, 9, "c", "c", 2, 0]]
 
 
+@pytest.mark.parametrize("how", ["forwards", "shuffled"])
+def test_spans_of_micro_batches_need_no_state(spark, rows, tmp_path, how):
+    rng = random.Random(4)
+    data = orders([(f"f{i % 2}", rng.randint(-3, 60), rng.choice(["run"] * 8 + ["other", None]), rng.choice([1] * 15 + [2, None])) for i in range(150)], how)
+    _, stream = streamed(spark, rows, TRACE, data, str(tmp_path / "t"), 40)
+    trace = jobs.stream_trace_gaps(stream, block=16)
+    one = jobs.run_available(trace, "trace")
+    spans = jobs.run_available(trace, "trace", work=lambda batch, number, out: jobs.spans_of(batch))
+    assert spans.groupBy("batch").count().count() > 1 and spans.count() < one.count()
+    assert sorted(jobs.standing(spans).collect()) == sorted(jobs.standing(one).collect())
+    plan = trace._jdf.queryExecution().analyzed().toString()
+    assert "PandasWithState" not in plan and "Aggregate" not in plan
+    # the plain form of one block
+    import pandas as pd
+
+    whole = pd.DataFrame([r[1:] for r in data if r[0] == "f1" and 1 <= r[1] <= 16], columns=["seq", "run_id", "schema_version"])
+    joined = jobs.spans_of(one.where((c("file") == "f1") & (c("block") == 0))).orderBy("low").collect()
+    assert [[r.low, r.high, r.first_run, r.last_run, 1 + r.repeated, int(r.old)] for r in joined] == jobs.merged([], whole, 1)
+
+
 def bills(n=240):
     rng = random.Random(5)
     events = ["call", "policy", "search", "infra_failure", "task_failure"]
