@@ -250,7 +250,8 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def linked(pairs: DataFrame) -> DataFrame:
         here = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = nodes.join(here, "node", "left_semi").select("node", F.col("head.row").alias(hidden))
+        # written, so that its size is known before the texts are joined: those of few nodes need no shuffle of all texts
+        wanted = stored(nodes.join(here, "node", "left_semi").select("node", F.col("head.row").alias(hidden)), "wanted")
         texts = named.join(wanted, hidden).groupBy("node").agg(F.min(text).alias("text"))
         return similar(pairs, texts, similarity)
 
