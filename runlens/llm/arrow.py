@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.session import shared_dir
@@ -42,6 +43,17 @@ def stored(df: DataFrame, purpose: str, partition_by: Sequence[str] = ()) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pieces(df: DataFrame, rows: int = 256) -> Iterator[list[Row]]:
+    """The rows of a stored table of bounded size, in its order, so many at a time.
+
+    Partitions are fetched one after the other: on its way to Python no more than one of them is in the
+    driver's memory.
+    """
+    left = df.toLocalIterator()
+    while piece := list(islice(left, rows)):
+        yield piece
+
+
 def bucket_of(column: Column, modulus: int) -> Column:
     """crc32 of a value's text, modulo; what train/held-out splits are defined by."""
     return F.crc32(column.cast("string").cast("binary")) % modulus

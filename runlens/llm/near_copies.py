@@ -256,12 +256,14 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
         return similar(pairs, texts, similarity)
 
     roots = components(linked(stored(close(nearest(met), nodes), "pairs")))
-    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = stored(others(met, placed.select("node", *PARTS, "head.n", *[f"head.{c}" for c in SKETCHES], "root"), similarity), "others")
+    # written, as the comparisons read it many times: the driver plans and follows a join for each of them otherwise
+    placed = stored(nodes.join(roots, "node", "left").select(
+        "node", *PARTS, "head.n", *[f"head.{c}" for c in SKETCHES], F.coalesce("root", "node").alias("root")), "placed")
+    rest = stored(others(met, placed, similarity), "others")
     if not rest.isEmpty():
         known = roots.where(F.col("node") != F.col("root")).select(F.col("root").alias("a"), F.col("node").alias("b"))
         roots = components(known.unionByName(linked(rest)))
-        placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = placed.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.row").alias(hidden))
+    heads = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "head")
+    kept = heads.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.row").alias(hidden))
     return named.join(kept, hidden, "left_semi").groupBy(hidden).agg(
         F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_kept")).select("_kept.*")

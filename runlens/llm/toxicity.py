@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.arrow import map_batches, texts_of
+from runlens.llm.arrow import map_batches, pieces, stored, texts_of
 from runlens.llm.features import labelled_sample, stored_sample, within_budget
 from runlens.llm.words import SPREAD, Words, blocks
 
@@ -321,14 +321,14 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", limit: int
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()),
                                            pa.array(columns[2], pa.binary())], ["doc_id", "cells", "gold"])
 
-    chains = map_batches(within_budget(sample, tokens, 5, by_label=True), run, "doc_id long, cells binary, gold binary").orderBy(
-        F.xxhash64("doc_id", F.lit(5)), "doc_id", "gold", "cells").toArrow()
-    gold = [np.frombuffer(x, dtype=np.int8) for x in chains.column("gold").to_pylist()]
-    cells = [np.frombuffer(x, dtype=np.uint32).reshape(-1, len(KINDS)) for x in chains.column("cells").to_pylist()]
-    sizes = [min(SEGMENT, len(g) - at) for g in gold for at in range(0, len(g), SEGMENT)]
-    field = fit_field(np.concatenate(cells) if cells else np.zeros((0, len(KINDS)), np.uint32),
-                      np.concatenate(gold) if gold else np.zeros(0, np.int8), np.array(sizes, dtype=int))
-    del chains, gold, cells
+    chains = stored(map_batches(within_budget(sample, tokens, 5, by_label=True), run, "doc_id long, cells binary, gold binary"), "toxicity-chains")
+    cells, gold, sizes = [np.zeros((0, len(KINDS)), np.uint32)], [np.zeros(0, np.int8)], []
+    for piece in pieces(chains.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "gold", "cells").select("cells", "gold")):
+        cells.append(np.frombuffer(b"".join(r["cells"] for r in piece), dtype=np.uint32).reshape(-1, len(KINDS)))
+        gold.append(np.frombuffer(b"".join(r["gold"] for r in piece), dtype=np.int8))
+        sizes += [min(SEGMENT, len(r["gold"]) - at) for r in piece for at in range(0, len(r["gold"]), SEGMENT)]
+    field = fit_field(np.concatenate(cells), np.concatenate(gold), np.array(sizes, dtype=int))
+    del cells, gold
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:

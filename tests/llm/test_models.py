@@ -140,6 +140,23 @@ def test_open_tokens_follow_neither_label():
     assert np.corrcoef(with_open.weights, alone.weights)[0, 1] > 0.9
 
 
+def test_the_chains_reach_the_driver_in_pieces(spark, monkeypatch):
+    kind, whole, parts = type(spark.range(0)), [], []
+    to_arrow, pieces = kind.toArrow, getattr(toxicity, "pieces", None)
+    monkeypatch.setattr(kind, "toArrow", lambda self: (whole.append(t := to_arrow(self)), t)[1])
+
+    def counted(df):
+        for piece in pieces(df, 16):
+            parts.append(len(piece))
+            yield piece
+
+    monkeypatch.setattr(toxicity, "pieces", counted, raising=False)
+    docs = spark.read.parquet(f"{WIDER}/documents.parquet")
+    toxicity.train(docs, spark.read.parquet(f"{WIDER}/labels.parquet"))
+    assert whole and not any({"cells", "gold"} & set(t.column_names) for t in whole)
+    assert len(parts) > 10 and max(parts) <= 16
+
+
 def test_toxic_spans_point_at_the_words(spark):
     docs = spark.read.parquet(f"{WIDER}/documents.parquet")
     field = toxicity.train(docs, spark.read.parquet(f"{WIDER}/labels.parquet"))

@@ -141,6 +141,18 @@ def test_a_crowd_has_the_groups_of_all_pairs_that_meet(spark, crowded):
     assert {r["doc_id"] for r in nc.one_of_each_group(docs, crowded=crowded).collect()} == want
 
 
+def test_what_the_comparisons_read_many_times_is_written(spark, monkeypatch):
+    plans, others = [], nc.others
+
+    def seen(met, placed, *more):
+        plans.append(placed._jdf.queryExecution().executedPlan().toString())
+        return others(met, placed, *more)
+
+    monkeypatch.setattr(nc, "others", seen)
+    survivors(spark, loose_crowd(40, 5))
+    assert plans and not any("Join" in p for p in plans)
+
+
 def test_sketches_never_part_similar_texts():
     texts = [*near_texts(60, 6), *loose_crowd(30, 4), "", "a b"]
     words = Words(texts)
