@@ -164,12 +164,16 @@ def others(met: DataFrame, placed: DataFrame, similarity: float = SIMILARITY, fi
     listed = rest.join(of("b", *PARTS, "root"), "b").withColumn("_a", F.explode("rest")).drop("rest")
     listed = listed.join(of("a", *PARTS, "root"), (F.col("_a") == F.col("a")) & away).select("a", "b")
     listed = listed.join(of("a", "n", *SKETCHES), "a").join(of("b", "n", *SKETCHES).withColumnRenamed("b", "_b"), (F.col("b") == F.col("_b")) & alike)
-    members = met.where(F.col("key").isNotNull()).select("key", F.col("b").alias("node")).join(placed.select("node", "root"), "node")
-    several = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+    # a row per node, with the crowded keys it stands under, of which there are SEGMENTS << DOUBT at most
+    crowd = stored(met.where(F.col("key").isNotNull()).groupBy(F.col("b").alias("node")).agg(
+        F.collect_list("key").alias("keys")).join(placed, "node"), "crowds")
+    counts = crowd.select("root", F.explode("keys").alias("key")).groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = counts.groupBy("key").agg(
         F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root"))["root"].alias("main")).where(F.col("roots") > 1).select("key", "main")
-    crowd = stored(members.join(several, "key").select("key", "main", "node").join(placed, "node"), "crowds")
-    one = crowd.where(F.col("root") != F.col("main")).select("key", "main", F.col("node").alias("a"), *[F.col(c).alias("a" + c) for c in known])
-    two = crowd.select("key", F.col("node").alias("b"), *[F.col(c).alias("b" + c) for c in known])
+    outside = stored(counts.join(several, "key").where(F.col("root") != F.col("main")).select("key", "main", F.col("root").alias("aroot")), "outside")
+    one = crowd.join(outside.select(F.col("aroot").alias("root")).distinct(), "root", "left_semi").select(
+        F.explode("keys").alias("key"), F.col("node").alias("a"), *[F.col(c).alias("a" + c) for c in known]).join(outside, ["key", "aroot"])
+    two = crowd.select(F.explode("keys").alias("key"), F.col("node").alias("b"), *[F.col(c).alias("b" + c) for c in known])
     once = (F.col("broot") == F.col("main")) | (F.col("a") < F.col("b"))
     gap = F.bit_count(F.col(f"a{PARTS[0]}").bitwiseXOR(F.col(f"b{PARTS[0]}")))
     across = one.join(two, (one["key"] == two["key"]) & once & (gap <= first) & away & alike)

@@ -141,6 +141,21 @@ def test_a_crowd_has_the_groups_of_all_pairs_that_meet(spark, crowded):
     assert {r["doc_id"] for r in nc.one_of_each_group(docs, crowded=crowded).collect()} == want
 
 
+def test_a_crowd_is_joined_by_its_nodes(spark, monkeypatch):
+    """Its nodes stand under many crowded keys; what a node is known by is looked up once for it, not for each key."""
+    written, stored = {}, nc.stored
+
+    def seen(df, purpose, *more):
+        written[purpose] = stored(df, purpose, *more)
+        return written[purpose]
+
+    monkeypatch.setattr(nc, "stored", seen)
+    survivors(spark, loose_crowd(60, 3), crowded=1)
+    crowds, star = written["crowds"], written["met"].where(F.col("key").isNotNull())
+    assert star.count() > 4 * crowds.count() > 0
+    assert crowds.count() == star.select("b").distinct().count() == crowds.select("node").distinct().count()
+
+
 def test_what_the_comparisons_read_many_times_is_written(spark, monkeypatch):
     plans, others = [], nc.others
 
